@@ -15,6 +15,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from gleanery.llm.sentencepiece_codec import decode_documents, encode_documents, load
+
+    model = load(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = decode_documents(encode_documents(docs, model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.line_dedup import drop_common_lines
 
@@ -37,6 +47,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from gleanery.llm.token_files import token_digests
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    return token_digests(read_table(spark, sf_dir, "documents"), definition, end_id=2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.sharding import shard
 
@@ -52,7 +71,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.lower(F.hex("feature")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_line_dedup, op4_fingerprints, op5_quality, op8_sharding, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op7_token_ids, op8_sharding, op10_media_columns)}
 
 ORACLES = {
     "op3_line_dedup": r"""
