@@ -47,6 +47,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.simhash import simhash_components
+
+    found = simhash_components(read_table(spark, sf_dir, "documents"), k=3, limit=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from gleanery.llm.token_files import token_digests
@@ -71,7 +78,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.lower(F.hex("feature")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op7_token_ids, op8_sharding, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op6_simhash, op7_token_ids, op8_sharding, op10_media_columns)}
 
 ORACLES = {
     "op3_line_dedup": r"""
