@@ -71,6 +71,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(rows, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.suffix_dedup import cut_repeats
+
+    found = cut_repeats(read_table(spark, sf_dir, "documents"), 50, digest_only=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.media import text_media
 
@@ -78,7 +85,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.lower(F.hex("feature")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op6_simhash, op7_token_ids, op8_sharding, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op6_simhash, op7_token_ids, op8_sharding, op9_suffix_dedup, op10_media_columns)}
 
 ORACLES = {
     "op3_line_dedup": r"""
