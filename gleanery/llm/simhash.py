@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import as_bytes, mix64, pieces, stored
@@ -42,29 +42,38 @@ def shingle_hashes(text: bytes, k: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip([0, *[e + 1 for e in ends]], ends[k - 1 :], strict=False)]
 
 
-def fingerprints(texts: list[bytes], k: int = 3) -> np.ndarray:
-    """A bit is 1 if it is set in over half of the text's shingle hashes.
+def _majorities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each text's hashes (sizes of them, at least one), the bits set in over half.
 
     Eight bits of a hash at a time are spread over the bytes of a number and added
     up, in runs of at most 255 so that bytes hold.
     """
-    hashes = [shingle_hashes(t, k) for t in texts]
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(sizes)
-    if not len(some):
-        return out
-    flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
-    sizes = sizes[some]
     first = np.cumsum(sizes) - sizes
     runs = -(-sizes // 255)
     run_first = np.cumsum(runs) - runs
     starts = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(run_first, runs))
+    out = np.zeros(len(sizes), np.uint64)
     for shift in range(8):
         added = np.add.reduceat((flat >> np.uint64(shift)) & LANES, starts)
         counts = np.add.reduceat(added.view(np.uint8).reshape(-1, 8).astype(np.int64), run_first, axis=0)
         for lane in range(8):
-            out[some] |= (2 * counts[:, lane] > sizes).astype(np.uint64) << np.uint64(8 * lane + shift)
+            out |= (2 * counts[:, lane] > sizes).astype(np.uint64) << np.uint64(8 * lane + shift)
+    return out
+
+
+def _flat_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    hashes = [shingle_hashes(t, k) for t in texts]
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    return np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum())), sizes
+
+
+def fingerprints(texts: list[bytes], k: int = 3) -> np.ndarray:
+    """A bit is 1 if it is set in over half of the text's shingle hashes; no shingles: 0."""
+    flat, sizes = _flat_hashes(texts, k)
+    out = np.zeros(len(texts), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = _majorities(flat, sizes[some])
     return out
 
 
@@ -106,14 +115,20 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int16)
 
 
-def _links(key: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
-    """Pairs of rows that link within equal neighbouring keys, as many as tie each group together."""
+def _links(key: np.ndarray, fp: np.ndarray, limit: int, wide: np.ndarray | None = None, wide_limit: int = 0) -> np.ndarray:
+    """Pairs of rows that link within equal neighbouring keys, as many as tie each group together.
+
+    The survivors of the table are verified by their own distance, and that of the
+    wide fingerprints if there are any. Rows already tied aren't looked at again,
+    and a group that is tied as a whole is left.
+    """
     n = len(fp)
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     table = np.stack([_popcount(fp ^ p) for p in PIVOTS], axis=1)
     order = np.lexsort((table[:, 0], group))
     fp, table, group = fp[order], table[order], group[order]
     label, rows, found = np.arange(n), np.arange(n), []
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     step = 0
     while True:
         step += 1
@@ -122,54 +137,66 @@ def _links(key: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
         rows = rows[(group[rows + step] == group[rows]) & (table[rows + step, 0] - table[rows, 0] <= limit)]
         if not len(rows):
             break
-        apart = np.flatnonzero(label[rows] != label[rows + step])
-        a = rows[apart]
-        near = (np.abs(table[a] - table[a + step]) <= limit).all(axis=1)
-        a = a[near]
+        a = rows[label[rows] != label[rows + step]]
+        a = a[(np.abs(table[a] - table[a + step]) <= limit).all(axis=1)]
         a = a[_popcount(fp[a] ^ fp[a + step]) <= limit]
+        if wide is not None and len(a):
+            a = a[np.bitwise_count(wide[order[a]] ^ wide[order[a + step]]).sum(axis=1, dtype=np.int64) <= wide_limit]
         if len(a):
-            found.append(np.stack([fp[a], fp[a + step]], axis=1))
-            x, y = label[a], label[a + step]
-            root = np.arange(n)
-            while True:
-                x, y = root[x], root[y]
-                go = x != y
-                if not go.any():
-                    break
-                x, y = x[go], y[go]
-                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-                while (root != root[root]).any():
-                    root = root[root]
-            label = root[label]
-    return np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+            found.append(np.stack([order[a], order[a + step]], axis=1))
+            label = _tie(label, a, a + step)
+            whole = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+            rows = rows[~whole[group[rows]]]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _tie(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels once rows a and b are tied."""
+    root, x, y = np.arange(len(label)), label[a], label[b]
+    while True:
+        x, y = root[x], root[y]
+        go = x != y
+        if not go.any():
+            return root[label]
+        x, y = x[go], y[go]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by key, cut so that no key's rows are split; the last key is carried over."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or held[-1].column(key)[0].as_py() != keys[0]):
+            held.append(batch.slice(0, cut))
+            yield pa.concat_batches(held)
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def near_links(nodes: DataFrame, limit: int = 3, column: str = "fingerprint") -> DataFrame:
     """u, v: links of at most limit bits that tie together what such links tie together.
 
-    nodes holds distinct fingerprints. Groups that a batch cuts are carried over.
+    nodes holds distinct fingerprints.
     """
     spark = nodes.sparkSession
     dealt = nodes.select(F.col(column).alias("fp"), F.explode(_block_keys(F.col(column), limit)).alias("key"))
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def out(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(key) > 1:
-                pairs = _links(key, fp, limit).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-        for batch in batches:
-            key = np.concatenate([key, batch.column("key").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))
-            yield from out(key[:cut], fp[:cut])
-            key, fp = key[cut:], fp[cut:]
-        yield from out(key, fp)
+        for batch in _whole_groups(batches):
+            fp = batch.column("fp").to_numpy()
+            pairs = fp[_links(batch.column("key").to_numpy(), fp.view(np.uint64), limit)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
@@ -189,3 +216,83 @@ def simhash_components(docs: DataFrame, k: int = 3, limit: int = 3) -> DataFrame
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     of = named.join(smallest, F.col("root") == F.col("r")).select(F.col("fingerprint").alias("fp"), "component_id")
     return found.join(of, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
+
+
+# shingle similarity
+
+#: 64-bit words of a wide fingerprint; bands of two smallest shingle hashes each.
+WORDS, BANDS, IN_BAND = 16, 10, 2
+
+
+def wide_limits(similarity: float) -> tuple[int, int]:
+    """Bits in which fingerprints of 64, and of 64 * WORDS bits, of similar texts differ at most.
+
+    Two sets of equal size with Jaccard similarity j have cosine 2j / (1 + j), and a
+    bit differs with probability p = angle / pi. The short one may go 3.3 standard
+    deviations beyond the mean, the wide one, which decides, 1.2.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    reach = lambda bits, by: int(bits * p + by * np.sqrt(bits * p * (1 - p)))
+    return reach(64, 3.3), reach(64 * WORDS, 1.2)
+
+
+def sketches(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Wide fingerprints (texts x WORDS) and band keys (texts x BANDS); no shingles: zeros."""
+    flat, sizes = _flat_hashes(texts, k)
+    wide, keys = np.zeros((len(texts), WORDS), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        first = (np.cumsum(sizes) - sizes)[some]
+        for w in range(WORDS):
+            wide[some, w] = _majorities(mix64(flat, w) if w else flat, sizes[some])
+        for b in range(BANDS):
+            for r in range(IN_BAND):
+                least = np.minimum.reduceat(mix64(flat, 1000 + b * IN_BAND + r), first)
+                keys[some, b] = mix64(keys[some, b] ^ least, 2000 + b)
+    return wide, keys
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each near-duplicate group: the one with the smallest doc_id.
+
+    Texts link if their sets of k-word shingles have a Jaccard similarity of about
+    `similarity` or more, as wide SimHash fingerprints of 64 * WORDS bits tell it
+    (standard error 0.03). At such distances blocks of equal bits are too rare to
+    deal texts out by; bands of smallest shingle hashes do (a pair at 0.8 is missed
+    once in 25,000). Within a band's group the pivot table of the 64-bit
+    fingerprints discards, and the wide ones verify.
+
+    Equal fingerprints are one node from the start. Null and empty texts: equal
+    texts without shingles. Null doc_id: last. Of rows equal in doc_id and text, one
+    stays. Columns stay as they are. Empty table: no rows.
+    """
+    spark = docs.sparkSession
+    limit, wide_limit = wide_limits(similarity)
+    own = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").alias("id"), own.alias("uid"), F.col("text").alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 2 << 20):
+            wide, keys = sketches(as_bytes(batch.column("text")), k)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("uid"), pa.array([w.tobytes() for w in wide], pa.binary()), lists], ["id", "uid", "wide", "keys"])
+
+    found = stored(rows.mapInArrow(sketch, "id bigint, uid bigint, wide binary, keys array<bigint>"), "sketches")
+    found = found.withColumn("node", F.xxhash64("wide"))
+    # an id that is null sorts last
+    rank = F.struct(F.col("id").isNull().alias("no"), "id", "uid")
+    nodes = found.groupBy("node", "wide", "keys").agg(F.min(rank).alias("least"))
+    dealt = nodes.select("node", "wide", F.explode("keys").alias("key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WORDS)
+            node = batch.column("node").to_numpy()
+            pairs = node[_links(batch.column("key").to_numpy(), np.ascontiguousarray(wide[:, 0]), limit, wide, wide_limit)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    ties = components(dealt.mapInArrow(link, "u bigint, v bigint").distinct())
+    named = nodes.select("node", "least").join(ties, F.col("node") == F.col("u"), "left").select("least", F.coalesce("v", "node").alias("root"))
+    keepers = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("__kept"))
+    kept = docs.withColumn("__uid", own).join(keepers, F.col("__uid") == F.col("__kept"), "left_semi")
+    return kept.dropDuplicates(["__uid"]).drop("__uid")
