@@ -49,7 +49,7 @@ def n_shuffle(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Number of runs of other than white space; null: 0."""
     stripped = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
-    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, "[\\x20\\x09-\\x0D]+"))).cast("long")
+    return (F.size(F.split(stripped, "[\\x20\\x09-\\x0D]+")) - (stripped == "").cast("int")).cast("long")
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
