@@ -50,7 +50,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     digits, known = F.col("size").cast("string"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
     rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("key"), size.alias("size"), tie.alias("tie"))
-    rows = rows.select("*", (F.length(digits) * 10 + F.substring(digits, 1, 1).cast("int")).alias("class"), F.substring(F.md5(known), 1, 3).alias("cell"))
+    rows = rows.select("*", (F.length(digits) * 10 + F.substring(digits, 1, 1).cast("int")).alias("class"), F.substring(F.md5(known), 1, 2).alias("cell"))
     slim = docs.select(F.col("source").alias("key"), size.alias("size"))
     target = source_targets(slim, weights, cap).withColumnRenamed("key", "of")
 
