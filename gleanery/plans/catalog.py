@@ -1,4 +1,596 @@
-"""The registered queries over the reference's operators, and their SQL."""
+"""The registered queries over the given tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+documents are the corpus (source: collection, doc_id: key), embeddings the vectors
+(label: collection), conversations the sessions, labels the judgements, pages the
+HTML files, events the change feed. Every query reads whole tables; limits are
+those of top-k searches.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gleanery.functions import render, text, words
+from gleanery.operators import catalog, changes, chunking, evaluate, fusion, lexical, retrieve, vector
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- keyword search
+
+SEARCHED = "worthless nation and theast blehe"
+ANALYSED = f"list_filter(regexp_split_to_array(lower(translate(coalesce(text, ''), '{text.MARKED}', '{text.BARE}')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def bm25_sql(terms: lexical.Terms, weight: float = 1.0, where: str = "true", rest: str = "") -> str:
+    """CTEs up to s: matching rows with raw score and score."""
+    test = (lambda t: f"starts_with(x, '{t}')") if terms.prefix else (lambda t: f"x = '{t}'")
+    tf = ", ".join(f"len(list_filter(toks, lambda x: {test(t)}))::DOUBLE AS f{i}" for i, t in enumerate(terms.distinct))
+    df = ", ".join(f"sum((f{i} > 0)::INT)::DOUBLE AS d{i}" for i in range(len(terms.distinct)))
+    parts = []
+    for i, t in enumerate(terms.distinct):
+        raw = f"ln((n - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE))"
+        w = f"(f{i} * {weight}::DOUBLE)"
+        parts.append(f"CASE WHEN f{i} > 0 THEN {(terms.any + terms.all).count(t)} * (CASE WHEN {raw} > 0 THEN {raw} ELSE 0.000001::DOUBLE END) * ({w} * 2.2::DOUBLE / ({w} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))) ELSE 0::DOUBLE END")
+    must = "".join(f" AND f{terms.distinct.index(t)} > 0" for t in dict.fromkeys(terms.all))
+    some = " AND (" + " OR ".join(f"f{terms.distinct.index(t)} > 0" for t in dict.fromkeys(terms.any)) + ")" if terms.any else ""
+    return f"""
+WITH t AS (SELECT *, {ANALYSED} AS toks FROM documents),
+f AS (SELECT *, len(toks)::DOUBLE AS len, {tf} FROM t),
+g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avgdl, {df} FROM f),
+s0 AS (SELECT f.*, {" + ".join(parts)} AS raw FROM f, g WHERE ({where}){must}{some}),
+s AS (SELECT *, round(raw / (1 + raw), 6) AS score FROM s0){rest}
+"""
+
+
+OR_TERMS = lexical.terms_of(SEARCHED, "or")
+TOP = "SELECT doc_id, source AS collection, score FROM s ORDER BY raw DESC, doc_id LIMIT 50"
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.col("source").alias("collection"), F.round("score", 6).alias("score"))
+
+
+@query(bm25_sql(OR_TERMS) + TOP)
+def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.search(table(spark, sf_dir, "documents"), SEARCHED, 50, strategy="or"))
+
+
+@query(bm25_sql(OR_TERMS, where="source = 'src3'") + TOP)
+def bm25_collection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.search(table(spark, sf_dir, "documents"), SEARCHED, 50, strategy="or", where=F.col("source") == "src3"))
+
+
+@query(bm25_sql(OR_TERMS, where="doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)") + TOP)
+def bm25_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    found = catalog.by_ids(lexical.bm25(corpus, OR_TERMS), good, "doc_id")
+    return shown(lexical.top(found, 50))
+
+
+@query(bm25_sql(OR_TERMS) + "SELECT * FROM (" + TOP + ") WHERE score >= 0.7")
+def bm25_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.search(table(spark, sf_dir, "documents"), SEARCHED, 50, 0.7, "or"))
+
+
+PREFIXED = "the wor blean"
+
+
+@query(bm25_sql(lexical.terms_of(PREFIXED, "and"), 1.5) + ", p AS (SELECT * FROM s) SELECT doc_id, source AS collection, score FROM p")
+def bm25_and_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.bm25(table(spark, sf_dir, "documents"), lexical.terms_of(PREFIXED, "and"), weight=1.5))
+
+
+MUST = lexical.Terms(any=("the", "nation"), all=("worthless",))
+
+
+@query(bm25_sql(MUST) + TOP)
+def bm25_must_should(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), MUST), 50))
+
+
+@query(bm25_sql(OR_TERMS, 1.5) + TOP)
+def bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), OR_TERMS, weight=1.5), 50))
+
+
+TAGGED = "run the worthless station and tell the nation"
+
+
+@query(bm25_sql(lexical.terms_of(TAGGED)) + TOP)
+def pos_or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.search(table(spark, sf_dir, "documents"), TAGGED, 50))
+
+
+@query(bm25_sql(lexical.terms_of("worthless scum", "pos-must")) + TOP)
+def pos_must_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.search(table(spark, sf_dir, "documents"), "worthless scum", 50, strategy="pos-must"))
+
+
+def boost_sql(searched: str) -> str:
+    gains = [(t.lower(), 0.05 if p in words.NOUN_TAGS else 0.02) for t, p in words.tag(searched) if p in words.NOUN_TAGS | words.CONTENT_TAGS]
+    return " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN {g}::DOUBLE ELSE 0::DOUBLE END" for t, g in gains)
+
+
+@query(bm25_sql(lexical.terms_of(TAGGED, "or")) + f"SELECT doc_id, source AS collection, round(least(1::DOUBLE, raw / (1 + raw) + ({boost_sql(TAGGED)})), 6) AS score FROM (SELECT * FROM s ORDER BY raw DESC, doc_id LIMIT 50)")
+def pos_weight_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(lexical.search(table(spark, sf_dir, "documents"), TAGGED, 50, strategy="pos-weight"))
+
+
+POSTINGS_SQL = f"WITH t AS (SELECT doc_id, unnest({ANALYSED}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL)"
+
+
+@query(POSTINGS_SQL + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM p GROUP BY term")
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.postings(table(spark, sf_dir, "documents"))
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"SELECT count(*) AS documents, sum(n)::BIGINT AS tokens, max(n) AS longest, round(avg(n), 6) AS average FROM (SELECT len({ANALYSED}) AS n FROM documents)")
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lengths(table(spark, sf_dir, "documents")).agg(F.count("*").alias("documents"), F.sum("length").alias("tokens"), F.max("length").alias("longest"), F.round(F.avg("length"), 6).alias("average"))
+
+
+RARE_SQL = POSTINGS_SQL + r"""
+, b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\w\s]', ' ', 'g')), '\s+'), lambda x: strlen(x) > 2)) AS ws FROM benchmark)
+, q AS (SELECT item_id, unnest(CASE WHEN len(ws) > 0 THEN ws ELSE ['test'] END) AS term FROM b)
+, c AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+, r AS (SELECT q.item_id AS query_id, q.term, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY q.item_id ORDER BY coalesce(df, 0), q.term) AS place FROM q LEFT JOIN c ON q.term = c.term)
+"""
+
+
+@query(RARE_SQL + "SELECT query_id, term, df FROM r WHERE place <= 5")
+def rare_terms_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.postings(table(spark, sf_dir, "documents"))
+    return lexical.rare_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), index)
+
+
+BATCH_SQL = f""", l AS (SELECT doc_id, len({ANALYSED})::DOUBLE AS len FROM documents), g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avgdl FROM l)
+, m AS (SELECT query_id, p.doc_id, df::DOUBLE AS d, tf::DOUBLE AS f, len, n, avgdl FROM r JOIN p ON r.term = p.term JOIN l ON l.doc_id = p.doc_id, g WHERE place <= 5)
+, w AS (SELECT query_id, doc_id, round((CASE WHEN ln((n - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) > 0 THEN ln((n - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) ELSE 0.000001::DOUBLE END) * (f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 9)::DECIMAL(18, 9) AS part FROM m)
+, h AS (SELECT query_id, doc_id, sum(part) AS raw FROM w GROUP BY ALL)
+, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) - 1 AS rank FROM h)
+"""
+
+
+def benchmark_hits(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = lexical.postings(docs)
+    asked = lexical.rare_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), index)
+    return lexical.search_batch(asked, index, lexical.lengths(docs), limit)
+
+
+@query(RARE_SQL + BATCH_SQL + "SELECT query_id, doc_id, round(raw::DOUBLE, 6) AS score, rank::INT AS rank FROM k WHERE rank < 10")
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(spark, sf_dir).select("query_id", "doc_id", F.round(F.col("raw_score").cast("double"), 6).alias("score"), "rank")
+
+
+# ---------------------------------------------------------------- vectors
+
+PROBE = "(SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)"
+COSINE = f"SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], {PROBE}) AS raw FROM embeddings"
+NEAREST = "SELECT vec_id, label, round(raw, 6) AS score FROM ({rows}) ORDER BY raw DESC, vec_id LIMIT 20"
+
+
+def probe(vectors: DataFrame):
+    """The vector of the smallest id."""
+    return vectors.agg(F.min_by("embedding", "vec_id").alias("e")).select("e").scalar()
+
+
+def near(rows: DataFrame) -> DataFrame:
+    return rows.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(NEAREST.format(rows=COSINE))
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return near(vector.nearest(vectors, probe(vectors), 20))
+
+
+@query(NEAREST.format(rows=COSINE + " WHERE label = 3"))
+def knn_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return near(vector.nearest(vectors, probe(vectors), 20, F.col("label") == 3))
+
+
+@query(NEAREST.format(rows=COSINE + " WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def knn_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return near(vector.nearest(catalog.by_ids(vectors, good, "vec_id"), probe(vectors), 20))
+
+
+@query("SELECT * FROM (" + NEAREST.format(rows=COSINE) + ") WHERE score >= 0.3")
+def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return near(retrieve.vector_search(vectors, probe(vectors), 20))
+
+
+@query("""
+WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS raw FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
+, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) - 1 AS rank FROM p)
+SELECT query_id, vec_id, round(raw, 6) AS score, rank::INT AS rank FROM r WHERE rank < 10
+""")
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = vector.nearest_batch(vectors.where("vec_id % 50 = 0"), vectors, 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def mock_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), dim=64).select("doc_id", "embedding")
+
+
+# ---------------------------------------------------------------- fusion
+
+LEXICAL_LIST = bm25_sql(OR_TERMS) + ", a AS (SELECT doc_id, row_number() OVER (ORDER BY raw DESC, doc_id) - 1 AS rank FROM s ORDER BY raw DESC, doc_id LIMIT {n})"
+VECTOR_LIST = ", e AS (" + COSINE + "), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY raw DESC, vec_id) - 1 AS rank FROM e ORDER BY raw DESC, vec_id LIMIT {n})"
+
+
+def fuse_sql(lists: list[str], weights: list[float]) -> str:
+    union = " UNION ALL ".join(f"SELECT doc_id, {w}::DOUBLE / (61.0::DOUBLE + rank) AS share, rank FROM {x}" for x, w in zip(lists, weights, strict=True))
+    return f", u AS ({union}), v AS (SELECT doc_id, sum(share) + CASE WHEN min(rank) = 0 THEN 0.05::DOUBLE WHEN min(rank) <= 2 THEN 0.02::DOUBLE ELSE 0::DOUBLE END AS fused FROM u GROUP BY doc_id), z AS (SELECT doc_id, round(fused / max(fused) OVER (), 6) AS score FROM v) "
+
+
+def two_lists(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    lex = lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), OR_TERMS), n).select("doc_id", F.col("raw_score").alias("score"))
+    vec = vector.nearest(vectors, probe(vectors), n).select(F.col("vec_id").alias("doc_id"), "score")
+    return fusion.ranked(lex, 0).unionByName(fusion.ranked(vec, 1))
+
+
+@query(LEXICAL_LIST.replace("{n}", "100") + VECTOR_LIST.replace("{n}", "100") + fuse_sql(["a", "b"], [2, 2]) + "SELECT * FROM z")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fuse(two_lists(spark, sf_dir, 100)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(LEXICAL_LIST.replace("{n}", "60") + VECTOR_LIST.replace("{n}", "60") + fuse_sql(["a", "b"], [2, 2]) + "SELECT * FROM z WHERE score >= 0.2 ORDER BY score DESC, doc_id LIMIT 20")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = retrieve.hybrid_search(table(spark, sf_dir, "documents"), vectors, SEARCHED, probe(vectors), 20, 0.2, "or")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(LEXICAL_LIST.replace("{n}", "100") + VECTOR_LIST.replace("{n}", "100") + ", c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100)" + fuse_sql(["a", "b", "c"], [1, 1.5, 1]) + "SELECT * FROM z")
+def rrf_weighted_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    longest = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    third = fusion.ranked(lexical.top(longest, 100, by="score"), 2)
+    return fusion.fuse(two_lists(spark, sf_dir, 100).unionByName(third), (1, 1.5)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = vector.embed(docs, dim=64).select(F.col("doc_id").alias("vec_id"), "embedding")
+    found, _ = retrieve.passage_search(docs, vectors, SEARCHED, lambda q: f"A passage about {q}.", vector.hash_embedder(64), limit=20, strategy="or")
+    return found.select("doc_id", F.round("score", 5).alias("score"))
+
+
+# ---------------------------------------------------------------- documents
+
+PATHS = "SELECT *, source || '/' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS hash FROM documents"
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: collection, path, hash, and the id made of them."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("*", F.col("source").alias("collection"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    return rows.withColumn("doc_hash", text.document_id(F.col("collection"), F.col("path"), F.col("hash")))
+
+
+@query(f"SELECT doc_id, path, hash, sha256(source || ':' || path || ':' || hash) AS doc_hash, substr(sha256(source || ':' || path || ':' || hash), 1, 8) AS short_id FROM ({PATHS})")
+def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filed(spark, sf_dir).select("doc_id", "path", "hash", "doc_hash", text.short_id(F.col("doc_hash")).alias("short_id"))
+
+
+@query(f"SELECT doc_id, sha256(source || ':' || path || ':' || hash) AS doc_hash FROM ({PATHS}) WHERE starts_with(sha256(source || ':' || path || ':' || hash), 'a1')")
+def short_id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.by_short_id(filed(spark, sf_dir), "a1").select("doc_id", "doc_hash")
+
+
+@query(f"SELECT hash, count(*) AS copies, min(doc_id) AS first_doc FROM ({PATHS}) GROUP BY hash HAVING count(*) > 1")
+def content_hash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filed(spark, sf_dir).groupBy("hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(h, '^#\s+') THEN trim(regexp_extract(h, '^#\s+(.+)$', 1)) ELSE 'page' || page_id END AS title FROM (SELECT page_id, '# ' || regexp_extract(html, '<title>([^<]*)</title>', 1) AS h FROM pages)")
+def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("intro\n\n# "), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("\n\nrest"))
+    return table(spark, sf_dir, "pages").select("page_id", text.title(body, F.concat(F.lit("pages/page"), F.col("page_id").cast("string"), F.lit(".html"))).alias("title"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS preview FROM documents")
+def doc_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+@query(r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, array_to_string(CASE WHEN len(ls) >= 3 THEN ls[3:7] ELSE ls[1:5] END, chr(10)) AS lines FROM l")
+def line_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.line_slice(F.col("text"), 3, 5).alias("lines"))
+
+
+@query(r"SELECT doc_id, ((length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))) // 4 + 2 * length(regexp_replace(text, '[\x00-\x7F]', '', 'g')))::INT AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(r"SELECT page_id, sha256(regexp_replace('![x](data:image/png;base64,' || substr(to_base64(encode(url)), 1, 40) || ')' || html, '!\[[^\]]*\]\(data:image/[^;]+;base64,[^)]*\)', '...(truncated)', 'g')) AS stripped FROM pages")
+def base64_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.concat(F.lit("![x](data:image/png;base64,"), F.substring(F.base64(F.col("url").cast("binary")), 1, 40), F.lit(")"), F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_images(image), 256).alias("stripped"))
+
+
+@query(r"SELECT page_id, trim(lower(url), '/') AS path, ends_with(trim(lower(url), '/'), '/' || regexp_extract(trim(lower(url), '/'), '([^/]*)$', 1)) AS matched FROM pages")
+def path_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("qmd://"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", text.normal_path(url).alias("path"), text.path_matches(url, text.base_name(text.normal_path(url))).alias("matched"))
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("chunk_id", F.xxhash64("doc_id", "seq"))
+
+
+@query()
+def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).drop("chunk_id")
+
+
+@query()
+def chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.lit("a.txt"))
+    return chunking.chunk(docs, ["doc_id"], path="path")
+
+
+@query()
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(chunks(spark, sf_dir), SEARCHED, 50, strategy="or", key="chunk_id", text="content")
+    return found.select("chunk_id", "doc_id", "seq", "position", "content", F.round("score", 6).alias("score"), "rank")
+
+
+# ---------------------------------------------------------------- catalog counts
+
+
+@query("SELECT s.source AS name, count(d.doc_id) AS documents FROM (SELECT DISTINCT source FROM documents UNION SELECT '@' || lang FROM documents) s LEFT JOIN (SELECT doc_id, source FROM documents WHERE lang = 'en') d ON s.source = d.source GROUP BY s.source")
+def collection_doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = docs.select(F.col("source").alias("name")).union(docs.select(F.concat(F.lit("@"), F.col("lang")))).distinct()
+    return catalog.collection_counts(named, docs.where("lang = 'en'").withColumnRenamed("source", "collection"))
+
+
+LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents"
+
+
+@query(f"SELECT source AS collection, count(*) AS chunks FROM documents JOIN ({LINES}) l USING (doc_id) GROUP BY source")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "collection")
+    return catalog.chunk_counts(docs, docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")))
+
+
+@query("SELECT doc_id, source AS collection FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
+def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "collection")
+    parts = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("chunk_id"))
+    return changes.missing_embeddings(docs, parts, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))).select("doc_id", "collection")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS chunks, (SELECT count(*) FROM embeddings) AS embedded, greatest((SELECT count(*) FROM labels) - (SELECT count(*) FROM embeddings), 0) AS pending")
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.status(*[table(spark, sf_dir, n) for n in ("documents", "labels", "embeddings")])
+
+
+@query("""
+SELECT event_type, CASE WHEN s < 1 THEN '<1s' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || (s % 60) || 's' WHEN s // 60 % 60 > 0 THEN (s // 3600) || 'h' || (s // 60 % 60) || 'm' ELSE (s // 3600) || 'h' END AS eta
+FROM (SELECT event_type, count(*) * 7 AS s FROM events GROUP BY event_type)
+""")
+def eta_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counted.select("event_type", text.eta(F.col("n") * 7).alias("eta"))
+
+
+# ---------------------------------------------------------------- changes
+
+# The catalog holds all documents. On disk Spanish ones are gone, German ones changed,
+# French ones touched, English ones as they were, and pages are new.
+FILES_SQL = """
+WITH c AS (SELECT source AS collection, doc_id || '.md' AS path, n_chars AS mtime, sha256(text) AS hash FROM documents)
+, f AS (
+  SELECT source AS collection, doc_id || '.md' AS path, CASE WHEN lang = 'en' THEN n_chars ELSE n_chars + 1 END AS mtime, CASE WHEN lang = 'de' THEN sha256('changed ' || text) ELSE sha256(text) END AS hash FROM documents WHERE lang <> 'es'
+  UNION ALL SELECT 'pages', page_id || '.html', length(html), sha256(html) FROM pages
+)
+, d AS (
+  SELECT coalesce(f.collection, c.collection) AS collection, coalesce(f.path, c.path) AS path,
+    CASE WHEN c.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'deleted' WHEN f.mtime = c.mtime THEN 'unchanged' WHEN f.hash = c.hash THEN 'touched' ELSE 'changed' END AS action,
+    c.mtime AS old_mtime, f.mtime AS new_mtime, c.hash AS old_hash, f.hash AS new_hash
+  FROM f FULL OUTER JOIN c ON f.collection = c.collection AND f.path = c.path
+)
+"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
+    old = docs.select(F.col("source").alias("collection"), name, F.col("n_chars").alias("mtime"), F.sha2("text", 256).alias("hash"))
+    body = F.when(F.col("lang") == "de", F.concat(F.lit("changed "), F.col("text"))).otherwise(F.col("text"))
+    new = docs.where("lang <> 'es'").select(F.col("source").alias("collection"), name, (F.col("n_chars") + (F.col("lang") != "en").cast("long")).alias("mtime"), F.sha2(body, 256).alias("hash"))
+    more = pages.select(F.lit("pages").alias("collection"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.length("html").cast("long").alias("mtime"), F.sha2("html", 256).alias("hash"))
+    return new.unionByName(more), old
+
+
+@query(FILES_SQL + "SELECT * FROM d")
+def change_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.diff(*snapshots(spark, sf_dir))
+
+
+@query(FILES_SQL + """
+SELECT collection, path, 0 AS step, CASE action WHEN 'new' THEN 'INSERT' WHEN 'touched' THEN 'UPDATE' ELSE 'DELETE' END AS operation,
+  CASE action WHEN 'new' THEN '{"collection":"' || collection || '","path":"' || path || '","hash":"' || new_hash || '"}' WHEN 'touched' THEN '{"collection":"' || collection || '","path":"' || path || '","file_mod_time":' || new_mtime || '}' ELSE '{"collection":"' || collection || '","path":"' || path || '","hash":"' || old_hash || '"}' END AS data_json
+FROM d WHERE action <> 'unchanged'
+UNION ALL SELECT collection, path, 1, 'INSERT', '{"collection":"' || collection || '","path":"' || path || '","hash":"' || new_hash || '"}' FROM d WHERE action = 'changed'
+""")
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.change_log(changes.diff(*snapshots(spark, sf_dir)))
+
+
+@query(FILES_SQL + "SELECT * FROM f")
+def catalog_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, old = snapshots(spark, sf_dir)
+    return changes.apply_to_catalog(old, files)
+
+
+@query("SELECT CASE WHEN source = 'src3' THEN 'renamed' ELSE source END AS collection, count(*) AS documents FROM documents WHERE source <> 'src5' GROUP BY ALL")
+def rename_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("collection"))
+    return changes.rename_collection(changes.remove_collection(docs, "src5"), "src3", "renamed").groupBy("collection").agg(F.count("*").alias("documents"))
+
+
+@query("""
+SELECT doc_id, quality, CAST(NULL AS VARCHAR) AS operation FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT vec_id, label, CASE WHEN vec_id IN (SELECT doc_id FROM labels) THEN 'UPDATE' ELSE 'INSERT' END FROM embeddings
+""")
+def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return changes.upsert(old, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("quality")), ["doc_id"])
+
+
+@query("SELECT vec_id AS doc_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.insert_or_ignore(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), ["doc_id"])
+
+
+@query("""
+SELECT 'document' AS kind, doc_id::VARCHAR AS id, 'DELETE' AS operation FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'chunk', doc_id || '-' || lang, 'DELETE' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+""")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    parts = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("lang")).alias("chunk_id"))
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return changes.delete_documents(docs, parts, parts.select("chunk_id"), gone)[3]
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def change_feed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.streaming.watch import changes_in_windows
+
+    return changes_in_windows(table(spark, sf_dir, "events"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+SESSIONS_SQL = """
+SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN 'Assistant: ' ELSE 'User: ' END || text, chr(10) ORDER BY turn, CASE WHEN role = 'assistant' THEN 'Assistant: ' ELSE 'User: ' END || text) AS text
+FROM conversations WHERE trim(text) <> '' GROUP BY conv_id
+"""
+
+
+@query(SESSIONS_SQL)
+def session_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.session_documents(table(spark, sf_dir, "conversations"))
+
+
+# A benchmark item is a query; documents that hold it as a passage are expected.
+METRICS_SQL = RARE_SQL + BATCH_SQL + """
+, x AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text))
+, y AS (SELECT b.item_id AS query_id, count(x.doc_id) AS expected FROM benchmark b LEFT JOIN x ON x.query_id = b.item_id GROUP BY ALL)
+, o AS (SELECT k.* FROM k JOIN x USING (query_id, doc_id) WHERE rank < 10)
+, a AS (SELECT query_id, count(*) FILTER (WHERE rank < 5) AS in5, count(*) AS in10, sum(1 / log2(rank + 2)) AS gain, min(rank) AS first FROM o GROUP BY ALL)
+, i AS (SELECT y.*, coalesce(in5, 0) AS in5, coalesce(in10, 0) AS in10, coalesce(gain, 0) AS gain, first, (SELECT sum(1 / log2(g + 1)) FROM range(1, 11) r(g) WHERE g <= expected) AS ideal FROM y LEFT JOIN a USING (query_id))
+"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the batch search; a benchmark item's documents are found by its rarest word first, then read."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    index = lexical.postings(docs)
+    inner = F.filter(lexical.tokens(F.col("text")), lambda t: t != "")
+    # the first and last word of an item may be parts of words in a text
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.explode(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).alias("term")).distinct()
+    counts = index.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = asked.join(counts, "term").groupBy("query_id", "query").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    expected = rarest.join(index.select("term", "doc_id"), "term").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "query")).select("query_id", "doc_id")
+    everyone = items.select(F.col("item_id").alias("query_id")).join(expected, "query_id", "left")
+    return evaluate.metrics(benchmark_hits(spark, sf_dir), everyone, "doc_id")
+
+
+@query(METRICS_SQL + "SELECT query_id, expected, round(CASE WHEN expected > 0 THEN in5::DOUBLE / expected ELSE 0 END, 6) AS recall_at_5, round(CASE WHEN expected > 0 THEN in10::DOUBLE / expected ELSE 0 END, 6) AS recall_at_10, in10 AS hits FROM i")
+def session_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(spark, sf_dir)
+    return found.select("query_id", "expected", F.round("recall_at_5", 6).alias("recall_at_5"), F.round("recall_at_10", 6).alias("recall_at_10"), "hits")
+
+
+@query(METRICS_SQL + "SELECT query_id, round(CASE WHEN expected > 0 THEN gain / ideal ELSE 0 END, 6) AS ndcg FROM i")
+def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(spark, sf_dir).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(METRICS_SQL + "SELECT query_id, round(coalesce(1 / (first + 1)::DOUBLE, 0), 6) AS mrr FROM i")
+def mrr_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(spark, sf_dir).select("query_id", F.round("mrr", 6).alias("mrr"))
+
+
+@query(METRICS_SQL + "SELECT 'bm25' AS backend, count(*) AS queries, round(avg(CASE WHEN expected > 0 THEN in5::DOUBLE / expected ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1 / (first + 1)::DOUBLE, 0)), 6) AS mrr FROM i")
+def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.means(judged(spark, sf_dir).withColumn("backend", F.lit("bm25")), ["backend"], ["recall_at_5", "mrr"])
+    return found.select("backend", "queries", F.round("recall_at_5", 6).alias("recall_at_5"), F.round("mrr", 6).alias("mrr"))
+
+
+# ---------------------------------------------------------------- output
+
+HITS_SQL = bm25_sql(OR_TERMS) + ", h AS (SELECT source || '/' || doc_id || '.md' AS path, 0 AS line, substr(sha256(doc_id::VARCHAR), 1, 8) AS doc_id, doc_id::VARCHAR AS title, source AS collection, score, text AS snippet, (row_number() OVER (ORDER BY raw DESC, doc_id) - 1)::INT AS rank FROM s ORDER BY raw DESC, doc_id LIMIT 20) "
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), SEARCHED, 20, strategy="or")
+    key = F.col("doc_id").cast("string")
+    return found.select(F.concat("source", F.lit("/"), key, F.lit(".md")).alias("path"), F.lit(0).alias("line"), F.left(F.sha2(key, 256), F.lit(8)).alias("doc_id"), key.alias("title"), F.col("source").alias("collection"), F.round("score", 6).alias("score"), F.col("text").alias("snippet"), "rank")
+
+
+@query(HITS_SQL + "SELECT path, line, doc_id, title, format('{:.2f}', score * 100) AS score, left(snippet, 500) AS snippet FROM h")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.csv_rows(hits(spark, sf_dir))
+
+
+@query(HITS_SQL + "SELECT rank, path || ':' || line || ' #' || doc_id || chr(10) || 'Title: ' || title || chr(10) || 'Score: ' || format('{:.0f}', score * 100) || '%' || chr(10) || chr(10) || snippet || chr(10) AS text FROM h")
+def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.text_rows(hits(spark, sf_dir))
+
+
+@query(HITS_SQL + "SELECT rank, CASE WHEN rank > 0 THEN '---' || chr(10) ELSE '' END || '### ' || (rank + 1) || '. ' || title || chr(10) || '- **Path**: `' || path || '`' || chr(10) || '- **Score**: ' || format('{:.0f}', score * 100) || '%' || chr(10) || '- **ID**: #' || doc_id || chr(10) || chr(10) || '```' || chr(10) || regexp_replace(snippet, '\\n$', '') || chr(10) || '```' || chr(10) AS markdown FROM h")
+def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.markdown_rows(hits(spark, sf_dir))
+
+
+@query(HITS_SQL + "SELECT rank, json_extract_string(j, '$.path') AS path, json_extract_string(j, '$.collection') AS collection, json_extract_string(j, '$.doc_id') AS doc_id FROM (SELECT rank, json_object('doc_id', doc_id, 'collection', collection, 'path', path) AS j FROM h)")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = render.json_rows(hits(spark, sf_dir))
+    return made.select("rank", *[F.get_json_object("json", f"$.{k}").alias(k) for k in ("path", "collection", "doc_id")])
+
+
+@query("SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS rank, max(vec_id) OVER (PARTITION BY label) AS last FROM embeddings")
+def ranks_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", place.alias("rank"), F.max("vec_id").over(Window.partitionBy("label")).alias("last"))
