@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,21 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start, end - start)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Parts between single spaces: the distinct ones, the number of each part, where each text's begin."""
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return coded.dictionary, coded.indices.to_numpy(), offsets - offsets[0]
+
+
+def gather(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each row (row i: ends[i] to ends[i + 1]) one after the other, and their numbers."""
+    many = ends[rows + 1] - ends[rows]
+    at = np.repeat(ends[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return values[at], many
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective mixer of 64-bit numbers."""
     with np.errstate(over="ignore"):

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -19,30 +18,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pfs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_bytes, mix64, n_shuffle, pieces, shared_folder, stored
+from gleanery.llm.common import gather, mix64, pieces, shared_folder, split_words, stored
 from gleanery.llm.perfect_hash import build, probe
 
 MAGIC = b"IDSHARD1"
 #: Bytes of text in a shard, about.
-SHARD_BYTES = 16 << 20
-#: Words that a task remembers the ids of.
-REMEMBERED = 400_000
-#: White space that not every regular expression engine takes for white space.
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
-#: Byte-level BPE never merges over the start of white space after other text.
-WORD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+SHARD_BYTES = 96 << 20
+#: Distinct words that the library is given at once, as one text.
+AT_ONCE = 16_384
+#: Bytes of text that a task encodes at once, and distinct words whose ids it keeps for the next.
+PIECE_BYTES, REMEMBERED = 16 << 20, 3_000_000
+#: Texts in which a space isn't surely the start of a word: after other white space, or at either end.
+ODD = "[\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}] |^ | $|^$"
 
 MANIFEST = "part int, path string, n_rows bigint, n_ids bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 class Encoder:
-    """Ids of whole texts; each distinct word of a task is encoded by the library once."""
+    """Ids of whole texts; each distinct word of a task is encoded by the library once.
+
+    Byte-level BPE never merges over a space after other text, so the ids of a text
+    are those of its words with the spaces before them. Many words are given to the
+    library as one text, and the ids' lengths in bytes tell where each word's end.
+    """
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,41 +55,62 @@ class Encoder:
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
+        self.size = np.zeros(self.library.get_vocab_size(), np.int64)
+        for piece, i in self.library.get_vocab().items():
+            self.size[i] = len(piece)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.words, self.ids, self.many = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for at in range(0, len(texts), 1024) for x in self.library.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False)]
+
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word with a space before it, one after the other, and their numbers."""
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64) + 1
+        ids, many = [], []
+        for at in range(0, len(words), AT_ONCE):
+            part = words.slice(at, AT_ONCE)
+            text = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            found = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            reached, ends = np.cumsum(self.size[found]), np.cumsum(sizes[at : at + AT_ONCE])
+            last = np.searchsorted(reached, ends)
+            if not (len(found) and last[-1] == len(found) - 1 and (reached[last] == ends).all()):
+                raise ValueError("the tokenizer joins words over spaces; it isn't byte-level")
+            ids.append(found)
+            many.append(np.diff(last, prepend=-1))
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(many) if many else np.zeros(0, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if len(self.known) > REMEMBERED:
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        words, part, begin = split_words(texts.filter(pa.array(~odd)))
+        if len(self.words) > REMEMBERED:
             self.forget()
-        known, words, sizes = self.known, [], []
-        for text in texts:
-            found = [text] if ODD_SPACE.search(text) else WORD.findall(text)
-            words += found
-            sizes.append(len(found))
-        new = list(dict.fromkeys(w for w in words if w not in known))
-        for at in range(0, len(new), 8192):
-            ids = self._encode(new[at : at + 8192])
-            self.ids.append(np.fromiter((i for x in ids for i in x), np.uint32))
-            self.ends.append(self.ends[-1][-1] + np.cumsum([len(x) for x in ids]))
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
-        word = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        out, many = gather(self.ids[0], self.ends[0], word)
-        return out, np.add.reduceat(np.append(many, 0), np.minimum(np.cumsum(sizes) - sizes, len(many))) * (np.array(sizes) > 0)
-
-
-def gather(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of each row (row i: ends[i] to ends[i + 1]) one after the other, and their numbers."""
-    many = ends[rows + 1] - ends[rows]
-    at = np.repeat(ends[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    return values[at], many
+        known = pc.index_in(words, value_set=self.words)
+        new = words.filter(known.is_null())
+        ids, many = self._spaced(new)
+        self.words, self.ids, self.many = pa.concat_arrays([self.words, new]), np.concatenate([self.ids, ids]), np.concatenate([self.many, many])
+        row = known.fill_null(-1).to_numpy().astype(np.int64)
+        row[row < 0] = len(self.words) - len(new) + np.arange(len(new))
+        ids, many = self.ids, self.many
+        alone = np.unique(part[begin[:-1]])
+        others = self._each(words.take(pa.array(alone)).to_pylist() + texts.filter(pa.array(odd)).to_pylist())
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([many, [len(x) for x in others]]))]).astype(np.int64)
+        rows = row[part]
+        rows[begin[:-1]] = len(self.words) + np.searchsorted(alone, part[begin[:-1]])
+        # whole odd texts stand where they were
+        counts = np.ones(len(texts), np.int64)
+        counts[~odd] = np.diff(begin)
+        first = np.cumsum(counts) - counts
+        everything = np.empty(int(counts.sum()), np.int64)
+        own = np.zeros(len(everything), bool)
+        own[first[odd]] = True
+        everything[own], everything[~own] = len(self.words) + len(alone) + np.arange(odd.sum()), rows
+        out, sizes = gather(np.concatenate([ids, *others]).astype(np.uint32), ends, everything)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return out, total[first + counts] - total[first]
 
 
 def key_hash(keys: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,20 +129,20 @@ def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard
     folder = shared_folder(spark, "token-files")
     shared = spark.sparkContext.broadcast(definition)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(n_shuffle(spark), math.ceil(total / shard_bytes))
+    parts = max(1, math.ceil(total / shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encoder, keys, null, many, stream = None, [], [], [], None
         system, base = pfs.FileSystem.from_uri(folder)
         final, temporary = f"{base}/part-{part:06d}.bin", f"{base}/tmp-{uuid.uuid4().hex}"
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             if stream is None:
                 system.create_dir(base, recursive=True)
                 encoder, stream = Encoder(shared.value), system.open_output_stream(temporary)
                 wide = encoder.library.get_vocab_size() > 65_536 or (end_id or 0) > 65_535
                 kind = np.dtype("<u4" if wide else "<u2")
-            ids, sizes = encoder.encode([x.decode() for x in as_bytes(batch.column("text"))])
+            ids, sizes = encoder.encode(batch.column("text").cast(pa.string()).fill_null(""))
             if end_id is not None:
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             stream.write(ids.astype(kind).tobytes())
