@@ -17,11 +17,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    from gleanery.llm.sentencepiece_codec import decode_documents, encode_documents, load
+    from gleanery.llm.sentencepiece_codec import encode_documents, load
 
     model = load(public_tokenizers.path("piece_bpe_32k.model"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode_documents(encode_documents(docs, model), model)
+    both = encode_documents(docs, model, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

@@ -19,16 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_bytes, pieces
-from gleanery.llm.token_files import gather
+from gleanery.llm.common import gather, pieces, split_words
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Words that a task remembers.
-REMEMBERED = 400_000
+#: Texts in which a space isn't surely a word's start.
+ODD = f"  |^ | $|^$|{SPACE}"
 NONE = np.int64(-1)
 
 
@@ -92,8 +92,7 @@ class Codec:
         lines = not any("\n" in x for x in inner)
         words = not any(x[1] == SPACE != x[0] for x in inner)
         self.word = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if lines and words else r"(?s:.+)")
-        self.known: dict[str, int] = {}
-        self.rows, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.spaced = words and model["prefix"]
         # decoding: the bytes of each id
         plain = set(model["plain"])
         raw = [n.encode() if i in plain else b"" for i, n in enumerate(names)]
@@ -201,90 +200,107 @@ class Codec:
 
     def _segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word one after the other, and their numbers."""
-        sizes = np.array([len(w) for w in words])
-        ids: list = [None] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order, flats, manys = np.argsort(sizes, kind="stable"), [], []
         for length in np.unique(sizes).tolist():
-            where = np.flatnonzero(sizes == length)
-            step = max(1, 4_000_000 // length)
+            where = order[np.searchsorted(sizes, length, sorter=order) : np.searchsorted(sizes, length, "right", sorter=order)]
+            step = max(1, 1_000_000 // length)
             for at in range(0, len(where), step):
-                some = where[at : at + step]
+                some = where[at : at + step].tolist()
                 matrix = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le"), "<u4").reshape(-1, length)
                 out, many = self._advance(matrix)
-                turned = np.arange(length)[None, :] < many[:, None]
-                reverse = np.clip(many[:, None] - 1 - np.arange(length)[None, :], 0, None)
-                flat = np.take_along_axis(out, reverse, axis=1)[turned]
-                values = np.where(flat >= 0, self.ids[np.maximum(flat, 0)], flat)
-                parts = np.split(values, np.cumsum(many)[:-1]) if (flat < 0).any() else None
-                if parts is not None:
-                    parts = [self._bytes(p) if (p < 0).any() else p for p in parts]
-                    many = np.array([len(p) for p in parts])
-                    values = np.concatenate(parts)
-                for i, a, b in zip(some.tolist(), (np.cumsum(many) - many).tolist(), np.cumsum(many).tolist(), strict=True):
-                    ids[i] = values[a:b]
-        return np.concatenate(ids), np.array([len(x) for x in ids])
-
-    def _bytes(self, part: np.ndarray) -> np.ndarray:
-        out: list[int] = []
-        for x in part.tolist():
-            if x >= 0:
-                out.append(x)
-            elif self.model["bytes"]:
-                out += [self.model["bytes"][b] for b in chr(-2 - x).encode()]
-            elif not out or out[-1] != self.model["unknown"]:
-                out.append(self.model["unknown"])
-        return np.array(out, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has; empty: none."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.rows, self.ends = {}, np.zeros(0, np.int64), np.zeros(1, np.int64)
-        words, sizes = [], []
-        for text in texts:
-            found = self.word.findall((SPACE if self.model["prefix"] else "") + text.replace(" ", SPACE)) if text else []
-            words += found
-            sizes.append(len(found))
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if new:
-            ids, many = self._segment(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.rows, self.ends = np.concatenate([self.rows, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(many)])
-        ids, many = gather(self.rows, self.ends, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-        total = np.concatenate([[0], np.cumsum(many)])
-        return ids, np.diff(total[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)])
+                place = np.arange(int(many.max()))[None, :]
+                flats.append(np.take_along_axis(out, np.maximum(many[:, None] - 1 - place, 0), axis=1)[place < many[:, None]])
+                manys.append(many)
+        flat, many = np.concatenate(flats), np.concatenate(manys)
+        ids, many = self._to_ids(flat, many)
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        return gather(ids, np.concatenate([[0], np.cumsum(many)]), back)
+
+    def _to_ids(self, flat: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ranks; an unknown character gives its bytes' ids, or else one unknown id for it and its like after it."""
+        unknown = flat < 0
+        if not unknown.any():
+            return self.ids[flat], many
+        word = np.repeat(np.arange(len(many)), many)
+        if not self.model["bytes"]:
+            again = np.zeros(len(flat), bool)
+            again[1:] = unknown[1:] & unknown[:-1] & (word[1:] == word[:-1])
+            return np.where(unknown, self.model["unknown"], self.ids[np.maximum(flat, 0)])[~again], np.bincount(word[~again], minlength=len(many))
+        codes, which = np.unique(-2 - flat[unknown], return_inverse=True)
+        raw = [[self.model["bytes"][b] for b in chr(c).encode()] for c in codes.tolist()]
+        ends = np.concatenate([np.arange(len(self.ids) + 1), len(self.ids) + np.cumsum([len(x) for x in raw])])
+        rows = flat.copy()
+        rows[unknown] = len(self.ids) + which
+        ids, each = gather(np.concatenate([self.ids, *map(np.array, raw)]), ends, rows)
+        return ids, np.bincount(word, weights=each, minlength=len(many)).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has; empty: none.
+
+        Each distinct word is segmented once: the parts between spaces, and in odd
+        texts what the expression finds.
+        """
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.spaced else np.ones(len(texts), bool)
+        parts, part, begin = split_words(texts.filter(pa.array(~odd)))
+        words, index = [SPACE + w for w in parts.to_pylist()], {}
+        found, counts = [], np.zeros(len(texts), np.int64)
+        for i, text in zip(np.flatnonzero(odd).tolist(), texts.filter(pa.array(odd)).to_pylist(), strict=True):
+            own = self.word.findall((SPACE if self.model["prefix"] else "") + text.replace(" ", SPACE)) if text else []
+            found += [index.setdefault(w, len(words) + len(index)) for w in own]
+            counts[i] = len(own)
+        words += index
+        counts[~odd] = np.diff(begin)
+        rows = np.empty(int(counts.sum()), np.int64)
+        of_odd = np.repeat(odd, counts)
+        rows[of_odd], rows[~of_odd] = found, part
+        ids, many = self._segment(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        ids, sizes = gather(ids, np.concatenate([[0], np.cumsum(many)]).astype(np.int64), rows)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(counts)
+        return ids, total[ends] - total[ends - counts]
 
     def decode(self, ids: np.ndarray, many: np.ndarray) -> list[bytes]:
         """The texts of rows of ids, as UTF-8."""
         joined = np.concatenate([[0], np.cumsum(self.raw_size[ids])])
-        data = b"".join(self.raw.take(pa.array(ids)).to_pylist())
+        taken = self.raw.take(pa.array(ids))
+        data = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
         ends = joined[np.concatenate([[0], np.cumsum(many)]).astype(np.int64)].tolist()
         texts = [data[a:b].replace(SPACE.encode(), b" ") for a, b in zip(ends, ends[1:], strict=False)]
         return [t[1:] if self.model["prefix"] and t[:1] == b" " else t for t in texts]
 
 
-def encode_documents(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text; an input column of that name is replaced.
+def encode_documents(docs: DataFrame, model: dict, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the ids of each whole text and, if asked for, the text decoded from them.
 
-    Null or empty text: no ids. Empty table: no rows. Texts hold what they hold:
-    U+2581 reads as a space, as in the library.
+    An input column of such a name is replaced. Null or empty text: no ids, decoded
+    to an empty text. U+2581 in a text reads as a space, as in the library. Empty
+    table: no rows.
     """
-    rows = docs.drop(ids)
+    new = [ids, *([decoded] if decoded else [])]
+    rows = docs.drop(*new)
     names = rows.columns
-    schema = rows.select("*", F.array(F.lit(0)).alias(ids)).schema
+    schema = rows.select("*", F.array(F.lit(0)).alias(ids), *([F.lit("").alias(decoded)] if decoded else [])).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for batch in pieces(batches, text, 8 << 20):
+        for batch in pieces(batches, text, 16 << 20):
             codec = codec or Codec(shared.value)
-            found, many = codec.encode([x.decode() for x in as_bytes(batch.column(text))])
+            found, many = codec.encode(batch.column(text).cast(pa.string()).fill_null(""))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(found.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, ids])
+            texts = [pa.array(codec.decode(found, many), pa.binary()).cast(pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *texts], [*names, *new])
 
     return rows.mapInArrow(run, schema)
 
 
 def decode_documents(docs: DataFrame, model: dict, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """docs with the text of each row's ids; null: empty. An input column of that name is replaced."""
+    """docs with the text of each row's ids; null: empty. An input column of that name is replaced.
+
+    Bytes that are no UTF-8 become U+FFFD.
+    """
     rows = docs.drop(text)
     names = rows.columns
     schema = rows.select("*", F.lit("").alias(text)).schema
@@ -297,7 +313,7 @@ def decode_documents(docs: DataFrame, model: dict, ids: str = "ids", text: str =
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 lists = part.column(ids)
-                many = np.nan_to_num(np.array(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
+                many = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
                 found = codec.decode(lists.flatten().to_numpy(), many)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.decode(errors="replace") for x in found], pa.string())], [*names, text])
 
