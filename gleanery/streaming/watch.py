@@ -37,6 +37,7 @@ def watch(spark: SparkSession, listing: Callable[[], DataFrame], read: Callable[
 
 def changes_in_windows(changes: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts of a change feed by window and kind; works on a stream (late rows wait for the watermark) as on a table."""
-    rows = changes.withWatermark(time, late) if changes.isStreaming else changes
+    # watermarks want timestamps with a zone
+    rows = changes.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if changes.isStreaming else changes
     counted = rows.groupBy(F.window(time, window), *by).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), *by, "n")
