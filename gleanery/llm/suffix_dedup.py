@@ -31,7 +31,9 @@ from gleanery.llm.common import as_bytes, mix64, n_shuffle, pieces
 
 SIZE, K = 50, 20
 #: Windows in a run at most; shards whose transforms are merged; a byte that no UTF-8 text has.
-MOST_WINDOWS, SHARDS, END = 200, 4, 0xFF
+MOST_WINDOWS, SHARDS, END = 200, 4, b"\xff"
+#: A bucket's runs are merged in so many parts, one after the other.
+PARTS = 4
 LAST = np.iinfo(np.int64).max
 
 
@@ -40,7 +42,7 @@ def pack(**arrays: np.ndarray) -> bytes:
     out = []
     for name, x in arrays.items():
         raw = np.ascontiguousarray(x)
-        planes = raw.view(np.uint8).reshape(len(raw), -1).T.tobytes()
+        planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
         data = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
         out.append(b"%s %s %d %d\n" % (name.encode(), raw.dtype.str.encode(), len(raw), len(data)) + data)
     return b"".join(out)
@@ -140,69 +142,71 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 # step 1
 
 
-def _send_hashes(buckets: int, size: int):
+def _bits(n: int) -> int:
+    return max(1, int(n - 1).bit_length())
+
+
+def _send_hashes(buckets: int, bins: int, size: int):
+    """Rows of a bucket: hashes and the bins that have them, sorted; several: a bin has one twice or more."""
+    bin_bits = _bits(bins)
+    short_bits = min(32, 64 - bin_bits - _bits(buckets))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins, docs, hashes, before = [], [], [], 0
-            for part in pieces([batch], "text", 2 << 20):
+        for batch in pieces(batches, "text", 16 << 20):
+            found = []
+            for part in pieces([batch], "text", 1 << 20):
                 text, _, _, h = window_runs(as_bytes(part.column("text")), size)
-                bins.append(part.column("bin").to_numpy()[text])
-                docs.append(before + text)
-                hashes.append(h)
-                before += part.num_rows
-            if not bins:
-                continue
-            b, d, h = np.concatenate(bins), np.concatenate(docs), np.concatenate(hashes)
-            bucket, short = _bucket(h, buckets), (h >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((d, b, short, bucket))
-            bucket, short, b, d = bucket[order], short[order], b[order], d[order]
-            same = (bucket[1:] == bucket[:-1]) & (short[1:] == short[:-1])
-            new = np.concatenate([[True], ~(same & (b[1:] == b[:-1]))]) if len(b) else np.zeros(0, bool)
-            # in several documents of this batch
-            head = np.concatenate([[True], ~same]) if len(b) else new
-            group = np.cumsum(head) - 1
-            start = np.flatnonzero(head)
-            several = (np.maximum.reduceat(d, start) != np.minimum.reduceat(d, start))[group] if len(b) else new
-            keep = np.flatnonzero(new)
-            bucket, short, b, several = bucket[keep], short[keep], b[keep], several[keep]
+                b = part.column("bin").to_numpy()[text].astype(np.uint64)
+                found.append((_bucket(h, buckets).astype(np.uint64) << np.uint64(short_bits) | h >> np.uint64(64 - short_bits)) << np.uint64(bin_bits) | b)
+            key, many = _distinct(np.concatenate(found))
+            bucket = (key >> np.uint64(short_bits + bin_bits)).astype(np.int64)
+            short = (key >> np.uint64(bin_bits)) & np.uint64((1 << short_bits) - 1)
+            b, several = (key & np.uint64((1 << bin_bits) - 1)).astype(np.uint32), many > 1
             keys, blobs = [], []
             for k, x, y in _split(bucket):
                 keys.append(k)
-                blobs.append(pack(h=np.diff(short[x:y], prepend=np.uint32(0)).astype(np.uint32), bin=b[x:y].astype(np.uint32), several=np.packbits(several[x:y])))
+                blobs.append(pack(h=np.diff(short[x:y], prepend=np.uint64(0)).astype(np.uint32), bin=b[x:y], several=np.packbits(several[x:y])))
             yield _rows(keys, blobs, ("bucket", "blob"))
 
     return run
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values = np.sort(values)
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[start], np.diff(np.append(start, len(values)))
+
+
 def _reply_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a bin: its hashes of a bucket that stand more than once in all."""
+    low = np.uint64(32)
     for bucket, blobs in _groups(batches, "bucket"):
-        h, b, several = [], [], []
+        found = []
         for blob in blobs:
             x = unpack(blob)
-            h.append(np.cumsum(x["h"], dtype=np.uint32))
-            b.append(x["bin"])
-            several.append(np.unpackbits(x["several"])[: len(x["h"])].astype(bool))
-        h, b, several = np.concatenate(h), np.concatenate(b), np.concatenate(several)
-        order = np.argsort(h, kind="stable")
-        h, b, several = h[order], b[order], several[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        many = np.diff(np.append(start, len(h)))
-        shared = np.repeat((many > 1) | np.logical_or.reduceat(several, start), many)
-        h, b = h[shared], b[shared]
-        order = np.lexsort((h, b))
-        h, b = h[order], b[order]
+            several = np.unpackbits(x["several"])[: len(x["h"])].astype(np.uint64)
+            found.append(np.cumsum(x["h"], dtype=np.uint64) << low | x["bin"].astype(np.uint64) << np.uint64(1) | several)
+        key = np.sort(np.concatenate(found))
+        short = key >> low
+        start = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+        many = np.diff(np.append(start, len(key)))
+        shared = np.repeat((many > 1) | np.logical_or.reduceat((key & np.uint64(1)).astype(bool), start), many)
+        key = key[shared]
+        by_bin, _ = _distinct(((key & np.uint64(0xFFFFFFFF)) >> np.uint64(1)) << low | key >> low)
         keys, out = [], []
-        for k, x, y in _split(b):
-            some = np.unique(h[x:y])
+        for k, x, y in _split((by_bin >> low).astype(np.int64)):
+            some = by_bin[x:y] & np.uint64(0xFFFFFFFF)
             keys.append(k)
-            out.append(pack(bucket=np.array([bucket], np.int32), h=np.diff(some, prepend=np.uint32(0)).astype(np.uint32)))
+            out.append(pack(bucket=np.array([bucket], np.int32), h=np.diff(some, prepend=np.uint64(0)).astype(np.uint32)))
         yield _rows(keys, out, ("bin", "blob"))
 
 
 # step 2
 
 
-def _send_runs(buckets: int, size: int):
+def _send_runs(buckets: int, bins: int, size: int):
+    short_bits = min(32, 64 - _bits(bins) - _bits(buckets))
+
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         wanted = []
         for blob in replies.column("blob").to_pylist():
@@ -211,24 +215,24 @@ def _send_runs(buckets: int, size: int):
         wanted = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
         index: dict[bytes, int] = {}
         found = {"bucket": [], "run": [], "order": [], "uid": [], "start": []}
-        home: list[int] = []
-        for part in pieces(docs.to_batches(), "text", 2 << 20) if len(wanted) else []:
+        inner: list[int] = []
+        for part in pieces(docs.to_batches(), "text", 1 << 20) if len(wanted) else []:
             texts = as_bytes(part.column("text"))
             text, first, many, h = window_runs(texts, size)
             bucket = _bucket(h, buckets)
-            key = bucket.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+            key = bucket.astype(np.uint64) << np.uint64(32) | h >> np.uint64(64 - short_bits)
             at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             take = np.flatnonzero(wanted[at] == key)
             if not len(take):
                 continue
-            text, first, many, bucket = text[take], first[take], many[take], bucket[take]
+            text, first, many, bucket, h = text[take], first[take], many[take], bucket[take], h[take]
             data = b"".join(texts)
             runs = []
-            for a, n, k in zip(first.tolist(), many.tolist(), bucket.tolist(), strict=True):
+            for a, n, k in zip(first.tolist(), many.tolist(), (h // np.uint64(buckets) % np.uint64(PARTS)).tolist(), strict=True):
                 x = data[a : a + n + size - 1]
                 i = index.setdefault(x, len(index))
-                if i == len(home):
-                    home.append(k)
+                if i == len(inner):
+                    inner.append(k)
                 runs.append(i)
             lens = np.array([len(t) for t in texts])
             found["bucket"].append(bucket)
@@ -241,25 +245,25 @@ def _send_runs(buckets: int, size: int):
             x = {k: np.concatenate(v) for k, v in found.items()}
             order = np.lexsort((x["run"], x["bucket"]))
             x = {k: v[order] for k, v in x.items()}
-            strings = list(index)
+            strings, inner = list(index), np.array(inner, np.uint8)
             for k, a, b in _split(x["bucket"]):
                 own, run = np.unique(x["run"][a:b], return_inverse=True)
                 some = [strings[i] for i in own.tolist()]
                 keys.append(k)
-                blobs.append(pack(size=np.array([len(s) for s in some], np.uint16), bytes=np.frombuffer(b"".join(some), np.uint8), run=run.astype(np.uint32), order=x["order"][a:b], uid=x["uid"][a:b], start=x["start"][a:b].astype(np.uint32 if x["start"].max() < 1 << 32 else np.int64)))
+                blobs.append(pack(inner=inner[own], size=np.array([len(s) for s in some], np.uint16), bytes=np.frombuffer(b"".join(some), np.uint8), run=run.astype(np.uint32), order=x["order"][a:b], uid=x["uid"][a:b], start=x["start"][a:b].astype(np.uint32 if x["start"].max() < 1 << 32 else np.int64)))
         return pa.Table.from_batches([_rows(keys, blobs, ("bucket", "blob"))])
 
     return run
 
 
-def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a shard: its suffixes' places in the order of depth bytes or more, and the two bytes before each.
+def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard: its suffixes' places in the order of depth bytes or more, their first 8 bytes, and the two bytes before each.
 
     Each string with its end mark is a ring, so every place has bytes before and
     after it. Places are ranked by 8 bytes, then by twice as many each time.
     """
     sizes = np.array([len(s) + 1 for s in strings], np.int64)
-    data = np.frombuffer(b"".join([s + b"\xff" for s in strings]), np.uint8)
+    data = np.frombuffer(b"".join([s + END for s in strings]), np.uint8)
     place = np.arange(len(data))
     base = np.repeat(np.cumsum(sizes) - sizes, sizes)
     ring = np.repeat(sizes, sizes)
@@ -267,7 +271,7 @@ def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]
     key = data.astype(np.uint64)
     for width in (1, 2, 4):
         key = key << np.uint64(8 * width) | key[ahead(width)]
-    width = 8
+    first, width = key, 8
     while True:
         order = np.argsort(key)
         if width >= depth:
@@ -278,106 +282,173 @@ def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]
         key = rank << np.uint64(32) | rank[ahead(width)]
         width *= 2
     before = data[ahead(-2)].astype(np.uint16) << np.uint16(8) | data[ahead(-1)]
-    return order, before[order]
+    return order, first[order], before[order]
+
 
+#: Passes of the merge after which strings without a common beginning of any window leave.
+LEAVE = (8, 14)
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' rows by their first depth bytes, and the interval of each row.
 
-    A pass puts the bytes before each row in the present interleave, then sorts the
-    interleave by them, stably: rows are now in the order of two bytes more. A row
-    starts an interval if its new bytes or its old interval differ from the row above.
+def merge(keys: list[np.ndarray], transforms: list[np.ndarray], strings: list[np.ndarray], starts: list[np.ndarray], n_strings: int, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Merges the shards' rows up to depth bytes: (rows kept of each shard, interleave, interval of each row).
+
+    The first interleave sorts the shards' first 8 bytes, which each has in order. A
+    pass puts the two bytes before each row in the present interleave, then sorts
+    the interleave by them, stably: rows are now in the order of two bytes more. A
+    row starts an interval if its new bytes or its old interval differ from the row
+    above. A string of which every window (starts) stands alone in its interval can
+    repeat nothing; its ring's rows leave, and the others stay a transform.
     """
+    rows, transforms = [np.arange(len(t)) for t in transforms], list(transforms)
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
+    first = np.concatenate(keys)
+    order = np.argsort(first, kind="stable")
+    source, first = source[order], first[order]
     interval = np.zeros(len(source), np.int32)
-    symbols = np.empty(len(source), np.uint16)
-    for _ in range(depth // 2):
-        for k, t in enumerate(transforms):
-            symbols[source == k] = t
+    interval[1:] = np.cumsum(first[1:] != first[:-1])
+    for done in range((depth - 8) // 2):
+        if done in LEAVE:
+            alone = np.ones(len(source), bool)
+            differs = interval[1:] != interval[:-1]
+            alone[1:] &= differs
+            alone[:-1] &= differs
+            stays = np.zeros(n_strings, bool)
+            for k, own in enumerate(rows):
+                mine = ~alone[source == k] & starts[k][own]
+                stays[strings[k][own[mine]]] = True
+            keep = np.empty(len(source), bool)
+            for k, own in enumerate(rows):
+                left = stays[strings[k][own]]
+                keep[source == k] = left
+                rows[k], transforms[k] = own[left], transforms[k][left]
+            source, interval = source[keep], interval[keep]
+            if not len(source):
+                break
+        symbols = np.empty(len(source), np.uint16)
+        for k, own in enumerate(transforms):
+            symbols[source == k] = own
         order = np.argsort(symbols, kind="stable")
         source, interval, sorted_symbols = source[order], interval[order], symbols[order]
         new = np.zeros(len(source), np.int32)
         new[1:] = (sorted_symbols[1:] != sorted_symbols[:-1]) | (interval[1:] != interval[:-1])
         interval = np.cumsum(new, dtype=np.int32)
-    return source, interval
+    return rows, source, interval
+
+
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number; places near the end have fewer."""
+    key = data.astype(np.uint64)
+    for width in (1, 2, 4):
+        ahead = np.zeros(len(key), np.uint64)
+        ahead[:-width] = key[width:]
+        key = key << np.uint64(8 * width) | ahead
+    return key
+
+
+def beginning_alike(strings: list[bytes], own: np.ndarray, size: int) -> np.ndarray:
+    """Which strings have a window whose first 16 bytes begin another window too (size: 16 or more)."""
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    key = _eight(data)
+    starts = np.cumsum(own + size - 1) - (own + size - 1)
+    at = np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    key = mix64(key[at]) ^ key[at + 8]
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    shared = np.zeros(len(key), bool)
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    return np.logical_or.reduceat(shared, np.cumsum(own) - own)
 
 
 def window_minima(strings: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each string, the least value of any string that has it too.
 
     Returns the values one string after the other, and where each string's begin.
+    Strings are distinct; size is even and 16 or more. Strings no window of which
+    begins like another window can't share one, and aren't merged.
     """
     own = np.array([len(s) for s in strings], np.int64) - size + 1
     begin = np.cumsum(own) - own
-    shards = [np.arange(len(strings))[s::SHARDS] for s in range(min(SHARDS, len(strings)))]
-    orders, transforms, string_of, offset_of = [], [], [], []
-    depth = size + size % 2
+    out = np.repeat(least, own)
+    merged = np.flatnonzero(beginning_alike(strings, own, size)).astype(np.int32)
+    shards = [merged[s::SHARDS] for s in range(min(SHARDS, len(merged)))]
+    if not shards:
+        return out, begin
+    keys, transforms, string_of, offset_of, starts = [], [], [], [], []
     for which in shards:
-        order, before = transform([strings[i] for i in which.tolist()], depth)
+        order, first, before = transform([strings[i] for i in which.tolist()], size)
         sizes = own[which] + size
         string_of.append(np.repeat(which, sizes)[order])
-        offset_of.append((np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order])
+        offset_of.append((np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)[order])
+        starts.append(offset_of[-1] < own[string_of[-1]])
+        keys.append(first)
         transforms.append(before)
-    source, interval = merge(transforms, size if size % 2 == 0 else size - 1)
-    string, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    for k in range(len(shards)):
+    rows, source, interval = merge(keys, transforms, string_of, starts, len(strings), size)
+    if not len(source):
+        return out, begin
+    string, offset, valid = np.empty(len(source), np.int32), np.empty(len(source), np.int32), np.empty(len(source), bool)
+    for k, kept in enumerate(rows):
         mine = source == k
-        string[mine], offset[mine] = string_of[k], offset_of[k]
-    if size % 2:
-        # one byte more, for odd sizes
-        data = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
-        at = (np.cumsum(own + size) - (own + size))[string] + np.minimum(offset + size - 1, (own + size - 1)[string])
-        order = np.lexsort((data[at], interval))
-        string, offset, last, group = string[order], offset[order], data[at][order], interval[order]
-        interval = np.cumsum(np.concatenate([[0], (last[1:] != last[:-1]) | (group[1:] != group[:-1])]))
-    valid = offset < own[string]
+        string[mine], offset[mine], valid[mine] = string_of[k][kept], offset_of[k][kept], starts[k][kept]
     value = np.where(valid, least[string], LAST)
     start = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
     smallest = np.repeat(np.minimum.reduceat(value, start), np.diff(np.append(start, len(interval))))
-    out = np.empty(int(own.sum()), np.int64)
     out[begin[string[valid]] + offset[valid]] = smallest[valid]
     return out, begin
 
 
 def _find_repeats(bins: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _groups(batches, "bucket"):
-            index: dict[bytes, int] = {}
-            runs, orders, uids, starts = [], [], [], []
-            for blob in blobs:
-                x = unpack(blob)
-                ends = np.cumsum(x["size"], dtype=np.int64)
-                data = x["bytes"].tobytes()
-                number = np.array([index.setdefault(data[a:b], len(index)) for a, b in zip((ends - x["size"]).tolist(), ends.tolist(), strict=True)], np.int64)
-                runs.append(number[x["run"]])
-                orders.append(x["order"])
-                uids.append(x["uid"])
-                starts.append(x["start"].astype(np.int64))
-            run_, order, uid, start = (np.concatenate(v) for v in (runs, orders, uids, starts))
-            strings = list(index)
-            least = np.full(len(strings), LAST, np.int64)
-            np.minimum.at(least, run_, order)
-            smallest, begin = window_minima(strings, least, size)
-            many = np.array([len(s) - size + 1 for s in strings], np.int64)[run_]
-            entry = np.repeat(np.arange(len(run_)), many)
-            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            gone = smallest[begin[run_][entry] + inner] < order[entry]
-            if not gone.any():
+        for blobs in (found for _, found in _groups(batches, "bucket")):
+            opened = [unpack(blob) for blob in blobs]
+            found = [x for inner in range(PARTS) if (x := one_part(opened, inner))]
+            if not found:
                 continue
-            entry, inner = entry[gone], inner[gone]
-            new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (inner[1:] != inner[:-1] + 1)])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(entry)) - 1
-            uid, start, a, n = uid[entry[first]], start[entry[first]], inner[first], inner[last] - inner[first] + size
+            uid, start, many = (np.concatenate(v) for v in zip(*found, strict=True))
             home = np.mod(uid, bins)
-            by = np.lexsort((start + a, uid, home))
-            home, uid, a, n = home[by], uid[by], (start + a)[by], n[by]
+            by = np.lexsort((start, uid, home))
+            home, uid, start, many = home[by], uid[by], start[by], many[by]
             keys, out = [], []
             for k, x, y in _split(home):
                 keys.append(k)
-                out.append(pack(uid=uid[x:y], start=a[x:y], size=n[x:y].astype(np.uint32)))
+                out.append(pack(uid=uid[x:y], start=start[x:y], size=many[x:y].astype(np.uint32)))
             yield _rows(keys, out, ("bin", "blob"))
 
+    def one_part(opened: list[dict[str, np.ndarray]], inner: int) -> tuple[np.ndarray, ...] | None:
+        """uid, place and size of the repeats that one part of a bucket shows."""
+        index: dict[bytes, int] = {}
+        runs, orders, uids, starts = [], [], [], []
+        for x in opened:
+            ends = np.cumsum(x["size"], dtype=np.int64)
+            data = memoryview(x["bytes"])
+            mine = np.flatnonzero(x["inner"] == inner)
+            number = np.full(len(ends), -1, np.int64)
+            number[mine] = [index.setdefault(bytes(data[a:b]), len(index)) for a, b in zip((ends - x["size"])[mine].tolist(), ends[mine].tolist(), strict=True)]
+            run = number[x["run"]]
+            here = run >= 0
+            runs.append(run[here])
+            orders.append(x["order"][here])
+            uids.append(x["uid"][here])
+            starts.append(x["start"][here].astype(np.int64))
+        if not index:
+            return None
+        run_, order, uid, start = (np.concatenate(v) for v in (runs, orders, uids, starts))
+        strings = list(index)
+        least = np.full(len(strings), LAST, np.int64)
+        np.minimum.at(least, run_, order)
+        smallest, begin = window_minima(strings, least, size)
+        many = np.array([len(s) - size + 1 for s in strings], np.int64)[run_]
+        entry = np.repeat(np.arange(len(run_)), many)
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        gone = smallest[begin[run_][entry] + inner] < order[entry]
+        if not gone.any():
+            return None
+        entry, inner = entry[gone], inner[gone]
+        new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (inner[1:] != inner[:-1] + 1)])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(entry)) - 1
+        return uid[entry[first]], start[entry[first]] + inner[first], inner[last] - inner[first] + size
+
     return run
 
 
@@ -439,12 +510,14 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, digest_only: bool = False) ->
     parts = n_shuffle(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(parts, math.ceil(total / (32 << 20)))
-    bins = 2 * parts
+    bins = parts
+    if size % 2 or size < 16:
+        raise ValueError("size must be even and 16 or more")
     uid = F.xxhash64("doc_id", "text")
     base = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("ordered"), F.coalesce("text", F.lit("")).alias("text"), uid.alias("uid"), F.pmod(uid, F.lit(bins)).cast("int").alias("bin"))
-    sent = base.select("bin", "text").mapInArrow(_send_hashes(parts, size), "bucket int, blob binary")
+    sent = base.select("bin", "text").mapInArrow(_send_hashes(parts, bins, size), "bucket int, blob binary")
     replies = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_reply_hashes, "bin int, blob binary")
     placed = base.repartition(parts, "bin")
-    runs = placed.groupBy("bin").cogroup(replies.repartition(parts, "bin").groupBy("bin")).applyInArrow(_send_runs(parts, size), "bucket int, blob binary")
+    runs = placed.groupBy("bin").cogroup(replies.repartition(parts, "bin").groupBy("bin")).applyInArrow(_send_runs(parts, bins, size), "bucket int, blob binary")
     repeats = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats(bins, size), "bin int, blob binary")
     return placed.groupBy("bin").cogroup(repeats.repartition(parts, "bin").groupBy("bin")).applyInArrow(_cut(digest_only), RESULT)
