@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import render, text, words
 from gleanery.operators import catalog, changes, chunking, evaluate, fusion, lexical, retrieve, vector
+from gleanery.operators.index import Index
+from gleanery.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,6 +139,13 @@ def pos_weight_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(lexical.search(table(spark, sf_dir, "documents"), TAGGED, 50, strategy="pos-weight"))
 
 
+@query(bm25_sql(OR_TERMS) + "SELECT doc_id, score FROM s ORDER BY raw DESC, doc_id LIMIT 50")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index is built over all documents, then read for the terms of the query."""
+    index = Index(shared_folder(spark, "index")).write(table(spark, sf_dir, "documents"))
+    return index.search(spark, OR_TERMS, 50).select("doc_id", F.round("score", 6).alias("score"))
+
+
 POSTINGS_SQL = f"WITH t AS (SELECT doc_id, unnest({ANALYSED}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL)"
 
 
