@@ -27,13 +27,14 @@ TITLE_LINES = 20
 
 
 def fold(text: Column) -> Column:
-    """Letters without their marks (é: e); ß and the like stay."""
-    return F.translate(F.coalesce(text, F.lit("")), MARKED, BARE)
+    """Letters without their marks (é: e); ß and the like stay. Plain ASCII texts pass by."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, MARKED, BARE))
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, folded and lower-cased; null: none."""
-    return F.filter(F.split(F.lower(fold(text)), NOT_TOKEN), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(fold(text)), NOT_TOKEN), "")
 
 
 def safe(text: Column, folded: bool = True) -> Column:

@@ -72,10 +72,13 @@ def bm25(corpus: DataFrame, terms: Terms, text: str = "text", weight: float = 1.
     n = len(terms.distinct)
 
     def counted(frame: DataFrame, *keep: str) -> DataFrame:
-        listed = frame.select(*keep, tokens(F.col(text)).alias("__tokens"))
+        # a one-row explode keeps the optimizer from pasting the analysis into every later use of its result
+        listed = frame.select(*keep, F.explode(F.array(tokens(F.col(text)))).alias("__tokens"))
         match = lambda t: (lambda x: F.startswith(x, F.lit(t))) if terms.prefix else (lambda x: x == t)
+        # lambdas keep the generated method small enough to be compiled
         tf = F.array(*[F.size(F.filter("__tokens", match(t))) for t in terms.distinct])
-        return listed.select(*keep, F.size("__tokens").cast("double").alias("__length"), tf.alias("__tf"))
+        one = listed.select(*keep, F.explode(F.array(F.struct(F.size("__tokens").cast("double").alias("length"), tf.alias("tf")))).alias("__c"))
+        return one.select(*keep, F.col("__c.length").alias("__length"), F.col("__c.tf").alias("__tf"))
 
     found = counted(corpus).agg(F.count("*").cast("double").alias("rows"), F.avg("__length").alias("average"), F.array(*[F.sum((F.col("__tf")[i] > 0).cast("double")) for i in range(n)]).alias("df"))
     stats = found.select(F.struct("rows", "average", "df")).scalar()

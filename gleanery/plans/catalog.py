@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import render, text, words
 from gleanery.operators import catalog, changes, chunking, evaluate, fusion, lexical, retrieve, vector
 from gleanery.operators.index import Index
-from gleanery.sources.shared import shared_folder
+from gleanery.sources.shared import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +34,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those with long texts over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 # ---------------------------------------------------------------- keyword search
