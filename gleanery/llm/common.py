@@ -10,14 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.sources.shared import shared_folder, stored  # noqa: F401  (used from here)
+from gleanery.sources.shared import shared_folder, spread, stored  # noqa: F401  (used from here)
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\f\r"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def n_shuffle(spark: SparkSession) -> int:

@@ -27,8 +27,10 @@ from gleanery.llm.common import gather, pieces, split_words
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Texts in which a space isn't surely a word's start.
-ODD = f"  |^ | $|^$|{SPACE}"
+#: Longer words are cut where no piece reaches over.
+LONG = 256
+#: Texts in which a space isn't surely a word's start, or with a long word.
+ODD = f"  |^ | $|^$|{SPACE}|[^ ]{{{LONG}}}"
 NONE = np.int64(-1)
 
 
@@ -89,6 +91,7 @@ class Codec:
             self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]), dtype=np.uint64)
         # no piece reaches over these borders: before a space after other text, around a line break
         inner = {a + b for t in self.text for a, b in zip(t, t[1:], strict=False)}
+        self.inner = inner
         lines = not any("\n" in x for x in inner)
         words = not any(x[1] == SPACE != x[0] for x in inner)
         self.word = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if lines and words else r"(?s:.+)")
@@ -248,6 +251,7 @@ class Codec:
         found, counts = [], np.zeros(len(texts), np.int64)
         for i, text in zip(np.flatnonzero(odd).tolist(), texts.filter(pa.array(odd)).to_pylist(), strict=True):
             own = self.word.findall((SPACE if self.model["prefix"] else "") + text.replace(" ", SPACE)) if text else []
+            own = [part for w in own for part in (self._cut(w) if len(w) > LONG else [w])]
             found += [index.setdefault(w, len(words) + len(index)) for w in own]
             counts[i] = len(own)
         words += index
@@ -261,6 +265,11 @@ class Codec:
         ends = np.cumsum(counts)
         return ids, total[ends] - total[ends - counts]
 
+    def _cut(self, word: str) -> list[str]:
+        """A long word in parts: no piece has the two characters of a border side by side."""
+        borders = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inner], len(word)]
+        return [word[a:b] for a, b in zip(borders, borders[1:], strict=False)]
+
     def decode(self, ids: np.ndarray, many: np.ndarray) -> list[bytes]:
         """The texts of rows of ids, as UTF-8."""
         joined = np.concatenate([[0], np.cumsum(self.raw_size[ids])])

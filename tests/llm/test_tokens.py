@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from gleanery.llm.sentencepiece_codec import Codec, decode_documents, encode_documents, load
 from gleanery.llm.token_files import Encoder, Shard, read_shards, token_digests, write_shards
 
-ODD = ["", " ", "  a  b   ", "\n\n x", "你好 世界", "a\tb\r\n", "x\xa0 y", "a 　b", "emoji 😀😀 é", "x" * 700, "    def f(x):\n        return x**2 + 1\n", "\x00\x01", "it's I'll a 's", "<|endoftext|> a<|endoftext|>", "a\x1c b!\x1c c", "a \nb\n c", "z", "<s> </s> <unk> <0x41>", "The quick brown fox, isn't it? https://example.com/a?b=c&d=e", "----====", "aaaaaaaaaaaaaaaaaaaaaab", "ABC!!! $$$ %%%"]
+ODD = ["", " ", "  a  b   ", "\n\n x", "你好 世界", "a\tb\r\n", "x\xa0 y", "a 　b", "emoji 😀😀 é", "x" * 700, "    def f(x):\n        return x**2 + 1\n", "\x00\x01", "it's I'll a 's", "<|endoftext|> a<|endoftext|>", "a\x1c b!\x1c c", "a \nb\n c", "z", "<s> </s> <unk> <0x41>", "The quick brown fox, isn't it? https://example.com/a?b=c&d=e", "----====", "aaaaaaaaaaaaaaaaaaaaaab", "ABC!!! $$$ %%%", "qzjxkvQ" * 90 + " end", "héllo,wörld" * 60, "=" * 600]
 
 
 @pytest.fixture(scope="module")
