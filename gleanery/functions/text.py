@@ -97,13 +97,13 @@ def strip_images(text: Column) -> Column:
 
 def normal_path(path: Column) -> Column:
     """Scheme and leading ./ off, lower case, no slashes at the ends."""
-    return F.btrim(F.lower(F.regexp_replace(F.regexp_replace(path, "^qmd://", ""), "^\\./", "")), F.lit("/"))
+    return F.btrim(F.lower(F.regexp_replace(F.regexp_replace(path, "^[a-z]+://", ""), "^\\./", "")), F.lit("/"))
 
 
 def path_matches(found: Column, expected: Column) -> Column:
-    """Equal, or one ends with the other after a slash."""
+    """Equal, or found ends with expected after a slash."""
     a, b = normal_path(found), normal_path(expected)
-    return (a == b) | F.endswith(a, F.concat(F.lit("/"), b)) | F.endswith(b, F.concat(F.lit("/"), a))
+    return (a == b) | F.endswith(a, F.concat(F.lit("/"), b))
 
 
 def eta(seconds: Column) -> Column:

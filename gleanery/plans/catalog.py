@@ -352,9 +352,9 @@ def base64_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_images(image), 256).alias("stripped"))
 
 
-@query(r"SELECT page_id, trim(lower(url), '/') AS path, ends_with(trim(lower(url), '/'), '/' || regexp_extract(trim(lower(url), '/'), '([^/]*)$', 1)) AS matched FROM pages")
+@query(r"WITH p AS (SELECT page_id, trim(lower(regexp_replace(url, '^[a-z]+://', '')), '/') AS path FROM pages) SELECT page_id, path, path = regexp_extract(path, '([^/]*)$', 1) OR ends_with(path, '/' || regexp_extract(path, '([^/]*)$', 1)) AS matched FROM p")
 def path_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.lit("qmd://"), F.col("url"))
+    url = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", text.normal_path(url).alias("path"), text.path_matches(url, text.base_name(text.normal_path(url))).alias("matched"))
 
 

@@ -67,7 +67,7 @@ def test_text_functions(spark):
     assert get(text.eta(F.lit(0.5))) == "<1s" and get(text.eta(F.lit(3725))) == "1h2m" and get(text.eta(F.lit(7200))) == "2h"
     assert get(text.tokens(F.lit("École, CAFÉ straße!"))) == ["ecole", "cafe", "straße"]
     assert get(text.safe(F.lit("a-b café"), folded=False)) == "a b caf "
-    assert get(text.path_matches(F.lit("qmd://Docs/a.md"), F.lit("./a.MD"))) is True
+    assert get(text.path_matches(F.lit("docs://Docs/a.md"), F.lit("./a.MD"))) is True
     assert get(text.session_key(F.lit("q0001_s042.md")))["session"] == 41
     assert get(text.line_slice(F.lit("a\nb\nc"), 2, 1)) == "b" and get(text.line_slice(F.lit("a\nb\nc"), 9, 2)) == "a\nb"
 
