@@ -18,10 +18,10 @@ from gleanery.llm.common import as_bytes, pieces
 
 EMBED, WIDTH, STRIDE, LEARNED = 8, 6, 2, 16
 #: Windows in a chunk; neighbouring chunks share the bytes that windows reach over.
-CHUNK = 128
+CHUNK = 64
 #: Training takes at most so many rows of each label, lowest hash first, of texts up to so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 65_536
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+EPOCHS, BATCH, RATE = 10, 32, 0.01
 
 Model = dict[str, np.ndarray]
 
@@ -98,21 +98,15 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Model:
             ties = np.add.reduceat(is_most, top, axis=0)
             dbest += np.where(is_most, back[:, LEARNED:][doc] / ties[doc], 0)
             dbest *= best > 0
-            ends = np.append(chunk[1:], len(starts))
-            lane = np.arange(LEARNED)
-            window = np.empty(best.shape, np.int64)
-            for c, (a, b) in enumerate(zip(chunk.tolist(), ends.tolist(), strict=True)):
-                window[c] = a + answers[a:b].argmax(axis=0)
-            seen = data[(starts[window.ravel()][:, None] + np.arange(WIDTH))]
-            d = dbest.ravel()
-            which = np.tile(lane, len(best))
-            inputs = model["embed"][seen].reshape(len(d), WIDTH * EMBED)
-            gf = np.zeros((LEARNED, WIDTH * EMBED), np.float32)
-            np.add.at(gf, which, inputs * d[:, None])
-            grad["filter"], grad["bias"] = gf.T, dbest.sum(axis=0)
-            ge = np.zeros((256, EMBED), np.float32)
-            np.add.at(ge, seen.ravel(), (model["filter"].T[which] * d[:, None]).reshape(-1, EMBED))
-            grad["embed"] = ge
+            # of each chunk and filter, the first window with the largest answer
+            sizes = np.diff(np.append(chunk, len(starts)))
+            place = np.arange(len(starts), dtype=np.int32)[:, None]
+            window = np.minimum.reduceat(np.where(answers == np.repeat(np.maximum.reduceat(answers, chunk, axis=0), sizes, axis=0), place, len(starts) - 1), chunk, axis=0)
+            seen = data[starts[window][:, :, None] + np.arange(WIDTH)]
+            inputs = model["embed"][seen].reshape(len(best), LEARNED, WIDTH * EMBED)
+            grad["filter"], grad["bias"] = np.einsum("cf,cfk->kf", dbest, inputs), dbest.sum(axis=0)
+            back_bytes = (dbest[:, :, None] * model["filter"].T[None]).reshape(-1, EMBED)
+            grad["embed"] = np.stack([np.bincount(seen.ravel(), back_bytes[:, e], 256) for e in range(EMBED)], axis=1).astype(np.float32)
             step += 1
             for k, g in grad.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * g
