@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import n_shuffle
 
-HASHES, SHIFTS = 2, 31
+#: Over 100 columns of sums, Spark leaves whole-stage code generation for small compiled projections.
+HASHES, SHIFTS = 4, 31
 LOW, PAIR = (1 << 31) - 1, 1 | 1 << 31
 TILE = "[^\\x20\\x09-\\x0D]+(?:[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+){0,2}"
 
@@ -52,7 +53,9 @@ def combine(a: Column, b: Column, subtract: bool = False) -> Column:
 
 
 def as_text(vector: Column) -> Column:
-    return F.array_join(F.transform(vector, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    """Hexadecimal: of each lane (and of the number of elements) the low 16 bits."""
+    both = lambda x: F.shiftleft(F.shiftrightunsigned(x, 31).bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF)))
+    return F.array_join(F.transform(vector, lambda x: F.lower(F.lpad(F.hex(both(x)), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
