@@ -17,8 +17,12 @@ WHITE = " \t\n\x0b\f\r"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name == "documents" else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, over all cores, for the operators whose tasks run Python."""
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def n_shuffle(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import read_table
+from gleanery.llm.common import read_table, read_texts
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.sentencepiece_codec import encode_documents, load
 
     model = load(public_tokenizers.path("piece_bpe_32k.model"))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = read_texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     both = encode_documents(docs, model, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
@@ -28,7 +28,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.line_dedup import drop_common_lines
 
-    kept = drop_common_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    kept = drop_common_lines(read_texts(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -41,7 +41,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.quality import held_out, score_documents, train
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_texts(spark, sf_dir).select("doc_id", "text")
     model = train(docs, read_table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -50,7 +50,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.simhash import simhash_components
 
-    found = simhash_components(read_table(spark, sf_dir, "documents"), k=3, limit=3)
+    found = simhash_components(read_texts(spark, sf_dir), k=3, limit=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -81,7 +81,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.media import text_media
 
-    found = text_media(read_table(spark, sf_dir, "documents"))
+    found = text_media(read_texts(spark, sf_dir))
     return found.withColumn("feature", F.lower(F.hex("feature")))
 
 
