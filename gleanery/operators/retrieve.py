@@ -22,6 +22,18 @@ def vector_search(vectors: DataFrame, query: Column, limit: int = 0, min_score:
     return vector.nearest(vectors, query, limit if limit > 0 else fusion.DEFAULT_LIMIT, where, min_score or fusion.VECTOR_MIN_SCORE, **names)
 
 
+def hits(found: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Result rows of found (chunk_id, score, rank): with the chunk's text and line and its document's names.
+
+    chunks: chunk_id, doc_id, content, position. documents: doc_id, doc_hash,
+    collection, path, title. Chunks without a document are left out; ranks stay. The
+    few found rows are the small side of both joins.
+    """
+    own = found.select("chunk_id", "score", "rank").join(chunks.select("chunk_id", "doc_id", "content", "position"), "chunk_id")
+    named = own.join(documents.select("doc_id", "doc_hash", "collection", "path", "title"), "doc_id")
+    return named.select("chunk_id", F.left("doc_hash", F.lit(8)).alias("doc_id"), F.col("doc_id").alias("doc_row_id"), "collection", "path", "title", "score", F.col("content").alias("snippet"), F.col("position").alias("line"), "rank")
+
+
 def embed_query(text: str, embedder: vector.Embedder, prefix: str = QUERY_PREFIX) -> Column:
     return F.array(*[F.lit(float(x)) for x in embedder([prefix + text])[0]])
 

@@ -45,7 +45,7 @@ SEARCHED = "worthless nation and theast blehe"
 ANALYSED = f"list_filter(regexp_split_to_array(lower(translate(coalesce(text, ''), '{text.MARKED}', '{text.BARE}')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-def bm25_sql(terms: lexical.Terms, weight: float = 1.0, where: str = "true", rest: str = "") -> str:
+def bm25_sql(terms: lexical.Terms, weight: float = 1.0, where: str = "true", rest: str = "", corpus: str = "documents") -> str:
     """CTEs up to s: matching rows with raw score and score."""
     test = (lambda t: f"starts_with(x, '{t}')") if terms.prefix else (lambda t: f"x = '{t}'")
     tf = ", ".join(f"len(list_filter(toks, lambda x: {test(t)}))::DOUBLE AS f{i}" for i, t in enumerate(terms.distinct))
@@ -58,7 +58,7 @@ def bm25_sql(terms: lexical.Terms, weight: float = 1.0, where: str = "true", res
     must = "".join(f" AND f{terms.distinct.index(t)} > 0" for t in dict.fromkeys(terms.all))
     some = " AND (" + " OR ".join(f"f{terms.distinct.index(t)} > 0" for t in dict.fromkeys(terms.any)) + ")" if terms.any else ""
     return f"""
-WITH t AS (SELECT *, {ANALYSED} AS toks FROM documents),
+WITH t AS (SELECT *, {ANALYSED} AS toks FROM {corpus}),
 f AS (SELECT *, len(toks)::DOUBLE AS len, {tf} FROM t),
 g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avgdl, {df} FROM f),
 s0 AS (SELECT f.*, {" + ".join(parts)} AS raw FROM f, g WHERE ({where}){must}{some}),
@@ -382,6 +382,25 @@ def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", "doc_id", "seq", "position", "content", F.round("score", 6).alias("score"), "rank")
 
 
+LINE_CHUNKS = "(SELECT doc_id * 1000000 + seq AS chunk_id, doc_id, seq, text FROM (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS seq FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+
+
+@query(bm25_sql(OR_TERMS, corpus=LINE_CHUNKS) + """
+, k AS (SELECT *, (row_number() OVER (ORDER BY raw DESC, chunk_id) - 1)::INT AS rank FROM s ORDER BY raw DESC, chunk_id LIMIT 50)
+SELECT k.chunk_id, substr(sha256(d.source || ':' || d.source || '/' || d.doc_id || '.md:' || sha256(d.text)), 1, 8) AS doc_id, d.doc_id AS doc_row_id, d.source AS collection,
+  d.source || '/' || d.doc_id || '.md' AS path, d.doc_id::VARCHAR AS title, k.score, k.text AS snippet, k.seq::INT AS line, k.rank
+FROM k JOIN documents d ON d.doc_id = k.doc_id
+""")
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as chunks: the top ones of a search, with their documents' names."""
+    docs = filed(spark, sf_dir)
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "content"))
+    lines = lines.withColumn("chunk_id", F.col("doc_id") * 1000000 + F.col("position"))
+    found = lexical.search(lines, SEARCHED, 50, strategy="or", key="chunk_id", text="content")
+    named = docs.withColumn("title", F.col("doc_id").cast("string"))
+    return retrieve.hits(found.withColumn("score", F.round("score", 6)), lines, named)
+
+
 # ---------------------------------------------------------------- catalog counts
 
 
