@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import words
-from gleanery.operators import changes, evaluate, fusion, lexical, vector
+from gleanery.operators import changes, evaluate, fusion, lexical, retrieve, vector
 
 TEXTS = ["the quick brown fox", "the lazy dog sleeps", "quick quick dog", "a café near the fox den", "nothing here at all", "dog dog dog fox"]
 
@@ -125,3 +125,30 @@ def test_metrics(spark):
     assert round(got[1]["recall_at_5"], 6) == 0.666667 and got[1]["mrr"] == 0.5 and got[1]["hits"] == 2
     assert math.isclose(got[1]["ndcg"], (1 / math.log2(3) + 1 / 2) / (1 + 1 / math.log2(3) + 1 / 2))
     assert got[2]["mrr"] == 0 and got[3]["recall_at_5"] == 0 and got[3]["ndcg"] == 0
+
+
+def test_hits_drop_orphans(spark):
+    found = spark.createDataFrame([(1, 0.9, 0), (2, 0.8, 1), (3, 0.7, 2)], "chunk_id long, score double, rank int")
+    chunks = spark.createDataFrame([(1, 10, "a", 4), (2, 99, "b", 5), (3, 10, "c", 6)], "chunk_id long, doc_id long, content string, position int")
+    docs = spark.createDataFrame([(10, "abcdefghij", "n", "n/x.md", "X")], "doc_id long, doc_hash string, collection string, path string, title string")
+    got = retrieve.hits(found, chunks, docs).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["doc_id"], r["line"], r["rank"]) for r in got] == [(1, "abcdefgh", 4, 0), (3, "abcdefgh", 6, 2)]
+
+
+def test_relevant_sessions(spark):
+    turns = spark.createDataFrame([(1, False), (1, True), (2, False)], "conv_id long, has_answer boolean")
+    assert [r["conv_id"] for r in evaluate.relevant_sessions(turns).collect()] == [1]
+
+
+def test_passages_fall_back(spark, corpus):
+    vectors = vector.embed(corpus, dim=16).select(F.col("doc_id").alias("vec_id"), "embedding")
+    embedder = vector.hash_embedder(16)
+
+    def broken(_):
+        raise OSError("no service")
+
+    plain, made = retrieve.passage_search(corpus, vectors, "quick dog", broken, embedder, limit=3)
+    assert not made and plain.count() == 3
+    wanted = retrieve.hybrid_search(corpus, vectors, "quick dog", retrieve.embed_query("quick dog", embedder), limit=3)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, wanted.collect()))
+    assert retrieve.passage_search(corpus, vectors, "quick dog", lambda q: q + " lazy", embedder)[1]
