@@ -29,11 +29,11 @@ from gleanery.llm.perfect_hash import build, probe
 
 MAGIC = b"IDSHARD1"
 #: Bytes of text in a shard, about.
-SHARD_BYTES = 96 << 20
+SHARD_BYTES = 64 << 20
 #: Distinct words that the library is given at once, as one text.
 AT_ONCE = 16_384
 #: Bytes of text that a task encodes at once, and distinct words whose ids it keeps for the next.
-PIECE_BYTES, REMEMBERED = 16 << 20, 3_000_000
+PIECE_BYTES, REMEMBERED = 6 << 20, 3_000_000
 #: Texts in which a space isn't surely the start of a word: after other white space, or at either end.
 ODD = "[\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}] |^ | $|^$"
 
@@ -224,8 +224,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"the index of {file['path']} misses keys")
                 # rows of a repeated key follow its first row
                 row = row + (np.arange(len(row)) - np.maximum.accumulate(np.where(row == np.arange(len(row)), row, 0)))
-                wide = shard.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts[row].tolist(), starts[row + 1].tolist(), strict=True)]
+                crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(starts[row].tolist(), starts[row + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(starts[row] + file["base"]), pa.array(starts[row + 1] - starts[row]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     frame = spark.createDataFrame(listed, "part int, folder string, path string, base bigint")
