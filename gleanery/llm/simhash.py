@@ -236,10 +236,16 @@ def wide_limits(similarity: float) -> tuple[int, int]:
     return reach(64, 3.3), reach(64 * WORDS, 1.2)
 
 
-def sketches(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Wide fingerprints (texts x WORDS) and band keys (texts x BANDS); no shingles: zeros."""
-    flat, sizes = _flat_hashes(texts, k)
-    wide, keys = np.zeros((len(texts), WORDS), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in order, how many each has, and a hash of each set."""
+    sets = [np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in texts]
+    names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array([len(s) for s in sets], np.int64), names
+
+
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wide fingerprints (texts x WORDS) and band keys (texts x BANDS) of sets of hashes; no shingles: zeros."""
+    wide, keys = np.zeros((len(sizes), WORDS), np.uint64), np.zeros((len(sizes), BANDS), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
         first = (np.cumsum(sizes) - sizes)[some]
@@ -262,7 +268,8 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
     once in 25,000). Within a band's group the pivot table of the 64-bit
     fingerprints discards, and the wide ones verify.
 
-    Equal fingerprints are one node from the start. Null and empty texts: equal
+    A shingle that a text repeats counts once. Texts with equal sets are one node
+    from the start. Null and empty texts: equal
     texts without shingles. Null doc_id: last. Of rows equal in doc_id and text, one
     stays. Columns stay as they are. Empty table: no rows.
     """
@@ -273,12 +280,12 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
-            wide, keys = sketches(as_bytes(batch.column("text")), k)
+            flat, sizes, names = shingle_sets(as_bytes(batch.column("text")), k)
+            wide, keys = sketches(flat, sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("uid"), pa.array([w.tobytes() for w in wide], pa.binary()), lists], ["id", "uid", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("uid"), pa.array(names.view(np.int64)), pa.array([w.tobytes() for w in wide], pa.binary()), lists], ["id", "uid", "node", "wide", "keys"])
 
-    found = stored(rows.mapInArrow(sketch, "id bigint, uid bigint, wide binary, keys array<bigint>"), "sketches")
-    found = found.withColumn("node", F.xxhash64("wide"))
+    found = stored(rows.mapInArrow(sketch, "id bigint, uid bigint, node bigint, wide binary, keys array<bigint>"), "sketches")
     # an id that is null sorts last
     rank = F.struct(F.col("id").isNull().alias("no"), "id", "uid")
     nodes = found.groupBy("node", "wide", "keys").agg(F.min(rank).alias("least"))

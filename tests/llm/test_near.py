@@ -106,6 +106,23 @@ def test_one_of_each_group_stays(spark):
     assert keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def words_of(rng, n):
+    return " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
+
+
+def test_repeated_passages(spark):
+    rng = np.random.default_rng(8)
+    body, passage = words_of(rng, 300), words_of(rng, 24)
+    # one set of shingles (a passage with itself behind it adds the same ones again)
+    once, often = f"{body} {passage} {passage}", f"{body} {' '.join([passage] * 41)}"
+    # sets that share only the shingle of a filler word
+    filled = [f"{words_of(rng, 200)} {'filler ' * 400}" for _ in range(2)]
+    sets = [frozenset(shingle_hashes(t.encode(), 5)) for t in (once, often, *filled)]
+    assert sets[0] == sets[1] and len(sets[2] & sets[3]) == 1
+    kept = keep_one_of_each(frame(spark, [*enumerate((once, often, *filled))]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
+
+
 def test_hot_group(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the very same text in a third of all rows").otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" is alone with words of its own "), (F.col("id") * 7919).cast("string"))).alias("text"))
     got = simhash_components(docs)
