@@ -10,15 +10,18 @@ than the limit are discarded (triangle inequality), and survivors are verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pfs
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_bytes, mix64, pieces, stored
+from gleanery.llm.common import as_bytes, mix64, pieces, shared_folder, stored
 from gleanery.llm.components import components
 
 #: Reference fingerprints.
@@ -115,12 +118,13 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int16)
 
 
-def _links(key: np.ndarray, fp: np.ndarray, limit: int, wide: np.ndarray | None = None, wide_limit: int = 0) -> np.ndarray:
+def _links(key: np.ndarray, fp: np.ndarray, limit: int, wide: np.ndarray | None = None, wide_limit: int = 0, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Pairs of rows that link within equal neighbouring keys, as many as tie each group together.
 
-    The survivors of the table are verified by their own distance, and that of the
-    wide fingerprints if there are any. Rows already tied aren't looked at again,
-    and a group that is tied as a whole is left.
+    The survivors of the table are verified by their own distance, that of the wide
+    fingerprints if there are any, and alike (which of the pairs of rows link) if it
+    is given. Rows already tied aren't looked at again, and a group that is tied as
+    a whole is left.
     """
     n = len(fp)
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
@@ -142,6 +146,8 @@ def _links(key: np.ndarray, fp: np.ndarray, limit: int, wide: np.ndarray | None
         a = a[_popcount(fp[a] ^ fp[a + step]) <= limit]
         if wide is not None and len(a):
             a = a[np.bitwise_count(wide[order[a]] ^ wide[order[a + step]]).sum(axis=1, dtype=np.int64) <= wide_limit]
+        if alike is not None and len(a):
+            a = a[alike(order[a], order[a + step])]
         if len(a):
             found.append(np.stack([order[a], order[a + step]], axis=1))
             label = _tie(label, a, a + step)
@@ -221,19 +227,22 @@ def simhash_components(docs: DataFrame, k: int = 3, limit: int = 3) -> DataFrame
 # shingle similarity
 
 #: 64-bit words of a wide fingerprint; bands of two smallest shingle hashes each.
-WORDS, BANDS, IN_BAND = 16, 10, 2
+WORDS, BANDS, IN_BAND = 16, 16, 2
+#: Bytes of shingle sets, and open files, that a task holds.
+HELD_BYTES, HELD_FILES = 64 << 20, 64
 
 
 def wide_limits(similarity: float) -> tuple[int, int]:
     """Bits in which fingerprints of 64, and of 64 * WORDS bits, of similar texts differ at most.
 
     Two sets of equal size with Jaccard similarity j have cosine 2j / (1 + j), and a
-    bit differs with probability p = angle / pi. The short one may go 3.3 standard
-    deviations beyond the mean, the wide one, which decides, 1.2.
+    bit differs with probability p = angle / pi. Neither decides: the short one may
+    go 5.7 standard deviations beyond the mean and the wide one 9.1, as p is up to a
+    quarter more in sets of few shingles.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     reach = lambda bits, by: int(bits * p + by * np.sqrt(bits * p * (1 - p)))
-    return reach(64, 3.3), reach(64 * WORDS, 1.2)
+    return reach(64, 5.7), reach(64 * WORDS, 9.1)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,15 +267,51 @@ def sketches(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return wide, keys
 
 
+class Sets:
+    """Shingle sets in files of the shared folder, by file number, place and size; some are held."""
+
+    def __init__(self, folder: str) -> None:
+        self.system, self.base = pfs.FileSystem.from_uri(folder)
+        self.files, self.held, self.bytes = {}, {}, 0
+
+    def get(self, file: int, at: int, many: int) -> np.ndarray:
+        found = self.held.get((file, at))
+        if found is None:
+            if file not in self.files:
+                if len(self.files) >= HELD_FILES:
+                    self.files.pop(next(iter(self.files))).close()
+                self.files[file] = self.system.open_input_file(sets_path(self.base, file))
+            found = np.frombuffer(self.files[file].read_at(8 * many, 8 * at), "<u8")
+            self.held[file, at] = found
+            self.bytes += found.nbytes
+            while self.bytes > HELD_BYTES and len(self.held) > 2:
+                self.bytes -= self.held.pop(next(iter(self.held))).nbytes
+        return found
+
+    def alike(self, file: np.ndarray, at: np.ndarray, many: np.ndarray, similarity: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Do the sets of rows a and b have a Jaccard similarity of so much or more? One answer per pair."""
+        out = np.minimum(many[a], many[b]) / np.maximum(many[a], many[b]) >= similarity
+        for i in np.flatnonzero(out).tolist():
+            x, y = (self.get(int(file[r]), int(at[r]), int(many[r])) for r in (a[i], b[i]))
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            out[i] = both / (len(x) + len(y) - both) >= similarity
+        return out
+
+
+def sets_path(base: str, file: int) -> str:
+    return f"{base}/sets-{file:016x}.bin"
+
+
 def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Texts link if their sets of k-word shingles have a Jaccard similarity of about
-    `similarity` or more, as wide SimHash fingerprints of 64 * WORDS bits tell it
-    (standard error 0.03). At such distances blocks of equal bits are too rare to
-    deal texts out by; bands of smallest shingle hashes do (a pair at 0.8 is missed
-    once in 25,000). Within a band's group the pivot table of the 64-bit
-    fingerprints discards, and the wide ones verify.
+    Texts link if their sets of k-word shingles have a Jaccard similarity of
+    `similarity` or more. No blocks of equal bits are selective at such distances;
+    bands of smallest shingle hashes deal texts out (a pair at 0.8 shares none once in
+    12 million). Within a band's group the pivot table of the 64-bit fingerprints and
+    the wide fingerprints discard, with limits far beyond what such pairs differ by,
+    and the sets themselves decide. Tasks write the sets to files in the shared
+    folder, and read those of surviving pairs.
 
     A shingle that a text repeats counts once. Texts with equal sets are one node
     from the start. Null and empty texts: equal
@@ -278,24 +323,40 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
     own = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("doc_id").alias("id"), own.alias("uid"), F.col("text").alias("text"))
 
+    folder = shared_folder(spark, "shingle-sets")
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task that runs again writes another file, and its rows name that one
+        file, at, stream = uuid.uuid4().int >> 65, 0, None
         for batch in pieces(batches, "text", 2 << 20):
             flat, sizes, names = shingle_sets(as_bytes(batch.column("text")), k)
+            if stream is None:
+                system, base = pfs.FileSystem.from_uri(folder)
+                system.create_dir(base, recursive=True)
+                stream = system.open_output_stream(sets_path(base, file))
+            stream.write(flat.astype("<u8").tobytes())
+            places = at + np.cumsum(sizes) - sizes
+            at += len(flat)
             wide, keys = sketches(flat, sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("uid"), pa.array(names.view(np.int64)), pa.array([w.tobytes() for w in wide], pa.binary()), lists], ["id", "uid", "node", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("uid"), pa.array(names.view(np.int64)), pa.array(np.full(len(sizes), file)), pa.array(places), pa.array(sizes), pa.array([w.tobytes() for w in wide], pa.binary()), lists], ["id", "uid", "node", "file", "at", "many", "wide", "keys"])
+        if stream is not None:
+            stream.close()
 
-    found = stored(rows.mapInArrow(sketch, "id bigint, uid bigint, node bigint, wide binary, keys array<bigint>"), "sketches")
+    found = stored(rows.mapInArrow(sketch, "id bigint, uid bigint, node bigint, file bigint, at bigint, many bigint, wide binary, keys array<bigint>"), "sketches")
     # an id that is null sorts last
-    rank = F.struct(F.col("id").isNull().alias("no"), "id", "uid")
-    nodes = found.groupBy("node", "wide", "keys").agg(F.min(rank).alias("least"))
-    dealt = nodes.select("node", "wide", F.explode("keys").alias("key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    rank = F.struct(F.col("id").isNull().alias("no"), "id", "uid", "file", "at")
+    nodes = found.groupBy("node", "many", "wide", "keys").agg(F.min(rank).alias("least"))
+    # without shingles: one node, which links to none
+    dealt = nodes.where("many > 0").select("node", "wide", "least.file", "least.at", "many", F.explode("keys").alias("key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(folder)
         for batch in _whole_groups(batches):
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WORDS)
             node = batch.column("node").to_numpy()
-            pairs = node[_links(batch.column("key").to_numpy(), np.ascontiguousarray(wide[:, 0]), limit, wide, wide_limit)]
+            alike = partial(sets.alike, *[batch.column(c).to_numpy() for c in ("file", "at", "many")], similarity)
+            pairs = node[_links(batch.column("key").to_numpy(), np.ascontiguousarray(wide[:, 0]), limit, wide, wide_limit, alike)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     ties = components(dealt.mapInArrow(link, "u bigint, v bigint").distinct())

@@ -123,6 +123,29 @@ def test_repeated_passages(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
 
 
+def test_similarity_decides(spark):
+    """Just at, over and under the similarity, in sets of 4 to 400 shingles: what brute force keeps."""
+    rng = np.random.default_rng(9)
+    rows, pairs = [], []
+    for size in [8, 12, 40, 400] * 20:
+        words = words_of(rng, size).split()
+        # sets of n and n - cut shingles, all of the second in the first
+        n = size - 4
+        for cut in {n // 5, n // 5 + 1}:
+            first = [f"{w}x{len(rows)}" for w in words]
+            pairs.append((len(rows), (n - cut) / n >= 0.8))
+            rows += [" ".join(first), " ".join(first[: size - cut])]
+        # as many new words at the end as leave 0.8, and one more
+        for new in {n // 9, n // 9 + 1}:
+            first = [f"{w}y{len(rows)}" for w in words]
+            pairs.append((len(rows), (n - new) / (n + new) >= 0.8))
+            rows += [" ".join(first), " ".join(first[: size - new] + [f"new{len(rows)}n{i}" for i in range(new)])]
+    sets = [frozenset(shingle_hashes(t.encode(), 5)) for t in rows]
+    assert all((len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8) == linked for i, linked in pairs)
+    want = {i for i, _ in pairs} | {i + 1 for i, linked in pairs if not linked}
+    assert {r["doc_id"] for r in keep_one_of_each(frame(spark, [*enumerate(rows)])).collect()} == want
+
+
 def test_hot_group(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the very same text in a third of all rows").otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" is alone with words of its own "), (F.col("id") * 7919).cast("string"))).alias("text"))
     got = simhash_components(docs)
