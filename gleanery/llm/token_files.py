@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -47,14 +48,20 @@ class Encoder:
     Byte-level BPE never merges over a space after other text, so the ids of a text
     are those of its words with the spaces before them. Many words are given to the
     library as one text, and the ids' lengths in bytes tell where each word's end.
+
+    added: the tokens added to the vocabulary (<|endoftext|>) are found in texts, as
+    the library does unless told otherwise; texts that hold one are given to it whole.
+    Without, special ones are text like any other.
     """
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        found = [t.content for t in self.library.get_added_tokens_decoder().values() if added]
+        self.odd = "|".join([ODD, *map(re.escape, found)])
         self.size = np.zeros(self.library.get_vocab_size(), np.int64)
         for piece, i in self.library.get_vocab().items():
             self.size[i] = len(piece)
@@ -84,7 +91,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         words, part, begin = split_words(texts.filter(pa.array(~odd)))
         if len(self.words) > REMEMBERED:
             self.forget()
@@ -117,13 +124,13 @@ def key_hash(keys: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix64(keys.view(np.uint64), 11) ^ null.astype(np.uint64), mix64(keys.view(np.uint64), 12) + null.astype(np.uint64)
 
 
-def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard_bytes: int = SHARD_BYTES, added: bool = False) -> DataFrame:
     """Encodes whole texts and writes them in ascending doc_id order; returns the manifest.
 
     Rows are range-partitioned by doc_id, a task writes one file in the shared
     folder under a name of its own and moves it to the final name when whole, so a
     task that runs again leaves the same file. Null doc_id: first. Null text: only
-    the end id. Repeated doc_ids stay apart, ordered by text.
+    the end id. Repeated doc_ids stay apart, ordered by text. added: see Encoder.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "token-files")
@@ -139,7 +146,7 @@ def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard
         for batch in pieces(batches, "text", PIECE_BYTES):
             if stream is None:
                 system.create_dir(base, recursive=True)
-                encoder, stream = Encoder(shared.value), system.open_output_stream(temporary)
+                encoder, stream = Encoder(shared.value, added), system.open_output_stream(temporary)
                 wide = encoder.library.get_vocab_size() > 65_536 or (end_id or 0) > 65_535
                 kind = np.dtype("<u4" if wide else "<u2")
             ids, sizes = encoder.encode(batch.column("text").cast(pa.string()).fill_null(""))
@@ -234,7 +241,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def token_digests(docs: DataFrame, definition: str, end_id: int | None = 2) -> DataFrame:
     """Writes docs as token files, reads them back, one row per document.
 
+    Added tokens are found in texts, as an unmodified Tokenizer does.
     Null, empty, very long texts and repeated rows: see write_shards. Only doc_id and
     text are read, so other columns may have any name. Empty table: no files, no rows.
     """
-    return read_shards(write_shards(docs, definition, end_id))
+    return read_shards(write_shards(docs, definition, end_id, added=True))

@@ -40,6 +40,23 @@ def test_words_give_the_ids_of_texts(spark, definition):
         assert split(*encoder.encode(pa.array(texts))) == want
 
 
+def test_added_tokens_are_found(spark, definition):
+    texts = [*ODD, "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y z", "<|endoftext|>", "a <|endoftext| > b", *texts_of(spark, 20)]
+    library = Tokenizer.from_str(definition)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert want[len(ODD)] == [64, 220, 50256, 275]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    start, rows = 0, []
+    for i, ids in enumerate(want):
+        ids = [*ids, 2]
+        rows.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_digests(docs, definition).collect())) == rows
+    encoder = Encoder(definition, added=True)
+    for _ in range(2):
+        assert split(*encoder.encode(pa.array(texts))) == want
+
+
 def test_pieces_are_those_of_the_library(spark, model):
     codec, texts = Codec(model), ODD + texts_of(spark)
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
