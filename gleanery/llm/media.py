@@ -21,27 +21,58 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
-def encode_png(samples: np.ndarray, filter_type: int = 0, level: int = 6) -> bytes:
-    """A grey 8-bit PNG of a 2-d uint8 array; one filter type for all rows."""
-    rows, cols = samples.shape
+def _guesses(samples: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """What each of the five filters subtracts from each sample; first: rows with no row above."""
     wide = samples.astype(np.int16)
-    left, up = np.zeros_like(wide), np.zeros_like(wide)
+    left, up, corner = np.zeros_like(wide), np.zeros_like(wide), np.zeros_like(wide)
     left[:, 1:], up[1:] = wide[:, :-1], wide[:-1]
-    corner = np.zeros_like(wide)
-    corner[1:, 1:] = wide[:-1, :-1]
-    guess = [0, left, up, (left + up) >> 1, None][filter_type]
-    if filter_type == 4:
-        p = left + up - corner
-        pa_, pb, pc = abs(p - left), abs(p - up), abs(p - corner)
-        guess = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, up, corner))
-    raw = np.empty((rows, cols + 1), dtype=np.uint8)
-    raw[:, 0], raw[:, 1:] = filter_type, (wide - guess) & 255
-    head = struct.pack(">IIBBBBB", cols, rows, 8, 0, 0, 0, 0)
+    up[first] = 0
+    corner[:, 1:] = up[:, :-1]
+    yield np.zeros_like(wide)
+    yield left
+    yield up
+    yield (left + up) >> 1
+    yield _paeth(left, up, corner)
+
+
+def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of the three neighbours, the one nearest to left + up - corner; ties go in this order."""
+    to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    return np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+
+
+def filter_rows(samples: np.ndarray, first: np.ndarray, kind: int | None = None) -> np.ndarray:
+    """Each row's filter type and filtered samples; without a kind, each row takes the filter with the least sum of absolute differences."""
+    rows, cols = samples.shape
+    raw, least = np.empty((rows, cols + 1), np.uint8), np.full(rows, np.iinfo(np.int64).max)
+    for k, guess in enumerate(_guesses(samples, first)):
+        if kind in (None, k):
+            rest = (samples - guess).astype(np.uint8)
+            sums = np.abs(rest.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+            better = sums < least
+            least[better], raw[better, 0], raw[better, 1:] = sums[better], k, rest[better]
+    return raw
+
+
+def _png(raw: np.ndarray, level: int) -> bytes:
+    head = struct.pack(">IIBBBBB", raw.shape[1] - 1, raw.shape[0], 8, 0, 0, 0, 0)
     return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw.tobytes(), level)) + chunk(b"IEND", b"")
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """The samples of a grey 8-bit PNG without interlacing; every chunk's checksum is tested."""
+def encode_png(samples: np.ndarray, kind: int | None = None, level: int = 6) -> bytes:
+    """A grey 8-bit PNG of a 2-d uint8 array; kind: one filter type for all rows, else each row has its own."""
+    return _png(filter_rows(samples, np.zeros(1, np.int64), kind), level)
+
+
+def encode_pngs(images: list[np.ndarray], level: int = 6) -> list[bytes]:
+    """PNGs of images of one width, their rows filtered together."""
+    ends = np.cumsum([len(x) for x in images])
+    raw = filter_rows(np.concatenate(images), ends - [len(x) for x in images])
+    return [_png(x, level) for x in np.split(raw, ends[:-1])]
+
+
+def _parse(data: bytes) -> np.ndarray:
+    """The filter type and filtered samples of each row of a grey 8-bit PNG without interlacing; every chunk's checksum is tested."""
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, head, body, ended = 8, None, [], False
@@ -59,43 +90,67 @@ def decode_png(data: bytes) -> np.ndarray:
     if head is None or head[2:] != (8, 0, 0, 0, 0) or not ended:
         raise ValueError("only whole grey 8-bit images without interlacing are read")
     cols, rows = head[:2]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8).reshape(rows, cols + 1)
-    kinds, out = raw[:, 0], raw[:, 1:].copy()
-    if kinds.any():
-        _unfilter(kinds, out)
+    return np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8).reshape(rows, cols + 1)
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    return decode_pngs([data])[0]
+
+
+def decode_pngs(data: list[bytes]) -> list[np.ndarray]:
+    """The samples of PNGs; rows of images of one width are unfiltered together."""
+    raws = [_parse(x) for x in data]
+    out: list[np.ndarray] = [np.zeros((0, 0), np.uint8)] * len(raws)
+    by_width: dict[int, list[int]] = {}
+    for i, raw in enumerate(raws):
+        by_width.setdefault(raw.shape[1], []).append(i)
+    for same in by_width.values():
+        sizes = np.array([len(raws[i]) for i in same])
+        rows = unfilter(np.concatenate([raws[i] for i in same]), sizes)
+        for i, samples in zip(same, np.split(rows, np.cumsum(sizes)[:-1]), strict=True):
+            out[i] = samples
     return out
 
 
-def _unfilter(kinds: np.ndarray, out: np.ndarray) -> None:
-    """Sub and Up rows in whole-array sums; Average and Paeth sample by sample along a row."""
-    sub = kinds == 1
-    out[sub] = np.cumsum(out[sub], axis=1, dtype=np.uint64).astype(np.uint8)
-    row = 0
-    while row < len(kinds):
-        if kinds[row] == 2:
-            end = row
-            while end < len(kinds) and kinds[end] == 2:
-                end += 1
-            first = max(row - 1, 0)
-            out[first:end] = np.cumsum(out[first:end], axis=0, dtype=np.uint64).astype(np.uint8)
-            row = end
-            continue
-        if kinds[row] in (3, 4):
-            above = out[row - 1].astype(int) if row else np.zeros(out.shape[1], dtype=int)
-            left = corner = 0
-            for i, x in enumerate(out[row].tolist()):
-                up = int(above[i])
-                if kinds[row] == 3:
-                    guess = (left + up) >> 1
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = left if a <= b and a <= c else up if b <= c else corner
-                left, corner = (x + guess) & 255, up
-                out[row, i] = left
-        elif kinds[row] > 4:
-            raise ValueError(f"filter type {kinds[row]}")
-        row += 1
+def unfilter(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Samples of images (sizes rows each) under one another, from filter types and filtered samples.
+
+    A sample needs those to its left, above and between. So all samples of one
+    diagonal (row + column), of all images at once, are one step.
+    """
+    kinds, cols = raw[:, 0], raw.shape[1] - 1
+    if (kinds > 4).any():
+        raise ValueError(f"filter type {kinds.max()}")
+    first = np.cumsum(sizes) - sizes
+    row = np.arange(len(raw)) - np.repeat(first, sizes)
+    # a column of zeros on the left, a row of zeros at the end that stands above first rows
+    wide = np.zeros((len(raw) + 1, cols + 1), np.int16)
+    wide[:-1, 1:] = raw[:, 1:]
+    flat, place = wide.ravel(), np.arange(len(raw)) * (cols + 1)
+    above = np.where(row == 0, len(raw) * (cols + 1), place - (cols + 1))
+    todo, steps = [], 0
+    for kind in range(1, 5):
+        mine = np.flatnonzero(kinds == kind)
+        if len(mine):
+            mine = mine[np.argsort(row[mine], kind="stable")]
+            at = row[mine]
+            bounds = np.searchsorted(at, np.arange(int(at[-1]) + 2))
+            todo.append((kind, place[mine], above[mine], at, bounds))
+            steps = max(steps, int(at[-1]) + cols)
+    for step in range(steps):
+        for kind, place_, above_, at, bounds in todo:
+            lo, hi = bounds[min(max(step - cols + 1, 0), len(bounds) - 1)], bounds[min(step + 1, len(bounds) - 1)]
+            if lo == hi:
+                continue
+            col = step - at[lo:hi]
+            here = place_[lo:hi] + col
+            if kind == 1:
+                guess = flat[here]
+            else:
+                up = above_[lo:hi] + col
+                guess = flat[up + 1] if kind == 2 else (flat[here] + flat[up + 1]) >> 1 if kind == 3 else _paeth(flat[here], flat[up + 1], flat[up])
+            flat[here + 1] = (flat[here + 1] + guess) & 255
+    return wide[:-1, 1:].astype(np.uint8)
 
 
 def _basis(size: int, low: int) -> np.ndarray:
@@ -138,7 +193,7 @@ def encode_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 8 << 20):
             texts = as_bytes(batch.column("text"))
-            media = [encode_png(np.frombuffer(payload(x), dtype=np.uint8).reshape(-1, WIDTH), level=3) for x in texts]
+            media = encode_pngs([np.frombuffer(payload(x), dtype=np.uint8).reshape(-1, WIDTH) for x in texts], level=3)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, MEDIA)
@@ -150,11 +205,10 @@ FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256
 def read_media(media: DataFrame) -> DataFrame:
     """What the stored images hold: digests of payload and media, and the hash as a binary column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "media", 4 << 20):
             stored = [x or b"" for x in batch.column("media").to_pylist()]
             out: list[tuple] = []
-            for x in stored:
-                samples = decode_png(x)
+            for x, samples in zip(stored, decode_pngs(stored), strict=True):
                 data = samples.tobytes()
                 out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(x), hashlib.sha256(x).hexdigest(), cosine_hash(samples)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -167,8 +221,9 @@ def read_media(media: DataFrame) -> DataFrame:
 def text_media(docs: DataFrame) -> DataFrame:
     """Texts stored as PNG and read back, one row per document.
 
-    Null text: empty (one row of zeros). Null doc_id: kept. Repeated rows stay;
-    equal texts give equal values. Only doc_id and text are read, so other columns
+    Each row of an image has the filter with the least sum of absolute differences.
+    Null text: empty (one row of zeros). Very long texts: one image each, as any
+    other. Null doc_id: kept. Repeated rows stay; equal texts give equal values. Only doc_id and text are read, so other columns
     may have any name. Empty table: no rows.
     """
     return read_media(encode_texts(docs))

@@ -1,10 +1,12 @@
 import hashlib
+import math
+import statistics
 import zlib
 
 import numpy as np
 import pytest
 
-from gleanery.llm.media import cosine_hash, decode_png, encode_png, payload, text_media
+from gleanery.llm.media import cosine_hash, decode_png, decode_pngs, encode_png, encode_pngs, payload, text_media
 from gleanery.llm.suffix_dedup import cut_repeats, merge, pack, transform, unpack, window_minima, window_runs
 
 
@@ -117,15 +119,56 @@ def test_png_round_trip(kind, shape):
 def test_png_of_mixed_filters():
     samples = np.random.default_rng(9).integers(0, 256, (10, 8)).astype(np.uint8)
     raw = b"".join(zlib.decompress(encode_png(samples, k)[41 : 41 + int.from_bytes(encode_png(samples, k)[33:37], "big")])[9 * k * 2 : 9 * (k * 2 + 2)] for k in range(5))
-    whole = encode_png(samples)
+    whole = encode_png(samples, 0)
     from gleanery.llm.media import chunk
 
     mixed = whole[:33] + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
     assert (decode_png(mixed) == samples).all()
 
 
+def brute_samples(data):
+    """The samples of a PNG, one at a time by the rules of the format."""
+    width = int.from_bytes(data[16:20], "big")
+    raw, out, size = zlib.decompress(data[41 : 41 + int.from_bytes(data[33:37], "big")]), [], width + 1
+    for r in range(len(raw) // size):
+        kind, line, above, row = raw[r * size], raw[r * size + 1 : (r + 1) * size], out[-1] if out else [0] * width, []
+        for c, x in enumerate(line):
+            a, b, d = (row[c - 1], above[c], above[c - 1]) if c else (0, above[c], 0)
+            p = a + b - d
+            near = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d)))[2]
+            row.append((x + [0, a, b, (a + b) // 2, near][kind]) % 256)
+        out.append(row)
+    return out
+
+
+def brute_feature(rows):
+    """Means of 32 x 32 areas, their cosine terms by the sum, bits over the median of all but the first."""
+    areas = lambda n: [(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1)) for i in range(32)]
+    small = [[sum(rows[r][c] for r in range(*ys) for c in range(*xs)) / ((ys[1] - ys[0]) * (xs[1] - xs[0])) for xs in areas(len(rows[0]))] for ys in areas(len(rows))]
+    wave = [[math.cos(math.pi * k * (2 * i + 1) / 64) for i in range(32)] for k in range(8)]
+    terms = [sum(wave[u][i] * wave[v][j] * small[i][j] for i in range(32) for j in range(32)) for u in range(8) for v in range(8)]
+    middle = statistics.median(terms[1:])
+    return terms, middle
+
+
+def test_features_and_filters_by_brute_force(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(30).collect()] + ["", "a" * 500, "ab\n" * 900, "é" * 65]
+    images = [np.frombuffer(payload(t.encode()), np.uint8).reshape(-1, 64) for t in texts]
+    stored = encode_pngs(images)
+    kinds = set()
+    for data, image, back in zip(stored, images, decode_pngs(stored), strict=True):
+        assert data == encode_png(image) and (back == image).all()
+        assert brute_samples(data) == image.tolist()
+        kinds |= set(zlib.decompress(data[41 : 41 + int.from_bytes(data[33:37], "big")])[::65])
+    assert len(kinds) == 5
+    for image in images[:6]:
+        terms, middle = brute_feature(image.tolist())
+        bits = "".join(f"{x:08b}" for x in cosine_hash(image))
+        assert all(int(b) == (t > middle) for b, t in zip(bits, terms, strict=True) if abs(t - middle) > 1e-6)
+
+
 def test_bad_checksum():
-    data = bytearray(encode_png(np.zeros((4, 4), np.uint8)))
+    data = bytearray(encode_png(np.zeros((4, 4), np.uint8), 0))
     data[45] ^= 1
     with pytest.raises(ValueError):
         decode_png(bytes(data))
