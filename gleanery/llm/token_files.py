@@ -4,6 +4,9 @@ A shard file holds, little-endian: MAGIC, a JSON header's size (uint32) and the
 header, then the payload of raw ids (uint16 if all ids fit, else uint32), the keys
 in order, the first id of each key's row, and the index: a perfect hash of the keys
 with, per slot, a fingerprint and the place of the key's first row.
+
+The manifest has a row per file with its range of keys, so a key leads to one file
+and, by that file's index, to one slice of its payload.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pfs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import gather, mix64, pieces, shared_folder, split_words, stored
@@ -38,7 +41,7 @@ PIECE_BYTES, REMEMBERED = 6 << 20, 3_000_000
 #: Texts in which a space isn't surely the start of a word: after other white space, or at either end.
 ODD = "[\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}] |^ | $|^$"
 
-MANIFEST = "part int, path string, n_rows bigint, n_ids bigint"
+MANIFEST = "part int, path string, first_key bigint, last_key bigint, n_rows bigint, n_ids bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -127,10 +130,12 @@ def key_hash(keys: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard_bytes: int = SHARD_BYTES, added: bool = False) -> DataFrame:
     """Encodes whole texts and writes them in ascending doc_id order; returns the manifest.
 
-    Rows are range-partitioned by doc_id, a task writes one file in the shared
-    folder under a name of its own and moves it to the final name when whole, so a
-    task that runs again leaves the same file. Null doc_id: first. Null text: only
-    the end id. Repeated doc_ids stay apart, ordered by text. added: see Encoder.
+    Rows are range-partitioned by doc_id; a task writes one file in the shared folder
+    under a name that no other run of it has, and its manifest row names that file,
+    so a task that runs again leaves a file that nothing reads. Null doc_id: first
+    (first_key is null where a file has such rows). Null text: only the end id.
+    Repeated doc_ids stay apart, ordered by text, in one file. Very long texts: a
+    task encodes whole texts, PIECE_BYTES of them or one at a time. added: see Encoder.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "token-files")
@@ -142,11 +147,11 @@ def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard
         part = TaskContext.get().partitionId()
         encoder, keys, null, many, stream = None, [], [], [], None
         system, base = pfs.FileSystem.from_uri(folder)
-        final, temporary = f"{base}/part-{part:06d}.bin", f"{base}/tmp-{uuid.uuid4().hex}"
+        path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.bin"
         for batch in pieces(batches, "text", PIECE_BYTES):
             if stream is None:
                 system.create_dir(base, recursive=True)
-                encoder, stream = Encoder(shared.value, added), system.open_output_stream(temporary)
+                encoder, stream = Encoder(shared.value, added), system.open_output_stream(path)
                 wide = encoder.library.get_vocab_size() > 65_536 or (end_id or 0) > 65_535
                 kind = np.dtype("<u4" if wide else "<u2")
             ids, sizes = encoder.encode(batch.column("text").cast(pa.string()).fill_null(""))
@@ -171,71 +176,121 @@ def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard
             stream.write(np.ascontiguousarray(v).tobytes())
         stream.write(header + struct.pack("<I", len(header)) + MAGIC)
         stream.close()
-        system.move(temporary, final)
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": final, "n_rows": len(keys), "n_ids": int(many.sum())}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([None if null[0] else int(keys[0])], pa.int64()), pa.array([None if null[-1] else int(keys[-1])], pa.int64()), pa.array([len(keys)]), pa.array([int(many.sum())])], [f.split()[0] for f in MANIFEST.split(", ")])
 
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return stored(ordered.mapInArrow(run, MANIFEST).withColumn("folder", F.lit(folder)), "token-manifest")
 
 
 class Shard:
-    """One file, opened: ids of a key in constant time."""
+    """One file, opened: ids of a key in constant time. Sections are read when first asked for."""
 
     def __init__(self, folder: str, path: str) -> None:
         system, _ = pfs.FileSystem.from_uri(folder)
-        with system.open_input_file(path) as file:
-            data = file.read()
-        (size,) = struct.unpack_from("<I", data, len(data) - 12)
-        if data[-8:] != MAGIC:
+        self.file, self.held, self.bytes_read = system.open_input_file(path), {}, 0
+        size = self.file.size()
+        tail = self._read(max(0, size - 4096), min(size, 4096))
+        if tail[-8:] != MAGIC:
             raise ValueError(f"{path} is no id shard")
-        header = json.loads(data[-12 - size : -12])
-        self.ids = np.frombuffer(data, header["ids"], header["n_ids"])
-        at, self.part = self.ids.nbytes, {}
+        (length,) = struct.unpack("<I", tail[-12:-8])
+        header = json.loads(tail[-12 - length : -12] if length + 12 <= len(tail) else self._read(size - 12 - length, length))
+        self.kind, self.n_ids = np.dtype(header["ids"]), header["n_ids"]
+        self.place, at = {}, self.n_ids * self.kind.itemsize
         for name, kind, n in header["sections"]:
-            self.part[name] = np.frombuffer(data, kind, n, at)
-            at += self.part[name].nbytes
+            self.place[name] = (at, np.dtype(kind), n)
+            at += np.dtype(kind).itemsize * n
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.bytes_read += size
+        return self.file.read_at(size, at)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name not in self.held:
+            at, kind, n = self.place[name]
+            self.held[name] = np.frombuffer(self._read(at, n * kind.itemsize), kind)
+        return self.held[name]
+
+    def ids(self, first: int = 0, end: int | None = None) -> np.ndarray:
+        """The ids from first to end: a slice of the payload."""
+        end = self.n_ids if end is None else end
+        return np.frombuffer(self._read(first * self.kind.itemsize, (end - first) * self.kind.itemsize), self.kind)
 
     def rows(self, keys: np.ndarray, null: np.ndarray | None = None) -> np.ndarray:
         """The first row of each key; -1 for keys that aren't in the file."""
         hi, lo = key_hash(keys, np.zeros(len(keys), bool) if null is None else null)
-        slot = probe(self.part, hi, lo)
-        if not len(self.part["prints"]):
+        slot = probe({k: self[k] for k in ("sizes", "bits", "before")}, hi, lo)
+        if not len(self["prints"]):
             return np.full(len(keys), -1)
         at = np.maximum(slot, 0)
-        return np.where((slot >= 0) & (self.part["prints"][at] == hi), self.part["place"][at], -1)
+        return np.where((slot >= 0) & (self["prints"][at] == hi), self["place"][at], -1)
 
     def row_ids(self, row: int) -> np.ndarray:
-        return self.ids[self.part["starts"][row] : self.part["starts"][row + 1]]
+        return self.ids(int(self["starts"][row]), int(self["starts"][row + 1]))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document, from the files: where its ids start, how many, their crc32.
 
-    Each file's keys are looked up through its index. The driver adds up the ids of
-    the files (one manifest row per file); a task holds one file at a time.
+    Each file's keys are looked up through its index. A window over the manifest
+    (one row per file) adds up the ids before each; a task holds one file at a time.
     """
-    spark = manifest.sparkSession
-    files, base = sorted(manifest.collect(), key=lambda r: r["part"]), 0
-    listed = []
-    for r in files:
-        listed.append((r["part"], r["folder"], r["path"], base))
-        base += r["n_ids"]
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("part", "folder", "path", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
                 shard = Shard(file["folder"], file["path"])
-                keys, null, starts = shard.part["keys"], shard.part["null"].astype(bool), shard.part["starts"]
+                keys, null, starts, ids = shard["keys"], shard["null"].astype(bool), shard["starts"], shard.ids()
                 row = shard.rows(keys, null)
                 if (row < 0).any() or (keys[row] != keys).any():
                     raise ValueError(f"the index of {file['path']} misses keys")
                 # rows of a repeated key follow its first row
                 row = row + (np.arange(len(row)) - np.maximum.accumulate(np.where(row == np.arange(len(row)), row, 0)))
-                crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(starts[row].tolist(), starts[row + 1].tolist(), strict=True)]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(starts[row].tolist(), starts[row + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(starts[row] + file["base"]), pa.array(starts[row + 1] - starts[row]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    frame = spark.createDataFrame(listed, "part int, folder string, path string, base bigint")
-    return frame.repartition(max(1, len(listed)), "part").mapInArrow(run, ROWS)
+    return files.repartition(max(1, manifest.count()), "part").mapInArrow(run, ROWS)
+
+
+def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, ids of the rows of each key (doc_id) in keys; unknown keys give no rows.
+
+    The driver holds the first key of each file (8 bytes a file), by which keys are
+    dealt to files. A task then reads a file's index and, of its payload, the slices
+    of its keys. A repeated doc_id gives each of its rows; a null key those of null
+    doc_ids. A key asked for twice is answered once.
+    """
+    files = manifest.select("part", "folder", "path", "first_key").orderBy("part").collect()
+    if not files:
+        return keys.where("false").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.array().cast("array<bigint>").alias("ids"))
+    # files in the order of keys; the first one holds null keys, if any file does
+    low = np.array([np.iinfo(np.int64).min if i == 0 or r["first_key"] is None else r["first_key"] for i, r in enumerate(files)])
+    part = np.array([r["part"] for r in files], np.int32)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            at = np.where(null, 0, np.searchsorted(low, key, "right") - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part[at])], ["doc_id", "part"])
+
+    def read(file: pa.Table, asked: pa.Table) -> pa.Table:
+        out_keys, lists = [], []
+        if len(asked) and len(file):
+            shard = Shard(file["folder"][0].as_py(), file["path"][0].as_py())
+            keys = asked["doc_id"].combine_chunks()
+            key, null = keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False)
+            for k, no, row in zip(key.tolist(), null.tolist(), shard.rows(key, null).tolist(), strict=True):
+                while 0 <= row < len(shard["keys"]) and shard["keys"][row] == k and bool(shard["null"][row]) == no:
+                    out_keys.append(None if no else k)
+                    lists.append(shard.row_ids(row).astype(np.int64))
+                    row += 1
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        return pa.table({"doc_id": pa.array(out_keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
+
+    asked = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().mapInArrow(deal, "doc_id bigint, part int")
+    return manifest.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(read, "doc_id bigint, ids array<bigint>")
 
 
 def token_digests(docs: DataFrame, definition: str, end_id: int | None = 2) -> DataFrame:

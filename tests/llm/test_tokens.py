@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from gleanery.llm.sentencepiece_codec import Codec, decode_documents, encode_documents, load
-from gleanery.llm.token_files import Encoder, Shard, read_shards, token_digests, write_shards
+from gleanery.llm.token_files import Encoder, Shard, lookup, read_shards, token_digests, write_shards
 
 ODD = ["", " ", "  a  b   ", "\n\n x", "你好 世界", "a\tb\r\n", "x\xa0 y", "a 　b", "emoji 😀😀 é", "x" * 700, "    def f(x):\n        return x**2 + 1\n", "\x00\x01", "it's I'll a 's", "<|endoftext|> a<|endoftext|>", "a\x1c b!\x1c c", "a \nb\n c", "z", "<s> </s> <unk> <0x41>", "The quick brown fox, isn't it? https://example.com/a?b=c&d=e", "----====", "aaaaaaaaaaaaaaaaaaaaaab", "ABC!!! $$$ %%%", "qzjxkvQ" * 90 + " end", "héllo,wörld" * 60, "=" * 600]
 
@@ -110,7 +111,25 @@ def test_token_files(spark, definition):
     # keyed access, and keys that aren't there
     file = manifest.orderBy("part").first()
     shard = Shard(file["folder"], file["path"])
-    keys = np.array([*shard.part["keys"][-3:].tolist(), 10**12])
+    keys = np.array([*shard["keys"][-3:].tolist(), 10**12])
     found = shard.rows(keys)
-    assert found[3] == -1 and all(shard.part["keys"][r] == k for r, k in zip(found[:3], keys, strict=False))
+    assert found[3] == -1 and all(shard["keys"][r] == k for r, k in zip(found[:3], keys, strict=False))
+    asked = [7, 14, 500, 501, 501, -5, 100, 999, -10**15, None]
+    got = sorted((repr(r["doc_id"]), r["ids"]) for r in lookup(manifest, spark.createDataFrame([(k,) for k in asked], "doc_id long")).collect())
+    assert got == sorted((repr(i), [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t, _ in rows if i in asked)
+    assert lookup(manifest.limit(0), docs.select("doc_id")).count() == 0 and lookup(manifest, docs.select("doc_id").limit(0)).count() == 0
+
+
+def test_lookup_reads_slices(spark, definition):
+    docs = spark.createDataFrame([(i, f"words of document {i} " * 200) for i in range(300)], "doc_id long, text string")
+    file = write_shards(docs, definition).first()
+    size = os.path.getsize(file["path"])
+    shard = Shard(file["folder"], file["path"])
+    row = int(shard.rows(np.array([123]))[0])
+    assert shard["keys"][row] == 123 and len(shard.row_ids(row)) > 200
+    assert shard.bytes_read < size / 8
+
+
+def test_files_of_no_rows(spark, definition):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert token_digests(docs.limit(0), definition).count() == 0
