@@ -25,6 +25,12 @@ def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, "documents"))
 
 
+def new_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that docs has no column of, whatever the case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for n in (f"{w}{'_' * i}" for i in range(len(taken) + 1)) if n.lower() not in taken) for w in wanted]
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

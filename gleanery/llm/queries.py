@@ -104,7 +104,7 @@ FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
 """,
     "op1_mix_sources": r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS spot FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), r AS (
@@ -119,7 +119,7 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(most::DOUBLE, (SELECT level FROM m) * weight) AS target FROM l
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(size::VARCHAR) * 10 + substr(size::VARCHAR, 1, 1)::INT, substr(md5(doc_id::VARCHAR), 1, 2), doc_id) AS place FROM d
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(size::VARCHAR) * 10 + substr(size::VARCHAR, 1, 1)::INT, spot, doc_id) AS place FROM d
 ), c AS (
   SELECT n.*, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE t.target / t.source_size END AS rate,
     ('0x' || substr(md5('0:' || coalesce(n.source, chr(0) || 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u

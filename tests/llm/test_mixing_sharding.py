@@ -63,6 +63,28 @@ def test_mixture_and_reruns(docs):
     assert out.count() == mix(docs).agg(F.sum("copies")).first()[0]
 
 
+def test_columns_stay(docs):
+    """Columns named like those of the mix come back as they were."""
+    named = docs.select("doc_id", "text", "source", *[F.lit(f"own {c}").alias(c) for c in ("size", "source_size", "target", "copies", "taken", "row", "Row_", "n", "spot", "class", "cell")])
+    out = mixture(named)
+    assert out.columns == named.columns and out.count() == mixture(docs).count()
+    assert {tuple(r)[3:] for r in out.collect()} == {tuple(named.first())[3:]}
+
+
+def test_cells_do_not_matter(spark, monkeypatch):
+    """A hot source and null ids fall into many cells, and the choice is the same."""
+    from gleanery.llm import mixing
+
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("hot").alias("source"))
+    few = sorted(map(repr, mix(hot, cap=1).select("doc_id", "copies").collect()))
+    assert len(few) == 3000
+    wide = sorted(map(repr, mix(hot.union(hot.limit(0))).collect()))
+    monkeypatch.setattr(mixing, "CELL_ROWS", 2)
+    assert sorted(map(repr, mix(hot, cap=1).select("doc_id", "copies").collect())) == few and sorted(map(repr, mix(hot).collect())) == wide
+    cells = mixing._slim(hot).groupBy("key", "class", F.substring("spot", 1, 3)).count()
+    assert cells.agg(F.max("count")).first()[0] < 12
+
+
 def test_mix_of_nothing(docs):
     assert mix(docs.limit(0)).count() == 0 and mixture(docs.where("false")).count() == 0
 
