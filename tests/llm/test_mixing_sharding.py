@@ -116,6 +116,27 @@ def test_shards(docs, n):
     assert sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in again if r["doc_id"] != 1003) == sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in got if r["doc_id"] != 1003)
 
 
+@pytest.mark.parametrize(("n", "block_rows", "blocks"), [(3, 40, 4096), (5, 7, 4), (1, 10**6, 4096)])
+def test_the_deal_by_hand(spark, monkeypatch, n, block_rows, blocks):
+    """The rule in plain Python, over the hashes that Spark gives; a third of the rows has no id."""
+    from gleanery.llm import sharding
+
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(sharding, "MOST_BLOCKS", blocks)
+    docs = spark.range(500).select(F.when(F.col("id") % 3 > 0, F.col("id") % 200).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    n_blocks = min(blocks, math.ceil(500 / block_rows))
+    hashed = docs.select("text", F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(n_blocks)).alias("block"), F.xxhash64(F.lit(5), "doc_id", "text").alias("h1"), F.xxhash64(F.lit(6), "doc_id", "text").alias("h2")).collect()
+    by = {b: sorted((r["h1"], r["h2"], r["text"]) for r in hashed if r["block"] == b) for b in sorted({r["block"] for r in hashed})}
+    matrix = communication_matrix([len(v) for v in by.values()], [500 // n + (s < 500 % n) for s in range(n)], 4)
+    shards = collections.defaultdict(list)
+    for members, row in zip(by.values(), matrix, strict=True):
+        rest = iter(members)
+        for s, many in enumerate(row):
+            shards[s] += [(h2, h1, t) for h1, h2, t in (next(rest) for _ in range(many))]
+    want = sorted((t, s, i) for s, v in shards.items() for i, (_, _, t) in enumerate(sorted(v)))
+    assert sorted((r["text"], r["shard"], r["slot"]) for r in shard(docs, n, 4).collect()) == want
+
+
 def test_shards_are_uniform(spark):
     got = shard(spark.range(20_000).withColumnRenamed("id", "doc_id"), 10)
     table = got.groupBy("shard", F.expr("doc_id div 2000").alias("part")).count().collect()
