@@ -19,8 +19,8 @@ from gleanery.llm.common import as_bytes, pieces
 EMBED, WIDTH, STRIDE, LEARNED = 8, 6, 2, 16
 #: Windows in a chunk; neighbouring chunks share the bytes that windows reach over.
 CHUNK = 64
-#: Training takes at most so many rows of each label, lowest hash first, of texts up to so many bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 1000, 65_536
+#: Training takes at most so many rows of each label, lowest hash first, and of longer texts a window of so many characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 32_768
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 
 Model = dict[str, np.ndarray]
@@ -120,25 +120,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from a bounded sample of the labelled rows that aren't held out.
+def sample_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
+    """The texts and labels of training, in the order of doc_id.
 
-    The sample holds the SAMPLE_ROWS lowest hashes of each label, so it comes to
-    the driver; longer texts than SAMPLE_BYTES are left out of it (not of scoring).
+    They are the SAMPLE_ROWS lowest hashes of each label among rows that aren't held
+    out. A text of over SAMPLE_CHARS characters is seen through a window of so many,
+    at a place that a hash of its id picks. Of several labels of a document the
+    larger counts, of several texts the smaller; null ids and other labels than 0
+    and 1 are left out. Null text: empty.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     few = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for q in (0, 1)]
     sample = F.broadcast(few[0].union(few[1]))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], dtype=np.float32))
+    over = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    seen = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), over) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").select("doc_id", "quality", seen.alias("text"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from the bounded sample of sample_texts, which comes to the driver."""
+    sample = sample_texts(docs, labels)
+    return fit([t.encode() for t, _ in sample], np.array([q for _, q in sample], dtype=np.float32))
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier); an input column score is replaced.
 
-    Whole texts are read. Null text: empty, which has a score too. Empty table: no rows.
+    Whole texts are read, very long ones in chunks like any other. Null text: empty,
+    which has a score too. Null doc_id and repeated rows: scored like any row, equal
+    texts alike. Empty table: no rows.
     """
     rows = docs.drop("score")
     names = rows.columns
