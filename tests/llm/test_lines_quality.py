@@ -1,4 +1,5 @@
 import collections
+import math
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.line_dedup import drop_common_lines, line_key
 from gleanery.llm.perfect_hash import build, from_bytes, probe, to_bytes
-from gleanery.llm.quality import fit, held_out, score, score_documents, train
+from gleanery.llm.quality import CHUNK, EMBED, STRIDE, WIDTH, fit, held_out, score, score_documents, train
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
@@ -51,6 +52,31 @@ def test_lines(spark):
     assert drop_common_lines(docs, min_docs=2, min_chars=11).where("n_dropped > 0").count() == 14
 
 
+def test_many_shards(spark, monkeypatch):
+    """More shards than are held: every count is right, and each call reads only those that aren't held."""
+    from gleanery.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 100)
+    rows = [(i, "\n".join(f"line {j}" for j in range(i, i + 200))) for i in range(0, 4000, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = line_dedup.Index(line_dedup.build_index(docs))
+    assert index.n > 16
+    size = sum(x.nbytes for x in index.shard(0).values())
+    monkeypatch.setattr(line_dedup, "HELD_BYTES", 10 * size)
+    keys = [f"line {j}".encode() for j in range(5000)] * 2
+    hi, lo = line_dedup._hashes(keys)
+    want = [sum(k in r[1].encode().split(b"\n") for r in rows) for k in keys[:5000]] * 2
+    want = [n if n >= 2 else 0 for n in want]
+    reads = []
+    for _ in range(4):
+        before = index.reads
+        assert index.counts(hi, lo).tolist() == want
+        reads.append(index.reads - before)
+    assert max(reads[1:]) <= index.n - 8
+    got = drop_common_lines(docs, min_docs=2)
+    assert got.where("n_dropped = 200").count() == len(rows) - 2 and got.where("n_dropped = 100").count() == 2
+
+
 def samples(n, seed):
     rng = np.random.default_rng(seed)
     words = ["the", "river", "stone", "walks", "under", "quiet", "light"]
@@ -68,6 +94,44 @@ def test_classifier_learns():
     assert score(model, [("river stone " * 20_000 + "!!$$ " * 400).encode()])[0] < score(model, [("river stone " * 20_000).encode()])[0]
 
 
+def naive_score(model, text):
+    """The network of one text, window by window and filter by filter."""
+    filters = len(model["bias"])
+    windows = max(0, -(-(len(text) - WIDTH) // STRIDE)) + 1
+    data = text + b"\0" * ((windows - 1) * STRIDE + WIDTH - len(text))
+    pooled = []
+    for f in range(filters):
+        answers = []
+        for w in range(windows):
+            total = float(model["bias"][f])
+            for o in range(WIDTH):
+                for e in range(EMBED):
+                    total += float(model["embed"][data[w * STRIDE + o]][e]) * float(model["filter"][o * EMBED + e][f])
+            answers.append(total)
+        pooled.append([max(0.0, *answers[c : c + CHUNK]) for c in range(0, windows, CHUNK)])
+    inputs = [sum(p) / len(p) for p in pooled] + [max(p) for p in pooled]
+    return 1 / (1 + math.exp(-sum(x * float(w) for x, w in zip(inputs, model["out"], strict=True)) - float(model["out_bias"][0])))
+
+
+def test_scores_are_those_of_the_naive_network():
+    model = fit([t.encode() for t in samples(40, 1)[0]], samples(40, 1)[1])
+    texts = [b"", b"a", b"abcdef", b"abcdefg", "é ü 你".encode(), b"river stone walks " * 30, b"!!$$ " * 60]
+    assert np.allclose(score(model, texts), [naive_score(model, t) for t in texts], atol=1e-5)
+
+
+def test_long_and_conflicting_labels(spark):
+    """Long texts are learnt from by a window of them; of two labels of a document the larger counts."""
+    from gleanery.llm import quality
+
+    good, bad = "river stone walks under " * 5000, "rive!!$$ ston!!$$ " * 5000
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (3, 0)], "doc_id long, quality int")
+    sample = quality.sample_texts(docs, labels)
+    assert {len(t) for t, _ in sample} == {quality.SAMPLE_CHARS} and all(q == ("!" not in t) for t, q in sample)
+    model = train(docs, labels)
+    assert (score(model, [good.encode(), bad.encode()]) >= 0.5).tolist() == [True, False]
+
+
 def test_scores_of_odd_rows(spark):
     texts, labels = samples(60, 3)
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
