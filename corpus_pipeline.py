@@ -3,6 +3,14 @@
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and
 returns a DataFrame. run() writes each result as Parquet and reads it as the docs of
 the next.
+
+Every stage but the last returns the columns that docs has, as they are, also where
+an operator adds one of the same name; only line dedup changes text and, with it,
+n_chars. Nulls are allowed in any column: a null text is an empty one (line dedup
+makes it so), a null source is a source of its own, a document
+of null doc_id is as good as any other. Empty texts and ties: see the operators.
+Very long texts are read whole. Of rows equal in doc_id and text one stays. An
+empty table gives no rows, with the columns of the last stage.
 """
 
 from __future__ import annotations
@@ -12,19 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash
-from gleanery.llm.common import read_table, read_texts, stored
+from gleanery.llm.common import new_names, read_table, read_texts, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject (score of 0.5 or more)."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where("score >= 0.5").select(*docs.columns)
+    # the other columns travel in one, so that none is taken for the operator's
+    (row,) = new_names(docs, "row")
+    others = [c for c in docs.columns if c != "text"]
+    scored = quality.score_documents(docs.select(F.struct(*others).alias(row), "text"), model).where("score >= 0.5")
+    return scored.select(*["text" if c == "text" else F.col(row).getField(c).alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from every text; n_chars follows the text."""
-    kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    (row,) = new_names(docs, "row")
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    kept = line_dedup.drop_common_lines(docs.select(F.struct(*others).alias(row), "text"), min_docs=10, min_chars=1)
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return kept.select(*[own.get(c, F.col(row).getField(c).alias(c)) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
