@@ -80,35 +80,59 @@ def vectors(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return exploded.groupBy(*keys).agg(sums(F.col("element")).alias("vector"))
 
 
+#: Ranges at most: each has a value in one array that all tasks hold.
+MOST_RANGES = 65_536
+
+
+def _ranges(docs: DataFrame, rows_per_range: int) -> DataFrame:
+    """docs (doc_id, tie and more) with bucket, the range of each row in descending order of (doc_id, falling tie), nulls last; higher ranges come first.
+
+    Cuts are percentiles of doc_id, held in one array by a scalar subquery and looked
+    up in two steps. An id that several cuts share has so many ranges, by its tie;
+    null ids have ranges by their ties, below those of all others. The cuts stand beside each row, as functions
+    over arrays take no subquery.
+    """
+    counted = docs.agg(F.count("*").alias("all"), F.count("doc_id").alias("known")).first()
+    n = min(MOST_RANGES, max(n_shuffle(docs.sparkSession), math.ceil(counted["known"] / rows_per_range)))
+    coarse = max(1, math.isqrt(n))
+    steps = F.split(F.lit(",".join(str(i / n) for i in range(1, max(2, n)))), ",").cast("array<double>")
+    cuts = F.coalesce(F.percentile_approx("doc_id", steps, 10 * n), F.array().cast("array<bigint>"))
+    blocks = lambda c: F.transform(F.sequence(F.lit(0), F.lit((n - 1) // coarse)), lambda i: F.slice(c, i * coarse + 1, coarse))
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).agg(cuts.alias("cuts")).select(blocks(F.col("cuts")).alias("blocks"))
+    held = whole.select(F.struct("blocks", F.filter(F.transform("blocks", lambda b: F.try_element_at(b, F.lit(-1))), lambda x: x.isNotNull()).alias("tops")).alias("t")).scalar()
+    table = F.col("cuts")
+
+    def below(test) -> Column:
+        """The number of cuts that pass a test which only the lower ones pass."""
+        full = F.size(F.filter(table["tops"], test))
+        return full * coarse + F.size(F.filter(F.coalesce(F.get(table["blocks"], full), F.array().cast("array<bigint>")), test))
+
+    share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
+    low, same = below(lambda x: x < F.col("doc_id")), below(lambda x: x <= F.col("doc_id"))
+    spread = F.when(same - low > 1, same - low - 1 - F.least(F.floor(share * (same - low)), same - low - 1)).otherwise(F.lit(0))
+    nulls = max(1, math.ceil((counted["all"] - counted["known"]) / rows_per_range))
+    bucket = F.when(F.col("doc_id").isNull(), -1 - F.least(F.floor(share * nulls), F.lit(nulls - 1))).otherwise(low + spread)
+    return docs.select("*", held.alias("cuts")).select(*docs.columns, bucket.cast("bigint").alias("bucket"))
+
+
 def edit_likeness(docs: DataFrame, rows_per_range: int = 3000) -> DataFrame:
     """For each document: its fingerprint, that of its edited text, and two likenesses.
 
     The edited text is the text with its last third (floor of code points / 3)
     replaced by as many first code points of the next document by descending doc_id,
     the first following the last; of a shorter next document, all. Rows are dealt
-    into ranges of doc_id, within which the next row is a window's; the first row of
-    each range (one per range) is joined to the last row of the range before it.
+    into ranges of that order, within which the next row is a window's; the first row
+    of each range (one per range) is joined to the last row of the range before it.
     All later steps keep the dealing by range, so texts are shuffled once.
 
-    Null text: empty. Null doc_id: last. Equal doc_ids: ordered by a hash of their
-    texts. A single document follows itself. Empty table: no rows. Other columns
-    than doc_id and text are left out.
+    Null text: empty. Null doc_id: last, ordered by a hash of their texts, as equal
+    doc_ids are. Very long texts: one row each, whose elements are added up before
+    any shuffle. Repeated rows: each follows another. A single document follows
+    itself. Empty table: no rows. Other columns than doc_id and text are left out.
     """
-    spark, total = docs.sparkSession, docs.count()
-    n = min(65_536, max(n_shuffle(spark), math.ceil(total / rows_per_range)))
-    coarse = max(1, math.isqrt(n))
-    cuts = docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), 10 * n).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    # the number of cuts below the id, looked up in two short steps
-    groups = [cuts[i : i + coarse] for i in range(0, len(cuts), coarse)] or [[]]
-    tops = F.array(*[F.lit(g[-1]) for g in groups if g]).cast("array<bigint>")
-    fine = F.array(*[F.array(*[F.lit(x) for x in g]).cast("array<bigint>") for g in [*groups, []]])
-    first = F.size(F.filter(tops, lambda x: x < F.col("doc_id")))
-    bucket = first * coarse + F.size(F.filter(F.element_at(fine, first + 1), lambda x: x < F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket)
-
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select("doc_id", "text", bucket.alias("bucket"), F.xxhash64("text").alias("tie"))
+    base = base.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    base = _ranges(base, rows_per_range)
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
     rows = base.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
     firsts = rows.where("rn = 1").select(F.col("bucket").alias("h_bucket"), F.col("text").alias("h_text"))

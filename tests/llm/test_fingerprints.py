@@ -1,9 +1,13 @@
 import hashlib
+import math
+import re
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from gleanery.llm.fingerprints import combine, edit_likeness, likeness, vectors
+from gleanery.llm.fingerprints import HASHES, SHIFTS, as_text, combine, edit_likeness, likeness, vectors
 
 TEXTS = ["one line of words here\nand a second line\nthird", "and a second line\none line of words here\nthird", "", None, "x" * 40_000, "naïve é\r\n", "same text\nof two", "same text\nof two", "word " * 3000]
 
@@ -53,3 +57,52 @@ def test_likeness_follows_the_share(spark):
     first = v.where("k = 0").select(F.col("vector").alias("first"))
     got = [r["x"] for r in v.join(first).orderBy("k").select(likeness(F.col("first"), F.col("vector")).alias("x")).collect()]
     assert got[0] == 1.0 and 0.45 < got[1] < 0.85 and got[2] < got[1] and got[3] < 0.3
+
+
+def naive_vector(text):
+    """The number of elements and the 248 lanes of a text, by the rule."""
+    tile, found = re.compile(r"[^ \t\n\v\f\r]+(?:[ \t\n\v\f\r]+[^ \t\n\v\f\r]+){0,2}"), []
+    for paragraph in text.split("\n"):
+        found += [*tile.findall(paragraph), paragraph + "\n"]
+    lanes = [[0, 0] for _ in range(HASHES * SHIFTS)]
+    for x in found:
+        for k in range(HASHES):
+            h = xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(struct.pack("<i", k), 42))
+            for s in range(SHIFTS):
+                lanes[k * SHIFTS + s][0] += h >> s & 1
+                lanes[k * SHIFTS + s][1] += h >> (s + 31) & 1
+    return len(found), lanes
+
+
+def test_vectors_and_likeness_by_brute_force(spark):
+    texts = [*[t or "" for t in TEXTS[:4]], "naïve é\r\n", "one line of words here\nand a second line\nfourth", "a b c d e f g\n\n\na b c"]
+    v = vectors(spark.createDataFrame([*enumerate(texts)], "k int, text string"), ["k"])
+    got = {r["k"]: (r["vector"], r["t"]) for r in v.select("k", "vector", as_text(F.col("vector")).alias("t")).collect()}
+    naive = [naive_vector(t) for t in texts]
+    for k, (n, lanes) in enumerate(naive):
+        assert got[k][0] == [n, *[low + (high << 31) for low, high in lanes]]
+        assert got[k][1] == "".join(f"{high % 65536:04x}{low % 65536:04x}" for low, high in [(n, 0), *lanes])
+    pairs = v.alias("a").crossJoin(v.alias("b")).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), likeness(F.col("a.vector"), F.col("b.vector")).alias("x"))
+    for r in pairs.collect():
+        x, y = ([2 * z - n for pair in lanes for z in pair] for n, lanes in (naive[r["i"]], naive[r["j"]]))
+        norm = math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+        want = 1.0 if naive[r["i"]] == naive[r["j"]] else max(0.0, min(1.0, sum(a * b for a, b in zip(x, y, strict=True)) / norm)) if norm else 0.0
+        assert abs(r["x"] - want) < 1e-9
+
+
+@pytest.mark.parametrize("per_range", [1, 5, 1000])
+def test_hot_ids_are_split(spark, per_range):
+    """A third of the rows has no id, a third one and the same; each row follows the one that it should."""
+    from gleanery.llm.fingerprints import _ranges
+
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 9) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tied = docs.withColumn("tie", F.xxhash64("text"))
+    order = [r["text"] for r in tied.orderBy(F.col("doc_id").desc_nulls_last(), "tie").collect()]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted(r["edited_sha256"] for r in edit_likeness(docs, per_range).collect()) == want
+    ranges = _ranges(tied.select("doc_id", "tie"), per_range).withColumnRenamed("bucket", "r")
+    place = [r["r"] for r in ranges.orderBy(F.col("doc_id").desc_nulls_last(), "tie").collect()]
+    assert place == sorted(place, reverse=True)
+    if per_range == 5:
+        assert ranges.groupBy("r").count().agg(F.max("count")).first()[0] < 40
