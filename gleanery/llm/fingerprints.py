@@ -15,6 +15,7 @@ likeness.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,39 +81,38 @@ def vectors(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return exploded.groupBy(*keys).agg(sums(F.col("element")).alias("vector"))
 
 
-#: Ranges at most: each has a value in one array that all tasks hold.
+#: Ranges at most: each has a value in one constant array.
 MOST_RANGES = 65_536
 
 
 def _ranges(docs: DataFrame, rows_per_range: int) -> DataFrame:
     """docs (doc_id, tie and more) with bucket, the range of each row in descending order of (doc_id, falling tie), nulls last; higher ranges come first.
 
-    Cuts are percentiles of doc_id, held in one array by a scalar subquery and looked
-    up in two steps. An id that several cuts share has so many ranges, by its tie;
-    null ids have ranges by their ties, below those of all others. The cuts stand beside each row, as functions
-    over arrays take no subquery.
+    Cuts are percentiles of doc_id, MOST_RANGES at most, which come to the driver and
+    go out as one constant array, looked up in two steps. An id that several cuts
+    share has so many ranges, by its tie; null ids have ranges by their ties, below
+    those of all others.
     """
     counted = docs.agg(F.count("*").alias("all"), F.count("doc_id").alias("known")).first()
     n = min(MOST_RANGES, max(n_shuffle(docs.sparkSession), math.ceil(counted["known"] / rows_per_range)))
-    coarse = max(1, math.isqrt(n))
     steps = F.split(F.lit(",".join(str(i / n) for i in range(1, max(2, n)))), ",").cast("array<double>")
-    cuts = F.coalesce(F.percentile_approx("doc_id", steps, 10 * n), F.array().cast("array<bigint>"))
-    blocks = lambda c: F.transform(F.sequence(F.lit(0), F.lit((n - 1) // coarse)), lambda i: F.slice(c, i * coarse + 1, coarse))
-    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).agg(cuts.alias("cuts")).select(blocks(F.col("cuts")).alias("blocks"))
-    held = whole.select(F.struct("blocks", F.filter(F.transform("blocks", lambda b: F.try_element_at(b, F.lit(-1))), lambda x: x.isNotNull()).alias("tops")).alias("t")).scalar()
-    table = F.col("cuts")
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), steps, 10 * n).alias("cuts")).first()["cuts"] or []
+    coarse = max(1, math.isqrt(n))
+    groups = [cuts[i : i + coarse] for i in range(0, len(cuts), coarse)]
+    tops = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
+    blocks = F.from_json(F.lit(json.dumps([*groups, []])), "array<array<bigint>>")
 
     def below(test) -> Column:
         """The number of cuts that pass a test which only the lower ones pass."""
-        full = F.size(F.filter(table["tops"], test))
-        return full * coarse + F.size(F.filter(F.coalesce(F.get(table["blocks"], full), F.array().cast("array<bigint>")), test))
+        full = F.size(F.filter(tops, test))
+        return full * coarse + F.size(F.filter(F.get(blocks, full), test))
 
     share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
     low, same = below(lambda x: x < F.col("doc_id")), below(lambda x: x <= F.col("doc_id"))
     spread = F.when(same - low > 1, same - low - 1 - F.least(F.floor(share * (same - low)), same - low - 1)).otherwise(F.lit(0))
     nulls = max(1, math.ceil((counted["all"] - counted["known"]) / rows_per_range))
     bucket = F.when(F.col("doc_id").isNull(), -1 - F.least(F.floor(share * nulls), F.lit(nulls - 1))).otherwise(low + spread)
-    return docs.select("*", held.alias("cuts")).select(*docs.columns, bucket.cast("bigint").alias("bucket"))
+    return docs.select("*", bucket.cast("bigint").alias("bucket"))
 
 
 def edit_likeness(docs: DataFrame, rows_per_range: int = 3000) -> DataFrame:
