@@ -5,14 +5,18 @@ windows have equal ones. Neighbouring windows of a document that share it form a
 run, and runs are dealt out by it, so equal windows always meet in one bucket.
 
 1. Documents send each run's hash; a bucket tells which hashes several documents have.
-2. Documents send the bytes of those runs only (each distinct one once per task). In
-   a bucket, shards of runs get a Burrows-Wheeler transform each; the transforms are
-   merged by refining an interleave: after each pass, rows of the shards stand in the
-   order of two more bytes, and rows that agree so far keep a common number. At SIZE
-   bytes these are the intervals of common prefixes, without sorting all suffixes.
-   Windows of an interval whose least doc_id is smaller than their own are repeats.
-3. Documents get back the byte ranges of repeats and cut them out.
-
+2. Documents send the bytes of those runs only: each distinct one once per bin of
+   documents, with the least and the greatest doc_id that has it there. In a bucket,
+   shards of runs get a Burrows-Wheeler transform each; the transforms are merged by
+   refining an interleave: after each pass, rows of the shards stand in the order of
+   two more bytes, and rows that agree so far keep a common number. At SIZE bytes
+   these are the intervals of common prefixes, without sorting all suffixes. Every
+   window learns the least doc_id of its interval.
+3. A bin gets back these least doc_ids, once per distinct run, for the windows where
+   one is smaller than its greatest. Its documents compare them with their own doc_id
+   and cut the repeats out.
+
+So a passage costs a bucket one entry per bin, however many documents have it.
 Documents are shuffled once (both visits read the same exchange).
 """
 
@@ -24,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_bytes, mix64, n_shuffle, pieces
+from gleanery.llm.common import as_bytes, gather, mix64, n_shuffle, pieces
 
 SIZE, K = 50, 20
 #: Windows in a run at most; shards whose transforms are merged; a byte that no UTF-8 text has.
 MOST_WINDOWS, SHARDS, END = 200, 4, b"\xff"
-#: A bucket's runs are merged in so many parts, one after the other.
+#: A bucket's runs are merged in so many parts, each by itself.
 PARTS = 4
 LAST = np.iinfo(np.int64).max
 
@@ -205,6 +210,7 @@ def _reply_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _send_runs(buckets: int, bins: int, size: int):
+    """Rows of a part of a bucket: the distinct runs of a bin, their hashes, the least and greatest order of each."""
     short_bits = min(32, 64 - _bits(bins) - _bits(buckets))
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -214,43 +220,37 @@ def _send_runs(buckets: int, bins: int, size: int):
             wanted.append(np.uint64(int(x["bucket"][0]) << 32) | np.cumsum(x["h"], dtype=np.uint32).astype(np.uint64))
         wanted = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
         index: dict[bytes, int] = {}
-        found = {"bucket": [], "run": [], "order": [], "uid": [], "start": []}
-        inner: list[int] = []
+        hashes: list[int] = []
+        found_runs, found_orders = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for part in pieces(docs.to_batches(), "text", 1 << 20) if len(wanted) else []:
             texts = as_bytes(part.column("text"))
             text, first, many, h = window_runs(texts, size)
-            bucket = _bucket(h, buckets)
-            key = bucket.astype(np.uint64) << np.uint64(32) | h >> np.uint64(64 - short_bits)
+            key = _bucket(h, buckets).astype(np.uint64) << np.uint64(32) | h >> np.uint64(64 - short_bits)
             at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             take = np.flatnonzero(wanted[at] == key)
-            if not len(take):
-                continue
-            text, first, many, bucket, h = text[take], first[take], many[take], bucket[take], h[take]
             data = b"".join(texts)
             runs = []
-            for a, n, k in zip(first.tolist(), many.tolist(), (h // np.uint64(buckets) % np.uint64(PARTS)).tolist(), strict=True):
-                x = data[a : a + n + size - 1]
-                i = index.setdefault(x, len(index))
-                if i == len(inner):
-                    inner.append(k)
+            for a, n, k in zip(first[take].tolist(), many[take].tolist(), h[take].tolist(), strict=True):
+                i = index.setdefault(data[a : a + n + size - 1], len(index))
+                if i == len(hashes):
+                    hashes.append(k)
                 runs.append(i)
-            lens = np.array([len(t) for t in texts])
-            found["bucket"].append(bucket)
-            found["run"].append(np.array(runs))
-            found["order"].append(part.column("ordered").to_numpy()[text])
-            found["uid"].append(part.column("uid").to_numpy()[text])
-            found["start"].append(first - (np.cumsum(lens) - lens)[text])
+            found_runs.append(np.array(runs, np.int64))
+            found_orders.append(part.column("ordered").to_numpy()[text[take]])
         keys, blobs = [], []
         if index:
-            x = {k: np.concatenate(v) for k, v in found.items()}
-            order = np.lexsort((x["run"], x["bucket"]))
-            x = {k: v[order] for k, v in x.items()}
-            strings, inner = list(index), np.array(inner, np.uint8)
-            for k, a, b in _split(x["bucket"]):
-                own, run = np.unique(x["run"][a:b], return_inverse=True)
+            run_, order = np.concatenate(found_runs), np.concatenate(found_orders)
+            least, most = np.full(len(index), LAST), np.full(len(index), np.iinfo(np.int64).min)
+            np.minimum.at(least, run_, order)
+            np.maximum.at(most, run_, order)
+            strings, h = list(index), np.array(hashes, np.uint64)
+            home = _bucket(h, buckets) * PARTS + (h // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+            by = np.argsort(home, kind="stable")
+            for k, a, b in _split(home[by]):
+                own = by[a:b]
                 some = [strings[i] for i in own.tolist()]
                 keys.append(k)
-                blobs.append(pack(inner=inner[own], size=np.array([len(s) for s in some], np.uint16), bytes=np.frombuffer(b"".join(some), np.uint8), run=run.astype(np.uint32), order=x["order"][a:b], uid=x["uid"][a:b], start=x["start"][a:b].astype(np.uint32 if x["start"].max() < 1 << 32 else np.int64)))
+                blobs.append(pack(bin=docs.column("bin")[:1].to_numpy(), h=h[own], size=np.array([len(x) for x in some], np.uint16), bytes=np.frombuffer(b"".join(some), np.uint8), least=least[own], most=most[own]))
         return pa.Table.from_batches([_rows(keys, blobs, ("bucket", "blob"))])
 
     return run
@@ -397,58 +397,48 @@ def window_minima(strings: list[bytes], least: np.ndarray, size: int) -> tuple[n
     return out, begin
 
 
-def _find_repeats(bins: int, size: int):
+def _find_repeats(size: int):
+    """Rows of a bin: its runs (by two hashes), and of each the ranges of windows that begin in a document before its last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in (found for _, found in _groups(batches, "bucket")):
-            opened = [unpack(blob) for blob in blobs]
-            found = [x for inner in range(PARTS) if (x := one_part(opened, inner))]
-            if not found:
+        for _, blobs in _groups(batches, "bucket"):
+            index: dict[bytes, int] = {}
+            columns: dict[str, list[np.ndarray]] = {k: [] for k in ("string", "bin", "h", "least", "most")}
+            for blob in blobs:
+                x = unpack(blob)
+                ends, data = np.cumsum(x["size"], dtype=np.int64), memoryview(x["bytes"])
+                columns["string"].append(np.array([index.setdefault(bytes(data[a:b]), len(index)) for a, b in zip((ends - x["size"]).tolist(), ends.tolist(), strict=True)], np.int64))
+                columns["bin"].append(np.repeat(x["bin"], len(ends)))
+                for k in ("h", "least", "most"):
+                    columns[k].append(x[k])
+            string, home, h, own_least, most = (np.concatenate(v) for v in columns.values())
+            strings, least = list(index), np.full(len(index), LAST)
+            np.minimum.at(least, string, own_least)
+            smallest, begin = window_minima(strings, least, size)
+            # ranges of windows of a string with the same least order
+            new = np.ones(len(smallest), bool)
+            new[1:] = smallest[1:] != smallest[:-1]
+            new[begin] = True
+            first = np.flatnonzero(new)
+            ranges = np.append(np.searchsorted(first, begin), len(first))
+            entry = np.repeat(np.arange(len(string)), np.diff(ranges)[string])
+            which, _ = gather(np.arange(len(first)), ranges, string)
+            value = smallest[first[which]]
+            told = value < most[entry]
+            entry, which, value = entry[told], which[told], value[told]
+            if not len(entry):
                 continue
-            uid, start, many = (np.concatenate(v) for v in zip(*found, strict=True))
-            home = np.mod(uid, bins)
-            by = np.lexsort((start, uid, home))
-            home, uid, start, many = home[by], uid[by], start[by], many[by]
+            by = np.argsort(home[entry], kind="stable")
+            entry, which, value = entry[by], which[by], value[by]
+            offset, many = (first - np.repeat(begin, np.diff(ranges)))[which], np.diff(np.append(first, len(smallest)))[which]
+            prints = {i: xxhash.xxh3_64_intdigest(strings[i]) for i in np.unique(string[entry]).tolist()}
             keys, out = [], []
-            for k, x, y in _split(home):
+            for k, x, y in _split(home[entry]):
+                heads = np.flatnonzero(np.concatenate([[True], entry[x + 1 : y] != entry[x : y - 1]]))
+                own = entry[x:y][heads]
                 keys.append(k)
-                out.append(pack(uid=uid[x:y], start=start[x:y], size=many[x:y].astype(np.uint32)))
+                out.append(pack(h=h[own], print=np.array([prints[i] for i in string[own].tolist()], np.uint64), ranges=np.diff(np.append(heads, y - x)).astype(np.uint8), offset=offset[x:y].astype(np.uint8), many=many[x:y].astype(np.uint8), value=value[x:y]))
             yield _rows(keys, out, ("bin", "blob"))
 
-    def one_part(opened: list[dict[str, np.ndarray]], inner: int) -> tuple[np.ndarray, ...] | None:
-        """uid, place and size of the repeats that one part of a bucket shows."""
-        index: dict[bytes, int] = {}
-        runs, orders, uids, starts = [], [], [], []
-        for x in opened:
-            ends = np.cumsum(x["size"], dtype=np.int64)
-            data = memoryview(x["bytes"])
-            mine = np.flatnonzero(x["inner"] == inner)
-            number = np.full(len(ends), -1, np.int64)
-            number[mine] = [index.setdefault(bytes(data[a:b]), len(index)) for a, b in zip((ends - x["size"])[mine].tolist(), ends[mine].tolist(), strict=True)]
-            run = number[x["run"]]
-            here = run >= 0
-            runs.append(run[here])
-            orders.append(x["order"][here])
-            uids.append(x["uid"][here])
-            starts.append(x["start"][here].astype(np.int64))
-        if not index:
-            return None
-        run_, order, uid, start = (np.concatenate(v) for v in (runs, orders, uids, starts))
-        strings = list(index)
-        least = np.full(len(strings), LAST, np.int64)
-        np.minimum.at(least, run_, order)
-        smallest, begin = window_minima(strings, least, size)
-        many = np.array([len(s) - size + 1 for s in strings], np.int64)[run_]
-        entry = np.repeat(np.arange(len(run_)), many)
-        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        gone = smallest[begin[run_][entry] + inner] < order[entry]
-        if not gone.any():
-            return None
-        entry, inner = entry[gone], inner[gone]
-        new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (inner[1:] != inner[:-1] + 1)])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(entry)) - 1
-        return uid[entry[first]], start[entry[first]] + inner[first], inner[last] - inner[first] + size
-
     return run
 
 
@@ -457,25 +447,32 @@ def _find_repeats(bins: int, size: int):
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def _cut(digest_only: bool):
+def _cut(size: int, digest_only: bool):
     def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-        found = [unpack(b) for b in repeats.column("blob").to_pylist()]
-        uid, start, size = (np.concatenate([x[k] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in ("uid", "start", "size"))
-        order = np.argsort(uid, kind="stable")
-        uid, start, size = uid[order], start[order], size[order]
+        told = [unpack(b) for b in repeats.column("blob").to_pylist()]
+        h, prints, ranges, offset, many_, value = (np.concatenate([x[k] for x in told]) if told else np.zeros(0, np.uint64) for k in ("h", "print", "ranges", "offset", "many", "value"))
+        ranges = np.concatenate([[0], np.cumsum(ranges, dtype=np.int64)])
+        offset, many_ = offset.astype(np.int64), many_.astype(np.int64)
+        known = {pair: i for i, pair in enumerate(zip(h.tolist(), prints.tolist(), strict=True))}
+        h = np.unique(h)
         out = []
-        for part in pieces(docs.to_batches(), "text", 4 << 20):
+        for part in pieces(docs.to_batches(), "text", 1 << 20):
             texts = as_bytes(part.column("text"))
-            ids = part.column("uid").to_numpy()
             lens = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(lens)
             change = np.zeros(int(ends[-1]) + 1, np.int32)
-            lo, hi = np.searchsorted(uid, ids, "left"), np.searchsorted(uid, ids, "right")
-            many = hi - lo
-            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            base = np.repeat(ends - lens, many)
-            np.add.at(change, base + start[at], 1)
-            np.add.at(change, base + start[at] + size[at], -1)
+            if len(h):
+                text, first, many, own = window_runs(texts, size)
+                data = b"".join(texts)
+                maybe = np.flatnonzero(h[np.minimum(np.searchsorted(h, own), len(h) - 1)] == own)
+                run_ = np.array([known.get((k, xxhash.xxh3_64_intdigest(data[a : a + n + size - 1])), -1) for k, a, n in zip(own[maybe].tolist(), first[maybe].tolist(), many[maybe].tolist(), strict=True)], np.int64)
+                maybe, run_ = maybe[run_ >= 0], run_[run_ >= 0]
+                which, each = gather(np.arange(len(value)), ranges, run_)
+                at = np.repeat(maybe, each)
+                gone = value[which] < part.column("ordered").to_numpy()[text[at]]
+                start = first[at[gone]] + offset[which[gone]]
+                np.add.at(change, start, 1)
+                np.add.at(change, start + many_[which[gone]] + size - 1, -1)
             covered = np.cumsum(change[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(covered)])
             removed = total[ends] - total[ends - lens]
@@ -502,9 +499,11 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, digest_only: bool = False) ->
     with a smaller doc_id, both within their own document. kept holds what is left
     (its SHA-256 if digest_only).
 
-    Null text: empty. Texts shorter than size stay. Null doc_id: after all others,
-    and not before another null. Rows of one doc_id don't cut each other. Only doc_id
-    and text are read, so other columns may have any name. Empty table: no rows.
+    Null text: empty. Texts shorter than size stay. Very long texts are cut into runs
+    of MOST_WINDOWS windows, as all are. Null doc_id: after all others, and not before
+    another null. Rows of one doc_id don't cut each other. Only doc_id and text are
+    read, so other columns may have any name. Empty table: no rows. Runs are told
+    apart by 128 bits of hashes.
     """
     spark = docs.sparkSession
     parts = n_shuffle(spark)
@@ -513,11 +512,10 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, digest_only: bool = False) ->
     bins = parts
     if size % 2 or size < 16:
         raise ValueError("size must be even and 16 or more")
-    uid = F.xxhash64("doc_id", "text")
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("ordered"), F.coalesce("text", F.lit("")).alias("text"), uid.alias("uid"), F.pmod(uid, F.lit(bins)).cast("int").alias("bin"))
+    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("ordered"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(bins)).cast("int").alias("bin"))
     sent = base.select("bin", "text").mapInArrow(_send_hashes(parts, bins, size), "bucket int, blob binary")
     replies = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_reply_hashes, "bin int, blob binary")
     placed = base.repartition(parts, "bin")
     runs = placed.groupBy("bin").cogroup(replies.repartition(parts, "bin").groupBy("bin")).applyInArrow(_send_runs(parts, bins, size), "bucket int, blob binary")
-    repeats = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats(bins, size), "bin int, blob binary")
-    return placed.groupBy("bin").cogroup(repeats.repartition(parts, "bin").groupBy("bin")).applyInArrow(_cut(digest_only), RESULT)
+    repeats = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats(size), "bin int, blob binary")
+    return placed.groupBy("bin").cogroup(repeats.repartition(parts, "bin").groupBy("bin")).applyInArrow(_cut(size, digest_only), RESULT)

@@ -4,6 +4,7 @@ import statistics
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanery.llm.media import cosine_hash, decode_png, decode_pngs, encode_png, encode_pngs, payload, text_media
@@ -47,6 +48,24 @@ def test_repeats(spark, seed, size):
     assert sorted(map(repr, got)) == sorted(map(repr, brute(rows, size)))
 
 
+def test_a_passage_in_every_row(spark):
+    """What a bucket gets for a passage doesn't grow with the documents that have it."""
+    from gleanery.llm.suffix_dedup import _send_runs, unpack
+
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdefgh "), 400))
+    sent = []
+    for n in (20, 200):
+        docs = pa.table({"doc_id": np.arange(n), "ordered": np.arange(n), "text": [passage] * n, "bin": np.zeros(n, np.int32)})
+        h = window_runs([passage.encode()])[3]
+        short = np.unique(h >> np.uint64(64 - 32)).astype(np.uint32)
+        replies = pa.table({"blob": pa.array([pack(bucket=np.zeros(1, np.int32), h=np.diff(short, prepend=np.uint32(0)))], pa.binary())})
+        blobs = [unpack(b) for b in _send_runs(1, 1, 50)(docs, replies).column("blob").to_pylist()]
+        assert {x for b in blobs for x in b["least"].tolist()} == {0} and {x for b in blobs for x in b["most"].tolist()} == {n - 1}
+        sent.append(sum(len(b["size"]) for b in blobs))
+    assert sent[0] == sent[1] == len(set(h.tolist()))
+
+
 def test_digest_and_nothing(spark):
     docs = spark.createDataFrame([(2, "k" * 60), (1, "k" * 60)], "doc_id long, text string")
     got = {r["doc_id"]: bytes(r["kept"]) for r in cut_repeats(docs, digest_only=True).collect()}
