@@ -34,18 +34,61 @@ ODD = f"  |^ | $|^$|{SPACE}|[^ ]{{{LONG}}}"
 NONE = np.int64(-1)
 
 
+def _fields(message: bytes) -> dict[int, list]:
+    """The fields of a protocol buffer by number: whole numbers, or bytes."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            value = number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            value, at = message[at : at + size], at + size
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+# Field numbers and model types of the format.
+TRAINER, NORMALIZER, MODEL_TYPE, CHARSMAP, EXTRA_SPACES, ESCAPE, SUFFIX = 2, 3, 3, 2, 4, 5, 24
+UNIGRAM, BPE = 1, 2
+
+
 def load(path: str) -> dict:
-    """The pieces of a model file, as plain values that travel with the plan."""
+    """The pieces of a model file, as plain values that travel with the plan.
+
+    Unigram and BPE models are read; a model that rewrites characters, drops extra
+    spaces, doesn't mark spaces or marks them after words is refused, as it would be
+    encoded wrongly.
+    """
     import sentencepiece
 
-    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as file:
+        whole_file = file.read()
+    model = _fields(whole_file)
+    trainer, normalizer = (_fields(model[n][0]) if n in model else {} for n in (TRAINER, NORMALIZER))
+    kind = trainer.get(MODEL_TYPE, [UNIGRAM])[-1]
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"{path}: model type {kind} isn't supported")
+    if normalizer.get(CHARSMAP, [b""])[-1] or normalizer.get(EXTRA_SPACES, [1])[-1] or not normalizer.get(ESCAPE, [1])[-1] or trainer.get(SUFFIX, [0])[-1]:
+        raise ValueError(f"{path}: its normalization isn't supported")
+    p = sentencepiece.SentencePieceProcessor(model_proto=whole_file)
     n = p.get_piece_size()
     plain = [i for i in range(n) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
     whole = p.encode("a", out_type=str)[0].startswith(SPACE)
-    unigram = p.serialized_model_proto().find(b"\x18\x02") < 0 and p.get_score(plain[0]) % 1 != 0
     return {
         "pieces": [p.id_to_piece(i) for i in range(n)], "scores": [p.get_score(i) for i in range(n)], "plain": plain, "unknown": p.unk_id(),
-        "bytes": {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}, "prefix": whole, "unigram": unigram,
+        "bytes": {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}, "prefix": whole, "unigram": kind == UNIGRAM,
     }
 
 
@@ -284,8 +327,9 @@ def encode_documents(docs: DataFrame, model: dict, text: str = "text", ids: str
     """docs with the ids of each whole text and, if asked for, the text decoded from them.
 
     An input column of such a name is replaced. Null or empty text: no ids, decoded
-    to an empty text. U+2581 in a text reads as a space, as in the library. Empty
-    table: no rows.
+    to an empty text. U+2581 in a text reads as a space, as in the library. Very long
+    texts: whole, a piece of the work each. Null doc_id and repeated rows: rows like
+    any other. Empty table: no rows.
     """
     new = [ids, *([decoded] if decoded else [])]
     rows = docs.drop(*new)

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from gleanery.llm.sentencepiece_codec import Codec, decode_documents, encode_documents, load
+from gleanery.llm.sentencepiece_codec import Codec, _fields, decode_documents, encode_documents, load
 from gleanery.llm.token_files import Encoder, Shard, lookup, read_shards, token_digests, write_shards
 
 ODD = ["", " ", "  a  b   ", "\n\n x", "你好 世界", "a\tb\r\n", "x\xa0 y", "a 　b", "emoji 😀😀 é", "x" * 700, "    def f(x):\n        return x**2 + 1\n", "\x00\x01", "it's I'll a 's", "<|endoftext|> a<|endoftext|>", "a\x1c b!\x1c c", "a \nb\n c", "z", "<s> </s> <unk> <0x41>", "The quick brown fox, isn't it? https://example.com/a?b=c&d=e", "----====", "aaaaaaaaaaaaaaaaaaaaaab", "ABC!!! $$$ %%%", "qzjxkvQ" * 90 + " end", "héllo,wörld" * 60, "=" * 600]
@@ -66,6 +66,26 @@ def test_pieces_are_those_of_the_library(spark, model):
     assert [x.decode() for x in codec.decode(ids, many)] == texts
 
 
+def test_other_models_are_refused(tmp_path):
+    data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    field = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    number = lambda n, x: bytes([n << 3, x])
+    # later fields of a message count
+    for name, more in (("word", field(2, number(3, 3))), ("spaces", field(3, number(4, 1))), ("rewriting", field(3, field(2, b"x") + number(4, 0)))):
+        own = _fields(data)
+        parts = b"".join(_packed(1, x) for x in own[1][:300]) + more + (b"" if more[0] >> 3 == 2 else _packed(2, own[2][0])) + (b"" if more[0] >> 3 == 3 else _packed(3, own[3][0]))
+        (tmp_path / name).write_bytes(parts)
+        with pytest.raises(ValueError):
+            load(str(tmp_path / name))
+
+
+def _packed(n, body):
+    size, head = len(body), b""
+    while size > 127:
+        head, size = head + bytes([size & 127 | 128]), size >> 7
+    return bytes([n << 3 | 2]) + head + bytes([size]) + body
+
+
 def test_unigram_viterbi():
     names = ["<unk>", "▁", "a", "b", "ab", "▁ab", "ba", "c"]
     model = {"pieces": names, "scores": [0, -3.5, -2.0, -2.0, -3.0, -4.2, -3.1, -5.0], "plain": list(range(1, 8)), "unknown": 0, "bytes": {}, "prefix": True, "unigram": True}
