@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.sources.shared import shared_folder, spread, stored  # noqa: F401  (used from here)
+from gleanery.sources.shared import discard, shared_folder, spread, stored  # noqa: F401  (used from here)
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\f\r"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stored
+from gleanery.llm.common import discard, stored
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges: u, v of one orderable type; loops and repeats are allowed, nulls are left
     out. Rounds end when the table stays as it was; each is written to the shared
-    folder, so a lost executor costs one round. Groups are met by partial minima and
-    joins only, so a node with very many links isn't gathered anywhere.
+    folder, so a lost executor costs one round, and the one before it is deleted. Minima are taken before the shuffle;
+    in the join, the rows of a node with very many links are one key, which adaptive
+    execution splits (spark.sql.adaptive.skewJoin, on unless turned off).
     """
     table = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     table = stored(table, "links")
@@ -41,7 +42,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not mark[0]:
             break
-        table = stored(_small_star(_large_star(table)), "links")
+        before, table = table, stored(_small_star(_large_star(table)), "links")
+        discard(before)
         new = _mark(table)
         if new == mark:
             break

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_bytes, mix64, pieces, shared_folder, stored
+from gleanery.llm.common import as_bytes, mix64, new_names, pieces, shared_folder, stored
 from gleanery.llm.components import components
 
 #: Reference fingerprints.
@@ -245,10 +245,10 @@ def wide_limits(similarity: float) -> tuple[int, int]:
     return reach(64, 5.7), reach(64 * WORDS, 9.1)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text in order, how many each has, and a hash of each set."""
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The distinct shingle hashes of each text in order, how many each has, and a hash of 128 bits of each set."""
     sets = [np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in texts]
-    names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+    names = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array([len(s) for s in sets], np.int64), names
 
 
@@ -314,14 +314,19 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
     folder, and read those of surviving pairs.
 
     A shingle that a text repeats counts once. Texts with equal sets are one node
-    from the start. Null and empty texts: equal
-    texts without shingles. Null doc_id: last. Of rows equal in doc_id and text, one
-    stays. Columns stay as they are. Empty table: no rows.
+    from the start. Null and empty texts: equal texts without shingles. Very long
+    texts: whole. Null doc_id: last. Of rows of one doc_id, a hash of 128 bits over all
+    columns (but maps) decides, and of equal rows one stays. Columns stay as they are,
+    whatever their names. Empty table: no rows.
+
+    A task holds the rows of a band's group whole (some 200 bytes each) and compares
+    those that nothing ties yet with each other.
     """
     spark = docs.sparkSession
     limit, wide_limit = wide_limits(similarity)
-    own = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    rows = docs.select(F.col("doc_id").alias("id"), own.alias("uid"), F.col("text").alias("text"))
+    hashed = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
+    own = [F.xxhash64(F.lit(seed), *hashed) for seed in (0, 1)]
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(own[0].alias("a"), own[1].alias("b")).alias("uid"), F.col("text").alias("text"))
 
     folder = shared_folder(spark, "shingle-sets")
 
@@ -339,11 +344,11 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
             at += len(flat)
             wide, keys = sketches(flat, sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("uid"), pa.array(names.view(np.int64)), pa.array(np.full(len(sizes), file)), pa.array(places), pa.array(sizes), pa.array([w.tobytes() for w in wide], pa.binary()), lists], ["id", "uid", "node", "file", "at", "many", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("uid"), pa.array(names, pa.binary()), pa.array(np.full(len(sizes), file)), pa.array(places), pa.array(sizes), pa.array([w.tobytes() for w in wide], pa.binary()), lists], ["id", "uid", "node", "file", "at", "many", "wide", "keys"])
         if stream is not None:
             stream.close()
 
-    found = stored(rows.mapInArrow(sketch, "id bigint, uid bigint, node bigint, file bigint, at bigint, many bigint, wide binary, keys array<bigint>"), "sketches")
+    found = stored(rows.mapInArrow(sketch, "id bigint, uid struct<a: bigint, b: bigint>, node binary, file bigint, at bigint, many bigint, wide binary, keys array<bigint>"), "sketches")
     # an id that is null sorts last
     rank = F.struct(F.col("id").isNull().alias("no"), "id", "uid", "file", "at")
     nodes = found.groupBy("node", "many", "wide", "keys").agg(F.min(rank).alias("least"))
@@ -354,13 +359,15 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
         sets = Sets(folder)
         for batch in _whole_groups(batches):
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WORDS)
-            node = batch.column("node").to_numpy()
+            node = batch.column("node")
             alike = partial(sets.alike, *[batch.column(c).to_numpy() for c in ("file", "at", "many")], similarity)
-            pairs = node[_links(batch.column("key").to_numpy(), np.ascontiguousarray(wide[:, 0]), limit, wide, wide_limit, alike)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            pairs = _links(batch.column("key").to_numpy(), np.ascontiguousarray(wide[:, 0]), limit, wide, wide_limit, alike)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(pairs[:, 0])), node.take(pa.array(pairs[:, 1]))], ["u", "v"])
 
-    ties = components(dealt.mapInArrow(link, "u bigint, v bigint").distinct())
+    ties = components(dealt.mapInArrow(link, "u binary, v binary").distinct())
     named = nodes.select("node", "least").join(ties, F.col("node") == F.col("u"), "left").select("least", F.coalesce("v", "node").alias("root"))
-    keepers = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("__kept"))
-    kept = docs.withColumn("__uid", own).join(keepers, F.col("__uid") == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates(["__uid"]).drop("__uid")
+    keepers = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid.a").alias("k1"), F.col("least.uid.b").alias("k2"))
+    n1, n2, k1, k2 = new_names(docs, "u1", "u2", "k1", "k2")
+    marked = docs.select("*", own[0].alias(n1), own[1].alias(n2))
+    kept = marked.join(keepers.toDF(k1, k2), (F.col(n1) == F.col(k1)) & (F.col(n2) == F.col(k2)), "left_semi")
+    return kept.dropDuplicates([n1, n2]).drop(n1, n2)

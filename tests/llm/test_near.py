@@ -106,6 +106,14 @@ def test_one_of_each_group_stays(spark):
     assert keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_and_clashing_names(spark):
+    rows = [(i, f"{words_of(np.random.default_rng(i), 30)}", "c", {"m": 1}) for i in range(5)] + [(2, words_of(np.random.default_rng(2), 30), "d", None), (3, None, None, None), (3, "", None, None), (None, None, None, None), (4, words_of(np.random.default_rng(4), 30), "c", {"m": 1})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, u1 string, K1 map<string,int>")
+    runs = [sorted(map(repr, keep_one_of_each(docs.repartition(n)).collect())) for n in (1, 4, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 6
+    assert keep_one_of_each(docs).columns == docs.columns
+
+
 def words_of(rng, n):
     return " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
 
