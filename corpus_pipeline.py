@@ -2,7 +2,7 @@
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and
 returns a DataFrame. run() writes each result as Parquet and reads it as the docs of
-the next.
+the next; a table is deleted when the one after it is whole.
 
 Every stage but the last returns the columns that docs has, as they are, also where
 an operator adds one of the same name; only line dedup changes text and, with it,
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash
-from gleanery.llm.common import new_names, read_table, read_texts, stored
+from gleanery.llm.common import discard, new_names, read_table, read_texts, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_texts(spark, sf_dir)
+    docs, before = read_texts(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
