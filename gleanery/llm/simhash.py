@@ -28,6 +28,8 @@ from gleanery.llm.components import components
 PIVOTS = mix64(np.arange(16), 6)
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
+#: Rows of a key that are compared in one task; larger groups are compared in pairs of blocks of so many.
+GROUP_ROWS = 16_384
 
 
 def shingle_hashes(text: bytes, k: int) -> list[int]:
@@ -189,13 +191,31 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterat
         yield pa.concat_batches(held)
 
 
+def _bounded(dealt: DataFrame, node: str, most: int | None = None) -> DataFrame:
+    """dealt (key, node and more) with the rows of a key of over `most` rows dealt out again, each two of them still meeting.
+
+    Such a group is cut into blocks by a hash of the node, and each pair of blocks
+    becomes a key; so a task holds 2 * most rows, more or less, whatever the group.
+    The keys that are cut are few (one per `most` rows at most) and lie in a table,
+    which Spark broadcasts if it is small.
+    """
+    most = most or GROUP_ROWS
+    counted = dealt.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > most)
+    hot = stored(counted.select(F.col("key").alias("hot"), F.ceil(F.col("many") / most).cast("int").alias("blocks")), "hot-groups")
+    own = F.pmod(F.xxhash64(F.lit(3), node), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    joined = dealt.join(hot, F.col("key") == F.col("hot"), "left")
+    names = [c for c in dealt.columns if c != "key"]
+    return joined.select(*names, F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+
+
 def near_links(nodes: DataFrame, limit: int = 3, column: str = "fingerprint") -> DataFrame:
     """u, v: links of at most limit bits that tie together what such links tie together.
 
     nodes holds distinct fingerprints.
     """
     spark = nodes.sparkSession
-    dealt = nodes.select(F.col(column).alias("fp"), F.explode(_block_keys(F.col(column), limit)).alias("key"))
+    dealt = _bounded(nodes.select(F.col(column).alias("fp"), F.explode(_block_keys(F.col(column), limit)).alias("key")), "fp")
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +236,7 @@ def simhash_components(docs: DataFrame, k: int = 3, limit: int = 3) -> DataFrame
     table: no rows.
     """
     found = stored(fingerprint_documents(docs.select("doc_id", "text"), k), "fingerprints")
-    nodes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    nodes = stored(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
     links = components(near_links(nodes.select("fingerprint"), limit))
     named = nodes.join(links, F.col("fingerprint") == F.col("u"), "left").select("fingerprint", "least", F.coalesce("v", "fingerprint").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
@@ -319,8 +339,8 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
     columns (but maps) decides, and of equal rows one stays. Columns stay as they are,
     whatever their names. Empty table: no rows.
 
-    A task holds the rows of a band's group whole (some 200 bytes each) and compares
-    those that nothing ties yet with each other.
+    A task holds GROUP_ROWS rows of a band's group, or two blocks of so many of a larger
+    one (some 200 bytes a row), and compares those that nothing ties yet.
     """
     spark = docs.sparkSession
     limit, wide_limit = wide_limits(similarity)
@@ -348,12 +368,12 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
         if stream is not None:
             stream.close()
 
-    found = stored(rows.mapInArrow(sketch, "id bigint, uid struct<a: bigint, b: bigint>, node binary, file bigint, at bigint, many bigint, wide binary, keys array<bigint>"), "sketches")
+    found = rows.mapInArrow(sketch, "id bigint, uid struct<a: bigint, b: bigint>, node binary, file bigint, at bigint, many bigint, wide binary, keys array<bigint>")
     # an id that is null sorts last
     rank = F.struct(F.col("id").isNull().alias("no"), "id", "uid", "file", "at")
-    nodes = found.groupBy("node", "many", "wide", "keys").agg(F.min(rank).alias("least"))
+    nodes = stored(found.groupBy("node", "many", "wide", "keys").agg(F.min(rank).alias("least")), "nodes")
     # without shingles: one node, which links to none
-    dealt = nodes.where("many > 0").select("node", "wide", "least.file", "least.at", "many", F.explode("keys").alias("key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    dealt = _bounded(nodes.where("many > 0").select("node", "wide", "least.file", "least.at", "many", F.explode("keys").alias("key")), "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(folder)

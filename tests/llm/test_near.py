@@ -114,6 +114,26 @@ def test_rows_of_one_id_and_clashing_names(spark):
     assert keep_one_of_each(docs).columns == docs.columns
 
 
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    """Groups far over the bound give what they give whole; a task gets two blocks of one."""
+    from gleanery.llm import simhash
+
+    rng = np.random.default_rng(4)
+    passage = words_of(rng, 120)
+    # a passage that all share, so bands meet; half of them have a partner that is near
+    rows = [(i, f"{passage} {words_of(np.random.default_rng(i // 2 + 10), 60)} {'' if i % 4 == 1 else f'tail{i}'}") for i in range(120)]
+    docs = frame(spark, rows)
+    whole = [sorted(map(repr, x.collect())) for x in (keep_one_of_each(docs), simhash_components(docs, 3, 7))]
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 8)
+    assert [sorted(map(repr, x.collect())) for x in (keep_one_of_each(docs), simhash_components(docs, 3, 7))] == whole
+    assert 60 <= len(whole[0]) < 120
+    one = spark.range(200).select(F.col("id").alias("node"), F.lit(5).cast("long").alias("key"))
+    cut = simhash._bounded(one, "node")
+    assert cut.groupBy("key").count().agg(F.max("count")).first()[0] < 40
+    pairs = cut.alias("a").join(cut.alias("b"), "key").select("a.node", F.col("b.node").alias("other")).distinct()
+    assert pairs.count() == 200 * 200
+
+
 def words_of(rng, n):
     return " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
 
