@@ -22,6 +22,10 @@ NOT_TOKEN = "[^\\p{L}\\p{N}]+"
 SPACE = "\t\n\x0b\f\r \x85\xa0                　"
 #: Queries keep ASCII letters and digits, white space, Han and kana.
 NOT_SAFE = "[^a-zA-Z0-9\\s\\p{IsHan}\\p{IsKatakana}\\p{IsHiragana}]"
+#: Neighbouring Han characters, the last of a run (its pair stands before it), and one alone.
+HAN = "\\p{IsHan}"
+HAN_PAIRS = f"({HAN})(?=({HAN}))|(?<={HAN}){HAN}(?!{HAN})|({HAN})"
+# The pattern of an image in the text.
 IMAGE = "!\\[[^\\]]*\\]\\(data:image/[^;]+;base64,[^)]*\\)"
 TITLE_LINES = 20
 
@@ -32,9 +36,25 @@ def fold(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, MARKED, BARE))
 
 
+def segmented(text: Column) -> Column:
+    """Runs of Han characters cut to overlapping pairs, one alone as it is; all else as it is."""
+    return F.when(text.rlike(HAN), F.regexp_replace(text, HAN_PAIRS, " $1$2$3 ")).otherwise(text)
+
+
+def _analysed(text: Column, cut: bool) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    marked = F.translate(segmented(text) if cut else text, MARKED, BARE)
+    return F.array_remove(F.split(F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(marked)), NOT_TOKEN), "")
+
+
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, folded and lower-cased; null: none."""
-    return F.array_remove(F.split(F.lower(fold(text)), NOT_TOKEN), "")
+    """Runs of letters and digits, folded and lower-cased, Han characters in pairs; null: none."""
+    return _analysed(text, True)
+
+
+def whole_runs(text: Column) -> Column:
+    """As tokens, but a run of Han characters is one token."""
+    return _analysed(text, False)
 
 
 def safe(text: Column, folded: bool = True) -> Column:

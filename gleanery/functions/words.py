@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
 # Stop words of English and Chinese that queries leave out.
 STOP_WORDS = frozenset(
@@ -24,21 +24,19 @@ all each every both few more most other some such own same
 NOUN_TAGS = frozenset("n ng nr ns nt nz vn an nrt nrl nrfg".split())
 CONTENT_TAGS = frozenset("v vd vi vg vq adj adv a ag ad x".split())
 
-#: A small English lexicon of closed classes and frequent words; other words are unknown (x).
+#: Closed classes of English; other words are unknown (x) until a lexicon tells more.
 LEXICON = {
     **dict.fromkeys("a an the this that these those".split(), "det"),
     **dict.fromkeys("i me my we our you your he she it they them who whom which what".split(), "pron"),
     **dict.fromkeys("to of in for on with at by from about as into through after over between off".split(), "prep"),
     **dict.fromkeys("and but or if because so than then".split(), "conj"),
     **dict.fromkeys("is are was were be been being have has had do does did will would shall should can could may might must".split(), "aux"),
-    **dict.fromkeys("nation station notion document search engine index data text word query price phone time year day people system".split(), "n"),
-    **dict.fromkeys("run find make take use read write search tell know see want work call try ask need become leave put".split(), "v"),
-    **dict.fromkeys("new good great small large old high long little own other right big different next early young important few public worthless".split(), "adj"),
-    **dict.fromkeys("very also just now too only well even back still never really most often almost again".split(), "adv"),
 }
 
 MOST_TERMS = 256
-UNSAFE = re.compile("[^a-zA-Z0-9\\s\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufad9\u3041-\u309f\u30a0-\u30ff\u31f0-\u31ff]")
+UNSAFE = re.compile("[^a-zA-Z0-9\\s\U00020000-\U0003ffff\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufad9\u3041-\u309f\u30a0-\u30ff\u31f0-\u31ff]")
+#: Han characters.
+HAN = "\u2e80-\u2e99\u2e9b-\u2ef3\u2f00-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufa6d\ufa70-\ufad9\U00020000-\U0003ffff"
 #: Splits a query into (word, tag) pairs; users may bring their own, e.g. for Chinese.
 Tagger = Callable[[str], list[tuple[str, str]]]
 
@@ -48,14 +46,33 @@ def fold(text: str) -> str:
     return "".join(unicodedata.normalize("NFD", c)[0] if "\u00c0" <= c < "\u0250" and unicodedata.normalize("NFD", c)[0].isascii() else c for c in text)
 
 
+def cut(word: str) -> list[str]:
+    """As the indexed text is cut: runs of Han characters to overlapping pairs, one alone and all else as it is."""
+    out = []
+    for run in re.findall(f"[{HAN}]+|[^{HAN}]+", word):
+        out += [run[i : i + 2] for i in range(len(run) - 1)] if len(run) > 1 and re.match(f"[{HAN}]", run) else [run]
+    return out
+
+
 def words(query: str, folded: bool = True) -> list[str]:
-    return UNSAFE.sub(" ", fold(query) if folded else query).split()
+    return [part for word in UNSAFE.sub(" ", fold(query) if folded else query).split() for part in cut(word)]
+
+
+def tagger(lexicon: Mapping[str, str]) -> Tagger:
+    """Words with their tags by a lexicon of lower-case words; words it hasn't are unknown (x)."""
+    def tag(query: str) -> list[tuple[str, str]]:
+        return [(part, lexicon.get(part.lower(), "x")) for word in re.findall(f"[{HAN}]+|[^\\W{HAN}]+", query) for part in cut(word)]
+
+    return tag
+
+
+def read_lexicon(lines: Iterable[str]) -> dict[str, str]:
+    """A lexicon from lines of a word and its tag; lines of another form are left out, of two of a word the later counts."""
+    pairs = (line.split() for line in lines)
+    return {p[0].lower(): p[1] for p in pairs if len(p) == 2}
 
 
-def tag(query: str) -> list[tuple[str, str]]:
-    """Words with their tags by the lexicon; a run of Han characters is cut to single ones."""
-    found = re.findall("[\u4e00-\u9fff]|[^\\W\u4e00-\u9fff]+", query)
-    return [(w, LEXICON.get(w.lower(), "x")) for w in found]
+tag = tagger(LEXICON)
 
 
 def or_terms(query: str) -> list[str]:

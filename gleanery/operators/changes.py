@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +12,16 @@ def _same_path(a: str, b: str) -> Column:
     return (F.col(f"{a}.collection") == F.col(f"{b}.collection")) & (F.col(f"{a}.path") == F.col(f"{b}.path"))
 
 
+def _compared(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows of files (f) and catalog (c) side by side, with the action that takes one to the other."""
+    joined = files.alias("f").join(catalog.alias("c"), _same_path("f", "c"), "full_outer")
+    action = (
+        F.when(F.col("c.path").isNull(), "new").when(F.col("f.path").isNull(), "deleted").when(F.col("f.mtime") == F.col("c.mtime"), "unchanged")
+        .when(F.col("f.hash") == F.col("c.hash"), "touched").otherwise("changed")
+    )
+    return joined.withColumn("action", action)
+
+
 def diff(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """collection, path, action of every file or catalog row.
 
@@ -17,12 +29,8 @@ def diff(files: DataFrame, catalog: DataFrame) -> DataFrame:
     deleted, touched (same content, other time: the time is to be stored) and
     unchanged. Equal times are trusted; hashes decide only where they differ.
     """
-    joined = files.alias("f").join(catalog.alias("c"), _same_path("f", "c"), "full_outer")
-    action = (
-        F.when(F.col("c.path").isNull(), "new").when(F.col("f.path").isNull(), "deleted").when(F.col("f.mtime") == F.col("c.mtime"), "unchanged")
-        .when(F.col("f.hash") == F.col("c.hash"), "touched").otherwise("changed")
-    )
-    return joined.select(F.coalesce("f.collection", "c.collection").alias("collection"), F.coalesce("f.path", "c.path").alias("path"), action.alias("action"), F.col("c.mtime").alias("old_mtime"), F.col("f.mtime").alias("new_mtime"), F.col("c.hash").alias("old_hash"), F.col("f.hash").alias("new_hash"))
+    found = _compared(files, catalog)
+    return found.select(F.coalesce("f.collection", "c.collection").alias("collection"), F.coalesce("f.path", "c.path").alias("path"), "action", F.col("c.mtime").alias("old_mtime"), F.col("f.mtime").alias("new_mtime"), F.col("c.hash").alias("old_hash"), F.col("f.hash").alias("new_hash"))
 
 
 def change_log(changes: DataFrame) -> DataFrame:
@@ -36,25 +44,53 @@ def change_log(changes: DataFrame) -> DataFrame:
 
 
 def apply_to_catalog(catalog: DataFrame, files: DataFrame) -> DataFrame:
-    """The catalog after the changes: deleted rows gone, new and changed ones as the files are, times stored."""
-    gone = catalog.alias("c").join(files.alias("f"), _same_path("c", "f"), "left_anti")
-    kept = catalog.alias("c").join(gone.alias("g"), _same_path("c", "g"), "left_anti")
-    fresh = files.alias("f").join(kept.alias("k"), _same_path("f", "k"), "left_anti")
-    updated = kept.alias("k").join(files.alias("f"), _same_path("k", "f")).select(*[F.col(f"f.{c}") for c in catalog.columns])
-    return updated.unionByName(fresh.select(*catalog.columns))
+    """The catalog after the changes: deleted rows gone, new and changed ones as the files are, times of touched ones stored.
 
+    Unchanged rows stay as they are, also where a file of equal time has another
+    hash. Columns that only the catalog has are null in new rows and kept in others.
+    """
+    found = _compared(files, catalog).where("action <> 'deleted'")
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows replace those of the same keys, others are added; operation tells INSERT from UPDATE."""
-    known = table.select(*keys).distinct().withColumn("__known", F.lit(True))
-    marked = rows.join(known, keys, "left").withColumn("operation", F.when(F.col("__known"), "UPDATE").otherwise("INSERT")).drop("__known")
-    rest = table.join(rows.select(*keys), keys, "left_anti").withColumn("operation", F.lit(None).cast("string"))
-    return rest.unionByName(marked.select(*rest.columns))
+    def value(c: str) -> Column:
+        if c not in files.columns:
+            return F.col(f"c.{c}").alias(c)
+        from_file = F.col("action").isin("new", "changed", *(["touched"] if c == "mtime" else []))
+        return F.when(from_file, F.col(f"f.{c}")).otherwise(F.col(f"c.{c}")).alias(c)
 
+    return found.select(*[value(c) for c in catalog.columns])
 
-def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys the table hasn't; of rows with the same keys, the first by content."""
-    return rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
+
+def _one_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Of rows with the same keys, the first in order; what is left open, the values of all columns decide."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *[F.col(c) for c in rows.columns if c not in keys]))
+    return rows.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def _same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
+def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """rows replace those of the same keys (unique in table), others are added; operation tells INSERT from UPDATE.
+
+    Of incoming rows with the same keys the last by `order` counts (greatest first
+    where that leaves a choice). A null key is a key like any other. Rows that
+    nothing replaces have a null operation.
+    """
+    last = _one_of_each(rows, keys, [F.col(c).desc_nulls_last() for c in [*order, *[c for c in rows.columns if c not in keys and c not in order]]])
+    joined = table.withColumn("__old", F.lit(True)).alias("t").join(last.withColumn("__new", F.lit(True)).alias("r"), _same_keys("t", "r", keys), "full_outer")
+    new = F.col("r.__new").isNotNull()
+    operation = F.when(new & F.col("t.__old").isNotNull(), "UPDATE").when(new, "INSERT")
+    return joined.select(*[F.when(new, F.col(f"r.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in table.columns], operation.alias("operation"))
+
+
+def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The rows whose keys the table hasn't; of rows with the same keys, the first by `order`, then by the other columns."""
+    first = _one_of_each(rows, keys, [F.col(c) for c in order])
+    return first.alias("r").join(table.select(*keys).alias("t"), _same_keys("r", "t", keys), "left_anti")
 
 
 def delete_documents(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -66,15 +102,6 @@ def delete_documents(documents: DataFrame, chunks: DataFrame, vectors: DataFrame
     return documents.join(gone, "doc_id", "left_anti"), left_chunks, left_vectors, log
 
 
-def rename_collection(documents: DataFrame, old: str, new: str, column: str = "collection") -> DataFrame:
-    """Vectors and chunks take the collection from their document, so this is all."""
-    return documents.withColumn(column, F.when(F.col(column) == old, new).otherwise(F.col(column)))
-
-
-def remove_collection(documents: DataFrame, name: str, column: str = "collection") -> DataFrame:
-    return documents.where(F.col(column) != name)
-
-
 def missing_embeddings(documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Documents with a chunk that has no vector; collections whose names start with @ are left out."""
     bare = chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti").select("doc_id").distinct()

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import IMAGE as IMAGE_PATTERN
 from gleanery.functions.text import SPACE
 
 # The score of a place to cut at, by what starts there.
@@ -27,7 +28,7 @@ BREAKS = (
     ("\n(?:---|\\*\\*\\*|___)[\t\n\f\r ]*\n", 60),
     ("\n\n+", 20),
 )
-IMAGE = re.compile(r"!\[[^\]]*\]\(data:image/[^;]+;base64,[^)]*\)")
+IMAGE = re.compile(IMAGE_PATTERN)
 SENTENCE = "。！？.!?"
 DECAY, WINDOW = 0.7, 50
 

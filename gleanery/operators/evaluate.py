@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import path_matches
+
 
 def first_places(hits: DataFrame, key: str) -> DataFrame:
     """Each key of a query once, at its best rank, ranks counted anew."""
@@ -35,6 +37,31 @@ def metrics(hits: DataFrame, expected: DataFrame, key: str, ks: tuple[int, ...]
     )
 
 
+def relevant_paths(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, path, rank: hits (query_id, path, rank) under the name that expected (query_id, path) has for them.
+
+    A hit stands for an expected path that it equals or ends with after a slash,
+    scheme, case and leading ./ apart. Both sides meet on the query, then on the path.
+    """
+    asked = expected.select("query_id", F.col("path").alias("wanted"))
+    found = hits.join(asked, "query_id").where(path_matches(F.col("path"), F.col("wanted")))
+    return found.groupBy("query_id", F.col("wanted").alias("path")).agg(F.min("rank").alias("rank"))
+
+
+def path_metrics(hits: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (5, 10), depth: int = 10) -> DataFrame:
+    """metrics() with paths as keys, hits found by relevant_paths."""
+    return metrics(relevant_paths(hits, expected), expected, "path", ks, depth)
+
+
+def compare(backends: dict[str, DataFrame], expected: DataFrame, ks: tuple[int, ...] = (5, 10), depth: int = 10) -> DataFrame:
+    """backend, queries and the means of recall_at_k, mrr and hits of several searches' hits (query_id, path, rank), in one job."""
+    parts = [path_metrics(hits, expected, ks, depth).withColumn("backend", F.lit(name)) for name, hits in backends.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return means(whole, ["backend"], [*[f"recall_at_{k}" for k in ks], "mrr", "hits"])
+
+
 def means(per_query: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return per_query.groupBy(*by).agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in columns])
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import tokens
 from gleanery.operators import lexical
 
-#: Folders of postings; a query opens those of its terms.
-BUCKETS = 64
+#: Tokens of the corpus in a folder of postings, about; rows of the corpus whose postings of one term are one file's.
+BUCKET_TOKENS, SLICE_ROWS = 4_000_000, 1_000_000
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -23,49 +25,66 @@ class Index:
 
     path: str
     key: str = "doc_id"
-    buckets: int = BUCKETS
 
-    def write(self, corpus: DataFrame, text: str = "text") -> Index:
-        """postings (term, key, tf) in folders by term and sorted by it within files, and lengths.
+    def write(self, corpus: DataFrame, text: str = "text", analyse: lexical.Analyser = tokens) -> Index:
+        """postings (term, key, tf, length) in folders by term, sorted by it within files, and the statistics.
 
-        Counting a row's terms needs no text in the shuffle; the postings are dealt by
-        term and, within frequent terms, by key, so that no task holds a term.
+        Counting a row's terms needs no text in the shuffle. The numbers of folders and
+        of slices of a frequent term follow from the counts of the corpus, so that a
+        task's share stays the same.
         """
-        rows = lexical.postings(corpus, self.key, text).withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(4))).sortWithinPartitions("bucket", "term", self.key)
+        lexical.statistics(corpus, text, analyse).write.mode("overwrite").parquet(f"{self.path}/statistics")
+        rows, average = self.statistics(corpus.sparkSession).first()
+        buckets, slices = max(1, math.ceil(rows * (average or 0) / BUCKET_TOKENS)), max(1, math.ceil(rows / SLICE_ROWS))
+        counted = lexical.postings(corpus, self.key, text, analyse=analyse).withColumn("bucket", _bucket(F.col("term"), buckets))
+        dealt = counted.repartition(buckets * slices, "bucket", F.pmod(F.xxhash64(self.key), F.lit(slices))).sortWithinPartitions("bucket", "term", self.key)
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        lexical.lengths(corpus, self.key, text).write.mode("overwrite").parquet(f"{self.path}/lengths")
+        corpus.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{self.path}/layout")
         return self
 
-    def postings(self, spark: SparkSession, terms: tuple[str, ...] | None = None) -> DataFrame:
-        """All postings, or those of some terms: other folders and row groups aren't read."""
+    def statistics(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/statistics").select("rows", "average")
+
+    def postings(self, spark: SparkSession, terms: lexical.Terms | None = None) -> DataFrame:
+        """All postings, or those of some terms: of whole terms other folders aren't read, of any other row groups aren't."""
         rows = spark.read.parquet(f"{self.path}/postings")
         if terms is None:
             return rows.drop("bucket")
-        wanted = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(_bucket(F.col("t"), self.buckets).alias("b")).distinct().collect()
-        return rows.where(F.col("bucket").isin([r["b"] for r in wanted]) & F.col("term").isin(list(terms))).drop("bucket")
+        if terms.prefix:
+            found = F.lit(False)
+            for t in terms.distinct:
+                found = found | F.startswith("term", F.lit(t))
+            return rows.where(found).drop("bucket")
+        buckets = spark.read.parquet(f"{self.path}/layout").first()["buckets"]
+        wanted = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms.distinct])).alias("t")).select(_bucket(F.col("t"), buckets).alias("b")).distinct().collect()
+        return rows.where(F.col("bucket").isin([r["b"] for r in wanted]) & F.col("term").isin(list(terms.distinct))).drop("bucket")
 
-    def lengths(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/lengths")
+    def _has_postings(self, spark: SparkSession) -> bool:
+        return (self.statistics(spark).first()["average"] or 0) > 0
 
-    def search(self, spark: SparkSession, terms: lexical.Terms, limit: int = 5) -> DataFrame:
-        """key, raw_score, score of the top rows: one of `any` and all of `all`; no prefixes."""
-        if not terms.distinct:
-            return self.lengths(spark).where("false").select(self.key, F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("score"))
-        found, every = self.postings(spark, terms.distinct), self.lengths(spark)
-        stats = every.agg(F.count("*").cast("double").alias("rows"), F.avg("length").alias("average")).select(F.struct("rows", "average")).scalar()
+    def bm25(self, spark: SparkSession, terms: lexical.Terms, weight: float = 1.0, among: DataFrame | None = None) -> DataFrame:
+        """key, raw_score, score of the matching rows, or of those among some keys; statistics are always of all rows."""
+        if not terms.distinct or not self._has_postings(spark):
+            return spark.range(0).select(F.col("id").alias(self.key), F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("score"))
+        s = self.statistics(spark).select(F.struct("rows", "average")).scalar()
+        match = (lambda t: F.startswith("term", F.lit(t))) if terms.prefix else (lambda t: F.col("term") == t)
         # one row per key with its counts: the terms are few, so they are columns
-        tf = [F.max(F.when(F.col("term") == t, F.col("tf"))).cast("double").alias(f"f{i}") for i, t in enumerate(terms.distinct)]
-        df = found.agg(*[F.sum((F.col("term") == t).cast("double")).alias(f"d{i}") for i, t in enumerate(terms.distinct)])
-        counts = df.select(F.struct(*df.columns)).scalar()
-        rows = found.groupBy(self.key).agg(*tf).join(every, self.key).select("*", stats.alias("s"), counts.alias("d"))
-        for i, t in enumerate(terms.distinct):
-            rows = rows.where(F.col(f"f{i}").isNotNull()) if t in terms.all else rows
-        if terms.any and terms.all:
-            rows = rows.where(F.coalesce(*[F.col(f"f{terms.distinct.index(t)}") for t in dict.fromkeys(terms.any)]).isNotNull())
+        counts = [F.coalesce(F.sum(F.when(match(t), F.col("tf"))), F.lit(0)).cast("double").alias(f"f{i}") for i, t in enumerate(terms.distinct)]
+        rows = self.postings(spark, terms).groupBy(self.key, "length").agg(*counts)
+        df = rows.agg(*[F.sum((F.col(f"f{i}") > 0).cast("double")).alias(f"d{i}") for i in range(len(terms.distinct))])
+        d = df.select(F.struct(*df.columns)).scalar()
+        rows = rows if among is None else rows.join(among.select(self.key), self.key, "left_semi")
+        at = terms.distinct.index
+        for t in dict.fromkeys(terms.all):
+            rows = rows.where(F.col(f"f{at(t)}") > 0)
+        if terms.any:
+            rows = rows.where(F.greatest(*[F.col(f"f{at(t)}") for t in dict.fromkeys(terms.any)], F.lit(0.0)) > 0)
+        rows = rows.select("*", s.alias("s"), d.alias("d"))
         score = F.lit(0.0)
         for i, t in enumerate(terms.distinct):
-            part = (terms.any + terms.all).count(t) * lexical.idf(F.col("s")["rows"], F.col("d")[f"d{i}"]) * lexical.term_weight(F.col(f"f{i}"), F.col("length").cast("double"), F.col("s")["average"])
-            score = score + F.coalesce(part, F.lit(0.0))
-        scored = rows.select(self.key, score.alias("raw_score")).withColumn("score", lexical.squash(F.col("raw_score")))
-        return lexical.top(scored, limit, self.key)
+            part = (terms.any + terms.all).count(t) * lexical.idf(F.col("s")["rows"], F.col("d")[f"d{i}"]) * lexical.term_weight(F.col(f"f{i}"), F.col("length").cast("double"), F.col("s")["average"], weight)
+            score = score + F.when(F.col(f"f{i}") > 0, part).otherwise(0.0)
+        return rows.select(self.key, score.alias("raw_score")).withColumn("score", lexical.squash(F.col("raw_score")))
+
+    def search(self, spark: SparkSession, terms: lexical.Terms, limit: int = 5) -> DataFrame:
+        return lexical.top(self.bm25(spark, terms), limit, self.key)

@@ -7,8 +7,9 @@ time. A term in half of the rows or more has weight 1e-6.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 from gleanery.functions import words as W
 from gleanery.functions.text import tokens
 
+if TYPE_CHECKING:
+    from gleanery.operators.index import Index
+
+#: A text column as its tokens; queries must be cut alike.
+Analyser = Callable[[Column], Column]
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 STRATEGIES = ("pos-or", "pos-must", "pos-weight", "or", "and")
 
@@ -47,6 +53,13 @@ def terms_of(query: str, strategy: str = "pos-or", tagger: W.Tagger = W.tag) ->
     return Terms(any=tuple(W.or_terms(query)))
 
 
+def lexicon_tagger(lexicon: DataFrame, query: str) -> W.Tagger:
+    """A tagger for a query by a lexicon table (word, pos), of which only the query's words are fetched."""
+    wanted = sorted({w.lower() for w, _ in W.tag(query)})
+    found = lexicon.where(F.lower("word").isin(wanted)).select(F.lower("word").alias("word"), "pos").distinct().orderBy("word", "pos").collect() if wanted else []
+    return W.tagger(W.LEXICON | {r["word"]: r["pos"] for r in found})
+
+
 def idf(rows: Column, with_term: Column) -> Column:
     raw = F.ln((rows - with_term + 0.5) / (with_term + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
@@ -61,7 +74,7 @@ def squash(raw: Column) -> Column:
     return F.abs(raw) / (1 + F.abs(raw))
 
 
-def bm25(corpus: DataFrame, terms: Terms, text: str = "text", weight: float = 1.0, where: Column | None = None) -> DataFrame:
+def bm25(corpus: DataFrame, terms: Terms, text: str = "text", weight: float = 1.0, where: Column | None = None, analyse: Analyser = tokens) -> DataFrame:
     """Matching rows of corpus with raw_score and score (0 to 1).
 
     One pass counts each row's terms in a token array, without exploding it; the
@@ -73,7 +86,7 @@ def bm25(corpus: DataFrame, terms: Terms, text: str = "text", weight: float = 1.
 
     def counted(frame: DataFrame, *keep: str) -> DataFrame:
         # a one-row explode keeps the optimizer from pasting the analysis into every later use of its result
-        listed = frame.select(*keep, F.explode(F.array(tokens(F.col(text)))).alias("__tokens"))
+        listed = frame.select(*keep, F.explode(F.array(analyse(F.col(text)))).alias("__tokens"))
         match = lambda t: (lambda x: F.startswith(x, F.lit(t))) if terms.prefix else (lambda x: x == t)
         # lambdas keep the generated method small enough to be compiled
         tf = F.array(*[F.size(F.filter("__tokens", match(t))) for t in terms.distinct])
@@ -112,64 +125,86 @@ def tag_boost(query: str, snippet: Column, tagger: W.Tagger = W.tag) -> Column:
     return added
 
 
-def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0, strategy: str = "pos-or", where: Column | None = None, key: str = "doc_id", text: str = "text", tagger: W.Tagger = W.tag) -> DataFrame:
-    """The top rows of a query; lower scores than min_score leave after the limit, so fewer may be left."""
-    found = bm25(corpus, terms_of(query, strategy, tagger), text, 1.5 if strategy == "and" else 1.0, where)
+def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0, strategy: str = "pos-or", where: Column | None = None, key: str = "doc_id", text: str = "text", tagger: W.Tagger = W.tag, analyse: Analyser = tokens, index: Index | None = None) -> DataFrame:
+    """The top rows of a query; lower scores than min_score leave after the limit, so fewer may be left.
+
+    With an index of the corpus, only the postings of the query's terms are read, and
+    of the corpus the rows that are shown (and those that `where` lets through).
+    """
+    terms = terms_of(query, strategy, tagger)
+
+    def scored(weight: float) -> DataFrame:
+        if index is None:
+            return bm25(corpus, terms, text, weight, where, analyse)
+        return index.bm25(corpus.sparkSession, terms, weight, None if where is None else corpus.where(where).select(key))
+
+    found = scored(1.5 if strategy == "and" else 1.0)
     # with `and` the order is that of plain scores, the reported score has the weight
     if strategy == "and":
-        plain = bm25(corpus, terms_of(query, strategy, tagger), text, 1.0, where)
-        order = top(plain, limit, key).select(F.col(key).alias("__key"), F.col("raw_score").alias("__plain"))
-        found = found.join(F.broadcast(order), F.col(key) == F.col("__key")).drop("__key")
-        found = found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("__plain").desc(), key)) - 1).drop("__plain")
+        order = top(scored(1.0), limit, key).select(F.col(key).alias("__key"), F.col("raw_score").alias("__plain"))
+        found = found.join(order, F.col(key) == F.col("__key")).drop("__key")
     else:
         found = top(found, limit, key)
-        if strategy == "pos-weight":
-            found = found.withColumn("score", F.least(F.lit(1.0), F.col("score") + tag_boost(query, F.col(text), tagger)))
-        found = found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score" if strategy == "pos-weight" else "raw_score").desc(), key)) - 1)
+    if index is not None:
+        found = corpus.join(found, key).select(*corpus.columns, *[c for c in found.columns if c != key])
+    by = "__plain" if strategy == "and" else "raw_score"
+    if strategy == "pos-weight":
+        found, by = found.withColumn("score", F.least(F.lit(1.0), F.col("score") + tag_boost(query, F.col(text), tagger))), "score"
+    found = found.withColumn("rank", F.row_number().over(Window.orderBy(F.col(by).desc(), key)) - 1).drop("__plain")
     return found.where(F.col("score") >= min_score) if min_score > 0 else found
 
 
-# stored postings
+# postings
 
 
-def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, key, tf: the inverted index. Terms are counted within a row before any shuffle."""
-    exploded = corpus.select(F.col(key), F.explode(tokens(F.col(text))).alias("term"))
-    return exploded.groupBy("term", key).agg(F.count("*").alias("tf"))
+def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None, analyse: Analyser = tokens) -> DataFrame:
+    """term, key, tf, length (of the row): the inverted index, or its part for some terms (term).
+
+    Terms are counted within a task before any shuffle; those that aren't asked for
+    leave before that.
+    """
+    listed = corpus.select(F.col(key), F.explode(F.array(analyse(F.col(text)))).alias("__tokens"))
+    exploded = listed.select(key, F.size("__tokens").cast("long").alias("length"), F.explode("__tokens").alias("term"))
+    if terms is not None:
+        exploded = exploded.join(terms.select("term"), "term", "left_semi")
+    return exploded.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def lengths(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return corpus.select(F.col(key), F.size(tokens(F.col(text))).cast("long").alias("length"))
+def lengths(corpus: DataFrame, key: str = "doc_id", text: str = "text", analyse: Analyser = tokens) -> DataFrame:
+    return corpus.select(F.col(key), F.size(analyse(F.col(text))).cast("long").alias("length"))
+
+
+def statistics(corpus: DataFrame, text: str = "text", analyse: Analyser = tokens) -> DataFrame:
+    """One row: rows, average (length)."""
+    return corpus.select(F.size(analyse(F.col(text))).alias("length")).agg(F.count("*").cast("double").alias("rows"), F.avg("length").alias("average"))
+
+
+def query_words(queries: DataFrame) -> DataFrame:
+    """query_id, term: the distinct words (of over two bytes) of each query (query_id, query); without any, `test`."""
+    split = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("query", "[^\\w\\s]", " ")), "\\s+"), lambda w: F.octet_length(w) > 2))
+    return queries.select("query_id", F.explode(F.when(F.size(split) > 0, split).otherwise(F.array(F.lit("test")))).alias("term"))
 
 
 def rare_terms(queries: DataFrame, index: DataFrame, most: int = 5) -> DataFrame:
-    """query_id, term, df: each query's rarest words (of over two bytes), terms no row has first.
+    """query_id, term, df: each query's rarest words, terms no row has first.
 
-    queries: query_id, query. A query without such a word gets `test`.
+    queries: query_id, query. index: postings of the words of the queries at least.
     """
-    split = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("query", "[^\\w\\s]", " ")), "\\s+"), lambda w: F.octet_length(w) > 2))
-    words = queries.select("query_id", F.explode(F.when(F.size(split) > 0, split).otherwise(F.array(F.lit("test")))).alias("term"))
     counts = index.groupBy("term").agg(F.count("*").alias("df"))
-    known = words.join(counts, "term", "left").select("query_id", "term", F.coalesce("df", F.lit(0)).alias("df"))
+    known = query_words(queries).join(counts, "term", "left").select("query_id", "term", F.coalesce("df", F.lit(0)).alias("df"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
     return known.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def search_batch(queries: DataFrame, index: DataFrame, length: DataFrame, limit: int = 10, key: str = "doc_id") -> DataFrame:
+def search_batch(queries: DataFrame, index: DataFrame, stats: DataFrame, limit: int = 10, key: str = "doc_id") -> DataFrame:
     """query_id, key, raw_score, rank: the top rows of each query, all queries in one job.
 
-    queries: query_id, term, df. index: term, key, tf. The two sides meet on the
-    term; a query's rows are cut to the top ones by a window over its own matches.
+    queries: query_id, term, df. index: term, key, tf, length. stats: rows, average.
+    The two sides meet on the term; a query's rows are cut to the top ones by a window
+    over its own matches.
     """
-    stats = length.agg(F.count("*").cast("double").alias("rows"), F.avg("length").alias("average")).select(F.struct("rows", "average")).scalar()
-    met = index.join(queries, "term").join(length, key).select("*", stats.alias("s"))
+    met = index.join(queries, "term").select("*", stats.select(F.struct("rows", "average")).scalar().alias("s"))
     part = idf(F.col("s")["rows"], F.col("df").cast("double")) * term_weight(F.col("tf").cast("double"), F.col("length").cast("double"), F.col("s")["average"])
     scored = met.select("query_id", key, F.round(part, 9).cast("decimal(18,9)").alias("part")).groupBy("query_id", key).agg(F.sum("part").alias("raw_score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), key))
     return scored.withColumn("rank", place - 1).where(F.col("rank") < limit)
-
-
-def inverse_frequency(rows: int, with_term: int) -> float:
-    """The weight of a term as a plain number, for tests and reports."""
-    raw = math.log((rows - with_term + 0.5) / (with_term + 0.5))
-    return raw if raw > 0 else LEAST_IDF

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import words as W
 from gleanery.operators import fusion, lexical, vector
+from gleanery.operators.index import Index
 
 #: Put before a query, not before documents, when a query is embedded.
 QUERY_PREFIX = ""
 
 
-def keyword_search(corpus: DataFrame, query: str, limit: int = 0, min_score: float = 0.0, strategy: str = "pos-or", where: Column | None = None, **names: str) -> DataFrame:
-    return lexical.search(corpus, query, limit if limit > 0 else fusion.DEFAULT_LIMIT, min_score, strategy, where, **names)
+def keyword_search(corpus: DataFrame, query: str, limit: int = 0, min_score: float = 0.0, strategy: str = "pos-or", where: Column | None = None, index: Index | None = None, **options) -> DataFrame:
+    """By a scan of the corpus, or over its stored index; both give the same rows."""
+    return lexical.search(corpus, query, limit if limit > 0 else fusion.DEFAULT_LIMIT, min_score, strategy, where, index=index, **options)
 
 
 def vector_search(vectors: DataFrame, query: Column, limit: int = 0, min_score: float = 0.0, where: Column | None = None, **names: str) -> DataFrame:
@@ -38,11 +41,11 @@ def embed_query(text: str, embedder: vector.Embedder, prefix: str = QUERY_PREFIX
     return F.array(*[F.lit(float(x)) for x in embedder([prefix + text])[0]])
 
 
-def hybrid_search(corpus: DataFrame, vectors: DataFrame, query: str, query_vector: Column, limit: int = 0, min_score: float = 0.0, strategy: str = "pos-or", key: str = "doc_id", vector_key: str = "vec_id", text: str = "text") -> DataFrame:
+def hybrid_search(corpus: DataFrame, vectors: DataFrame, query: str, query_vector: Column, limit: int = 0, min_score: float = 0.0, strategy: str = "pos-or", key: str = "doc_id", vector_key: str = "vec_id", text: str = "text", index: Index | None = None, tagger: W.Tagger = W.tag) -> DataFrame:
     """key, score: both searches over-fetch, their ranks are fused, scores filtered, then limited; one job."""
     limit = limit if limit > 0 else fusion.DEFAULT_LIMIT
     fetch = fusion.overfetch(limit)
-    words = lexical.search(corpus, query, fetch, 0.0, strategy, key=key, text=text).select(key, "score")
+    words = lexical.search(corpus, query, fetch, 0.0, strategy, key=key, text=text, index=index, tagger=tagger).select(key, "score")
     near = vector.nearest(vectors, query_vector, fetch, key=vector_key).select(F.col(vector_key).alias(key), "score")
     lists = fusion.ranked(words, 0, key).unionByName(fusion.ranked(near, 1, key))
     return fusion.filter_and_limit(fusion.fuse(lists, key=key), min_score, limit, key)

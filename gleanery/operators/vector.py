@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a block, of queries as of vectors.
-BLOCK = 2048
+#: Rows in a block, of queries as of vectors; bytes of query vectors that are broadcast at once.
+BLOCK, GROUP_BYTES = 2048, 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,7 +54,9 @@ def nearest_batch(queries: DataFrame, vectors: DataFrame, limit: int, key: str =
 
     Queries and vectors are packed into blocks; each pair of blocks is one matrix
     product that keeps the best of each query, and the best of these are taken per
-    query. All vectors have one length; rows without one are left out.
+    query. Queries are broadcast in groups of GROUP_BYTES at most, each of which scans
+    the vectors once. All vectors have one length; rows without one are left out.
+    Keys are bigints.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,8 +68,14 @@ def nearest_batch(queries: DataFrame, vectors: DataFrame, limit: int, key: str =
                 order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 9)), axis=1)[:, :limit]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], ["query_id", key, "score"])
 
-    pairs = _blocks(queries, key, embedding, "q").crossJoin(_blocks(vectors, key, embedding, "v"))
-    found = pairs.mapInArrow(run, f"query_id bigint, {key} bigint, score double")
+    size = queries.agg(F.sum(F.size(embedding).cast("long") * 8 + 8)).first()[0] or 0
+    groups = max(1, math.ceil(size / (GROUP_BYTES // 2)))
+    stored, found = _blocks(vectors, key, embedding, "v"), None
+    for g in range(groups):
+        own = queries if groups == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(groups)) == g)
+        pairs = stored.crossJoin(F.broadcast(_blocks(own, key, embedding, "q")))
+        part = pairs.mapInArrow(run, f"query_id bigint, {key} bigint, score double")
+        found = part if found is None else found.unionAll(part)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key))
     return found.withColumn("rank", place - 1).where(F.col("rank") < limit)
 
@@ -77,14 +86,14 @@ TOKEN = re.compile("[⺀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-龎]|[^\\W_⺀
 
 def hash_embedding(text: str, dim: int = 64) -> np.ndarray:
     """Each token adds the bytes of its SHA-256, plus 1, to the group of 8 places that its first byte picks; then unit length."""
-    out = np.zeros(dim, np.float32)
+    out = np.zeros(dim)
     width = 8 if dim >= 8 else dim
     for token in TOKEN.findall(text):
         digest = np.frombuffer(hashlib.sha256(token.lower().encode()).digest(), np.uint8)
         base = int(digest[0]) % max(1, dim // 8) * width
-        out[base : base + width] += digest[:width].astype(np.float32) + 1
-    norm = np.float32(np.sqrt(np.dot(out, out)))
-    return out / norm if norm > 0 else out
+        out[base : base + width] += digest[:width].astype(np.float64) + 1
+    norm = np.sqrt(np.dot(out, out))
+    return (out / norm if norm > 0 else out).astype(np.float32)
 
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -111,7 +120,3 @@ def embed(rows: DataFrame, embedder: Embedder | None = None, dim: int = 64, text
 
     return rows.mapInArrow(run, schema)
 
-
-def padded(vector: Column, dim: int = 1024) -> Column:
-    """Brought to dim places: zeros at the end, or cut."""
-    return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, dim)

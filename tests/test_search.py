@@ -4,8 +4,9 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions import words
-from gleanery.operators import changes, evaluate, fusion, lexical, retrieve, vector
+from gleanery.functions import text, words
+from gleanery.operators import changes, collection, evaluate, fusion, ingest, lexical, retrieve, vector
+from gleanery.operators.index import Index
 
 TEXTS = ["the quick brown fox", "the lazy dog sleeps", "quick quick dog", "a café near the fox den", "nothing here at all", "dog dog dog fox"]
 
@@ -62,15 +63,66 @@ def test_query_terms():
     assert words.or_terms("The quick é a fox the 字 AND") == ["The", "quick", "fox", "AND"] or "字" in words.or_terms("字")
     assert "字" in words.or_terms("字") and words.tagged_terms("字") == ([], [])
     assert len(words.STOP_WORDS) > 150 and len(words.or_terms("word " * 300)) == 256
-    nouns, others = words.must_terms(" ".join(["nation"] * 300 + ["run"] * 100))
+    tagger = words.tagger(words.read_lexicon(["nation n", "run v", "", "a b c"]))
+    nouns, others = words.must_terms(" ".join(["Nation"] * 300 + ["run"] * 100), tagger)
     assert (len(nouns), len(others)) == (192, 64)
+    assert words.must_terms("nation", words.tag) == ([], ["nation"])
+
+
+def test_lexicon_table(spark):
+    rows = spark.createDataFrame([("Fox", "n"), ("quick", "adj"), ("unasked", "n")], "word string, pos string")
+    tagger = lexical.lexicon_tagger(rows, "the quick fox jumps")
+    assert tagger("the quick fox jumps") == [("the", "det"), ("quick", "adj"), ("fox", "n"), ("jumps", "x")]
+    assert lexical.lexicon_tagger(rows, "")("") == []
+
+
+def test_han_text_is_cut_on_both_sides(spark):
+    texts = ["搜索引擎", "全文搜索 engine", "引擎abc搜", "无关的字", "搜 索", "plain words"]
+    corpus = spark.createDataFrame([*enumerate(texts, 1)], "doc_id long, text string")
+    found = lambda q, **o: {r["doc_id"] for r in lexical.search(corpus, q, 9, **o).collect()}
+    assert found("搜索") == {1, 2} and found("搜索引擎") == {1, 2, 3} and found("搜") == {3, 5}
+    assert found("engine") == {2} and found("abc") == {3}
+    assert found("搜索引擎", strategy="pos-must", tagger=words.tagger({"搜索": "n", "引擎": "n"})) == {1}
+    assert found("搜索", strategy="and") == {1, 2}
+    whole = corpus.select(text.whole_runs(F.col("text")).alias("ts")).first()["ts"]
+    assert whole == ["搜索引擎"] and words.cut("搜索引擎") == ["搜索", "索引", "引擎"]
+    for query in ("搜索引擎", "x字y naïve 搜索"):
+        assert corpus.limit(1).select(text.tokens(F.lit(query)).alias("ts")).first()["ts"] == [w.lower() for w in words.words(query)]
+
+
+@pytest.mark.parametrize("strategy", lexical.STRATEGIES)
+@pytest.mark.parametrize("query", ["quick dog", "the fox near", "qu do", "absent"])
+def test_index_gives_what_the_scan_gives(spark, corpus, tmp_path_factory, strategy, query):
+    index = Index(str(tmp_path_factory.mktemp("index"))).write(corpus)
+    for where in (None, F.col("doc_id") > 2):
+        scan, stored = (sorted(map(repr, retrieve.keyword_search(corpus, query, 4, strategy=strategy, where=where, index=i).withColumn("score", F.round("score", 9)).drop("raw_score").collect())) for i in (None, index))
+        assert scan == stored
+
+
+def test_index_of_nothing(spark, corpus, tmp_path):
+    index = Index(str(tmp_path / "none")).write(corpus.limit(0))
+    assert retrieve.keyword_search(corpus.limit(0), "quick dog", index=index).count() == 0
+
+
+def test_index_slices(spark, tmp_path, monkeypatch):
+    """A frequent term is dealt over as many files as the counts ask for, and found whole."""
+    from gleanery.operators import index as module
+
+    monkeypatch.setattr(module, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(module, "SLICE_ROWS", 100)
+    corpus = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id").cast("string")).alias("text"))
+    index = Index(str(tmp_path / "many")).write(corpus)
+    assert index.bm25(spark, lexical.Terms(any=("common",))).count() == 1000
+    assert index.postings(spark, lexical.Terms(any=("common",))).select(F.input_file_name()).distinct().count() > 4
 
 
 def test_batch_equals_single(spark, corpus):
-    index, length = lexical.postings(corpus), lexical.lengths(corpus)
+    index = lexical.postings(corpus)
+    some = lexical.postings(corpus, terms=spark.createDataFrame([("quick",), ("zebra",)], "term string"))
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, index.where("term = 'quick'").collect()))
     asked = lexical.rare_terms(spark.createDataFrame([(7, "quick dog zebra")], "query_id long, query string"), index)
     assert {r["term"]: r["df"] for r in asked.collect()} == {"quick": 2, "dog": 3, "zebra": 0}
-    got = {r["doc_id"]: float(r["raw_score"]) for r in lexical.search_batch(asked, index, length).collect()}
+    got = {r["doc_id"]: float(r["raw_score"]) for r in lexical.search_batch(asked, index, lexical.statistics(corpus)).collect()}
     want = {r["doc_id"]: r["raw_score"] for r in lexical.bm25(corpus, lexical.Terms(any=("quick", "dog", "zebra"))).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
@@ -106,6 +158,15 @@ def test_nearest_batch_is_nearest(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_query_groups_do_not_matter(spark, monkeypatch):
+    rows = [(i, [float((i * 5 + j * j) % 13 - 6) for j in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    near = lambda: sorted(map(repr, vector.nearest_batch(v, v, 3).drop("score").collect()))
+    one = near()
+    monkeypatch.setattr(vector, "GROUP_BYTES", 1000)
+    assert near() == one and len(one) == 180
+
+
 def test_changes(spark):
     kind = "collection string, path string, mtime long, hash string"
     files = spark.createDataFrame([("c", "same", 1, "a"), ("c", "touched", 2, "b"), ("c", "changed", 2, "x"), ("c", "new", 1, "n"), ("c", "zero", 5, "z")], kind)
@@ -114,8 +175,68 @@ def test_changes(spark):
     assert {r["path"]: r["action"] for r in found.collect()} == {"same": "unchanged", "touched": "touched", "changed": "changed", "new": "new", "gone": "deleted", "zero": "touched"}
     log = [(r["path"], r["operation"]) for r in changes.change_log(found).orderBy("path", "step").collect()]
     assert log == [("changed", "DELETE"), ("changed", "INSERT"), ("gone", "DELETE"), ("new", "INSERT"), ("touched", "UPDATE"), ("zero", "UPDATE")]
-    after = {r["path"]: (r["mtime"], r["hash"]) for r in changes.apply_to_catalog(old, files).collect()}
-    assert after == {r["path"]: (r["mtime"], r["hash"]) for r in files.collect()}
+    after = {r["path"]: (r["mtime"], r["hash"], r["note"]) for r in changes.apply_to_catalog(old.withColumn("note", F.lit("kept")), files).collect()}
+    # of equal times, the catalog's hash stays
+    assert after == {"same": (1, "other", "kept"), "touched": (2, "b", "kept"), "changed": (2, "x", "kept"), "new": (1, "n", None), "zero": (5, "z", "kept")}
+
+
+def test_upsert_and_ignore(spark):
+    kind = "k string, v int, t int"
+    table = spark.createDataFrame([("a", 1, 0), ("b", 2, 0), (None, 3, 0)], kind)
+    rows = spark.createDataFrame([("a", 5, 1), ("a", 4, 2), ("c", 7, 1), ("c", 9, 1), (None, 8, 1)], kind)
+    got = sorted(map(repr, map(tuple, changes.upsert(table, rows, ["k"], ["t"]).collect())))
+    assert got == sorted(map(repr, [("a", 4, 2, "UPDATE"), ("b", 2, 0, None), (None, 8, 1, "UPDATE"), ("c", 9, 1, "INSERT")]))
+    assert [tuple(r) for r in changes.insert_or_ignore(table, rows, ["k"], ["t"]).collect()] == [("c", 7, 1)]
+
+
+def test_collections(spark):
+    empty = spark.createDataFrame([], collection.COLLECTIONS)
+    docs = spark.createDataFrame([(1, "notes"), (2, "notes"), (3, "@sys")], "doc_id long, collection string")
+    known = collection.add(collection.add(empty, "notes", "/data/notes", exists=lambda _: True), "other", "/tmp", "*.md", ["x"])
+    for name, path, error in (("", "/tmp", ValueError), ("@me", "/tmp", ValueError), ("new", "tmp", ValueError), ("new", "/no/such/folder", FileNotFoundError), ("notes", "/tmp", collection.Duplicate)):
+        with pytest.raises(error):
+            collection.add(known, name, path)
+    assert {(r["name"], r["glob"], r["documents"]) for r in collection.listing(known, docs).collect()} == {("notes", "**/*.{md,txt}", 2), ("other", "*.md", 0), ("@sys", None, 1)}
+    for old, new, error in (("gone", "x", LookupError), ("notes", "other", collection.Duplicate), ("notes", "@x", ValueError), ("notes", "", ValueError)):
+        with pytest.raises(error):
+            collection.rename(known, docs, old, new)
+    renamed, moved, log = collection.rename(known, docs, "notes", "moved")
+    assert {r["name"] for r in renamed.collect()} == {"moved", "other"} and moved.where("collection = 'moved'").count() == log.count() == 2
+    chunks = docs.select("doc_id", F.col("doc_id").alias("chunk_id"))
+    with pytest.raises(LookupError):
+        collection.remove(known, docs, chunks, chunks, "gone")
+    left = collection.remove(known, docs, chunks, chunks.select("chunk_id"), "notes")
+    assert [x.count() for x in left] == [1, 1, 1, 1, 4]
+
+
+def test_ingest_touches_only_changes(spark):
+    seen = []
+
+    def lines(rows):
+        return rows.select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("seq", "content"))
+
+    kind = "collection string, path string, mtime long, hash string, body string"
+    first = spark.createDataFrame([("c", p, 1, f"h{p}", f"{p} one\n{p} two") for p in ("same", "touched", "changed", "gone")], kind)
+    nothing = ingest.Tables(*[spark.createDataFrame([], k) for k in ("doc_id string, " + kind, "doc_id string, seq int, content string", "doc_id string, seq int, embedding array<float>")])
+    tables, log = ingest.ingest(first, nothing, dim=8, chunker=lines)
+    assert [x.count() for x in (*tables, log)] == [4, 8, 8, 4]
+    frozen = ingest.Tables(*[spark.createDataFrame(x.collect(), x.schema) for x in tables])
+    # a vector that an earlier run failed to write
+    frozen = frozen._replace(vectors=frozen.vectors.join(frozen.documents.where("path = 'same'").select("doc_id", F.lit(1).alias("seq")), ["doc_id", "seq"], "left_anti"))
+    second = spark.createDataFrame([("c", "same", 1, "other", "unread"), ("c", "touched", 2, "htouched", "touched one\ntouched two"), ("c", "changed", 2, "x", "new text"), ("c", "new", 2, "n", "a\nb\nc")], kind)
+    after, log = ingest.ingest(second, frozen, embedder=lambda texts: (seen.extend(texts), vector.hash_embedder(8)(texts))[1], dim=8, chunker=lines)
+    chunks = after.chunks.join(after.documents.select("doc_id", "path"), "doc_id").groupBy("path").count().collect()
+    assert {r["path"]: r["count"] for r in chunks} == {"same": 2, "touched": 2, "changed": 1, "new": 3}
+    assert after.vectors.count() == 8 and after.vectors.select("doc_id", "seq").distinct().count() == 8
+    assert sorted((r["path"], r["mtime"]) for r in after.documents.collect()) == [("changed", 2), ("new", 2), ("same", 1), ("touched", 2)]
+    assert sorted((r["path"], r["operation"]) for r in log.collect()) == [("changed", "DELETE"), ("changed", "INSERT"), ("gone", "DELETE"), ("new", "INSERT"), ("touched", "UPDATE")]
+
+
+def test_paths_end_alike(spark):
+    hits = spark.createDataFrame([(1, "docs://c/A.md", 0), (1, "c/sub/b.md", 1), (1, "c/sub/b.md", 2), (1, "xb.md", 3)], "query_id long, path string, rank int")
+    expected = spark.createDataFrame([(1, "./a.md"), (1, "sub/b.md"), (1, "gone.md"), (2, None)], "query_id long, path string")
+    got = {r["query_id"]: r for r in evaluate.path_metrics(hits, expected).collect()}
+    assert (got[1]["hits"], got[1]["mrr"], round(got[1]["recall_at_5"], 6), got[2]["hits"]) == (2, 1.0, 0.666667, 0)
 
 
 def test_metrics(spark):
