@@ -16,7 +16,10 @@ run, and runs are dealt out by it, so equal windows always meet in one bucket.
    one is smaller than its greatest. Its documents compare them with their own doc_id
    and cut the repeats out.
 
-So a passage costs a bucket one entry per bin, however many documents have it.
+So a passage costs a bucket one entry per bin, however many documents have it. A
+short string that very many documents have in different surroundings would bring all
+these to one bucket; the runs of such a hash are sent window by window instead, dealt
+out by hashes of whole windows.
 Documents are shuffled once (both visits read the same exchange).
 """
 
@@ -39,6 +42,8 @@ SIZE, K = 50, 20
 MOST_WINDOWS, SHARDS, END = 200, 4, b"\xff"
 #: A bucket's runs are merged in so many parts, each by itself.
 PARTS = 4
+#: Runs of one hash, in all documents, from which on they are sent by windows.
+HOT_RUNS = 65_536
 LAST = np.iinfo(np.int64).max
 
 
@@ -152,7 +157,7 @@ def _bits(n: int) -> int:
 
 
 def _send_hashes(buckets: int, bins: int, size: int):
-    """Rows of a bucket: hashes and the bins that have them, sorted; several: a bin has one twice or more."""
+    """Rows of a bucket: hashes and the bins that have them, sorted, and how many runs of a hash a bin has."""
     bin_bits = _bits(bins)
     short_bits = min(32, 64 - bin_bits - _bits(buckets))
 
@@ -166,11 +171,11 @@ def _send_hashes(buckets: int, bins: int, size: int):
             key, many = _distinct(np.concatenate(found))
             bucket = (key >> np.uint64(short_bits + bin_bits)).astype(np.int64)
             short = (key >> np.uint64(bin_bits)) & np.uint64((1 << short_bits) - 1)
-            b, several = (key & np.uint64((1 << bin_bits) - 1)).astype(np.uint32), many > 1
+            b, many = (key & np.uint64((1 << bin_bits) - 1)).astype(np.uint32), np.minimum(many, 65_535).astype(np.uint16)
             keys, blobs = [], []
             for k, x, y in _split(bucket):
                 keys.append(k)
-                blobs.append(pack(h=np.diff(short[x:y], prepend=np.uint64(0)).astype(np.uint32), bin=b[x:y], several=np.packbits(several[x:y])))
+                blobs.append(pack(h=np.diff(short[x:y], prepend=np.uint64(0)).astype(np.uint32), bin=b[x:y], many=many[x:y]))
             yield _rows(keys, blobs, ("bucket", "blob"))
 
     return run
@@ -183,26 +188,24 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _reply_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a bin: its hashes of a bucket that stand more than once in all."""
+    """Rows of a bin: its hashes of a bucket that stand more than once in all, and whether they are hot."""
     low = np.uint64(32)
     for bucket, blobs in _groups(batches, "bucket"):
-        found = []
-        for blob in blobs:
-            x = unpack(blob)
-            several = np.unpackbits(x["several"])[: len(x["h"])].astype(np.uint64)
-            found.append(np.cumsum(x["h"], dtype=np.uint64) << low | x["bin"].astype(np.uint64) << np.uint64(1) | several)
-        key = np.sort(np.concatenate(found))
-        short = key >> low
-        start = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-        many = np.diff(np.append(start, len(key)))
-        shared = np.repeat((many > 1) | np.logical_or.reduceat((key & np.uint64(1)).astype(bool), start), many)
-        key = key[shared]
-        by_bin, _ = _distinct(((key & np.uint64(0xFFFFFFFF)) >> np.uint64(1)) << low | key >> low)
+        opened = [unpack(blob) for blob in blobs]
+        key = np.concatenate([np.cumsum(x["h"], dtype=np.uint64) << low | x["bin"].astype(np.uint64) for x in opened])
+        runs = np.concatenate([x["many"] for x in opened]).astype(np.int64)
+        order = np.argsort(key)
+        key, runs = key[order], runs[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] >> low != key[:-1] >> low]))
+        total = np.repeat(np.add.reduceat(runs, start), np.diff(np.append(start, len(key))))
+        key, total = key[total > 1], total[total > 1]
+        by_bin, first = np.unique((key & np.uint64(0xFFFFFFFF)) << low | key >> low, return_index=True)
+        hot = total[first] > HOT_RUNS
         keys, out = [], []
         for k, x, y in _split((by_bin >> low).astype(np.int64)):
             some = by_bin[x:y] & np.uint64(0xFFFFFFFF)
             keys.append(k)
-            out.append(pack(bucket=np.array([bucket], np.int32), h=np.diff(some, prepend=np.uint64(0)).astype(np.uint32)))
+            out.append(pack(bucket=np.array([bucket], np.int32), h=np.diff(some, prepend=np.uint64(0)).astype(np.uint32), hot=np.packbits(hot[x:y])))
         yield _rows(keys, out, ("bin", "blob"))
 
 
@@ -210,17 +213,32 @@ def _reply_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _send_runs(buckets: int, bins: int, size: int):
-    """Rows of a part of a bucket: the distinct runs of a bin, their hashes, the least and greatest order of each."""
+    """Rows of a part of a bucket: the distinct runs (of hot hashes, windows) of a bin, their hashes, the least and greatest order of each."""
     short_bits = min(32, 64 - _bits(bins) - _bits(buckets))
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        wanted = []
+        wanted, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for blob in replies.column("blob").to_pylist():
             x = unpack(blob)
             wanted.append(np.uint64(int(x["bucket"][0]) << 32) | np.cumsum(x["h"], dtype=np.uint32).astype(np.uint64))
-        wanted = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
+            hot.append(np.unpackbits(x["hot"])[: len(x["h"])].astype(bool))
+        wanted, hot = np.concatenate(wanted), np.concatenate(hot)
+        order = np.argsort(wanted)
+        wanted, hot = wanted[order], hot[order]
         index: dict[bytes, int] = {}
         hashes: list[int] = []
+        homes: list[int] = []
+        windows: list[bool] = []
+
+        def number(x: bytes, h: int, window: bool) -> int:
+            i = index.setdefault(x, len(index))
+            if i == len(hashes):
+                home = xxhash.xxh3_64_intdigest(x) if window else h
+                hashes.append(h)
+                homes.append(home % buckets * PARTS + home // buckets % PARTS)
+                windows.append(window)
+            return i
+
         found_runs, found_orders = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for part in pieces(docs.to_batches(), "text", 1 << 20) if len(wanted) else []:
             texts = as_bytes(part.column("text"))
@@ -229,28 +247,26 @@ def _send_runs(buckets: int, bins: int, size: int):
             at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             take = np.flatnonzero(wanted[at] == key)
             data = b"".join(texts)
-            runs = []
-            for a, n, k in zip(first[take].tolist(), many[take].tolist(), h[take].tolist(), strict=True):
-                i = index.setdefault(data[a : a + n + size - 1], len(index))
-                if i == len(hashes):
-                    hashes.append(k)
-                runs.append(i)
+            runs, of = [], []
+            for a, n, k, each, t in zip(first[take].tolist(), many[take].tolist(), h[take].tolist(), hot[at[take]].tolist(), text[take].tolist(), strict=True):
+                found = [number(data[j : j + size], k, True) for j in range(a, a + n)] if each else [number(data[a : a + n + size - 1], k, False)]
+                runs += found
+                of += [t] * len(found)
             found_runs.append(np.array(runs, np.int64))
-            found_orders.append(part.column("ordered").to_numpy()[text[take]])
+            found_orders.append(part.column("ordered").to_numpy()[np.array(of, np.int64)])
         keys, blobs = [], []
         if index:
             run_, order = np.concatenate(found_runs), np.concatenate(found_orders)
             least, most = np.full(len(index), LAST), np.full(len(index), np.iinfo(np.int64).min)
             np.minimum.at(least, run_, order)
             np.maximum.at(most, run_, order)
-            strings, h = list(index), np.array(hashes, np.uint64)
-            home = _bucket(h, buckets) * PARTS + (h // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+            strings, h, home, window = list(index), np.array(hashes, np.uint64), np.array(homes, np.int64), np.array(windows, np.uint8)
             by = np.argsort(home, kind="stable")
             for k, a, b in _split(home[by]):
                 own = by[a:b]
                 some = [strings[i] for i in own.tolist()]
                 keys.append(k)
-                blobs.append(pack(bin=docs.column("bin")[:1].to_numpy(), h=h[own], size=np.array([len(x) for x in some], np.uint16), bytes=np.frombuffer(b"".join(some), np.uint8), least=least[own], most=most[own]))
+                blobs.append(pack(bin=docs.column("bin")[:1].to_numpy(), h=h[own], window=window[own], size=np.array([len(x) for x in some], np.uint16), bytes=np.frombuffer(b"".join(some), np.uint8), least=least[own], most=most[own]))
         return pa.Table.from_batches([_rows(keys, blobs, ("bucket", "blob"))])
 
     return run
@@ -402,15 +418,15 @@ def _find_repeats(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _groups(batches, "bucket"):
             index: dict[bytes, int] = {}
-            columns: dict[str, list[np.ndarray]] = {k: [] for k in ("string", "bin", "h", "least", "most")}
+            columns: dict[str, list[np.ndarray]] = {k: [] for k in ("string", "bin", "h", "window", "least", "most")}
             for blob in blobs:
                 x = unpack(blob)
                 ends, data = np.cumsum(x["size"], dtype=np.int64), memoryview(x["bytes"])
                 columns["string"].append(np.array([index.setdefault(bytes(data[a:b]), len(index)) for a, b in zip((ends - x["size"]).tolist(), ends.tolist(), strict=True)], np.int64))
                 columns["bin"].append(np.repeat(x["bin"], len(ends)))
-                for k in ("h", "least", "most"):
+                for k in ("h", "window", "least", "most"):
                     columns[k].append(x[k])
-            string, home, h, own_least, most = (np.concatenate(v) for v in columns.values())
+            string, home, h, window, own_least, most = (np.concatenate(v) for v in columns.values())
             strings, least = list(index), np.full(len(index), LAST)
             np.minimum.at(least, string, own_least)
             smallest, begin = window_minima(strings, least, size)
@@ -436,7 +452,7 @@ def _find_repeats(size: int):
                 heads = np.flatnonzero(np.concatenate([[True], entry[x + 1 : y] != entry[x : y - 1]]))
                 own = entry[x:y][heads]
                 keys.append(k)
-                out.append(pack(h=h[own], print=np.array([prints[i] for i in string[own].tolist()], np.uint64), ranges=np.diff(np.append(heads, y - x)).astype(np.uint8), offset=offset[x:y].astype(np.uint8), many=many[x:y].astype(np.uint8), value=value[x:y]))
+                out.append(pack(h=h[own], window=window[own], print=np.array([prints[i] for i in string[own].tolist()], np.uint64), ranges=np.diff(np.append(heads, y - x)).astype(np.uint8), offset=offset[x:y].astype(np.uint8), many=many[x:y].astype(np.uint8), value=value[x:y]))
             yield _rows(keys, out, ("bin", "blob"))
 
     return run
@@ -450,11 +466,11 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 def _cut(size: int, digest_only: bool):
     def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
         told = [unpack(b) for b in repeats.column("blob").to_pylist()]
-        h, prints, ranges, offset, many_, value = (np.concatenate([x[k] for x in told]) if told else np.zeros(0, np.uint64) for k in ("h", "print", "ranges", "offset", "many", "value"))
+        h, window, prints, ranges, offset, many_, value = (np.concatenate([x[k] for x in told]) if told else np.zeros(0, np.uint64) for k in ("h", "window", "print", "ranges", "offset", "many", "value"))
         ranges = np.concatenate([[0], np.cumsum(ranges, dtype=np.int64)])
         offset, many_ = offset.astype(np.int64), many_.astype(np.int64)
         known = {pair: i for i, pair in enumerate(zip(h.tolist(), prints.tolist(), strict=True))}
-        h = np.unique(h)
+        h, hot = np.unique(h), np.unique(h[window > 0])
         out = []
         for part in pieces(docs.to_batches(), "text", 1 << 20):
             texts = as_bytes(part.column("text"))
@@ -465,12 +481,16 @@ def _cut(size: int, digest_only: bool):
                 text, first, many, own = window_runs(texts, size)
                 data = b"".join(texts)
                 maybe = np.flatnonzero(h[np.minimum(np.searchsorted(h, own), len(h) - 1)] == own)
-                run_ = np.array([known.get((k, xxhash.xxh3_64_intdigest(data[a : a + n + size - 1])), -1) for k, a, n in zip(own[maybe].tolist(), first[maybe].tolist(), many[maybe].tolist(), strict=True)], np.int64)
-                maybe, run_ = maybe[run_ >= 0], run_[run_ >= 0]
+                print_of = xxhash.xxh3_64_intdigest
+                found = []
+                for a, n, k, t, each in zip(first[maybe].tolist(), many[maybe].tolist(), own[maybe].tolist(), text[maybe].tolist(), np.isin(own[maybe], hot).tolist(), strict=True):
+                    parts = [(j, j + size) for j in range(a, a + n)] if each else [(a, a + n + size - 1)]
+                    found += [(i, x, t) for x, y in parts if (i := known.get((k, print_of(data[x:y])))) is not None]
+                run_, place, doc = np.array(found, np.int64).reshape(-1, 3).T
                 which, each = gather(np.arange(len(value)), ranges, run_)
-                at = np.repeat(maybe, each)
-                gone = value[which] < part.column("ordered").to_numpy()[text[at]]
-                start = first[at[gone]] + offset[which[gone]]
+                place, doc = np.repeat(place, each), np.repeat(doc, each)
+                gone = value[which] < part.column("ordered").to_numpy()[doc]
+                start = place[gone] + offset[which[gone]]
                 np.add.at(change, start, 1)
                 np.add.at(change, start + many_[which[gone]] + size - 1, -1)
             covered = np.cumsum(change[:-1]) > 0

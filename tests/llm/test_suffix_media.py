@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm.media import cosine_hash, decode_png, decode_pngs, encode_png, encode_pngs, payload, text_media
 from gleanery.llm.suffix_dedup import cut_repeats, merge, pack, transform, unpack, window_minima, window_runs
@@ -37,8 +38,11 @@ def texts(seed):
     return out + ["", "aaaa" * 100, "a" * 350, "ab" * 200, out[3], out[3], out[7] + out[3], "x" * 49, "y" * 50, "y" * 50, "z" * 51]
 
 
-@pytest.mark.parametrize(("seed", "size"), [(1, 50), (2, 50), (3, 20), (4, 16)])
-def test_repeats(spark, seed, size):
+@pytest.mark.parametrize(("seed", "size", "hot"), [(1, 50, None), (2, 50, 1), (3, 20, None), (4, 16, 3), (5, 50, 4)])
+def test_repeats(spark, monkeypatch, seed, size, hot):
+    from gleanery.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot or suffix_dedup.HOT_RUNS)
     rng = np.random.default_rng(seed)
     all_texts = texts(seed)
     ids = [int(x) for x in rng.permutation(3 * len(all_texts))[: len(all_texts)]]
@@ -59,13 +63,38 @@ def test_a_passage_in_every_row(spark):
         docs = pa.table({"doc_id": np.arange(n), "ordered": np.arange(n), "text": [passage] * n, "bin": np.zeros(n, np.int32)})
         h = window_runs([passage.encode()])[3]
         short = np.unique(h >> np.uint64(64 - 32)).astype(np.uint32)
-        replies = pa.table({"blob": pa.array([pack(bucket=np.zeros(1, np.int32), h=np.diff(short, prepend=np.uint32(0)))], pa.binary())})
+        replies = pa.table({"blob": pa.array([pack(bucket=np.zeros(1, np.int32), h=np.diff(short, prepend=np.uint32(0)), hot=np.zeros(len(short) // 8 + 1, np.uint8))], pa.binary())})
         blobs = [unpack(b) for b in _send_runs(1, 1, 50)(docs, replies).column("blob").to_pylist()]
         assert {x for b in blobs for x in b["least"].tolist()} == {0} and {x for b in blobs for x in b["most"].tolist()} == {n - 1}
         sent.append(sum(len(b["size"]) for b in blobs))
     assert sent[0] == sent[1] == len(set(h.tolist()))
 
 
+def test_a_short_string_in_many_surroundings(spark, monkeypatch):
+    """The windows around it are dealt over the buckets, and the rare repeats among them are found."""
+    from gleanery.llm import suffix_dedup
+
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    rows = [(i, f"{word(60)} all rights reserved by us and all of ours {word(60)}") for i in range(300)]
+    rows += [(1000 + i, f"{word(20)}{rows[i * 7][1][40:110]}{word(30)}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = []
+    for hot in (65_536, 50):
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+        got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in cut_repeats(docs).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, brute(rows, 50)))
+        base = docs.select("doc_id", F.col("doc_id").alias("ordered"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("bin"))
+        sent = base.select("bin", "text").mapInArrow(suffix_dedup._send_hashes(16, 4, 50), "bucket int, blob binary")
+        replies = sent.repartition(4, "bucket").sortWithinPartitions("bucket").mapInArrow(suffix_dedup._reply_hashes, "bin int, blob binary")
+        runs = base.groupBy("bin").cogroup(replies.groupBy("bin")).applyInArrow(suffix_dedup._send_runs(16, 4, 50), "bucket int, blob binary")
+        by = {}
+        for r in runs.collect():
+            by[r["bucket"]] = by.get(r["bucket"], 0) + len(unpack(bytes(r["blob"]))["bytes"])
+        sizes.append(max(by.values()) / sum(by.values()))
+    assert sizes[1] < sizes[0] / 3, sizes
+
+
 def test_digest_and_nothing(spark):
     docs = spark.createDataFrame([(2, "k" * 60), (1, "k" * 60)], "doc_id long, text string")
     got = {r["doc_id"]: bytes(r["kept"]) for r in cut_repeats(docs, digest_only=True).collect()}
