@@ -93,6 +93,11 @@ def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], ord
     return first.alias("r").join(table.select(*keys).alias("t"), _same_keys("r", "t", keys), "left_anti")
 
 
+def delete_keys(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """table without the rows whose keys stand in gone; a null key is a key like any other."""
+    return table.alias("t").join(gone.select(*keys).alias("r"), _same_keys("t", "r", keys), "left_anti")
+
+
 def delete_documents(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """documents, chunks and vectors without the documents in gone (doc_id), and the log of it."""
     left_chunks = chunks.join(gone, "doc_id", "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import render, text, words
 from gleanery.operators import catalog, changes, chunking, collection, evaluate, fusion, ingest, lexical, retrieve, vector
 from gleanery.operators.index import Index
+from gleanery.sources import files
 from gleanery.sources.shared import shared_folder, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,6 +353,19 @@ def rrf_weighted_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(two_lists(spark, sf_dir, 100).unionByName(third), (1, 1.5)).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(LEXICAL_LIST.replace("{n}", "100") + VECTOR_LIST.replace("{n}", "100") + fuse_sql(["a", "b"], [2, 2]) + """
+, y AS (SELECT doc_id, 0 AS list, rank, CASE WHEN doc_id % 2 = 0 THEN 'words' ELSE '' END AS snippet, 'first' AS title FROM a UNION ALL SELECT doc_id, 1, rank, 'near', 'second' FROM b)
+, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (snippet = '')::INT, list, rank) AS n FROM y)
+SELECT z.doc_id, z.score, p.snippet, p.title FROM z JOIN p ON p.doc_id = z.doc_id WHERE n = 1
+""")
+def fused_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fused row shows what the first list that has it says, a list with a snippet before one without."""
+    first = F.col("list_id") == 0
+    lists = two_lists(spark, sf_dir, 100).withColumn("snippet", F.when(~first, "near").when(F.col("doc_id") % 2 == 0, "words").otherwise("")).withColumn("title", F.when(first, "first").otherwise("second"))
+    found = fusion.with_payload(fusion.fuse(lists), lists, ["snippet", "title"], "snippet")
+    return found.select("doc_id", F.round("score", 6).alias("score"), "snippet", "title")
+
+
 @query(LEXICAL_LIST.replace("{n}", "60") + ", docs AS " + EMBEDDED.replace("ROWS", "(SELECT doc_id AS k, text FROM documents)") + ", asked AS " + EMBEDDED.replace("ROWS", f"(SELECT 0 AS k, 'A passage about {SEARCHED}.' AS text)") + """
 , e AS (SELECT d.k AS doc_id, coalesce(list_cosine_similarity(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0) AS raw FROM docs d, asked q)
 , b AS (SELECT doc_id, row_number() OVER (ORDER BY round(raw, 9) DESC, doc_id) - 1 AS rank FROM e ORDER BY round(raw, 9) DESC, doc_id LIMIT 60)""" + fuse_sql(["a", "b"], [2, 2]) + "SELECT doc_id, score FROM z ORDER BY score DESC, doc_id LIMIT 20")
@@ -430,6 +444,47 @@ def path_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.normal_path(url).alias("path"), text.path_matches(url, text.base_name(text.normal_path(url))).alias("matched"))
 
 
+@query(r"""
+SELECT doc_id, sha256(regexp_replace(strip_accents(coalesce(text, '')), '[^a-zA-Z0-9\s\x0b\p{Han}\p{Katakana}\p{Hiragana}]', ' ', 'g')) AS folded,
+  sha256(regexp_replace(text, '[^a-zA-Z0-9\s\x0b\p{Han}\p{Katakana}\p{Hiragana}]', ' ', 'g')) AS strict FROM documents
+""")
+def safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.safe(body), 256).alias("folded"), F.sha2(text.safe(body, folded=False), 256).alias("strict"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, source || '/sub' || (doc_id % 3) || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS path, doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS base FROM documents)
+SELECT doc_id, path, regexp_matches(base, '^[^/]*[0-4]\.(md|txt)$') AS matched, list_contains(string_split(path, '/'), 'sub1') OR regexp_matches(base, '^9[^/]*\.md$') AS ignored FROM p
+""")
+def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern with alternatives and a class, against base names; ignored folders and names."""
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt"))
+    path = F.concat_ws("/", "source", F.concat(F.lit("sub"), (F.col("doc_id") % 3).cast("string")), name)
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return rows.select("*", files.matches(F.col("path"), "**/*[0-4].{md, txt}").alias("matched"), files.ignored(F.col("path"), ["sub1", "9*.md"]).alias("ignored"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, sha256(source || ':' || path || ':' || hash) AS doc_hash, string_split(text, chr(10)) AS ls FROM ({PATHS}))
+, b AS (SELECT doc_hash, array_to_string(CASE WHEN len(ls) >= 2 THEN ls[2:4] ELSE ls[1:3] END, chr(10)) AS t FROM d WHERE starts_with(doc_hash, 'b'))
+SELECT doc_hash, CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END AS text FROM b
+""")
+def get_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose ids start alike: three lines from the second on, or as much of them as a preview shows."""
+    return catalog.get(filed(spark, sf_dir), "#b", 2, 3, body="text").select("doc_hash", "text")
+
+
+@query("""
+WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'q' || lpad((doc_id // 10 + 1)::VARCHAR, 4, '0') || '_s' || (doc_id % 10 + 1) || '.md' ELSE 'q_s.md' END AS path FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (doc_id // 10)::INT END AS question, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 10)::INT END AS session FROM p
+""")
+def session_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.lpad((F.floor(F.col("doc_id") / 10) + 1).cast("string"), 4, "0")
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("q"), number, F.lit("_s"), (F.col("doc_id") % 10 + 1).cast("string"), F.lit(".md"))).otherwise("q_s.md")
+    return table(spark, sf_dir, "documents").select("doc_id", text.session_key(path).alias("k")).select("doc_id", "k.question", "k.session")
+
+
 # ---------------------------------------------------------------- chunks
 
 
@@ -473,6 +528,12 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.hits(found.withColumn("score", F.round("score", 6)), lines, named)
 
 
+@query("SELECT seq, line FROM (SELECT unnest(range(len(ls))) AS seq, unnest(ls) AS line FROM (SELECT string_split(text, chr(10)) AS ls FROM documents WHERE doc_id = 0))")
+def chunks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seq", "line"))
+    return catalog.chunks_of(lines.withColumn("seq", F.col("seq").cast("bigint")), 0).select("seq", "line")
+
+
 # ---------------------------------------------------------------- catalog counts
 
 
@@ -511,6 +572,14 @@ def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.missing_embeddings(docs, *lines_and_vectors(spark, sf_dir)).select("doc_id", "collection")
 
 
+@query(LINES_SQL + f"SELECT doc_id, source AS collection FROM documents d WHERE source <> 'src1' AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM {LINE_VECTORS} v WHERE v.doc_id = l.doc_id AND v.seq = l.seq)) ORDER BY doc_id LIMIT 100")
+def incomplete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred to be embedded again; those of the system's collections aren't."""
+    name = F.when(F.col("source") == "src1", "@src1").otherwise(F.col("source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", name.alias("collection"))
+    return changes.missing_embeddings(docs, *lines_and_vectors(spark, sf_dir)).orderBy("doc_id").limit(100)
+
+
 @query(LINES_SQL + f"SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM l) AS chunks, (SELECT count(*) FROM {LINE_VECTORS}) AS embedded, greatest((SELECT count(*) FROM l) - (SELECT count(*) FROM {LINE_VECTORS}), 0) AS pending")
 def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.status(table(spark, sf_dir, "documents"), *lines_and_vectors(spark, sf_dir))
@@ -525,6 +594,16 @@ def eta_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("event_type", text.eta(F.col("n") * 7).alias("eta"))
 
 
+@query("""
+WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), s AS (SELECT event_type, CASE WHEN n % 5 > 0 THEN (n * 700)::DOUBLE / ((n % 5)::DOUBLE / 10) END AS s FROM n), f AS (SELECT *, floor(s)::BIGINT AS i FROM s)
+SELECT event_type, CASE WHEN s IS NULL THEN 'calculating...' WHEN s < 1 THEN '<1s' WHEN s < 60 THEN i || 's' WHEN s < 3600 THEN (i // 60) || 'm' || (i % 60) || 's' WHEN i // 60 % 60 > 0 THEN (i // 3600) || 'h' || (i // 60 % 60) || 'm' ELSE (i // 3600) || 'h' END AS eta FROM f
+""")
+def eta_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counted.select("event_type", catalog.remaining(n * 700, n, n - n % 5, F.lit(10)).alias("eta"))
+
+
 # ---------------------------------------------------------------- changes
 
 # The catalog holds all documents. On disk Spanish ones are gone, German ones changed,
@@ -683,6 +762,18 @@ def ingest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "collection", "path", "mtime", "chunks", "vectors", F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
+@query("""
+WITH m AS (SELECT 'k' || doc_id AS key, quality::VARCHAR AS value FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'k' || vec_id, label::VARCHAR FROM embeddings)
+SELECT * FROM m WHERE key NOT IN (SELECT 'k' || vec_id FROM embeddings WHERE vec_id % 10 = 0)
+""")
+def meta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of keys and values: values set, then some keys deleted."""
+    pairs = lambda rows, key, value: rows.select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("key"), F.col(value).cast("string").alias("value"))
+    vectors = table(spark, sf_dir, "embeddings")
+    meta = changes.upsert(pairs(table(spark, sf_dir, "labels"), "doc_id", "quality"), pairs(vectors, "vec_id", "label"), ["key"]).drop("operation")
+    return changes.delete_keys(meta, pairs(vectors.where("vec_id % 10 = 0"), "vec_id", "label"), ["key"])
+
+
 @query("""
 SELECT 'document' AS kind, doc_id::VARCHAR AS id, 'DELETE' AS operation FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
 UNION ALL SELECT 'chunk', doc_id || '-' || lang, 'DELETE' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
@@ -714,6 +805,22 @@ def session_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.session_documents(table(spark, sf_dir, "conversations"))
 
 
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'assistant' AND contains(text, 'ing'))")
+def answered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return evaluate.relevant_sessions(turns.select("conv_id", ((F.col("role") == "assistant") & F.contains("text", F.lit("ing"))).alias("has_answer")))
+
+
+@query("""
+WITH h AS (SELECT label AS query_id, vec_id % 50 AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rank FROM embeddings), b AS (SELECT query_id, key, min(rank) AS rank FROM h GROUP BY ALL)
+SELECT query_id, key, (row_number() OVER (PARTITION BY query_id ORDER BY rank, key) - 1)::INT AS rank FROM b
+""")
+def distinct_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a ranked list has several times, each at its best place, counted anew."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return evaluate.first_places(table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), (F.col("vec_id") % 50).alias("key"), place.alias("rank")), "key")
+
+
 # A benchmark item is a query; documents that hold it as a passage are expected.
 METRICS_SQL = RARE_SQL + BATCH_SQL + """
 , x AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text))
