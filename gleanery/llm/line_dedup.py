@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import as_bytes, pieces, shared_folder, stored
+from gleanery.llm.common import as_bytes, discard, pieces, shared_folder, stored
 from gleanery.llm.perfect_hash import build, from_bytes, probe, to_bytes
 
 #: Lines in one shard of the index, about, and bytes of shards that a task keeps at once.
@@ -82,6 +82,7 @@ def build_index(docs: DataFrame, least: int = 2, min_chars: int = 1) -> str:
     folder = shared_folder(spark, "line-index")
     keyed = common.withColumn("shard", F.pmod("lo", F.lit(n_shards)).cast("int"))
     keyed.groupBy("shard").applyInPandas(shard, "shard int, n_shards int, blob binary").write.parquet(folder)
+    discard(common)
     return folder
 
 
