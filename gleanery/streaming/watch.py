@@ -7,6 +7,7 @@ the catalog; the stream says when to look.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,11 @@ def sync(files: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     return apply_to_catalog(catalog, files), change_log(diff(files, catalog))
 
 
-def watch(spark: SparkSession, listing: Callable[[], DataFrame], read: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, seconds: int = 60, once: bool = False) -> StreamingQuery:
-    """Every `seconds` (or once) takes a listing, reads the catalog and hands write the new catalog, the log and the batch number.
+def watch(spark: SparkSession, listing: Callable[[], DataFrame], read: Callable[[], Any], write: Callable[[Any, DataFrame, int], None], checkpoint: str, seconds: int = 60, once: bool = False, apply: Callable[[DataFrame, Any], tuple[Any, DataFrame]] = sync) -> StreamingQuery:
+    """Every `seconds` (or once) takes a listing, reads the state and hands write the new state, the log and the batch number.
+
+    The state is the catalog, which sync brings up to date, or what another apply
+    takes: with operators.ingest.ingest, documents, chunks and vectors.
 
     write must be atomic and may see a batch again after a failure; the batch number
     tells it so.
@@ -29,7 +33,7 @@ def watch(spark: SparkSession, listing: Callable[[], DataFrame], read: Callable[
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load() if once else spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def step(_: DataFrame, batch: int) -> None:
-        write(*sync(listing(), read()), batch)
+        write(*apply(listing(), read()), batch)
 
     writer = ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()

@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from gleanery.functions import render, text
-from gleanery.operators import catalog
+from gleanery.operators import catalog, ingest
 from gleanery.sources import files
 from gleanery.streaming.watch import changes_in_windows, watch
 
@@ -36,6 +36,32 @@ def test_scan_and_watch(spark, tmp_path):
     assert {("a.md", "INSERT"), ("sub/b.txt", "INSERT"), ("gone.md", "DELETE")} <= set(state["log"])
 
 
+def test_watched_files_are_ingested(spark, tmp_path):
+    """Two looks at a folder: all files are cut and embedded, then the changed one only."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text("# A\nfirst text")
+    (folder / "b.txt").write_text("second text")
+    listing = lambda: files.scan(spark, str(folder), "notes").select("collection", "path", "mtime", "hash", "body")
+    kinds = ("doc_id string, collection string, path string, mtime long, hash string, body string", "doc_id string, seq int, content string, position int, token_count int", "doc_id string, seq int, embedding array<float>")
+    state = {"tables": ingest.Tables(*[spark.createDataFrame([], k) for k in kinds]), "log": []}
+
+    def write(tables, log, batch):
+        frozen = [(x.collect(), x.schema) for x in (*tables, log)]
+        state["tables"] = ingest.Tables(*[spark.createDataFrame(rows, kind) for rows, kind in frozen[:3]])
+        state["log"].append(sorted((r["path"], r["operation"]) for r in frozen[3][0]))
+
+    for look in range(2):
+        query = watch(spark, listing, lambda: state["tables"], write, str(tmp_path / f"check{look}"), once=True, apply=lambda found, tables: ingest.ingest(found, tables, dim=8))
+        query.awaitTermination(60)
+        query.stop()
+        (folder / "b.txt").write_text("second text, changed")
+        os.utime(folder / "b.txt", (2_000_000_000, 2_000_000_000))
+    assert [x.count() for x in state["tables"]] == [2, 2, 2]
+    assert {r["content"] for r in state["tables"].chunks.collect()} == {"# A\nfirst text", "second text, changed"}
+    assert state["log"] == [[("a.md", "INSERT"), ("b.txt", "INSERT")], [("b.txt", "DELETE"), ("b.txt", "INSERT")]]
+
+
 def test_windows_as_a_stream(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
