@@ -37,6 +37,8 @@ MOST_TERMS = 256
 UNSAFE = re.compile("[^a-zA-Z0-9\\s\U00020000-\U0003ffff\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufad9\u3041-\u309f\u30a0-\u30ff\u31f0-\u31ff]")
 #: Han characters.
 HAN = "\u2e80-\u2e99\u2e9b-\u2ef3\u2f00-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufa6d\ufa70-\ufad9\U00020000-\U0003ffff"
+#: Cuts a word of a query into tokens, as the index cuts texts.
+Cutter = Callable[[str], list[str]]
 #: Splits a query into (word, tag) pairs; users may bring their own, e.g. for Chinese.
 Tagger = Callable[[str], list[tuple[str, str]]]
 
@@ -54,14 +56,14 @@ def cut(word: str) -> list[str]:
     return out
 
 
-def words(query: str, folded: bool = True) -> list[str]:
-    return [part for word in UNSAFE.sub(" ", fold(query) if folded else query).split() for part in cut(word)]
+def words(query: str, folded: bool = True, cutter: Cutter = cut) -> list[str]:
+    return [part for word in UNSAFE.sub(" ", fold(query) if folded else query).split() for part in cutter(word)]
 
 
-def tagger(lexicon: Mapping[str, str]) -> Tagger:
+def tagger(lexicon: Mapping[str, str], cutter: Cutter = cut) -> Tagger:
     """Words with their tags by a lexicon of lower-case words; words it hasn't are unknown (x)."""
     def tag(query: str) -> list[tuple[str, str]]:
-        return [(part, lexicon.get(part.lower(), "x")) for word in re.findall(f"[{HAN}]+|[^\\W{HAN}]+", query) for part in cut(word)]
+        return [(part, lexicon.get(part.lower(), "x")) for word in re.findall(f"[{HAN}]+|[^\\W{HAN}]+", query) for part in cutter(word)]
 
     return tag
 
@@ -75,34 +77,34 @@ def read_lexicon(lines: Iterable[str]) -> dict[str, str]:
 tag = tagger(LEXICON)
 
 
-def or_terms(query: str) -> list[str]:
+def or_terms(query: str, cutter: Cutter = cut) -> list[str]:
     """Words of over one byte that aren't stop words (as written), the first 256; repeats stay."""
-    return [w for w in words(query) if len(w.encode()) > 1 and w not in STOP_WORDS][:MOST_TERMS]
+    return [w for w in words(query, cutter=cutter) if len(w.encode()) > 1 and w not in STOP_WORDS][:MOST_TERMS]
 
 
-def prefix_terms(query: str) -> list[str]:
+def prefix_terms(query: str, cutter: Cutter = cut) -> list[str]:
     """Words of over one byte, all of which must begin a token."""
-    return [w for w in words(query) if len(w.encode()) > 1]
+    return [w for w in words(query, cutter=cutter) if len(w.encode()) > 1]
 
 
-def tagged_terms(query: str, tagger: Tagger = tag) -> tuple[list[str], list[str]]:
+def tagged_terms(query: str, tagger: Tagger = tag, cutter: Cutter = cut) -> tuple[list[str], list[str]]:
     """Nouns, and other words with a meaning, of two characters or more; a token of several words gives each."""
     nouns, others = [], []
     for token, pos in tagger(query):
         into = nouns if pos in NOUN_TAGS else others if pos in CONTENT_TAGS else None
         if into is not None:
-            into += [w for w in words(token) if len(w) > 1]
+            into += [w for w in words(token, cutter=cutter) if len(w) > 1]
     return nouns, others
 
 
-def must_terms(query: str, tagger: Tagger = tag) -> tuple[list[str], list[str]]:
+def must_terms(query: str, tagger: Tagger = tag, cutter: Cutter = cut) -> tuple[list[str], list[str]]:
     """Words that all must be there, and words of which one must; together 256 at most, cut in proportion.
 
     Without any, the words of or_terms are the second list.
     """
-    nouns, others = tagged_terms(query, tagger)
+    nouns, others = tagged_terms(query, tagger, cutter)
     if not nouns and not others:
-        return [], or_terms(query)
+        return [], or_terms(query, cutter)
     total = len(nouns) + len(others)
     if total > MOST_TERMS:
         keep = len(nouns) * MOST_TERMS // total
@@ -110,6 +112,6 @@ def must_terms(query: str, tagger: Tagger = tag) -> tuple[list[str], list[str]]:
     return nouns, others
 
 
-def any_terms(query: str, tagger: Tagger = tag) -> list[str]:
-    nouns, others = tagged_terms(query, tagger)
-    return (nouns + others)[:MOST_TERMS] or or_terms(query)
+def any_terms(query: str, tagger: Tagger = tag, cutter: Cutter = cut) -> list[str]:
+    nouns, others = tagged_terms(query, tagger, cutter)
+    return (nouns + others)[:MOST_TERMS] or or_terms(query, cutter)

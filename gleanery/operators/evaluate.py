@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import path_matches
+from gleanery.functions.text import path_matches, session_key
 
 
 def first_places(hits: DataFrame, key: str) -> DataFrame:
@@ -74,6 +74,12 @@ def session_documents(turns: DataFrame) -> DataFrame:
     return lines.select("conv_id", F.array_join(F.transform("ts", lambda t: t["line"]), "\n").alias("text"))
 
 
+def own_sessions(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, path, rank) among the sessions of their own question, by their file names, ranks counted anew."""
+    own = hits.where(session_key(F.col("path"))["question"] == F.col("query_id"))
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "path")) - 1)
+
+
 def relevant_sessions(turns: DataFrame) -> DataFrame:
     """conv_id of the sessions of which a turn has the answer."""
     return turns.groupBy("conv_id").agg(F.max("has_answer").alias("relevant")).where("relevant").select("conv_id")

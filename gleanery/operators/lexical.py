@@ -41,16 +41,16 @@ class Terms:
         object.__setattr__(self, "distinct", tuple(dict.fromkeys(self.all + self.any)))
 
 
-def terms_of(query: str, strategy: str = "pos-or", tagger: W.Tagger = W.tag) -> Terms:
+def terms_of(query: str, strategy: str = "pos-or", tagger: W.Tagger = W.tag, cutter: W.Cutter = W.cut) -> Terms:
     """The terms of a query; an unknown strategy searches as `or` does."""
     if strategy in ("", "pos-or"):
-        return Terms(any=tuple(W.any_terms(query, tagger)))
+        return Terms(any=tuple(W.any_terms(query, tagger, cutter)))
     if strategy == "pos-must":
-        must, some = W.must_terms(query, tagger)
+        must, some = W.must_terms(query, tagger, cutter)
         return Terms(any=tuple(some), all=tuple(must))
     if strategy == "and":
-        return Terms(all=tuple(W.prefix_terms(query)), prefix=True)
-    return Terms(any=tuple(W.or_terms(query)))
+        return Terms(all=tuple(W.prefix_terms(query, cutter)), prefix=True)
+    return Terms(any=tuple(W.or_terms(query, cutter)))
 
 
 def lexicon_tagger(lexicon: DataFrame, query: str) -> W.Tagger:
@@ -125,13 +125,17 @@ def tag_boost(query: str, snippet: Column, tagger: W.Tagger = W.tag) -> Column:
     return added
 
 
-def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0, strategy: str = "pos-or", where: Column | None = None, key: str = "doc_id", text: str = "text", tagger: W.Tagger = W.tag, analyse: Analyser = tokens, index: Index | None = None) -> DataFrame:
+def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0, strategy: str = "pos-or", where: Column | None = None, key: str = "doc_id", text: str = "text", tagger: W.Tagger = W.tag, analyse: Analyser = tokens, cutter: W.Cutter = W.cut, index: Index | None = None) -> DataFrame:
     """The top rows of a query; lower scores than min_score leave after the limit, so fewer may be left.
 
+    analyse cuts texts to tokens, cutter the words of the query, tagger the query to
+    tagged words: another segmentation gives all three. An index has been written with
+    the same analyse.
+
     With an index of the corpus, only the postings of the query's terms are read, and
     of the corpus the rows that are shown (and those that `where` lets through).
     """
-    terms = terms_of(query, strategy, tagger)
+    terms = terms_of(query, strategy, tagger, cutter)
 
     def scored(weight: float) -> DataFrame:
         if index is None:
@@ -208,3 +212,20 @@ def search_batch(queries: DataFrame, index: DataFrame, stats: DataFrame, limit:
     scored = met.select("query_id", key, F.round(part, 9).cast("decimal(18,9)").alias("part")).groupBy("query_id", key).agg(F.sum("part").alias("raw_score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), key))
     return scored.withColumn("rank", place - 1).where(F.col("rank") < limit)
+
+
+def search_private(queries: DataFrame, haystacks: DataFrame, limit: int = 10, key: str = "doc_id", text: str = "text", analyse: Analyser = tokens) -> DataFrame:
+    """query_id, key, raw_score, rank: each query over rows of its own, whose statistics are those of its rows alone.
+
+    queries: query_id, term (distinct). haystacks: query_id, key, text. All queries are
+    one job; postings meet the terms before any of them is shuffled by key.
+    """
+    listed = haystacks.select("query_id", key, F.explode(F.array(analyse(F.col(text)))).alias("ts"))
+    stats = listed.groupBy("query_id").agg(F.count("*").cast("double").alias("rows"), F.avg(F.size("ts")).alias("average"))
+    exploded = listed.select("query_id", key, F.size("ts").cast("double").alias("length"), F.explode("ts").alias("term"))
+    met = exploded.join(queries.select("query_id", "term"), ["query_id", "term"], "left_semi").groupBy("query_id", "term", key, "length").agg(F.count("*").cast("double").alias("tf"))
+    df = met.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("df"))
+    part = idf(F.col("rows"), F.col("df")) * term_weight(F.col("tf"), F.col("length"), F.col("average"))
+    scored = met.join(df, ["query_id", "term"]).join(stats, "query_id").select("query_id", key, F.round(part, 9).cast("decimal(18,9)").alias("part")).groupBy("query_id", key).agg(F.sum("part").alias("raw_score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), key))
+    return scored.withColumn("rank", place - 1).where(F.col("rank") < limit)

@@ -805,6 +805,38 @@ def session_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.session_documents(table(spark, sf_dir, "conversations"))
 
 
+# Ten questions, each with the sessions of a tenth of the conversations and the words of a tenth of the benchmark.
+@query(rf"""
+WITH t AS (SELECT conv_id % 10 AS query_id, conv_id || '-' || turn || '-' || role AS turn_id, {ANALYSED} AS toks FROM (SELECT conv_id, turn, role, min(text) AS text FROM conversations GROUP BY ALL))
+, g AS (SELECT query_id, count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM t GROUP BY query_id)
+, w AS (SELECT DISTINCT item_id % 10 AS query_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\w\s]', ' ', 'g')), '\s+'), lambda x: strlen(x) > 2)) AS term FROM benchmark)
+, p AS (SELECT query_id, turn_id, len, term, count(*)::DOUBLE AS f FROM (SELECT query_id, turn_id, len(toks)::DOUBLE AS len, unnest(toks) AS term FROM t) JOIN w USING (query_id, term) GROUP BY ALL)
+, d AS (SELECT query_id, term, count(*)::DOUBLE AS d FROM p GROUP BY ALL)
+, m AS (SELECT query_id, turn_id, round((CASE WHEN ln((n - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) > 0 THEN ln((n - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) ELSE 0.000001::DOUBLE END) * (f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 9)::DECIMAL(18, 9) AS part FROM p JOIN d USING (query_id, term) JOIN g USING (query_id))
+, h AS (SELECT query_id, turn_id, sum(part) AS raw FROM m GROUP BY ALL)
+SELECT query_id, turn_id, round(raw::DOUBLE, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, turn_id) - 1 AS rank FROM h) WHERE rank < 30
+""")
+def private_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question over the turns of its own sessions, with their statistics alone."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
+    haystacks = turns.select((F.col("conv_id") % 10).alias("query_id"), F.concat_ws("-", "conv_id", "turn", "role").alias("turn_id"), "text")
+    words_asked = lexical.query_words(asked(spark, sf_dir)).select((F.col("query_id") % 10).alias("query_id"), "term").distinct()
+    found = lexical.search_private(words_asked, haystacks, 30, key="turn_id")
+    return found.select("query_id", "turn_id", F.round(F.col("raw_score").cast("double"), 6).alias("score"), "rank")
+
+
+@query("""
+WITH h AS (SELECT label AS query_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rank FROM embeddings)
+, o AS (SELECT query_id, 'q' || (vec_id % 7 + 1) || '_s' || (vec_id + 1) || '.md' AS path, rank FROM h WHERE vec_id % 7 = query_id)
+SELECT query_id, path, (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1)::INT AS rank FROM o
+""")
+def hits_of_own_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    path = F.concat(F.lit("q"), (F.col("vec_id") % 7 + 1).cast("string"), F.lit("_s"), (F.col("vec_id") + 1).cast("string"), F.lit(".md"))
+    hits = table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), path.alias("path"), place.alias("rank"))
+    return evaluate.own_sessions(hits)
+
+
 @query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'assistant' AND contains(text, 'ing'))")
 def answered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")

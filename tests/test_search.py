@@ -86,6 +86,9 @@ def test_han_text_is_cut_on_both_sides(spark):
     assert found("搜索", strategy="and") == {1, 2}
     whole = corpus.select(text.whole_runs(F.col("text")).alias("ts")).first()["ts"]
     assert whole == ["搜索引擎"] and words.cut("搜索引擎") == ["搜索", "索引", "引擎"]
+    # another segmentation, on both sides
+    own = {"analyse": text.whole_runs, "cutter": lambda w: [w], "tagger": words.tagger(words.LEXICON, lambda w: [w])}
+    assert found("搜索引擎", **own) == {1} and found("搜索", **own) == set() and found("全文搜索", **own) == {2}
     for query in ("搜索引擎", "x字y naïve 搜索"):
         assert corpus.limit(1).select(text.tokens(F.lit(query)).alias("ts")).first()["ts"] == [w.lower() for w in words.words(query)]
 
