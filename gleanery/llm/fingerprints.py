@@ -111,8 +111,9 @@ def _ranges(docs: DataFrame, rows_per_range: int) -> DataFrame:
     low, same = below(lambda x: x < F.col("doc_id")), below(lambda x: x <= F.col("doc_id"))
     spread = F.when(same - low > 1, same - low - 1 - F.least(F.floor(share * (same - low)), same - low - 1)).otherwise(F.lit(0))
     nulls = max(1, math.ceil((counted["all"] - counted["known"]) / rows_per_range))
-    bucket = F.when(F.col("doc_id").isNull(), -1 - F.least(F.floor(share * nulls), F.lit(nulls - 1))).otherwise(low + spread)
-    return docs.select("*", bucket.cast("bigint").alias("bucket"))
+    bucket = F.when(F.col("doc_id").isNull(), -1 - F.least(F.floor(share * nulls), F.lit(nulls - 1))).otherwise(low + spread).cast("bigint")
+    # never null; if Spark didn't see that, a filter before one exchange of the texts would keep it from being reused
+    return docs.select("*", F.coalesce(bucket, F.lit(0)).alias("bucket"))
 
 
 def edit_likeness(docs: DataFrame, rows_per_range: int = 3000) -> DataFrame:
