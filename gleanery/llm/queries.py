@@ -85,9 +85,40 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.lower(F.hex("feature")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op6_simhash, op7_token_ids, op8_sharding, op9_suffix_dedup, op10_media_columns)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.decontaminate import decontaminate
+
+    found = decontaminate(read_texts(spark, sf_dir).select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), n=10)
+    items = F.col("items")
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op6_simhash, op7_token_ids, op8_sharding, op9_suffix_dedup, op10_media_columns, op11_decontamination)}
 
 ORACLES = {
+    "op11_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), i AS (
+  SELECT item, words, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS place FROM b WHERE len(words) > 0
+), p AS (
+  SELECT DISTINCT item, least(len(words), 10) AS size, array_to_string(words[place : place + 9], ' ') AS phrase FROM i
+), s AS (
+  SELECT DISTINCT size FROM p
+), w AS (
+  SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS place FROM d JOIN s ON len(words) >= size
+), o AS (
+  SELECT w.doc_id, w.place, w.size, p.item FROM w JOIN p ON w.size = p.size AND array_to_string(w.words[w.place : w.place + w.size - 1], ' ') = p.phrase
+), h AS (
+  SELECT doc_id, count(DISTINCT hit)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(place, place + size)) AS hit FROM o) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+""",
     "op3_line_dedup": r"""
 WITH d AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
