@@ -100,7 +100,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(read_table(spark, sf_dir, "embeddings").select("vec_id", relabelled, "embedding"), anchor="vec_id % 50 = 0")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op6_simhash, op7_token_ids, op8_sharding, op9_suffix_dedup, op10_media_columns, op11_decontamination, op12_hard_negatives)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from gleanery.llm.alignment import align
+    from gleanery.llm.sentencepiece_codec import load
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    return align(read_texts(spark, sf_dir).select("doc_id", "text"), definition, load(public_tokenizers.path("piece_bpe_32k.model")), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_line_dedup, op4_fingerprints, op5_quality, op6_simhash, op7_token_ids, op8_sharding, op9_suffix_dedup, op10_media_columns, op11_decontamination, op12_hard_negatives, op13_alignment)}
 
 ORACLES = {
     "op12_hard_negatives": r"""
