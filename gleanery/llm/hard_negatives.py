@@ -189,7 +189,10 @@ def write_buckets(rows: DataFrame, dims: int, n_buckets: int, n_groups: int) ->
     """Writes the buckets, the longest vectors first, in group folders; returns the folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         bucket = TaskContext.get().partitionId()
         for at in range(0, len(table), 2 * BUCKET_ROWS):
             part = table.slice(at, 2 * BUCKET_ROWS).combine_chunks()
