@@ -34,7 +34,7 @@ from gleanery.llm.sentencepiece_codec import SPACE, Codec
 from gleanery.llm.token_files import Encoder
 
 #: Pairs in a shard of the index, about; tasks or vectors summed at once; bytes of text encoded and of ids aligned at once; bytes of shards kept.
-SHARD_PAIRS, FAN, TEXT_BYTES, IDS_BYTES, HELD_BYTES = 131_072, 16, 6 << 20, 3 << 20, 96 << 20
+SHARD_PAIRS, FAN, TEXT_BYTES, IDS_BYTES, HELD_BYTES = 131_072, 16, 3 << 20, 1 << 20, 96 << 20
 #: Distinct pairs that a task counts before it joins them with those it has.
 PENDING = 2_000_000
 NOTHING = np.zeros(0, np.int64)
