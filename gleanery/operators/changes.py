@@ -8,18 +8,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same_path(a: str, b: str) -> Column:
-    return (F.col(f"{a}.collection") == F.col(f"{b}.collection")) & (F.col(f"{a}.path") == F.col(f"{b}.path"))
+#: What names a file; a null collection or path is a name like any other.
+NAME = ("collection", "path")
 
 
-def _compared(files: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows of files (f) and catalog (c) side by side, with the action that takes one to the other."""
-    joined = files.alias("f").join(catalog.alias("c"), _same_path("f", "c"), "full_outer")
+def _side_by_side(files: DataFrame, catalog: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Rows of files (f) and catalog (c) of the same name, and whether either is there."""
+    joined = files.withColumn("__file", F.lit(True)).alias("f").join(catalog.withColumn("__known", F.lit(True)).alias("c"), _same_keys("f", "c", NAME), "full_outer")
+    return joined, F.col("f.__file").isNotNull(), F.col("c.__known").isNotNull()
+
+
+def _named(there: Column) -> list[Column]:
+    return [F.when(there, F.col(f"f.{n}")).otherwise(F.col(f"c.{n}")).alias(n) for n in NAME]
+
+
+def _compared(files: DataFrame, catalog: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows side by side with the action that takes the catalog to the files, and whether a file is there."""
+    joined, there, known = _side_by_side(files, catalog)
     action = (
-        F.when(F.col("c.path").isNull(), "new").when(F.col("f.path").isNull(), "deleted").when(F.col("f.mtime") == F.col("c.mtime"), "unchanged")
-        .when(F.col("f.hash") == F.col("c.hash"), "touched").otherwise("changed")
+        F.when(~known, "new").when(~there, "deleted").when(F.col("f.mtime").eqNullSafe(F.col("c.mtime")), "unchanged")
+        .when(F.col("f.hash").eqNullSafe(F.col("c.hash")), "touched").otherwise("changed")
     )
-    return joined.withColumn("action", action)
+    return joined.withColumn("action", action), there
 
 
 def diff(files: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -29,8 +39,39 @@ def diff(files: DataFrame, catalog: DataFrame) -> DataFrame:
     deleted, touched (same content, other time: the time is to be stored) and
     unchanged. Equal times are trusted; hashes decide only where they differ.
     """
-    found = _compared(files, catalog)
-    return found.select(F.coalesce("f.collection", "c.collection").alias("collection"), F.coalesce("f.path", "c.path").alias("path"), "action", F.col("c.mtime").alias("old_mtime"), F.col("f.mtime").alias("new_mtime"), F.col("c.hash").alias("old_hash"), F.col("f.hash").alias("new_hash"))
+    found, there = _compared(files, catalog)
+    return found.select(*_named(there), "action", F.col("c.mtime").alias("old_mtime"), F.col("f.mtime").alias("new_mtime"), F.col("c.hash").alias("old_hash"), F.col("f.hash").alias("new_hash"))
+
+
+def to_look_at(listing: DataFrame, catalog: DataFrame) -> DataFrame:
+    """collection, path, look, mtime, and old_* of the catalog's columns: what the times alone leave open.
+
+    look is new or open (the time differs: only the content tells a changed file from a
+    touched one) or deleted; files of equal times leave here, before anything is read.
+    listing has collection, path, mtime, and perhaps error: what lies below a folder
+    that couldn't be listed isn't taken for deleted.
+    """
+    unlisted = listing.where(F.col("error").isNotNull()).select("collection", F.col("path").alias("folder")) if "error" in listing.columns else None
+    files = listing if unlisted is None else listing.where(F.col("error").isNull())
+    joined, there, known = _side_by_side(files.select(*NAME, "mtime"), catalog)
+    look = F.when(~known, "new").when(~there, "deleted").when(~F.col("f.mtime").eqNullSafe(F.col("c.mtime")), "open")
+    found = joined.withColumn("look", look).where("look IS NOT NULL")
+    found = found.select(*_named(there), "look", F.col("f.mtime").alias("mtime"), *[F.col(f"c.{c}").alias(f"old_{c}") for c in catalog.columns if c not in NAME])
+    if unlisted is None:
+        return found
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    hidden = found.where("look = 'deleted'").select(*NAME, F.explode(above).alias("folder")).join(unlisted, ["collection", "folder"], "left_semi").select(*NAME).distinct()
+    return found.alias("l").join(hidden.alias("h"), _same_keys("l", "h", NAME), "left_anti")
+
+
+def settled(read: DataFrame) -> DataFrame:
+    """What to_look_at gave, with its contents read (hash, error; null where deleted), and the action: new, changed, touched, deleted or failed."""
+    action = (
+        F.when(F.col("look") == "deleted", "deleted").when(F.col("error").isNotNull(), "failed").when(F.col("look") == "new", "new")
+        .when(F.col("hash").eqNullSafe(F.col("old_hash")), "touched").otherwise("changed")
+    )
+    return read.withColumn("action", action)
 
 
 def change_log(changes: DataFrame) -> DataFrame:
@@ -49,7 +90,7 @@ def apply_to_catalog(catalog: DataFrame, files: DataFrame) -> DataFrame:
     Unchanged rows stay as they are, also where a file of equal time has another
     hash. Columns that only the catalog has are null in new rows and kept in others.
     """
-    found = _compared(files, catalog).where("action <> 'deleted'")
+    found = _compared(files, catalog)[0].where("action <> 'deleted'")
 
     def value(c: str) -> Column:
         if c not in files.columns:

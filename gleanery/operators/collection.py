@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gleanery.operators.catalog import collection_counts
 from gleanery.operators.changes import delete_documents
-from gleanery.sources.files import DEFAULT_GLOB
+from gleanery.sources.folder import DEFAULT_GLOB
+from gleanery.sources.folder import exists as is_there
 
 #: A table of collections.
 COLLECTIONS = "name string, path string, glob string, ignore array<string>"
@@ -31,12 +31,12 @@ def _own_name(name: str) -> None:
         raise ValueError("names that start with @ are the system's")
 
 
-def add(collections: DataFrame, name: str, path: str, glob: str = "", ignore: Sequence[str] = (), exists: Callable[[str], bool] = os.path.exists) -> DataFrame:
-    """collections with one more; a bad name, a path that isn't absolute or isn't there, and a known name are refused."""
+def add(collections: DataFrame, name: str, path: str, glob: str = "", ignore: Sequence[str] = (), exists: Callable[[str], bool] | None = None) -> DataFrame:
+    """collections with one more; a bad name, a path that isn't absolute or isn't there (in Spark's file systems), and a known name are refused."""
     _own_name(name)
-    if not (os.path.isabs(path) or "://" in path):
+    if not (path.startswith("/") or "://" in path):
         raise ValueError("the path must be absolute")
-    if not exists(path):
+    if not (exists(path) if exists else is_there(collections.sparkSession, path)):
         raise FileNotFoundError(path)
     if _known(collections, name):
         raise Duplicate(name)

@@ -1,4 +1,4 @@
-"""Changed files brought into the tables: only new and changed documents are cut, embedded and stored."""
+"""Changed files brought into the tables: only new and changed documents are read, cut, embedded and stored."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import document_id
 from gleanery.operators import changes, chunking, vector
+from gleanery.operators.index import Index
+from gleanery.sources.shared import stored
 
 
 class Tables(NamedTuple):
@@ -20,7 +22,17 @@ class Tables(NamedTuple):
     vectors: DataFrame
 
 
+class Ingested(NamedTuple):
+    """The tables after the changes, the change log, and what failed: stage (list, read, embed), collection, path, doc_id, seq, error."""
+
+    tables: Tables
+    log: DataFrame
+    failures: DataFrame
+
+
 Chunker = Callable[[DataFrame], DataFrame]
+#: Takes the rows to look at and gives them back with body, hash and error, as sources.folder.contents does.
+Reader = Callable[[DataFrame], DataFrame]
 
 
 def cut(documents: DataFrame) -> DataFrame:
@@ -28,30 +40,65 @@ def cut(documents: DataFrame) -> DataFrame:
     return chunking.chunk(documents, ["doc_id"], text="body", path="path")
 
 
-def _embedded(chunks: DataFrame, embedder: vector.Embedder | None, dim: int) -> DataFrame:
-    return vector.embed(chunks.select("doc_id", "seq", "content"), embedder, dim, text="content").select("doc_id", "seq", "embedding")
+def chunk_key(doc_id: str = "doc_id", seq: str = "seq") -> F.Column:
+    """The key of a chunk in an index: its document and number."""
+    return F.concat(F.col(doc_id).cast("string"), F.lit(":"), F.col(seq).cast("string"))
+
+
+def _given(files: DataFrame) -> Reader:
+    """Contents that the listing brought along."""
+    def read(wanted: DataFrame) -> DataFrame:
+        own = files.select(*changes.NAME, "body", "hash").alias("g")
+        return wanted.alias("w").join(own, changes._same_keys("w", "g", changes.NAME)).select("w.*", "g.body", "g.hash", F.lit(None).cast("string").alias("error"))
+
+    return read
+
 
+def ingest(files: DataFrame, tables: Tables, embedder: vector.Embedder | None = None, dim: int = 64, chunker: Chunker = cut, read: Reader | None = None, attempts: int = 1, index: Index | None = None) -> Ingested:
+    """The tables after files (collection, path, mtime), the change log and the failures.
 
-def ingest(files: DataFrame, tables: Tables, embedder: vector.Embedder | None = None, dim: int = 64, chunker: Chunker = cut) -> tuple[Tables, DataFrame]:
-    """The tables after files (collection, path, mtime, hash, body), and the change log.
+    With read, contents are read of files whose time differs from the catalog's, and of
+    no others; without, files has body and hash. A deleted document takes its chunks
+    and vectors along; a changed one is deleted and inserted, under the id of its new
+    content; a touched one only has its time stored. Chunks that have no vector, from an
+    earlier run that failed, are embedded again. A file that can't be read and a text
+    that can't be embedded (after some attempts) are failures; everything else is
+    stored, and the next run tries them again, as their document or vector is missing.
+    An index over chunk_key and content gets the same changes.
 
-    A deleted document takes its chunks and vectors along; a changed one is deleted
-    and inserted, under the id of its new content; a touched one only has its time
-    stored. Chunks that have no vector, from an earlier run that failed, are embedded
-    again. Unchanged documents are neither cut nor embedded.
+    What changed, its contents, the new chunks and the new vectors are each worked out
+    once and stored; the tables given back are the old ones without and with them.
     """
-    found = changes.diff(files.select("collection", "path", "mtime", "hash"), tables.documents.select("collection", "path", "mtime", "hash"))
-    of = lambda *actions: found.where(F.col("action").isin(*actions)).select("collection", "path")
-    lost = tables.documents.join(of("changed", "deleted"), ["collection", "path"], "left_semi").select("doc_id")
-    times = found.where("action = 'touched'").select("collection", "path", F.col("new_mtime").alias("__mtime"))
-    kept = tables.documents.join(lost, "doc_id", "left_anti").join(times, ["collection", "path"], "left").withColumn("mtime", F.coalesce("__mtime", "mtime"))
-    columns = tables.documents.columns
-    fresh = files.join(of("new", "changed"), ["collection", "path"], "left_semi").withColumn("doc_id", document_id(F.col("collection"), F.col("path"), F.col("hash"))).select(*columns)
-
-    made = chunker(fresh).select(*tables.chunks.columns)
-    chunks = tables.chunks.join(lost, "doc_id", "left_anti")
-    vectors = tables.vectors.join(lost, "doc_id", "left_anti")
-    bare = chunks.join(vectors.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
-    embedded = _embedded(made.select("doc_id", "seq", "content").unionByName(bare.select("doc_id", "seq", "content")), embedder, dim)
-    after = Tables(kept.select(*columns).unionByName(fresh), chunks.unionByName(made), vectors.unionByName(embedded))
-    return after, changes.change_log(found)
+    catalog = tables.documents.select(*changes.NAME, "mtime", "hash", "doc_id")
+    look = stored(changes.to_look_at(files.select(*changes.NAME, "mtime", *(["error"] if "error" in files.columns and read else [])), catalog), "changes")
+    wanted = look.where("look <> 'deleted'")
+    found = changes.settled((read or _given(files))(wanted))
+    found = stored(found.withColumn("body", F.when(F.col("action").isin("new", "changed"), F.col("body"))), "contents")
+    gone = look.where("look = 'deleted'").withColumn("hash", F.lit(None).cast("string")).withColumn("action", F.lit("deleted"))
+    columns = [*changes.NAME, "action", "mtime", "hash", "old_mtime", "old_hash", "old_doc_id"]
+    actions = found.select(*columns).unionByName(gone.select(*columns))
+    replaced = actions.where("action IN ('changed', 'deleted')").select(F.col("old_doc_id").alias("doc_id"))
+
+    own = tables.documents.columns
+    times = actions.where("action <> 'failed' AND action <> 'new'").select(F.col("old_doc_id").alias("doc_id"), "action", F.col("mtime").alias("__mtime"))
+    kept = tables.documents.join(times, "doc_id", "left").where("action IS NULL OR action = 'touched'").withColumn("mtime", F.coalesce("__mtime", "mtime"))
+    fresh = found.where("action IN ('new', 'changed')").withColumn("doc_id", document_id(F.col("collection"), F.col("path"), F.col("hash"))).select(*own)
+
+    made = stored(chunker(fresh).select(*tables.chunks.columns), "chunks")
+    chunks = tables.chunks.join(replaced, "doc_id", "left_anti")
+    bare = chunks.join(tables.vectors.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
+    texts = made.select("doc_id", "seq", "content").unionByName(bare.select("doc_id", "seq", "content"))
+    embedded = stored(vector.embed(texts, embedder, dim, text="content", error="error", attempts=attempts).select("doc_id", "seq", "embedding", "error"), "vectors")
+    vectors = tables.vectors.join(replaced, "doc_id", "left_anti").unionByName(embedded.where("error IS NULL").select("doc_id", "seq", "embedding"))
+    after = Tables(kept.select(*own).unionByName(fresh), chunks.unionByName(made), vectors)
+
+    nothing = lambda kind: F.lit(None).cast(kind)
+    failed = found.where("action = 'failed'").select(F.lit("read").alias("stage"), *changes.NAME, nothing("string").alias("doc_id"), nothing("int").alias("seq"), "error")
+    failed = failed.unionByName(embedded.where("error IS NOT NULL").select(F.lit("embed").alias("stage"), *[nothing("string").alias(n) for n in changes.NAME], F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("int").alias("seq"), "error"))
+    if "error" in files.columns and read:
+        failed = failed.unionByName(files.where("error IS NOT NULL").select(F.lit("list").alias("stage"), *changes.NAME, nothing("string").alias("doc_id"), nothing("int").alias("seq"), "error"))
+    if index is not None:
+        lost = tables.chunks.join(replaced, "doc_id", "left_semi").select(chunk_key().alias(index.key))
+        index.update(lost, made.select(chunk_key().alias(index.key), F.col("content").alias("text")))
+    log = changes.change_log(actions.where("action <> 'failed'").withColumnsRenamed({"mtime": "new_mtime", "hash": "new_hash"}))
+    return Ingested(after, log, failed)

@@ -147,6 +147,8 @@ def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0
     if strategy == "and":
         order = top(scored(1.0), limit, key).select(F.col(key).alias("__key"), F.col("raw_score").alias("__plain"))
         found = found.join(order, F.col(key) == F.col("__key")).drop("__key")
+    elif index is not None and where is None:
+        found = index.top(corpus.sparkSession, terms, limit)
     else:
         found = top(found, limit, key)
     if index is not None:

@@ -21,9 +21,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 if either is a zero vector."""
+    """0 if either is a zero vector or has a component that is no finite number."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+    return F.when((norm > 0) & (norm < float("inf")), dot(a, b) / norm).otherwise(0.0)
 
 
 def nearest(vectors: DataFrame, query: Column, limit: int, where: Column | None = None, min_score: float = 0.0, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -63,7 +63,7 @@ def nearest_batch(queries: DataFrame, vectors: DataFrame, limit: int, key: str =
             for pair in batch.to_pylist():
                 ids, keys = np.frombuffer(pair["q_keys"], np.int64), np.frombuffer(pair["v_keys"], np.int64)
                 q, v = (np.frombuffer(pair[k], np.float64).reshape(len(n), -1) for k, n in (("q_data", ids), ("v_data", keys)))
-                unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+                unit = lambda m: np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) < np.inf, m, 0) / np.where((n > 0) & (n < np.inf), n, 1)
                 scores = unit(q) @ unit(v).T
                 order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 9)), axis=1)[:, :limit]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], ["query_id", key, "score"])
@@ -103,20 +103,50 @@ def hash_embedder(dim: int = 64) -> Embedder:
     return lambda texts: np.stack([hash_embedding(t, dim) for t in texts])
 
 
-def embed(rows: DataFrame, embedder: Embedder | None = None, dim: int = 64, text: str = "text", column: str = "embedding", batch_size: int = 8) -> DataFrame:
-    """rows with the embedding of each text, made batch_size texts at a time by any embedder; null text: empty."""
+def one_by_one(embedder: Embedder, texts: list[str], attempts: int = 1) -> list[tuple[np.ndarray | None, str | None]]:
+    """A vector or an error for each text: all together and, if that fails, each text alone, so many times."""
+    def checked(some: list[str]) -> np.ndarray:
+        found = np.asarray(embedder(some), np.float32)
+        if found.ndim != 2 or len(found) != len(some):
+            raise ValueError(f"{len(some)} texts gave an array of shape {found.shape}")
+        return found
+
+    try:
+        return [(x, None) for x in checked(texts)]
+    except Exception as e:  # the embedder comes from outside; whatever it raises is an error of its texts
+        error = f"{type(e).__name__}: {e}"
+    out: list[tuple[np.ndarray | None, str | None]] = []
+    for text in texts:
+        found = None
+        for _ in range(attempts):
+            try:
+                found = checked([text])[0]
+                break
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+        out.append((found, None if found is not None else error))
+    return out
+
+
+def embed(rows: DataFrame, embedder: Embedder | None = None, dim: int = 64, text: str = "text", column: str = "embedding", batch_size: int = 8, error: str | None = None, attempts: int = 1) -> DataFrame:
+    """rows with the embedding of each text, made batch_size texts at a time by any embedder; null text: empty.
+
+    A batch for which the embedder raises is tried text by text, each so many times; a
+    text that fails has no embedding and, where error names a column, what was raised.
+    """
     embedder = embedder or hash_embedder(dim)
-    rows = rows.drop(column)
+    new = [column, *([error] if error else [])]
+    rows = rows.drop(*new)
     names = rows.columns
-    schema = rows.select("*", F.array(F.lit(0.0).cast("float")).alias(column)).schema
+    schema = rows.select("*", F.lit(None).cast("array<float>").alias(column), *([F.lit(None).cast("string").alias(error)] if error else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
-            found = [embedder(texts[i : i + batch_size]) for i in range(0, len(texts), batch_size)]
-            flat = np.concatenate(found).astype(np.float32) if found else np.zeros((0, dim), np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, column])
+            found = [x for i in range(0, len(texts), batch_size) for x in one_by_one(embedder, texts[i : i + batch_size], attempts)]
+            ends = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v, _ in found])]).astype(np.int32)
+            flat = np.concatenate([v for v, _ in found if v is not None] or [np.zeros(0, np.float32)])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([v is None for v, _ in found]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *([pa.array([e for _, e in found], pa.string())] if error else [])], [*names, *new])
 
     return rows.mapInArrow(run, schema)
-

@@ -176,6 +176,19 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).search(spark, OR_TERMS, 50).select("doc_id", F.round("score", 6).alias("score"))
 
 
+CHANGED_DOCUMENTS = "(SELECT doc_id, CASE WHEN lang = 'de' THEN 'worthless ' || text ELSE text END AS text FROM documents WHERE lang <> 'es' UNION ALL SELECT doc_id + 1000000, text FROM documents WHERE lang = 'es' AND doc_id % 3 = 0)"
+
+
+@query(bm25_sql(OR_TERMS, corpus=CHANGED_DOCUMENTS) + "SELECT doc_id, score FROM s ORDER BY raw DESC, doc_id LIMIT 50")
+def index_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents brought up to date: Spanish ones go, of which a third come under new ids; German ones change."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    moved = docs.where("lang = 'es' AND doc_id % 3 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
+    changed = docs.where("lang = 'de'").select("doc_id", F.concat(F.lit("worthless "), "text").alias("text"))
+    index = built(spark, sf_dir).update(docs.where("lang = 'es'").select("doc_id"), changed.unionByName(moved))
+    return index.search(spark, OR_TERMS, 50).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(bm25_sql(lexical.Terms(all=("the", "wor", "blean"), prefix=True), 1.5, "source <> 'src3'") + f""", o AS ({bm25_sql(lexical.Terms(all=("the", "wor", "blean"), prefix=True), 1.0, "source <> 'src3'")} SELECT doc_id, raw FROM s ORDER BY raw DESC, doc_id LIMIT 40)
 SELECT s.doc_id, s.source AS collection, s.score, (row_number() OVER (ORDER BY o.raw DESC, s.doc_id) - 1)::INT AS rank FROM s JOIN o ON o.doc_id = s.doc_id""")
 def indexed_and_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,28 +621,28 @@ def eta_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The catalog holds all documents. On disk Spanish ones are gone, German ones changed,
 # French ones touched, English ones as they were (every fifth has other content under
-# an equal time, which isn't looked at), and pages are new.
+# an equal time, which isn't looked at), and pages are new. A collection and a path are null.
 FILES_SQL = """
-WITH c AS (SELECT source AS collection, doc_id || '.md' AS path, n_chars AS mtime, sha256(text) AS hash FROM documents)
+WITH c AS (SELECT nullif(source, 'src3') AS collection, nullif(doc_id || '.md', '7.md') AS path, n_chars AS mtime, sha256(text) AS hash, true AS known FROM documents)
 , f AS (
-  SELECT source AS collection, doc_id || '.md' AS path, CASE WHEN lang = 'en' THEN n_chars ELSE n_chars + 1 END AS mtime, CASE WHEN lang = 'de' OR (lang = 'en' AND doc_id % 5 = 0) THEN sha256('changed ' || text) ELSE sha256(text) END AS hash FROM documents WHERE lang <> 'es'
-  UNION ALL SELECT 'pages', page_id || '.html', length(html), sha256(html) FROM pages
+  SELECT nullif(source, 'src3') AS collection, nullif(doc_id || '.md', '7.md') AS path, CASE WHEN lang = 'en' THEN n_chars ELSE n_chars + 1 END AS mtime, CASE WHEN lang = 'de' OR (lang = 'en' AND doc_id % 5 = 0) THEN sha256('changed ' || text) ELSE sha256(text) END AS hash, true AS there FROM documents WHERE lang <> 'es'
+  UNION ALL SELECT 'pages', page_id || '.html', length(html), sha256(html), true FROM pages
 )
 , d AS (
   SELECT coalesce(f.collection, c.collection) AS collection, coalesce(f.path, c.path) AS path,
-    CASE WHEN c.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'deleted' WHEN f.mtime = c.mtime THEN 'unchanged' WHEN f.hash = c.hash THEN 'touched' ELSE 'changed' END AS action,
+    CASE WHEN c.known IS NULL THEN 'new' WHEN f.there IS NULL THEN 'deleted' WHEN f.mtime = c.mtime THEN 'unchanged' WHEN f.hash = c.hash THEN 'touched' ELSE 'changed' END AS action,
     c.mtime AS old_mtime, f.mtime AS new_mtime, c.hash AS old_hash, f.hash AS new_hash
-  FROM f FULL OUTER JOIN c ON f.collection = c.collection AND f.path = c.path
+  FROM f FULL OUTER JOIN c ON f.collection IS NOT DISTINCT FROM c.collection AND f.path IS NOT DISTINCT FROM c.path
 )
 """
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    name = F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
-    old = docs.select(F.col("source").alias("collection"), name, F.col("n_chars").alias("mtime"), F.sha2("text", 256).alias("hash"))
+    name, source = F.nullif(F.concat(F.col("doc_id").cast("string"), F.lit(".md")), F.lit("7.md")).alias("path"), F.nullif("source", F.lit("src3")).alias("collection")
+    old = docs.select(source, name, F.col("n_chars").alias("mtime"), F.sha2("text", 256).alias("hash"))
     body = F.when((F.col("lang") == "de") | ((F.col("lang") == "en") & (F.col("doc_id") % 5 == 0)), F.concat(F.lit("changed "), F.col("text"))).otherwise(F.col("text"))
-    new = docs.where("lang <> 'es'").select(F.col("source").alias("collection"), name, (F.col("n_chars") + (F.col("lang") != "en").cast("long")).alias("mtime"), F.sha2(body, 256).alias("hash"))
+    new = docs.where("lang <> 'es'").select(source, name, (F.col("n_chars") + (F.col("lang") != "en").cast("long")).alias("mtime"), F.sha2(body, 256).alias("hash"))
     more = pages.select(F.lit("pages").alias("collection"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.length("html").cast("long").alias("mtime"), F.sha2("html", 256).alias("hash"))
     return new.unionByName(more), old
 
@@ -640,16 +653,17 @@ def change_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(FILES_SQL + """
+, n AS (SELECT *, coalesce('"collection":"' || collection || '",', '') || coalesce('"path":"' || path || '",', '') AS names FROM d)
 SELECT collection, path, 0 AS step, CASE action WHEN 'new' THEN 'INSERT' WHEN 'touched' THEN 'UPDATE' ELSE 'DELETE' END AS operation,
-  CASE action WHEN 'new' THEN '{"collection":"' || collection || '","path":"' || path || '","hash":"' || new_hash || '"}' WHEN 'touched' THEN '{"collection":"' || collection || '","path":"' || path || '","file_mod_time":' || new_mtime || '}' ELSE '{"collection":"' || collection || '","path":"' || path || '","hash":"' || old_hash || '"}' END AS data_json
-FROM d WHERE action <> 'unchanged'
-UNION ALL SELECT collection, path, 1, 'INSERT', '{"collection":"' || collection || '","path":"' || path || '","hash":"' || new_hash || '"}' FROM d WHERE action = 'changed'
+  '{' || names || CASE action WHEN 'new' THEN '"hash":"' || new_hash || '"}' WHEN 'touched' THEN '"file_mod_time":' || new_mtime || '}' ELSE '"hash":"' || old_hash || '"}' END AS data_json
+FROM n WHERE action <> 'unchanged'
+UNION ALL SELECT collection, path, 1, 'INSERT', '{' || names || '"hash":"' || new_hash || '"}' FROM n WHERE action = 'changed'
 """)
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.change_log(changes.diff(*snapshots(spark, sf_dir)))
 
 
-@query(FILES_SQL + "SELECT f.collection, f.path, f.mtime, CASE WHEN c.mtime = f.mtime THEN c.hash ELSE f.hash END AS hash FROM f LEFT JOIN c ON c.collection = f.collection AND c.path = f.path")
+@query(FILES_SQL + "SELECT f.collection, f.path, f.mtime, CASE WHEN c.mtime = f.mtime THEN c.hash ELSE f.hash END AS hash FROM f LEFT JOIN c ON c.collection IS NOT DISTINCT FROM f.collection AND c.path IS NOT DISTINCT FROM f.path")
 def catalog_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, old = snapshots(spark, sf_dir)
     return changes.apply_to_catalog(old, files)
@@ -755,7 +769,7 @@ def ingest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = old.where("lang <> 'es'").select("collection", "path", (F.col("mtime") + (F.col("lang") != "en").cast("long")).alias("mtime"), body.alias("body"))
     pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("collection"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.length("html").cast("long").alias("mtime"), F.col("html").alias("body"))
     files = files.unionByName(pages).withColumn("hash", F.sha2("body", 256))
-    after, log = ingest.ingest(files, ingest.Tables(documents, parts, known), chunker=lines)
+    after, log, _ = ingest.ingest(files, ingest.Tables(documents, parts, known), chunker=lines)
     counts = after.chunks.groupBy("doc_id").agg(F.count("*").alias("chunks")).join(after.vectors.groupBy("doc_id").agg(F.count("*").alias("vectors")), "doc_id")
     entries = log.groupBy("collection", "path").agg(F.count("*").alias("entries"))
     found = after.documents.join(counts, "doc_id", "left").join(entries, ["collection", "path"], "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
@@ -11,25 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import base_name
-
-DEFAULT_GLOB = "**/*.{md,txt}"
-
-
-def expand(pattern: str) -> list[str]:
-    """The patterns that the first {a,b} group of a pattern stands for."""
-    found = re.match(r"([^{]*?)\{([^}]*)\}(.*)", pattern, re.DOTALL)
-    if not found:
-        return [pattern]
-    return [found[1] + x.strip() + found[3] for x in found[2].split(",")]
-
-
-def glob_regex(pattern: str) -> str:
-    """A pattern for base names as a regular expression; a leading **/ goes."""
-    out = ""
-    for part in re.findall(r"\[[^\]]*\]|.", pattern.removeprefix("**/")):
-        out += "[^/]*" if part == "*" else "[^/]" if part == "?" else part if part.startswith("[") and len(part) > 1 else re.escape(part)
-    return f"^{out}$"
-
+from gleanery.sources.folder import DEFAULT_GLOB, contents, expand, glob_regex, listing
 
 def matches(path: Column, pattern: str) -> Column:
     found = F.lit(False)
@@ -47,13 +28,13 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 
 
 def scan(spark: SparkSession, root: str, collection: str, pattern: str = DEFAULT_GLOB, ignore: list[str] | None = None) -> DataFrame:
-    """collection, path (below root), body, hash, mtime (seconds), file_size of the files that match."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{re.escape(base)}", "")
-    rows = files.select(F.lit(collection).alias("collection"), path.alias("path"), "content", F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime"), F.col("length").alias("file_size"))
-    rows = rows.where(matches(F.col("path"), pattern) & ~ignored(F.col("path"), ignore or []))
-    return rows.select("collection", "path", F.decode("content", "UTF-8").alias("body"), F.sha2("content", 256).alias("hash"), "mtime", "file_size")
+    """collection, path (below root), body, hash, mtime (seconds), file_size of all files that match and can be read.
+
+    To read only what has changed since a catalog was stored, give folder.listing and
+    folder.contents to operators.ingest.
+    """
+    found = contents(listing(spark, root, collection, pattern, ignore or ()).where("error IS NULL"), root)
+    return found.where("error IS NULL").select("collection", "path", "body", "hash", "mtime", "file_size")
 
 
 QUESTIONS = "question string, question_type string, haystack_sessions array<array<struct<role: string, content: string, has_answer: boolean>>>"

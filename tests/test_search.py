@@ -1,11 +1,13 @@
 import math
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import text, words
 from gleanery.operators import changes, collection, evaluate, fusion, ingest, lexical, retrieve, vector
+from gleanery.operators import index as module
 from gleanery.operators.index import Index
 
 TEXTS = ["the quick brown fox", "the lazy dog sleeps", "quick quick dog", "a café near the fox den", "nothing here at all", "dog dog dog fox"]
@@ -107,16 +109,92 @@ def test_index_of_nothing(spark, corpus, tmp_path):
     assert retrieve.keyword_search(corpus.limit(0), "quick dog", index=index).count() == 0
 
 
-def test_index_slices(spark, tmp_path, monkeypatch):
-    """A frequent term is dealt over as many files as the counts ask for, and found whole."""
-    from gleanery.operators import index as module
-
-    monkeypatch.setattr(module, "BUCKET_TOKENS", 500)
-    monkeypatch.setattr(module, "SLICE_ROWS", 100)
+def test_a_frequent_term_has_several_files(spark, tmp_path, monkeypatch):
+    """It is dealt over as many files as its share of the corpus asks for, and found whole; folders are bounded."""
+    monkeypatch.setattr(module, "PART_BYTES", 1000)
+    monkeypatch.setattr(module, "MOST_RANGES", 5)
     corpus = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id").cast("string")).alias("text"))
     index = Index(str(tmp_path / "many")).write(corpus)
     assert index.bm25(spark, lexical.Terms(any=("common",))).count() == 1000
-    assert index.postings(spark, lexical.Terms(any=("common",))).select(F.input_file_name()).distinct().count() > 4
+    (segment,) = index.version(spark)["segments"]
+    blocks = spark.read.parquet(f"{index.path}/segments/{segment['name']}/blocks")
+    assert blocks.where("term = 'common'").select(F.input_file_name()).distinct().count() > 4
+    assert blocks.select("range").distinct().count() <= 6
+
+
+def scored(rows):
+    return [(r["doc_id"], round(r["raw_score"], 9)) for r in rows.collect()]
+
+
+def random_corpus(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    words_ = [f"t{i}" for i in range(60)]
+    p = 1 / np.arange(1, 61) ** 1.1
+    texts = [" ".join(rng.choice(words_, int(rng.integers(0, 2 ** rng.integers(1, 8))), p=p / p.sum())) for _ in range(n)]
+    return spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_best_rows_are_those_of_the_full_scoring(spark, tmp_path, monkeypatch):
+    """Blocks are left out without a change of the result; rare terms beside frequent ones leave out most."""
+    monkeypatch.setattr(module, "BLOCK", 8)
+    corpus = random_corpus(spark, 1500, 1)
+    index = Index(str(tmp_path / "top")).write(corpus)
+    rng = np.random.default_rng(2)
+    shares = []
+    for k in range(12):
+        terms = lexical.Terms(any=tuple(f"t{i}" for i in rng.integers(0, 60, 1 + k % 4)))
+        limit = int(rng.integers(1, 30))
+        assert scored(index.top(spark, terms, limit)) == scored(lexical.top(index.bm25(spark, terms), limit))
+        if k % 4 == 1:
+            read, whole = index.blocks_read(spark, terms, 3)
+            shares.append(read / whole)
+    assert scored(index.top(spark, terms, 9)) == scored(lexical.top(lexical.bm25(corpus, terms), 9))
+    assert min(shares) < 0.3
+    assert index.top(spark, lexical.Terms(any=("absent",)), 3).count() == 0
+
+
+def test_updated_index_is_a_fresh_one(spark, tmp_path, monkeypatch):
+    """Deleted, changed and new rows, several times over and merged, against an index built at once."""
+    monkeypatch.setattr(module, "BLOCK", 16)
+    monkeypatch.setattr(module, "MOST_SEGMENTS", 2)
+    rows = {r["doc_id"]: r["text"] for r in random_corpus(spark, 300, 3).collect()}
+    table = lambda d: spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    index = Index(str(tmp_path / "kept")).write(table(rows))
+    rng = np.random.default_rng(4)
+    for step in range(3):
+        gone = rng.choice(list(rows), 30, replace=False).tolist()
+        added = {int(i): f"t{i % 7} t3 fresh{step}" for i in [*gone[:10], 1000 + step, 2000 + step]}
+        rows = {i: t for i, t in rows.items() if i not in gone} | added
+        index.update(spark.createDataFrame([(i,) for i in gone], "doc_id long"), table(added))
+        fresh = Index(str(tmp_path / f"fresh{step}")).write(table(rows))
+        assert index.statistics(spark).first() == fresh.statistics(spark).first()
+        for terms in (lexical.Terms(any=("t3", "t5")), lexical.Terms(any=("t1",), all=("t3",)), lexical.Terms(all=("fresh", "t"), prefix=True), lexical.Terms(any=(f"fresh{step}", "fresh0"))):
+            assert scored(index.bm25(spark, terms).orderBy("doc_id")) == scored(fresh.bm25(spark, terms).orderBy("doc_id"))
+            assert scored(index.top(spark, terms, 7)) == scored(fresh.top(spark, terms, 7))
+    assert len(index.version(spark)["segments"]) <= 2
+    index.merge(spark)
+    (only,) = index.version(spark)["segments"]
+    assert not only["deletes"] and only["rows"] == len(rows)
+    assert scored(index.top(spark, lexical.Terms(any=("t3", "t5")), 7)) == scored(fresh.top(spark, lexical.Terms(any=("t3", "t5")), 7))
+    index.update(spark.createDataFrame([(i,) for i in rows], "doc_id long"), None)
+    assert index.top(spark, lexical.Terms(any=("t3",)), 7).count() == 0 and index.version(spark)["rows"] == 0
+
+
+def test_a_prefix_reads_its_range_of_terms(spark, tmp_path, monkeypatch):
+    """The files read for a prefix don't grow with the other terms."""
+    monkeypatch.setattr(module, "PART_BYTES", 20_000)
+    read = []
+    for others in (2000, 8000):
+        corpus = spark.range(others).select(F.col("id").alias("doc_id"), F.concat(F.lit("b"), F.sha2(F.col("id").cast("string"), 256), F.lit(" "), F.when(F.col("id") < 50, F.concat(F.lit("apple"), F.col("id").cast("string"))).otherwise("zebra")).alias("text"))
+        index = Index(str(tmp_path / f"p{others}")).write(corpus)
+        terms = lexical.Terms(all=("apple",), prefix=True)
+        assert index.bm25(spark, terms).count() == 50
+        (segment,) = index.version(spark)["segments"]
+        folders = index.folders(spark, terms, segment["name"])
+        blocks = spark.read.parquet(f"{index.path}/segments/{segment['name']}/blocks")
+        read.append(blocks.where(F.col("range").isin(folders)).select(F.input_file_name()).distinct().count())
+        assert len(folders) < 0.2 * blocks.select("range").distinct().count()
+    assert read[1] <= read[0] + 1
 
 
 def test_batch_equals_single(spark, corpus):
@@ -221,13 +299,13 @@ def test_ingest_touches_only_changes(spark):
     kind = "collection string, path string, mtime long, hash string, body string"
     first = spark.createDataFrame([("c", p, 1, f"h{p}", f"{p} one\n{p} two") for p in ("same", "touched", "changed", "gone")], kind)
     nothing = ingest.Tables(*[spark.createDataFrame([], k) for k in ("doc_id string, " + kind, "doc_id string, seq int, content string", "doc_id string, seq int, embedding array<float>")])
-    tables, log = ingest.ingest(first, nothing, dim=8, chunker=lines)
-    assert [x.count() for x in (*tables, log)] == [4, 8, 8, 4]
+    tables, log, failures = ingest.ingest(first, nothing, dim=8, chunker=lines)
+    assert [x.count() for x in (*tables, log, failures)] == [4, 8, 8, 4, 0]
     frozen = ingest.Tables(*[spark.createDataFrame(x.collect(), x.schema) for x in tables])
     # a vector that an earlier run failed to write
     frozen = frozen._replace(vectors=frozen.vectors.join(frozen.documents.where("path = 'same'").select("doc_id", F.lit(1).alias("seq")), ["doc_id", "seq"], "left_anti"))
     second = spark.createDataFrame([("c", "same", 1, "other", "unread"), ("c", "touched", 2, "htouched", "touched one\ntouched two"), ("c", "changed", 2, "x", "new text"), ("c", "new", 2, "n", "a\nb\nc")], kind)
-    after, log = ingest.ingest(second, frozen, embedder=lambda texts: (seen.extend(texts), vector.hash_embedder(8)(texts))[1], dim=8, chunker=lines)
+    after, log, _ = ingest.ingest(second, frozen, embedder=lambda texts: (seen.extend(texts), vector.hash_embedder(8)(texts))[1], dim=8, chunker=lines)
     chunks = after.chunks.join(after.documents.select("doc_id", "path"), "doc_id").groupBy("path").count().collect()
     assert {r["path"]: r["count"] for r in chunks} == {"same": 2, "touched": 2, "changed": 1, "new": 3}
     assert after.vectors.count() == 8 and after.vectors.select("doc_id", "seq").distinct().count() == 8

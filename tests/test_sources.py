@@ -52,7 +52,7 @@ def test_watched_files_are_ingested(spark, tmp_path):
         state["log"].append(sorted((r["path"], r["operation"]) for r in frozen[3][0]))
 
     for look in range(2):
-        query = watch(spark, listing, lambda: state["tables"], write, str(tmp_path / f"check{look}"), once=True, apply=lambda found, tables: ingest.ingest(found, tables, dim=8))
+        query = watch(spark, listing, lambda: state["tables"], write, str(tmp_path / f"check{look}"), once=True, apply=lambda found, tables: ingest.ingest(found, tables, dim=8)[:2])
         query.awaitTermination(60)
         query.stop()
         (folder / "b.txt").write_text("second text, changed")
