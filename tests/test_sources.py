@@ -1,11 +1,14 @@
 import json
 import os
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleanery.functions import render, text
-from gleanery.operators import catalog, ingest
-from gleanery.sources import files
+from gleanery.operators import catalog, ingest, lexical, vector
+from gleanery.operators.index import Index
+from gleanery.sources import files, folder
 from gleanery.streaming.watch import changes_in_windows, watch
 
 
@@ -38,11 +41,11 @@ def test_scan_and_watch(spark, tmp_path):
 
 def test_watched_files_are_ingested(spark, tmp_path):
     """Two looks at a folder: all files are cut and embedded, then the changed one only."""
-    folder = tmp_path / "docs"
-    folder.mkdir()
-    (folder / "a.md").write_text("# A\nfirst text")
-    (folder / "b.txt").write_text("second text")
-    listing = lambda: files.scan(spark, str(folder), "notes").select("collection", "path", "mtime", "hash", "body")
+    watched = tmp_path / "docs"
+    watched.mkdir()
+    (watched / "a.md").write_text("# A\nfirst text")
+    (watched / "b.txt").write_text("second text")
+    listing = lambda: files.scan(spark, str(watched), "notes").select("collection", "path", "mtime", "hash", "body")
     kinds = ("doc_id string, collection string, path string, mtime long, hash string, body string", "doc_id string, seq int, content string, position int, token_count int", "doc_id string, seq int, embedding array<float>")
     state = {"tables": ingest.Tables(*[spark.createDataFrame([], k) for k in kinds]), "log": []}
 
@@ -55,8 +58,8 @@ def test_watched_files_are_ingested(spark, tmp_path):
         query = watch(spark, listing, lambda: state["tables"], write, str(tmp_path / f"check{look}"), once=True, apply=lambda found, tables: ingest.ingest(found, tables, dim=8)[:2])
         query.awaitTermination(60)
         query.stop()
-        (folder / "b.txt").write_text("second text, changed")
-        os.utime(folder / "b.txt", (2_000_000_000, 2_000_000_000))
+        (watched / "b.txt").write_text("second text, changed")
+        os.utime(watched / "b.txt", (2_000_000_000, 2_000_000_000))
     assert [x.count() for x in state["tables"]] == [2, 2, 2]
     assert {r["content"] for r in state["tables"].chunks.collect()} == {"# A\nfirst text", "second text, changed"}
     assert state["log"] == [[("a.md", "INSERT"), ("b.txt", "INSERT")], [("b.txt", "DELETE"), ("b.txt", "INSERT")]]
@@ -118,3 +121,109 @@ def test_render(spark):
     assert "collection" not in render.json_rows(hits).first()["json"]
     assert render.csv_rows(hits).first()["score"] == "50.00"
     assert render.document(render.text_rows(hits.limit(0)), "text") == render.NOTHING
+
+
+KINDS = ("doc_id string, collection string, path string, mtime long, hash string, body string", "doc_id string, seq int, content string, position int, token_count int", "doc_id string, seq int, embedding array<float>")
+
+
+def frozen(spark, tables):
+    return ingest.Tables(*[spark.createDataFrame(x.collect(), x.schema) for x in tables])
+
+
+def test_only_files_of_another_time_are_read(spark, tmp_path):
+    """Of 1,000 files one changes, one is touched, one is new and one goes: three bodies are read."""
+    root, seen = tmp_path / "docs", tmp_path / "seen"
+    seen.mkdir()
+    for i in range(1000):
+        (root / f"d{i % 20}").mkdir(parents=True, exist_ok=True)
+        (root / f"d{i % 20}" / f"{i}.md").write_text(f"# {i}\ntext {i}")
+        os.utime(root / f"d{i % 20}" / f"{i}.md", (1000, 1000))
+    (root / "skipped").mkdir()
+    (root / "skipped" / "x.md").write_text("x")
+
+    def read(base, path):
+        (seen / path.replace("/", "_")).touch()
+        return folder.read_bytes(base, path)
+
+    def look(tables, **options):
+        found = folder.listing(spark, str(root), "notes", ignore=["skipped"])
+        return ingest.ingest(found, tables, dim=8, read=lambda rows: folder.contents(rows, str(root), read), **options)
+
+    tables, log, failures = look(ingest.Tables(*[spark.createDataFrame([], k) for k in KINDS]))
+    tables = frozen(spark, tables)
+    assert [x.count() for x in (*tables, log, failures)] == [1000, 1000, 1000, 1000, 0] and len(list(seen.iterdir())) == 1000
+    for f in seen.iterdir():
+        f.unlink()
+    (root / "d7" / "7.md").write_text("changed")
+    os.utime(root / "d8" / "8.md", (2000, 2000))
+    (root / "d9" / "new.md").write_bytes(b"not \xff utf-8")
+    (root / "d3" / "3.md").unlink()
+    tables, log, failures = look(tables)
+    assert sorted((r["path"], r["operation"]) for r in log.collect()) == [("d3/3.md", "DELETE"), ("d7/7.md", "DELETE"), ("d7/7.md", "INSERT"), ("d8/8.md", "UPDATE"), ("d9/new.md", "INSERT")]
+    assert sorted(f.name for f in seen.iterdir()) == ["d7_7.md", "d8_8.md", "d9_new.md"]
+    assert tables.documents.where("path = 'd9/new.md'").first()["body"] == "not � utf-8" and failures.count() == 0
+
+
+def test_failures_leave_the_rest(spark, tmp_path):
+    """A file that can't be read, a folder that can't be listed and a text that can't be embedded; the next run has them."""
+    root = tmp_path / "docs"
+    (root / "sub").mkdir(parents=True)
+    for name in ("a.md", "b.md", "sub/c.md"):
+        (root / name).write_text(f"text of {name}")
+
+    def read(base, path):
+        if path == "b.md" and not (tmp_path / "well").exists():
+            raise OSError("no such luck")
+        return folder.read_bytes(base, path)
+
+    def embedder(texts):
+        if any("sub/c" in t for t in texts) and not (tmp_path / "well").exists():
+            raise RuntimeError("service")
+        return vector.hash_embedder(8)(texts)
+
+    index = Index(str(tmp_path / "index"), key="chunk")
+    reader = lambda rows: folder.contents(rows, str(root), read)
+    found = folder.listing(spark, str(root), "notes")
+    first = ingest.ingest(found, ingest.Tables(*[spark.createDataFrame([], k) for k in KINDS]), embedder=embedder, dim=8, read=reader, index=index)
+    tables = frozen(spark, first.tables)
+    assert [x.count() for x in tables] == [2, 2, 1]
+    failed = sorted(map(tuple, first.failures.select("stage", "path", "error").collect()), key=repr)
+    assert failed == [("embed", None, "RuntimeError: service"), ("read", "b.md", "OSError: no such luck")]
+    assert index.search(spark, lexical.Terms(any=("sub",))).count() == 1 and index.version(spark)["rows"] == 2
+    # nothing has changed, yet what failed is tried again
+    (tmp_path / "well").touch()
+    again = ingest.ingest(found, tables, embedder=embedder, dim=8, read=reader, index=index)
+    assert [x.count() for x in (*again.tables, again.log, again.failures)] == [3, 3, 3, 1, 0] and index.version(spark)["rows"] == 3
+    # what lies below a folder that wasn't listed isn't deleted
+    hidden = found.where("path NOT LIKE 'sub/%'").unionByName(spark.createDataFrame([("notes", "sub", None, None, "denied")], found.schema))
+    third = ingest.ingest(hidden, frozen(spark, again.tables), dim=8, read=reader)
+    assert third.tables.documents.count() == 3 and third.log.count() == 0 and [r["stage"] for r in third.failures.collect()] == ["list"]
+
+
+def test_embedding_isolates_failures(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id int, text string").repartition(2)
+
+    def embedder(texts):
+        if "t7" in texts:
+            raise ValueError("bad text")
+        return vector.hash_embedder(4)(texts)
+
+    got = vector.embed(rows, embedder, 4, error="why").collect()
+    assert [r["id"] for r in got if r["embedding"] is None] == [7] and {r["why"] for r in got} == {None, "ValueError: bad text"}
+    assert vector.embed(rows, embedder, 4).where("embedding IS NOT NULL").count() == 19
+    assert vector.one_by_one(lambda t: np.zeros((9, 2)), ["a"])[0][1].startswith("ValueError")
+
+
+def test_listing_as_a_stream(spark, tmp_path):
+    root = tmp_path / "docs"
+    root.mkdir()
+    (root / "a.md").write_text("a")
+    looks = []
+    query = folder.listings(spark, str(root), "notes", seconds=0.5).writeStream.foreachBatch(lambda rows, n: looks.append(sorted(r["path"] for r in rows.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="1 second").start()
+    began = time.time()
+    while (not looks or looks[-1] != ["b.md"]) and time.time() - began < 60:
+        if looks and (root / "a.md").exists():
+            (root / "a.md").rename(root / "b.md")
+        time.sleep(0.2)
+    query.stop()
+    assert looks[0] == ["a.md"] and looks[-1] == ["b.md"]
