@@ -119,20 +119,22 @@ class Segmenter:
             words = {r: [x for w in ws for x in self.inner(w)] for r, ws in words.items()}
         return [[w for p in ps for w in words.get(p, [p])] for ps in split]
 
+    def lists(self, column: pa.Array, finer: bool = False) -> pa.Array:
+        """Lists of tokens with the words of each in its place; the distinct tokens are cut once."""
+        coded = column.flatten().dictionary_encode()
+        parts = self.parts(coded.dictionary.to_pylist(), finer)
+        many = np.array([len(p) for p in parts], np.int64)
+        ends, code = np.concatenate([[0], np.cumsum(many)]), coded.indices.to_numpy()
+        each = many[code] if len(code) else np.zeros(0, np.int64)
+        at = np.repeat(ends[code] - (np.cumsum(each) - each), each) + np.arange(each.sum()) if len(code) else np.zeros(0, np.int64)
+        flat = pa.array([w for p in parts for w in p], pa.string()).take(pa.array(at))
+        rows = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)])[rows].astype(np.int32)), flat)
+
     def _column(self, finer: bool) -> Callable[[Column], Column]:
         @arrow_udf("array<string>")
         def run(column: pa.Array) -> pa.Array:
-            coded = column.flatten().dictionary_encode()
-            parts = self.parts(coded.dictionary.to_pylist(), finer)
-            many = np.array([len(p) for p in parts], np.int64)
-            ends = np.concatenate([[0], np.cumsum(many)])
-            code = coded.indices.to_numpy()
-            each = many[code] if len(code) else np.zeros(0, np.int64)
-            at = np.repeat(ends[code] - (np.cumsum(each) - each), each) + np.arange(each.sum()) if len(code) else np.zeros(0, np.int64)
-            flat = pa.array([w for p in parts for w in p], pa.string()).take(pa.array(at))
-            reached = np.concatenate([[0], np.cumsum(each)])
-            rows = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
-            return pa.ListArray.from_arrays(pa.array(reached[rows].astype(np.int32)), flat)
+            return self.lists(column, finer)
 
         return lambda text: run(T.whole_runs(text))
 

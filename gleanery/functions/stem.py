@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
@@ -84,14 +85,19 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and measure(word[:-1]) > 1 else word
 
 
+def stem_lists(column: pa.Array) -> pa.Array:
+    """Each token of each list as its stem; the distinct tokens are worked out once."""
+    coded = column.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), stems.take(coded.indices))
+
+
 def stemmed(lists: Column) -> Column:
-    """Each token of an array as its stem; a batch's distinct tokens are worked out once."""
+    """Each token of an array as its stem."""
     @arrow_udf("array<string>")
     def run(column: pa.Array) -> pa.Array:
-        coded = column.flatten().dictionary_encode()
-        stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-        ends = pa.concat_arrays([pa.array([0], pa.int32()), pa.array(column.value_lengths().fill_null(0).to_numpy().cumsum(), pa.int32())])
-        return pa.ListArray.from_arrays(ends, stems.take(coded.indices))
+        return stem_lists(column)
 
     return run(lists)
 

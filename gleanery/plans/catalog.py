@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import render, text, words
 from gleanery.operators import catalog, changes, chunking, collection, evaluate, fusion, ingest, lexical, retrieve, vector
+from gleanery.operators.cells import Cells
 from gleanery.operators.index import Index
 from gleanery.sources import files
 from gleanery.sources.shared import shared_folder, spread, stored
@@ -283,6 +284,14 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(vector.nearest(vectors, probe(vectors), 20))
 
 
+@query(NEAREST.format(rows=COSINE))
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors stored in cells; those that can't hold a near one aren't read."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked_for = vectors.select(probe(vectors).alias("e")).first()["e"]
+    return near(Cells(shared_folder(spark, "cells")).write(vectors).nearest(spark, asked_for, 20)[0])
+
+
 @query(NEAREST.format(rows=COSINE + " WHERE label = 3"))
 def knn_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
@@ -510,7 +519,35 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).drop("chunk_id")
 
 
-@query()
+# Plain texts cut by recursion: each step takes the sentence end nearest to 300 characters on; pieces are trimmed, then get the end of the one before.
+STOPS = "。！？.!?" + "\n"
+PLAIN_CHUNKS_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text AS body, length(text) AS n FROM documents WHERE text <> ''),
+c AS (
+  SELECT doc_id, body, n, 0::BIGINT AS k, 0::BIGINT AS start FROM d
+  UNION ALL
+  SELECT doc_id, body, n, k + 1, CASE WHEN e > start THEN e ELSE start + 300 END FROM (
+    SELECT *, coalesce(list_sort(list_transform(list_filter(range(1, length(w) + 1), lambda i: contains('{STOPS}', substr(w, i, 1))), lambda i: {{'far': abs(low + i - start - 300), 'i': i}}))[1].i + low, start + 300) AS e FROM (
+      SELECT *, greatest(0, start + 250) AS low, substr(body, greatest(0, start + 250) + 1, least(n, start + 350) - greatest(0, start + 250)) AS w FROM c WHERE n - start > 300))
+),
+p AS (SELECT *, substr(body, start + 1, coalesce(lead(start) OVER o, n) - start) AS t, count(*) OVER (PARTITION BY doc_id) AS many FROM c WHERE start < n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+l AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY k) AS next, lag(t) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM p),
+j AS (
+  SELECT doc_id, body, n, k, start, CASE WHEN k = many - 2 AND length(next) < 75 AND length(t) + 1 + length(next) <= 450 THEN t || chr(10) || next ELSE t END AS t FROM l
+  WHERE NOT (many > 1 AND k = many - 1 AND length(t) < 75 AND length(before) + 1 + length(t) <= 450)
+),
+f AS (SELECT *, trim(t, '{text.SPACE}') AS own FROM j),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS seq, lag(own) OVER (PARTITION BY doc_id ORDER BY k) AS last FROM f WHERE own <> '' OR n <= 300),
+h AS (SELECT *, length(last) - 45 AS wish FROM g),
+i AS (SELECT *, CASE WHEN wish > 0 THEN list_sort(list_transform(list_filter(range(greatest(0, wish - 50), least(length(last), wish + 50)), lambda i: contains('{STOPS}', substr(last, i + 1, 1))), lambda i: {{'far': abs(i - wish), 'i': i}}))[1].i END AS cut FROM h),
+m AS (SELECT *, CASE WHEN cut IS NOT NULL THEN trim(substr(last, cut + 2), '{text.SPACE}') ELSE '' END AS tail FROM i),
+o AS (SELECT *, CASE WHEN tail <> '' AND length(tail) + 2 + length(own) <= 450 THEN tail || chr(10) || chr(10) || own ELSE own END AS content, CASE WHEN n <= 300 THEN body END AS whole FROM m)
+SELECT doc_id, seq::INT AS seq, content, (start - length(replace(left(body, start), chr(10), '')))::INT AS position,
+  (length(regexp_replace(coalesce(whole, content), '[^\\x00-\\x7F]', '', 'g')) // 4 + 2 * (length(coalesce(whole, content)) - length(regexp_replace(coalesce(whole, content), '[^\\x00-\\x7F]', '', 'g'))))::INT AS token_count FROM o
+"""
+
+
+@query(PLAIN_CHUNKS_SQL)
 def chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("path", F.lit("a.txt"))
     return chunking.chunk(docs, ["doc_id"], path="path")

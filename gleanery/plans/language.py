@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gleanery.functions import stem, text
 from gleanery.functions.segment import Segmenter
 from gleanery.operators import lexical
-from gleanery.plans.catalog import ANALYSED, HAN_DOCUMENTS, TOP, asked, bm25_sql, han_documents, query, shown, table
+from gleanery.plans.catalog import ANALYSED, COSINE, EMBEDDED, HAN_DOCUMENTS, NEAREST, PLAIN_CHUNKS_SQL, TOP, asked, bm25_sql, han_documents, query, shown, table
+from gleanery.sql import register
 
 # ---------------------------------------------------------------- a lexicon's words
 
@@ -125,3 +126,39 @@ def private_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lexical.query_words(asked(spark, sf_dir)).select((F.col("query_id") % 10).alias("query_id"), stem.stemmed(F.array("term"))[0].alias("term")).distinct()
     found = lexical.search_private(words, haystacks, 30, key="turn_id", analyse=stem.stemmed_tokens)
     return found.select("query_id", "turn_id", F.round(F.col("raw_score").cast("double"), 6).alias("score"), "rank")
+
+
+# ---------------------------------------------------------------- through spark.sql
+
+
+def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    register(spark)
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"gleanery_{name}")
+
+
+@query(PLAIN_CHUNKS_SQL)
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir, "documents")
+    return spark.sql("SELECT doc_id, c.* FROM gleanery_documents, LATERAL chunks(text, 'a.txt', 300) c")
+
+
+@query(f"SELECT doc_id, len({ANALYSED}) AS n_tokens, sha256(array_to_string({ANALYSED}, ' ')) AS tokens_sha256 FROM documents")
+def sql_analyse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir, "documents")
+    return spark.sql("SELECT doc_id, CAST(size(ts) AS BIGINT) AS n_tokens, sha2(array_join(ts, ' '), 256) AS tokens_sha256 FROM (SELECT doc_id, analyse(text) AS ts FROM gleanery_documents)")
+
+
+@query(NEAREST.format(rows=COSINE))
+def sql_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir, "embeddings")
+    return spark.sql("""
+        WITH q AS (SELECT min_by(embedding, vec_id) AS e FROM gleanery_embeddings), v AS (SELECT vec_id, label, embedding, (SELECT e FROM q) AS e FROM gleanery_embeddings), s AS (SELECT vec_id, label, cosine_score(embedding, e) AS raw FROM v)
+        SELECT vec_id, label, round(raw, 6) AS score FROM s ORDER BY raw DESC, vec_id LIMIT 20
+    """)
+
+
+@query("WITH e AS " + EMBEDDED.replace("ROWS", "(SELECT item_id AS k, text FROM benchmark)") + " SELECT k AS item_id, list_transform(embedding, lambda x: round(x::DOUBLE, 5)) AS embedding FROM e")
+def sql_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir, "benchmark")
+    return spark.sql("SELECT item_id, transform(embed_text(text), x -> round(double(x), 5)) AS embedding FROM gleanery_benchmark")
