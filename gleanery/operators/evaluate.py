@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import path_matches, session_key
+from gleanery.operators import fusion
 
 
 def first_places(hits: DataFrame, key: str) -> DataFrame:
@@ -53,13 +56,39 @@ def path_metrics(hits: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (5,
     return metrics(relevant_paths(hits, expected), expected, "path", ks, depth)
 
 
-def compare(backends: dict[str, DataFrame], expected: DataFrame, ks: tuple[int, ...] = (5, 10), depth: int = 10) -> DataFrame:
-    """backend, queries and the means of recall_at_k, mrr and hits of several searches' hits (query_id, path, rank), in one job."""
-    parts = [path_metrics(hits, expected, ks, depth).withColumn("backend", F.lit(name)) for name, hits in backends.items()]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return means(whole, ["backend"], [*[f"recall_at_{k}" for k in ks], "mrr", "hits"])
+def compare(hits: DataFrame, expected: DataFrame, backends: Sequence[str], ks: tuple[int, ...] = (5, 10), depth: int = 10) -> DataFrame:
+    """backend, queries and the means of recall_at_k, mrr and hits of several searches' hits (backend, query_id, path, rank).
+
+    All searches are judged in one plan: a query of a backend is a query of its own.
+    """
+    own = F.struct("backend", "query_id").alias("query_id")
+    asked = expected.select(F.explode(F.array(*[F.lit(b) for b in backends])).alias("backend"), "query_id", "path")
+    per_query = path_metrics(hits.select(own, "path", "rank"), asked.select(own, "path"), ks, depth)
+    return means(per_query.withColumn("backend", F.col("query_id.backend")), ["backend"], [*[f"recall_at_{k}" for k in ks], "mrr", "hits"])
+
+
+def limits(queries: DataFrame, k: str = "k") -> Column:
+    """How many hits a query is asked for: three times its k (10 where it has none), 10 at least."""
+    return F.greatest(3 * F.when(F.col(k) > 0, F.col(k)).otherwise(10), F.lit(10)).cast("int")
+
+
+def backends(words: DataFrame, near: DataFrame, passages: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """backend, query_id, key, rank: keyword, vector, hybrid, and hyde, hybrid by made-up passages, each to its query's limit.
+
+    words, near, passages: query_id, key, rank of the three lists, down to the fused
+    depth (three times a query's limit). asked: query_id, most (its limit).
+    """
+    lists = [x.join(asked, "query_id").where(F.col("rank") < F.least(3 * F.col("most"), F.lit(fusion.OVERFETCH_MOST))) for x in (words, near, passages)]
+    single = [x.select(F.lit(name).alias("backend"), "query_id", key, "rank", "most") for name, x in zip(("keyword", "vector"), lists, strict=False)]
+    tag = lambda x, name, i: x.select(F.lit(name).alias("backend"), "query_id", key, "rank", F.lit(i).alias("list_id"))
+    both = None
+    for name, x in (("hybrid", lists[1]), ("hyde", lists[2])):
+        part = tag(lists[0], name, 0).unionByName(tag(x, name, 1))
+        both = part if both is None else both.unionByName(part)
+    place = F.row_number().over(Window.partitionBy("backend", "query_id").orderBy(F.round("score", 9).desc(), key)) - 1
+    fused = fusion.fuse(both, key=key, per=["backend", "query_id"]).select("backend", "query_id", key, place.alias("rank")).join(asked, "query_id")
+    every = single[0].unionByName(single[1]).unionByName(fused)
+    return every.where(F.col("rank") < F.col("most")).drop("most")
 
 
 def means(per_query: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

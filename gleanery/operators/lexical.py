@@ -163,19 +163,31 @@ def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0
 # postings
 
 
-def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None, analyse: Analyser = tokens) -> DataFrame:
+#: The term of the row that postings keep for each row of the corpus when they are asked for it.
+EVERY = ""
+
+
+def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None, analyse: Analyser = tokens, every: bool = False) -> DataFrame:
     """term, key, tf, length (of the row): the inverted index, or its part for some terms (term).
 
     Terms are counted within a task before any shuffle; those that aren't asked for
-    leave before that.
+    leave before that. With every, each row of the corpus has a posting of the term
+    EVERY besides, so that its statistics come from the same pass.
     """
     listed = corpus.select(F.col(key), F.explode(F.array(analyse(F.col(text)))).alias("__tokens"))
-    exploded = listed.select(key, F.size("__tokens").cast("long").alias("length"), F.explode("__tokens").alias("term"))
+    own = F.concat("__tokens", F.array(F.lit(EVERY))) if every else F.col("__tokens")
+    exploded = listed.select(key, F.size("__tokens").cast("long").alias("length"), F.explode(own).alias("term"))
     if terms is not None:
-        exploded = exploded.join(terms.select("term"), "term", "left_semi")
+        wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit(EVERY))) if every else terms.select("term")
+        exploded = exploded.join(wanted, "term", "left_semi")
     return exploded.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
+def statistics_of(index: DataFrame) -> DataFrame:
+    """rows, average (length) of the corpus whose postings have EVERY."""
+    return index.where(F.col("term") == EVERY).agg(F.count("*").cast("double").alias("rows"), F.avg("length").alias("average"))
+
+
 def lengths(corpus: DataFrame, key: str = "doc_id", text: str = "text", analyse: Analyser = tokens) -> DataFrame:
     return corpus.select(F.col(key), F.size(analyse(F.col(text))).cast("long").alias("length"))
 

@@ -245,15 +245,15 @@ BATCH_SQL = f""", l AS (SELECT doc_id, len({ANALYSED})::DOUBLE AS len FROM docum
 
 
 def asked_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of the words and tokens of the benchmark, counted once and kept."""
+    """Postings of the words and tokens of the benchmark, and of every document, counted in one pass and kept."""
     queries = asked(spark, sf_dir)
     wanted = lexical.query_words(queries).select("term").union(queries.select(F.explode(text.tokens(F.col("query"))))).distinct()
-    return stored(lexical.postings(table(spark, sf_dir, "documents"), terms=wanted), "postings")
+    return stored(lexical.postings(table(spark, sf_dir, "documents"), terms=wanted, every=True), "postings")
 
 
 def benchmark_hits(spark: SparkSession, sf_dir: str, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
     index = asked_postings(spark, sf_dir) if index is None else index
-    stats = lexical.statistics(table(spark, sf_dir, "documents"))
+    stats = lexical.statistics_of(index)
     return lexical.search_batch(lexical.rare_terms(asked(spark, sf_dir), index), index, stats, limit)
 
 
@@ -914,6 +914,10 @@ METRICS_SQL = RARE_SQL + BATCH_SQL + """
 """
 
 
+#: Bytes of short items that are compared with all texts at once.
+SHORT_BYTES = 32 << 20
+
+
 def holders(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
     """query_id, doc_id: documents that hold an item's text, found by the item's rarest token first, then read.
 
@@ -923,12 +927,16 @@ def holders(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), asked(spark, sf_dir)
     found = items.select("query_id", "query", text.tokens(F.col("query")).alias("ts"))
     inner = found.select("query_id", "query", F.explode(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0)))).alias("term"))
-    counts = index.groupBy("term").agg(F.count("*").alias("df"))
+    counts = index.where(F.col("term") != lexical.EVERY).groupBy("term").agg(F.count("*").alias("df"))
     rarest = inner.join(counts, "term").groupBy("query_id", "query").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     candidates = rarest.join(index.select("term", "doc_id"), "term").select("query_id", "query", "doc_id")
     long = candidates.join(docs, "doc_id").where(F.contains("text", "query")).select("query_id", "doc_id")
     short = found.where(F.size("ts") <= 2).select("query_id", "query")
-    return long.union(docs.join(short, F.contains("text", "query")).select("query_id", "doc_id"))
+    size = short.agg(F.sum(F.octet_length("query"))).first()[0]
+    for g in range(0 if size is None else -(-size // SHORT_BYTES) or 1):
+        own = short if size <= SHORT_BYTES else short.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-size // SHORT_BYTES))) == g)
+        long = long.union(docs.join(F.broadcast(own), F.contains("text", "query")).select("query_id", "doc_id"))
+    return stored(long, "holders")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -960,14 +968,18 @@ def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("backend", "queries", F.round("recall_at_5", 6).alias("recall_at_5"), F.round("mrr", 6).alias("mrr"))
 
 
-BACKENDS_SQL = RARE_SQL + BATCH_SQL + ", docs AS " + EMBEDDED.replace("ROWS", "(SELECT doc_id AS k, text FROM documents)") + ", items AS " + EMBEDDED.replace("ROWS", "(SELECT item_id AS k, text FROM benchmark)") + """
-, near AS (SELECT query_id, doc_id, rank FROM (SELECT q.k AS query_id, d.k AS doc_id, row_number() OVER (PARTITION BY q.k ORDER BY round(coalesce(list_cosine_similarity(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 9) DESC, d.k) - 1 AS rank FROM items q, docs d) WHERE rank < 30)
-, lex AS (SELECT query_id, doc_id, rank FROM k WHERE rank < 30)
-, summed AS (SELECT query_id, doc_id, sum(2::DOUBLE / (61 + rank)) + CASE WHEN min(rank) = 0 THEN 0.05::DOUBLE WHEN min(rank) <= 2 THEN 0.02::DOUBLE ELSE 0::DOUBLE END AS fused FROM (SELECT * FROM lex UNION ALL SELECT * FROM near) GROUP BY ALL)
-, hyb AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, doc_id) - 1 AS rank FROM summed)
-, every AS (SELECT 'keyword' AS backend, * FROM lex UNION ALL SELECT 'vector', * FROM near UNION ALL SELECT 'hybrid', * FROM hyb)
+BACKENDS_SQL = RARE_SQL + BATCH_SQL + ", docs AS " + EMBEDDED.replace("ROWS", "(SELECT doc_id AS k, text FROM documents)") + ", items AS " + EMBEDDED.replace("ROWS", "(SELECT item_id AS k, text FROM benchmark)") + ", passages AS " + EMBEDDED.replace("ROWS", "(SELECT item_id AS k, 'A passage about ' || text || '.' AS text FROM benchmark)") + """
+, lim AS (SELECT item_id AS query_id, greatest(3 * CASE WHEN item_id % 7 > 0 THEN item_id % 7 ELSE 10 END, 10) AS most FROM benchmark)
+, s AS (SELECT 'vector' AS side, k, embedding FROM items UNION ALL SELECT 'hyde', k, embedding FROM passages)
+, v AS (SELECT side, query_id, doc_id, rank FROM (SELECT side, q.k AS query_id, d.k AS doc_id, row_number() OVER (PARTITION BY side, q.k ORDER BY round(coalesce(list_cosine_similarity(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 9) DESC, d.k) - 1 AS rank FROM s q, docs d) JOIN lim USING (query_id) WHERE rank < 3 * most)
+, lex AS (SELECT query_id, doc_id, rank FROM k JOIN lim USING (query_id) WHERE rank < 3 * most)
+, pair AS (SELECT backend, query_id, doc_id, rank FROM lex, (VALUES ('hybrid'), ('hyde')) b(backend) UNION ALL SELECT CASE side WHEN 'vector' THEN 'hybrid' ELSE 'hyde' END, query_id, doc_id, rank FROM v)
+, summed AS (SELECT backend, query_id, doc_id, sum(2::DOUBLE / (61 + rank)) + CASE WHEN min(rank) = 0 THEN 0.05::DOUBLE WHEN min(rank) <= 2 THEN 0.02::DOUBLE ELSE 0::DOUBLE END AS fused FROM pair GROUP BY ALL)
+, topped AS (SELECT *, fused / max(fused) OVER (PARTITION BY backend, query_id) AS score FROM summed)
+, fus AS (SELECT backend, query_id, doc_id, row_number() OVER (PARTITION BY backend, query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM topped)
+, every AS (SELECT e.* FROM (SELECT 'keyword' AS backend, * FROM lex UNION ALL SELECT side, query_id, doc_id, rank FROM v WHERE side = 'vector' UNION ALL SELECT * FROM fus) e JOIN lim USING (query_id) WHERE rank < most)
 , x AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text))
-, y AS (SELECT b.item_id AS query_id, backend, count(x.doc_id) AS expected FROM (VALUES ('keyword'), ('vector'), ('hybrid')) v(backend), benchmark b LEFT JOIN x ON x.query_id = b.item_id GROUP BY ALL)
+, y AS (SELECT b.item_id AS query_id, backend, count(x.doc_id) AS expected FROM (VALUES ('keyword'), ('vector'), ('hybrid'), ('hyde')) v(backend), benchmark b LEFT JOIN x ON x.query_id = b.item_id GROUP BY ALL)
 , a AS (SELECT backend, query_id, count(*) FILTER (WHERE rank < 5) AS in5, count(*) FILTER (WHERE rank < 10) AS in10, min(rank) FILTER (WHERE rank < 10) AS first FROM every JOIN x USING (query_id, doc_id) GROUP BY ALL)
 SELECT backend, count(*) AS queries, round(avg(CASE WHEN expected > 0 THEN coalesce(in5, 0)::DOUBLE / expected ELSE 0 END), 6) AS recall_at_5,
   round(avg(CASE WHEN expected > 0 THEN coalesce(in10, 0)::DOUBLE / expected ELSE 0 END), 6) AS recall_at_10, round(avg(coalesce(1 / (first + 1)::DOUBLE, 0)), 6) AS mrr, round(avg(coalesce(in10, 0)), 6) AS hits
@@ -977,22 +989,26 @@ FROM y LEFT JOIN a USING (backend, query_id) GROUP BY backend
 
 @query(BACKENDS_SQL)
 def bench_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword, vector and hybrid search of all benchmark items in one job; expected documents are file names, hits are whole paths."""
-    index, depth = asked_postings(spark, sf_dir), 30
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Keyword, vector, hybrid and made-up passage search of all benchmark items, each to a limit by its k; expected documents are file names, hits are whole paths."""
+    queries = asked(spark, sf_dir).select("query_id", "query", (F.col("query_id") % 7).alias("k"))
+    limits = queries.select("query_id", evaluate.limits(queries).alias("most"))
+    depth = 3 * limits.agg(F.max("most")).first()[0]
+    index = asked_postings(spark, sf_dir)
     keyword = benchmark_hits(spark, sf_dir, depth, index).select("query_id", "doc_id", "rank")
-    vectors = stored(vector.embed(docs, dim=64).select(F.col("doc_id").alias("vec_id"), "embedding"), "embeddings")
-    asked_vectors = vector.embed(asked(spark, sf_dir), dim=64, text="query").select(F.col("query_id").alias("vec_id"), "embedding")
-    near = vector.nearest_batch(asked_vectors, vectors, depth).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-    lists = keyword.withColumn("list_id", F.lit(0)).unionByName(near.withColumn("list_id", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")) - 1
-    hybrid = fusion.fuse(lists, per=["query_id"]).select("query_id", "doc_id", place.alias("rank"))
+    vectors = stored(vector.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), dim=64).select(F.col("doc_id").alias("vec_id"), "embedding"), "embeddings")
+
+    def near(texts: DataFrame) -> DataFrame:
+        own = vector.embed(texts, dim=64, text="query").select(F.col("query_id").alias("vec_id"), "embedding")
+        return vector.nearest_batch(own, vectors, depth).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+
+    passages = queries.withColumn("query", F.concat(F.lit("A passage about "), "query", F.lit(".")))
+    lists = [stored(x, name) for x, name in ((keyword, "keyword"), (near(queries), "near"), (near(passages), "passages"))]
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".MD"))
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    paths = lambda hits: hits.join(sources, "doc_id").select("query_id", F.concat(F.lit("docs://"), "source", F.lit("/"), name).alias("path"), "rank")
+    hits = evaluate.backends(*lists, limits).join(sources, "doc_id").select("backend", "query_id", F.concat(F.lit("docs://"), "source", F.lit("/"), name).alias("path"), "rank")
     expected = holders(spark, sf_dir, index).select("query_id", F.concat(F.lit("./"), F.lower(name)).alias("path"))
-    everyone = asked(spark, sf_dir).select("query_id").join(expected, "query_id", "left")
-    found = evaluate.compare({"keyword": paths(keyword), "vector": paths(near), "hybrid": paths(hybrid)}, everyone)
+    everyone = stored(asked(spark, sf_dir).select("query_id").join(expected, "query_id", "left"), "expected")
+    found = evaluate.compare(hits, everyone, ("keyword", "vector", "hybrid", "hyde"))
     return found.select("backend", "queries", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr", "hits")])
 
 

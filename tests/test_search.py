@@ -354,3 +354,38 @@ def test_passages_fall_back(spark, corpus):
     wanted = retrieve.hybrid_search(corpus, vectors, "quick dog", retrieve.embed_query("quick dog", embedder), limit=3)
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, wanted.collect()))
     assert retrieve.passage_search(corpus, vectors, "quick dog", lambda q: q + " lazy", embedder)[1]
+
+
+def test_backends_side_by_side(spark):
+    """Four searches judged in one plan, each query to its own limit, as each alone."""
+    rng = np.random.default_rng(8)
+    kind = "query_id long, path string, rank int"
+    lists = [spark.createDataFrame([(q, f"d{d}", r) for q in range(3) for r, d in enumerate(rng.permutation(120)[:90].tolist())], kind) for _ in range(3)]
+    queries = spark.createDataFrame([(0, 1), (1, 0), (2, 20)], "query_id long, k int")
+    asked = queries.select("query_id", evaluate.limits(queries).alias("most"))
+    assert sorted(r["most"] for r in asked.collect()) == [10, 30, 60]
+    hits = evaluate.backends(*lists, asked, key="path").cache()
+    assert {(r["backend"], r["query_id"]): r["count"] for r in hits.groupBy("backend", "query_id").count().collect()} == {(b, q): m for b in ("keyword", "vector", "hybrid", "hyde") for q, m in ((0, 10), (1, 30), (2, 60))}
+    pair = lists[0].withColumn("list_id", F.lit(0)).unionByName(lists[2].withColumn("list_id", F.lit(1))).where("query_id = 0 AND rank < 30")
+    want = [r["path"] for r in fusion.fuse(pair, key="path").orderBy(F.round("score", 9).desc(), "path").limit(10).collect()]
+    assert [r["path"] for r in hits.where("backend = 'hyde' AND query_id = 0").orderBy("rank").collect()] == want
+    expected = spark.createDataFrame([(q, f"d{d}") for q in range(3) for d in range(4)], "query_id long, path string")
+    got = {r["backend"]: r for r in evaluate.compare(hits, expected, ("keyword", "vector", "hybrid", "hyde", "none")).collect()}
+    for b in ("keyword", "hyde"):
+        alone = evaluate.means(evaluate.path_metrics(hits.where(F.col("backend") == b), expected).withColumn("one", F.lit(1)), ["one"], ["recall_at_10", "mrr"]).first()
+        assert (got[b]["queries"], round(got[b]["recall_at_10"], 9), round(got[b]["mrr"], 9)) == (3, round(alone["recall_at_10"], 9), round(alone["mrr"], 9))
+    assert (got["none"]["queries"], got["none"]["mrr"]) == (3, 0.0)
+
+
+def test_statistics_come_with_the_postings(spark, corpus):
+    terms = spark.createDataFrame([("quick",), ("fox",)], "term string")
+    found = lexical.postings(corpus, terms=terms, every=True)
+    assert lexical.statistics_of(found).first() == lexical.statistics(corpus).first()
+    assert {r["term"] for r in found.collect()} == {"quick", "fox", lexical.EVERY}
+
+
+def test_collections_by_any_scheme(spark, tmp_path):
+    empty = spark.createDataFrame([], collection.COLLECTIONS)
+    assert collection.add(empty, "here", f"file://{tmp_path}").count() == 1
+    with pytest.raises(FileNotFoundError):
+        collection.add(empty, "here", f"file://{tmp_path}/none")
