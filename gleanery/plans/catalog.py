@@ -460,10 +460,21 @@ def base64_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_images(image), 256).alias("stripped"))
 
 
-@query(r"WITH p AS (SELECT page_id, trim(lower(regexp_replace(url, '^[a-z]+://', '')), '/') AS path FROM pages) SELECT page_id, path, path = regexp_extract(path, '([^/]*)$', 1) OR ends_with(path, '/' || regexp_extract(path, '([^/]*)$', 1)) AS matched FROM p")
+# Of every page the last two parts of its own address in capitals (even ids) or of the next page's (odd ids) are expected.
+@query(r"""
+WITH p AS (SELECT page_id, url, trim(lower(regexp_replace(url, '^[a-z]+://', '')), '/') AS path, CASE WHEN page_id % 2 = 0 THEN url ELSE coalesce(lead(url) OVER (ORDER BY page_id), '') END AS other FROM pages)
+, e AS (SELECT page_id, path, './' || upper(array_to_string(string_split(regexp_replace(other, '^[a-z]+://', ''), '/')[-2:], '/')) AS expected FROM p)
+, n AS (SELECT *, trim(lower(regexp_replace(expected, '^\./', '')), '/') AS wanted FROM e)
+SELECT page_id, path, expected, path = wanted OR ends_with(path, '/' || wanted) AS matched FROM n
+""")
 def path_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", text.normal_path(url).alias("path"), text.path_matches(url, text.base_name(text.normal_path(url))).alias("matched"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    other = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.coalesce("next", F.lit("")))
+    parts = F.split(F.regexp_replace(other, "^[a-z]+://", ""), "/")
+    expected = F.concat(F.lit("./"), F.upper(F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), 2), "/")))
+    both = pages.join(after, "page_id", "left").withColumn("expected", expected)
+    return both.select("page_id", text.normal_path(F.col("url")).alias("path"), "expected", text.path_matches(F.col("url"), F.col("expected")).alias("matched"))
 
 
 @query(r"""
@@ -635,23 +646,33 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.status(table(spark, sf_dir, "documents"), *lines_and_vectors(spark, sf_dir))
 
 
-@query("""
-SELECT event_type, CASE WHEN s < 1 THEN '<1s' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || (s % 60) || 's' WHEN s // 60 % 60 > 0 THEN (s // 3600) || 'h' || (s // 60 % 60) || 'm' ELSE (s // 3600) || 'h' END AS eta
-FROM (SELECT event_type, count(*) * 7 AS s FROM events GROUP BY event_type)
+ETA_SQL = "CASE WHEN s IS NULL THEN 'calculating...' WHEN s < 1 THEN '<1s' WHEN s < 60 THEN i || 's' WHEN s < 3600 THEN (i // 60) || 'm' || (i % 60) || 's' WHEN i // 60 % 60 > 0 THEN (i // 3600) || 'h' || (i // 60 % 60) || 'm' ELSE (i // 3600) || 'h' END"
+
+
+@query(f"""
+WITH g AS (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS us FROM events), f AS (SELECT event_id, us / 1000000::DOUBLE AS s, us // 1000000 AS i FROM g WHERE us IS NOT NULL)
+SELECT event_id, {ETA_SQL} AS eta FROM f
 """)
 def eta_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return counted.select("event_type", text.eta(F.col("n") * 7).alias("eta"))
+    """The time from one event of a type to the next, as text."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gaps = table(spark, sf_dir, "events").select("event_id", (at - F.lag(at).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))).alias("us")).where("us IS NOT NULL")
+    return gaps.select("event_id", text.eta(F.col("us") / 1e6).alias("eta"))
 
 
-@query("""
-WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), s AS (SELECT event_type, CASE WHEN n % 5 > 0 THEN (n * 700)::DOUBLE / ((n % 5)::DOUBLE / 10) END AS s FROM n), f AS (SELECT *, floor(s)::BIGINT AS i FROM s)
-SELECT event_type, CASE WHEN s IS NULL THEN 'calculating...' WHEN s < 1 THEN '<1s' WHEN s < 60 THEN i || 's' WHEN s < 3600 THEN (i // 60) || 'm' || (i % 60) || 's' WHEN i // 60 % 60 > 0 THEN (i // 3600) || 'h' || (i // 60 % 60) || 'm' ELSE (i // 3600) || 'h' END AS eta FROM f
+# The events up to three quarters of the time are done, those of the last day of it tell the pace, the rest is pending.
+@query(f"""
+WITH b AS (SELECT min(epoch_us(ts)) + 3 * (max(epoch_us(ts)) - min(epoch_us(ts))) // 4 AS now FROM events)
+, n AS (SELECT event_type, sum((epoch_us(ts) > now)::INT)::BIGINT AS pending, sum((epoch_us(ts) <= now AND epoch_us(ts) > now - 86400000000)::INT)::BIGINT AS done FROM events, b GROUP BY event_type)
+, s AS (SELECT event_type, pending, CASE WHEN done > 0 THEN pending / (done / 86400::DOUBLE) END AS s FROM n), f AS (SELECT *, floor(s)::BIGINT AS i FROM s)
+SELECT event_type, pending, {ETA_SQL} AS eta FROM f
 """)
 def eta_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n")
-    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return counted.select("event_type", catalog.remaining(n * 700, n, n - n % 5, F.lit(10)).alias("eta"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select("event_type", at.alias("at"))
+    now = rows.agg((F.min("at") + F.expr("3 * (max(at) - min(at)) div 4")).alias("now")).select("now").scalar()
+    counted = rows.select("event_type", "at", now.alias("now")).groupBy("event_type").agg(F.count_if(F.expr("at > now")).alias("pending"), F.count_if(F.expr("at <= now")).alias("done"), F.count_if(F.expr("at <= now - 86400000000")).alias("before"))
+    return counted.select("event_type", "pending", catalog.remaining(F.col("pending"), F.col("done"), F.col("before"), F.lit(86400)).alias("eta"))
 
 
 # ---------------------------------------------------------------- changes
@@ -825,15 +846,23 @@ def meta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.delete_keys(meta, pairs(vectors.where("vec_id % 10 = 0"), "vec_id", "label"), ["key"])
 
 
+# Lines are chunks, every third of which has a vector; toxic documents go.
 @query("""
-SELECT 'document' AS kind, doc_id::VARCHAR AS id, 'DELETE' AS operation FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
-UNION ALL SELECT 'chunk', doc_id || '-' || lang, 'DELETE' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+WITH c AS (SELECT doc_id, doc_id || '-' || seq AS chunk_id, seq FROM (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS seq FROM documents))
+, t AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT 'document' AS kind, doc_id::VARCHAR AS id, CASE WHEN doc_id IN (FROM t) THEN 'DELETE' ELSE 'LEFT' END AS operation FROM documents
+UNION ALL SELECT 'chunk', chunk_id, CASE WHEN doc_id IN (FROM t) THEN 'DELETE' ELSE 'LEFT' END FROM c
+UNION ALL SELECT 'vector', chunk_id, 'LEFT' FROM c WHERE seq % 3 = 0 AND doc_id NOT IN (FROM t)
 """)
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the three tables, and the log of what went."""
     docs = table(spark, sf_dir, "documents")
-    parts = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("lang")).alias("chunk_id"))
+    parts = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("seq", "line")).select("doc_id", F.concat_ws("-", "doc_id", "seq").alias("chunk_id"), "seq")
     gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return changes.delete_documents(docs, parts, parts.select("chunk_id"), gone)[3]
+    *left, log = changes.delete_documents(docs, parts, parts.where("seq % 3 = 0").select("chunk_id"), gone)
+    for kind, key, rows in zip(("document", "chunk", "vector"), ("doc_id", "chunk_id", "chunk_id"), left, strict=True):
+        log = log.unionByName(rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.lit("LEFT").alias("operation")))
+    return log
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
