@@ -61,13 +61,16 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int = 0) ->
 
 
 def _numbered(rows: DataFrame, group: str, bits: int, by: tuple[str, str], name: str) -> DataFrame:
-    """rows with their 1-based place in group by two hashes, in two steps, so that no task holds a group.
+    """rows with their 1-based place in group by two hashes.
 
-    Rows are numbered within ranges of the first hash (its first bits); the rows of
+    Groups that aren't large (no bits) are numbered as they are, others in two steps,
+    so that no task holds one: rows are numbered within ranges of the first hash (its first bits); the rows of
     the ranges before are added. Rows and ranges meet in the dealing of the window.
     """
+    if not bits:
+        return rows.select("*", F.row_number().over(Window.partitionBy(group).orderBy(*by)).alias(name))
     # flipping the sign bit makes the order of ranges that of the signed hash
-    part = F.shiftrightunsigned(F.col(by[0]).bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("long")
+    part = F.shiftrightunsigned(F.col(by[0]).bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
     rows = rows.select("*", part.alias("part"))
     within = Window.partitionBy(group, "part")
     numbered = rows.select("*", F.row_number().over(within.orderBy(*by)).alias("number"), F.count("*").over(within).alias("many"))
