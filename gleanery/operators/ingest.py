@@ -75,6 +75,38 @@ def ingest(files: DataFrame, tables: Tables, embedder: vector.Embedder | None =
     found = changes.settled((read or _given(files))(wanted))
     found = stored(found.withColumn("body", F.when(F.col("action").isin("new", "changed"), F.col("body"))), "contents")
     gone = look.where("look = 'deleted'").withColumn("hash", F.lit(None).cast("string")).withColumn("action", F.lit("deleted"))
+    done = _applied(found, gone, tables, embedder, dim, chunker, attempts, index)
+    if "error" not in files.columns or not read:
+        return done
+    unlisted = files.where("error IS NOT NULL").select(F.lit("list").alias("stage"), *changes.NAME, _null("string").alias("doc_id"), _null("int").alias("seq"), "error")
+    return done._replace(failures=done.failures.unionByName(unlisted))
+
+
+def apply_actions(actions: DataFrame, tables: Tables, embedder: vector.Embedder | None = None, dim: int = 64, chunker: Chunker = cut, attempts: int = 1, index: Index | None = None) -> Ingested:
+    """As ingest, of actions that keyed state has settled (streaming.sync.sync_files): collection, path, action, mtime, hash, body, error.
+
+    Of several actions on one file, as a slow batch may bring, the last by time counts;
+    applying a batch again changes nothing.
+    """
+    newest = changes._one_of_each(actions.where("action <> 'failed'"), changes.NAME, [F.col("mtime").desc_nulls_first()])
+    failed = actions.where("action = 'failed'")
+    known = tables.documents.select(*changes.NAME, F.col("mtime").alias("old_mtime"), F.col("hash").alias("old_hash"), F.col("doc_id").alias("old_doc_id"))
+    kinds = ["collection", "path", "action", "mtime", "hash", "body", "error"]
+    both = newest.select(*kinds).unionByName(failed.select(*kinds)).alias("a").join(known.alias("k"), changes._same_keys("a", "k", changes.NAME), "left")
+    found = both.select("a.*", "k.old_mtime", "k.old_hash", "k.old_doc_id")
+    # what the tables hold decides between new and changed; the same content again is a touch
+    there, same = F.col("old_doc_id").isNotNull(), F.col("hash").eqNullSafe(F.col("old_hash"))
+    action = F.when(~F.col("action").isin("new", "changed"), F.col("action")).when(there & same, "touched").when(there, "changed").otherwise("new")
+    found = stored(found.withColumn("action", action).where((F.col("action") != "deleted") | there).where((F.col("action") != "touched") | there), "actions")
+    return _applied(found.where("action <> 'deleted'"), found.where("action = 'deleted'"), tables, embedder, dim, chunker, attempts, index)
+
+
+def _null(kind: str) -> F.Column:
+    return F.lit(None).cast(kind)
+
+
+def _applied(found: DataFrame, gone: DataFrame, tables: Tables, embedder: vector.Embedder | None, dim: int, chunker: Chunker, attempts: int, index: Index | None) -> Ingested:
+    """The tables after settled rows, both stored already: found (new, changed, touched, failed) with contents, gone (deleted)."""
     columns = [*changes.NAME, "action", "mtime", "hash", "old_mtime", "old_hash", "old_doc_id"]
     actions = found.select(*columns).unionByName(gone.select(*columns))
     replaced = actions.where("action IN ('changed', 'deleted')").select(F.col("old_doc_id").alias("doc_id"))
@@ -92,11 +124,8 @@ def ingest(files: DataFrame, tables: Tables, embedder: vector.Embedder | None =
     vectors = tables.vectors.join(replaced, "doc_id", "left_anti").unionByName(embedded.where("error IS NULL").select("doc_id", "seq", "embedding"))
     after = Tables(kept.select(*own).unionByName(fresh), chunks.unionByName(made), vectors)
 
-    nothing = lambda kind: F.lit(None).cast(kind)
-    failed = found.where("action = 'failed'").select(F.lit("read").alias("stage"), *changes.NAME, nothing("string").alias("doc_id"), nothing("int").alias("seq"), "error")
-    failed = failed.unionByName(embedded.where("error IS NOT NULL").select(F.lit("embed").alias("stage"), *[nothing("string").alias(n) for n in changes.NAME], F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("int").alias("seq"), "error"))
-    if "error" in files.columns and read:
-        failed = failed.unionByName(files.where("error IS NOT NULL").select(F.lit("list").alias("stage"), *changes.NAME, nothing("string").alias("doc_id"), nothing("int").alias("seq"), "error"))
+    failed = found.where("action = 'failed'").select(F.lit("read").alias("stage"), *changes.NAME, _null("string").alias("doc_id"), _null("int").alias("seq"), "error")
+    failed = failed.unionByName(embedded.where("error IS NOT NULL").select(F.lit("embed").alias("stage"), *[_null("string").alias(n) for n in changes.NAME], F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("int").alias("seq"), "error"))
     if index is not None:
         lost = tables.chunks.join(replaced, "doc_id", "left_semi").select(chunk_key().alias(index.key))
         index.update(lost, made.select(chunk_key().alias(index.key), F.col("content").alias("text")))

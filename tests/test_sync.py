@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
-from gleanery.operators import vector
+from gleanery.operators import ingest, vector
 from gleanery.sources import folder
 from gleanery.streaming.progress import Progress, counted, duration
 from gleanery.streaming.sync import sync_files
@@ -54,6 +54,29 @@ def test_failures_are_tried_again_and_lost_files_deleted(spark, tmp_path):
     assert len(list(tries.glob("a.md.*"))) == 2
 
 
+def test_actions_bring_the_tables_up_to_date(spark):
+    """The last action on a file counts, a batch that comes again changes nothing, failures leave what is there."""
+    kind = "collection string, path string, action string, mtime long, hash string, body string, error string"
+    kinds = ("doc_id string, collection string, path string, mtime long, hash string, body string", "doc_id string, seq int, content string, position int, token_count int", "doc_id string, seq int, embedding array<float>")
+    frozen = lambda tables: ingest.Tables(*[spark.createDataFrame(x.collect(), x.schema) for x in tables])
+    tables = ingest.Tables(*[spark.createDataFrame([], k) for k in kinds])
+    batches = [
+        [("c", "a", "new", 1, "h1", "one", None), ("c", "a", "changed", 2, "h2", "two", None), ("c", "b", "new", 1, "hb", "b", None), ("c", "bad", "failed", 1, None, None, "denied"), ("c", "never", "deleted", None, None, None, None)],
+        [("c", "a", "touched", 5, "h2", None, None), ("c", "b", "failed", 3, None, None, "locked")],
+        [("c", "b", "deleted", None, None, None, None)],
+    ]
+    logs = [["INSERT a", "INSERT b"], ["UPDATE a"], ["DELETE b"]]
+    for rows, log in zip(batches, logs, strict=True):
+        done = ingest.apply_actions(spark.createDataFrame(rows, kind), tables, dim=4)
+        assert sorted(f"{r['operation']} {r['path']}" for r in done.log.collect()) == log
+        assert sorted(r["error"] for r in done.failures.collect()) == sorted(r[6] for r in rows if r[6])
+        tables = frozen(done.tables)
+        again = ingest.apply_actions(spark.createDataFrame(rows, kind), tables, dim=4)
+        assert [sorted(map(repr, x.collect())) for x in again.tables] == [sorted(map(repr, x.collect())) for x in tables]
+    assert [(r["path"], r["mtime"], r["body"]) for r in tables.documents.collect()] == [("a", 5, "two")]
+    assert [tables.chunks.count(), tables.vectors.count()] == [1, 1]
+
+
 def test_progress_of_a_stream(spark, tmp_path):
     """Rows and vectors are counted as they are stored; the texts are read once."""
     rows = spark.range(200).select(F.col("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
