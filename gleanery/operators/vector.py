@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,14 +85,27 @@ def nearest_batch(queries: DataFrame, vectors: DataFrame, limit: int, key: str =
 TOKEN = re.compile("[⺀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-龎]|[^\\W_⺀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-龎]+")
 
 
-def hash_embedding(text: str, dim: int = 64) -> np.ndarray:
-    """Each token adds the bytes of its SHA-256, plus 1, to the group of 8 places that its first byte picks; then unit length."""
+#: Tokens whose digests a task keeps at most.
+KNOWN = 200_000
+
+
+def hash_embedding(text: str, dim: int = 64, known: dict[str, tuple[int, np.ndarray]] | None = None) -> np.ndarray:
+    """Each token adds the bytes of its SHA-256, plus 1, to the group of 8 places that its first byte picks; then unit length.
+
+    known keeps the tokens' digests from text to text.
+    """
     out = np.zeros(dim)
     width = 8 if dim >= 8 else dim
-    for token in TOKEN.findall(text):
-        digest = np.frombuffer(hashlib.sha256(token.lower().encode()).digest(), np.uint8)
-        base = int(digest[0]) % max(1, dim // 8) * width
-        out[base : base + width] += digest[:width].astype(np.float64) + 1
+    known = {} if known is None else known
+    for token, many in Counter(TOKEN.findall(text)).items():
+        found = known.get(token)
+        if found is None:
+            digest = np.frombuffer(hashlib.sha256(token.lower().encode()).digest(), np.uint8)
+            found = int(digest[0]) % max(1, dim // 8) * width, digest[:width].astype(np.float64) + 1
+            if len(known) < KNOWN:
+                known[token] = found
+        base, values = found
+        out[base : base + width] += values * many
     norm = np.sqrt(np.dot(out, out))
     return (out / norm if norm > 0 else out).astype(np.float32)
 
@@ -100,7 +114,8 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hash_embedder(dim: int = 64) -> Embedder:
-    return lambda texts: np.stack([hash_embedding(t, dim) for t in texts])
+    known: dict[str, tuple[int, np.ndarray]] = {}
+    return lambda texts: np.stack([hash_embedding(t, dim, known) for t in texts])
 
 
 def one_by_one(embedder: Embedder, texts: list[str], attempts: int = 1) -> list[tuple[np.ndarray | None, str | None]]:
