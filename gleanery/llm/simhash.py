@@ -385,6 +385,10 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
             yield pa.RecordBatch.from_arrays([node.take(pa.array(pairs[:, 0])), node.take(pa.array(pairs[:, 1]))], ["u", "v"])
 
     ties = components(dealt.mapInArrow(link, "u binary, v binary").distinct())
+    # the links are stored, so the sets are used up
+    system, base = pfs.FileSystem.from_uri(folder)
+    if system.get_file_info(base).type == pfs.FileType.Directory:
+        system.delete_dir(base)
     named = nodes.select("node", "least").join(ties, F.col("node") == F.col("u"), "left").select("least", F.coalesce("v", "node").alias("root"))
     keepers = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid.a").alias("k1"), F.col("least.uid.b").alias("k2"))
     n1, n2, k1, k2 = new_names(docs, "u1", "u2", "k1", "k2")
