@@ -108,7 +108,7 @@ def _null(kind: str) -> F.Column:
 def _applied(found: DataFrame, gone: DataFrame, tables: Tables, embedder: vector.Embedder | None, dim: int, chunker: Chunker, attempts: int, index: Index | None) -> Ingested:
     """The tables after settled rows, both stored already: found (new, changed, touched, failed) with contents, gone (deleted)."""
     columns = [*changes.NAME, "action", "mtime", "hash", "old_mtime", "old_hash", "old_doc_id"]
-    actions = found.select(*columns).unionByName(gone.select(*columns))
+    actions = stored(found.select(*columns).unionByName(gone.select(*columns)), "actions")
     replaced = actions.where("action IN ('changed', 'deleted')").select(F.col("old_doc_id").alias("doc_id"))
 
     own = tables.documents.columns

@@ -1034,7 +1034,7 @@ def bench_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = [stored(x, name) for x, name in ((keyword, "keyword"), (near(queries), "near"), (near(passages), "passages"))]
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".MD"))
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    hits = evaluate.backends(*lists, limits).join(sources, "doc_id").select("backend", "query_id", F.concat(F.lit("docs://"), "source", F.lit("/"), name).alias("path"), "rank")
+    hits = stored(evaluate.backends(*lists, limits).join(sources, "doc_id").select("backend", "query_id", F.concat(F.lit("docs://"), "source", F.lit("/"), name).alias("path"), "rank"), "hits")
     expected = holders(spark, sf_dir, index).select("query_id", F.concat(F.lit("./"), F.lower(name)).alias("path"))
     everyone = stored(asked(spark, sf_dir).select("query_id").join(expected, "query_id", "left"), "expected")
     found = evaluate.compare(hits, everyone, ("keyword", "vector", "hybrid", "hyde"))
