@@ -525,7 +525,58 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("chunk_id", F.concat_ws("-", "doc_id", "seq"))
 
 
-@query()
+def finished_sql(stops: str, alone: str) -> str:
+    """CTEs from j (doc_id, body, n, k, start, t) to o: pieces trimmed, then opened with the end of the one before, from the last stop that is near."""
+    return f"""f AS (SELECT *, trim(t, '{text.SPACE}') AS own FROM j),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS seq, lag(own) OVER (PARTITION BY doc_id ORDER BY k) AS last FROM f WHERE own <> '' OR {alone}),
+h AS (SELECT *, length(last) - 45 AS wish FROM g),
+i AS (SELECT *, CASE WHEN wish > 0 THEN list_sort(list_transform(list_filter(range(greatest(0, wish - 50), least(length(last), wish + 50)), lambda i: contains('{stops}', substr(last, i + 1, 1))), lambda i: {{'far': abs(i - wish), 'i': i}}))[1].i END AS cut FROM h),
+m AS (SELECT *, CASE WHEN cut IS NOT NULL THEN trim(substr(last, cut + 2), '{text.SPACE}') ELSE '' END AS tail FROM i),
+o AS (SELECT *, CASE WHEN tail <> '' AND length(tail) + 2 + length(own) <= 450 THEN tail || chr(10) || chr(10) || own ELSE own END AS content, CASE WHEN {alone} THEN body END AS whole FROM m)"""
+
+
+def estimate_sql(x: str) -> str:
+    ascii_ = f"length(regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g'))"
+    return f"({ascii_} // 4 + 2 * (length({x}) - {ascii_}))::INT"
+
+
+# Markdown cut by recursion: each step takes the place with the highest fading score within 600 bytes before the wished
+# end, outside fences; then small pieces join their neighbours, one after the other.
+MARKDOWN_CHUNKS_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, chr(10) || regexp_replace(text, '{text.IMAGE.replace("{", "{{").replace("}", "}}")}', '...(truncated)', 'g') AS body FROM documents WHERE text <> ''),
+ls AS (SELECT doc_id, unnest(string_split(body, chr(10))[2:]) AS line, unnest(string_split(body, chr(10))[:-2]) AS before, generate_subscripts(string_split(body, chr(10))[2:], 1) AS i, len(string_split(body, chr(10))) - 1 AS many FROM d),
+lp AS (SELECT *, coalesce(sum(length(line) + 1) OVER w, 0)::BIGINT AS pos, coalesce(sum(strlen(line) + 1) OVER w, 0)::BIGINT AS bytes FROM ls WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sc AS (SELECT *, greatest(
+  CASE WHEN regexp_matches(line, '^#[^#]') OR (line = '#' AND i < many) THEN 100 WHEN regexp_matches(line, '^##[^#]') OR (line = '##' AND i < many) THEN 90 WHEN regexp_matches(line, '^###[^#]') OR (line = '###' AND i < many) THEN 80 WHEN regexp_matches(line, '^####[^#]') OR (line = '####' AND i < many) THEN 70 ELSE 0 END,
+  CASE WHEN starts_with(line, '```') THEN 80 ELSE 0 END,
+  CASE WHEN regexp_matches(line, '^(---|\\*\\*\\*|___)[\\t\\f\\r ]*$') AND i < many THEN 60 ELSE 0 END,
+  CASE WHEN line = '' AND i < many AND (i = 1 OR before <> '') THEN 20 ELSE 0 END) AS score FROM lp),
+fm AS (SELECT doc_id, unnest(string_split(body, '```')[:-2]) AS part, generate_subscripts(string_split(body, '```')[:-2], 1) AS i FROM d WHERE contains(body, '```')),
+fp AS (SELECT doc_id, i, sum(length(part) + 3) OVER (PARTITION BY doc_id ORDER BY i) - 3 AS pos FROM fm),
+fe AS (SELECT a.doc_id, a.pos AS opens, coalesce(b.pos + 3, length(d.body)) AS closes FROM fp a JOIN d ON d.doc_id = a.doc_id LEFT JOIN fp b ON b.doc_id = a.doc_id AND b.i = a.i + 1 WHERE a.i % 2 = 1),
+pl AS (SELECT doc_id, list({{'pos': pos, 'bytes': bytes, 'score': score}} ORDER BY pos) AS places FROM sc WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM fe WHERE fe.doc_id = sc.doc_id AND fe.opens <= sc.pos AND sc.pos < fe.closes) GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, body, length(body) AS n, coalesce(places, []) AS places, 0::BIGINT AS k, 0::BIGINT AS start FROM d LEFT JOIN pl ON pl.doc_id = d.doc_id
+  UNION ALL
+  SELECT doc_id, body, n, places, k + 1, CASE WHEN e > start THEN e ELSE start + 300 END FROM (
+    SELECT *, coalesce(-(list_sort(list_transform(list_filter(places, lambda p: p.bytes BETWEEN low AND high), lambda p: {{'v': p.score * (1.0::DOUBLE - ((high - p.bytes) / (high - low + 1)::DOUBLE) * ((high - p.bytes) / (high - low + 1)::DOUBLE) * 0.7::DOUBLE), 'first': -p.pos}}), 'DESC')[1].first), start + 300) AS e FROM (
+      SELECT *, greatest(0, strlen(left(body, start + 300)) - 600) AS low, strlen(left(body, start + 300)) AS high FROM c WHERE n - start > 300))
+),
+p AS (SELECT doc_id, body, n, k, start, substr(body, start + 1, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY k), n) - start) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, count(*) OVER (PARTITION BY doc_id) AS many FROM c WHERE start < n),
+s AS (
+  SELECT doc_id, place, many, 1 AS made, t, start, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS BIGINT) AS done_start FROM p WHERE place = 1
+  UNION ALL
+  SELECT doc_id, place, many, made + (1 - joins), CASE WHEN joins = 1 THEN t || chr(10) || next ELSE next END, CASE WHEN joins = 1 THEN start ELSE next_start END, CASE WHEN joins = 0 THEN t END, CASE WHEN joins = 0 THEN start END FROM (
+    SELECT s.doc_id, p.place, s.many, made, s.t, s.start, p.t AS next, p.start AS next_start, CASE WHEN (length(s.t) < 75 OR (length(p.t) < 75 AND made = 1)) AND length(s.t) + 1 + length(p.t) <= 450 THEN 1 ELSE 0 END AS joins FROM s JOIN p ON p.doc_id = s.doc_id AND p.place = s.place + 1)
+),
+u AS (SELECT doc_id, done AS t, done_start AS start FROM s WHERE done IS NOT NULL UNION ALL SELECT doc_id, t, start FROM s WHERE place = many),
+j AS (SELECT u.doc_id, d.body, length(d.body) AS n, start AS k, start, t FROM u JOIN d ON d.doc_id = u.doc_id),
+{finished_sql("。！？.!?", "false")}
+SELECT doc_id, seq::INT AS seq, content, greatest(0, start - length(replace(left(body, start), chr(10), '')) - 1)::INT AS position, {estimate_sql("content")} AS token_count FROM o
+"""
+
+
+@query(MARKDOWN_CHUNKS_SQL)
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).drop("chunk_id")
 
@@ -547,14 +598,8 @@ j AS (
   SELECT doc_id, body, n, k, start, CASE WHEN k = many - 2 AND length(next) < 75 AND length(t) + 1 + length(next) <= 450 THEN t || chr(10) || next ELSE t END AS t FROM l
   WHERE NOT (many > 1 AND k = many - 1 AND length(t) < 75 AND length(before) + 1 + length(t) <= 450)
 ),
-f AS (SELECT *, trim(t, '{text.SPACE}') AS own FROM j),
-g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS seq, lag(own) OVER (PARTITION BY doc_id ORDER BY k) AS last FROM f WHERE own <> '' OR n <= 300),
-h AS (SELECT *, length(last) - 45 AS wish FROM g),
-i AS (SELECT *, CASE WHEN wish > 0 THEN list_sort(list_transform(list_filter(range(greatest(0, wish - 50), least(length(last), wish + 50)), lambda i: contains('{STOPS}', substr(last, i + 1, 1))), lambda i: {{'far': abs(i - wish), 'i': i}}))[1].i END AS cut FROM h),
-m AS (SELECT *, CASE WHEN cut IS NOT NULL THEN trim(substr(last, cut + 2), '{text.SPACE}') ELSE '' END AS tail FROM i),
-o AS (SELECT *, CASE WHEN tail <> '' AND length(tail) + 2 + length(own) <= 450 THEN tail || chr(10) || chr(10) || own ELSE own END AS content, CASE WHEN n <= 300 THEN body END AS whole FROM m)
-SELECT doc_id, seq::INT AS seq, content, (start - length(replace(left(body, start), chr(10), '')))::INT AS position,
-  (length(regexp_replace(coalesce(whole, content), '[^\\x00-\\x7F]', '', 'g')) // 4 + 2 * (length(coalesce(whole, content)) - length(regexp_replace(coalesce(whole, content), '[^\\x00-\\x7F]', '', 'g'))))::INT AS token_count FROM o
+{finished_sql(STOPS, "n <= 300")}
+SELECT doc_id, seq::INT AS seq, content, (start - length(replace(left(body, start), chr(10), '')))::INT AS position, {estimate_sql("coalesce(whole, content)")} AS token_count FROM o
 """
 
 
@@ -564,7 +609,8 @@ def chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(docs, ["doc_id"], path="path")
 
 
-@query()
+@query(bm25_sql(OR_TERMS, corpus=f"(SELECT doc_id || '-' || seq AS chunk_id, doc_id, seq, position, content, content AS text FROM ({MARKDOWN_CHUNKS_SQL}))")
+       + "SELECT chunk_id, doc_id, seq, position, content, score, (row_number() OVER (ORDER BY raw DESC, chunk_id) - 1)::INT AS rank FROM s ORDER BY raw DESC, chunk_id LIMIT 50")
 def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.search(chunks(spark, sf_dir), SEARCHED, 50, strategy="or", key="chunk_id", text="content")
     return found.select("chunk_id", "doc_id", "seq", "position", "content", F.round("score", 6).alias("score"), "rank")
