@@ -5,8 +5,8 @@ header, then the payload of raw ids (uint16 if all ids fit, else uint32), the ke
 in order, the first id of each key's row, and the index: a perfect hash of the keys
 with, per slot, a fingerprint and the place of the key's first row.
 
-The manifest has a row per file with its range of keys, so a key leads to one file
-and, by that file's index, to one slice of its payload.
+The manifest has a row per file with its range of keys, so a key leads to its file
+(a key with very many rows, to some) and, by the file's index, to a slice of its payload.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from gleanery.llm.perfect_hash import build, probe
 MAGIC = b"IDSHARD1"
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
+#: Characters of a text that part the rows of a doc_id, where it has very many.
+TIE_CHARS = 200
 #: Distinct words that the library is given at once, as one text.
 AT_ONCE = 16_384
 #: Bytes of text that a task encodes at once, and distinct words whose ids it keeps for the next.
@@ -130,11 +132,11 @@ def key_hash(keys: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard_bytes: int = SHARD_BYTES, added: bool = False) -> DataFrame:
     """Encodes whole texts and writes them in ascending doc_id order; returns the manifest.
 
-    Rows are range-partitioned by doc_id; a task writes one file in the shared folder
+    Rows are range-partitioned by doc_id and the beginning of the text; a task writes one file in the shared folder
     under a name that no other run of it has, and its manifest row names that file,
     so a task that runs again leaves a file that nothing reads. Null doc_id: first
     (first_key is null where a file has such rows). Null text: only the end id.
-    Repeated doc_ids stay apart, ordered by text, in one file. Very long texts: a
+    Repeated doc_ids stay apart, ordered by text; very many of one go to several files. Very long texts: a
     task encodes whole texts, PIECE_BYTES of them or one at a time. added: see Encoder.
     """
     spark = docs.sparkSession
@@ -178,7 +180,8 @@ def write_shards(docs: DataFrame, definition: str, end_id: int | None = 2, shard
         stream.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([None if null[0] else int(keys[0])], pa.int64()), pa.array([None if null[-1] else int(keys[-1])], pa.int64()), pa.array([len(keys)]), pa.array([int(many.sum())])], [f.split()[0] for f in MANIFEST.split(", ")])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    key = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, key, F.left("text", F.lit(TIE_CHARS))).sortWithinPartitions(key, "text")
     return stored(ordered.mapInArrow(run, MANIFEST).withColumn("folder", F.lit(folder)), "token-manifest")
 
 
@@ -256,23 +259,26 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """doc_id, ids of the rows of each key (doc_id) in keys; unknown keys give no rows.
 
-    The driver holds the first key of each file (8 bytes a file), by which keys are
-    dealt to files. A task then reads a file's index and, of its payload, the slices
+    The driver holds the range of keys of each file (a few bytes a file), by which keys
+    are dealt to files. A task then reads a file's index and, of its payload, the slices
     of its keys. A repeated doc_id gives each of its rows; a null key those of null
     doc_ids. A key asked for twice is answered once.
     """
-    files = manifest.select("part", "folder", "path", "first_key").orderBy("part").collect()
+    files = manifest.select("part", "first_key", "last_key").orderBy("part").collect()
     if not files:
         return keys.where("false").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.array().cast("array<bigint>").alias("ids"))
-    # files in the order of keys; the first one holds null keys, if any file does
-    low = np.array([np.iinfo(np.int64).min if i == 0 or r["first_key"] is None else r["first_key"] for i, r in enumerate(files)])
-    part = np.array([r["part"] for r in files], np.int32)
+    # files are in the order of keys, null keys first
+    least = np.iinfo(np.int64).min
+    low, high = (np.array([least if r[c] is None else r[c] for r in files]) for c in ("first_key", "last_key"))
+    part, nulls = np.array([r["part"] for r in files], np.int32), sum(r["first_key"] is None for r in files)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            at = np.where(null, 0, np.searchsorted(low, key, "right") - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part[at])], ["doc_id", "part"])
+            first, end = np.where(null, 0, np.searchsorted(high, key, "left")), np.where(null, nulls, np.searchsorted(low, key, "right"))
+            many = np.maximum(end - first, 0)
+            row = np.repeat(np.arange(len(key)), many)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(part[first[row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]])], ["doc_id", "part"])
 
     def read(file: pa.Table, asked: pa.Table) -> pa.Table:
         out_keys, lists = [], []

@@ -153,3 +153,25 @@ def test_lookup_reads_slices(spark, definition):
 def test_files_of_no_rows(spark, definition):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert token_digests(docs.limit(0), definition).count() == 0
+
+
+def test_a_key_with_very_many_rows_has_several_files(spark, definition):
+    """Half of the rows have one key, a quarter none: both are spread, in order, and found whole."""
+    rows = [(5, f"row {i} of five") for i in range(400)] + [(None, f"no id {i}") for i in range(200)] + [(i, f"own {i}") for i in range(200)] + [(-3, "low"), (2**63 - 1, "high"), (-(2**63), "least")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest = write_shards(docs, definition, shard_bytes=800)
+    files = manifest.collect()
+    assert sum(r["first_key"] == 5 == r["last_key"] for r in files) > 3 and sum(r["last_key"] is None for r in files) > 1
+    assert max(r["n_rows"] for r in files) < 0.3 * len(rows)
+    library = Tokenizer.from_str(definition)
+    want = {}
+    for k, t in rows:
+        want.setdefault(k, []).append([*library.encode(t, add_special_tokens=False).ids, 2])
+    asked = spark.createDataFrame([(k,) for k in (5, None, -3, 2**63 - 1, -(2**63), 7, 5, 1000)], "doc_id long")
+    got = {}
+    for r in lookup(manifest, asked).collect():
+        got.setdefault(r["doc_id"], []).append(r["ids"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(want[k]) for k in (5, None, -3, 2**63 - 1, -(2**63), 7)}
+    read = sorted(read_shards(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in read] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert [r["start"] for r in read[1:]] == [r["start"] + r["n_tokens"] for r in read[:-1]]
