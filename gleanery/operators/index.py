@@ -22,13 +22,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.fs as pfs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import tokens
 from gleanery.operators import lexical
+from gleanery.sources.folder import opened
 
 #: Postings in a block; folders of a segment at most; bytes of text behind a file, about; segments from which on an update merges.
 BLOCK, MOST_RANGES, PART_BYTES, MOST_SEGMENTS = 128, 2048, 256 << 20, 8
@@ -230,6 +231,19 @@ class Index:
         self._commit(spark, before, [*by_size[:keep], made])
         return self
 
+    def vacuum(self, spark: SparkSession, versions: int = 2) -> list[str]:
+        """Deletes the segments and deletions that none of the last versions names, once no reader has an older one; returns their names."""
+        found = spark.read.schema(VERSION).parquet(f"{self.path}/versions/*").orderBy(F.desc("version")).limit(max(1, versions)).collect()
+        used = {x["name"] for v in found for x in v["segments"]} | {d for v in found for x in v["segments"] for d in x["deletes"]}
+        system, base = opened(self.path)
+        gone = []
+        for kind in ("segments", "deletes"):
+            for folder in system.get_file_info(pfs.FileSelector(f"{base}/{kind}", allow_not_found=True)):
+                if folder.base_name not in used:
+                    system.delete_dir(folder.path)
+                    gone.append(folder.base_name)
+        return gone
+
     # reading
 
     def _ranges(self, spark: SparkSession, name: str) -> list[tuple[int, str, str]]:

@@ -176,6 +176,8 @@ def test_updated_index_is_a_fresh_one(spark, tmp_path, monkeypatch):
     (only,) = index.version(spark)["segments"]
     assert not only["deletes"] and only["rows"] == len(rows)
     assert scored(index.top(spark, lexical.Terms(any=("t3", "t5")), 7)) == scored(fresh.top(spark, lexical.Terms(any=("t3", "t5")), 7))
+    assert len(index.vacuum(spark, 1)) > 2 and index.vacuum(spark, 1) == []
+    assert scored(index.top(spark, lexical.Terms(any=("t3", "t5")), 7)) == scored(fresh.top(spark, lexical.Terms(any=("t3", "t5")), 7))
     index.update(spark.createDataFrame([(i,) for i in rows], "doc_id long"), None)
     assert index.top(spark, lexical.Terms(any=("t3",)), 7).count() == 0 and index.version(spark)["rows"] == 0
 
