@@ -30,16 +30,42 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import as_bytes, discard, gather, mix64, pieces, shared_folder, split_words, stored
 from gleanery.llm.perfect_hash import build, from_bytes, probe, to_bytes
-from gleanery.llm.sentencepiece_codec import SPACE, Codec
+from gleanery.llm.sentencepiece_codec import ODD, SPACE, Codec
 from gleanery.llm.token_files import Encoder
 
 #: Pairs in a shard of the index, about; tasks or vectors summed at once; bytes of text encoded and of ids aligned at once; bytes of shards kept.
 SHARD_PAIRS, FAN, TEXT_BYTES, IDS_BYTES, HELD_BYTES = 131_072, 16, 3 << 20, 1 << 20, 96 << 20
+#: Bytes of text whose words are segmented together; distinct words whose ids a task keeps.
+LEARN_BYTES, MOST_WORDS = 20 << 20, 1_000_000
 #: Distinct pairs that a task counts before it joins them with those it has.
 PENDING = 2_000_000
 NOTHING = np.zeros(0, np.int64)
 
 
+def _assembled(odd: np.ndarray, begin: np.ndarray, rows: np.ndarray, ids: np.ndarray, many: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row and how many each text has, from the ids of words (rows: the words of the plain texts) and of odd texts."""
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([many, [len(x) for x in others]]))]).astype(np.int64)
+    counts = np.ones(len(odd), np.int64)
+    counts[~odd] = np.diff(begin)
+    first = np.cumsum(counts) - counts
+    every = np.empty(int(counts.sum()), np.int64)
+    own = np.zeros(len(every), bool)
+    own[first[odd]] = True
+    every[own], every[~own] = len(many) + np.arange(odd.sum()), rows
+    out, sizes = gather(np.concatenate([ids, *others]), ends, every)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    return out, total[first + counts] - total[first]
+
+
+def _known(words: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each word among those known and, after them, the new ones; and the new ones."""
+    found = pc.index_in(words, value_set=known)
+    new = words.filter(found.is_null())
+    row = found.fill_null(-1).to_numpy().astype(np.int64)
+    row[row < 0] = len(known) + np.arange(len(new))
+    return row, new
+
+
 class After(Encoder):
     """Byte-level ids of texts with a space before each; tokens with names of their own are text."""
 
@@ -47,26 +73,50 @@ class After(Encoder):
         """All ids in a row, and how many each text has. Every word has a space before it, so each is encoded once."""
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         words, part, begin = split_words(texts.filter(pa.array(~odd)))
-        if len(self.words) > 3_000_000:
+        if len(self.words) > MOST_WORDS:
             self.forget()
-        known = pc.index_in(words, value_set=self.words)
-        new = words.filter(known.is_null())
+        row, new = _known(words, self.words)
         ids, many = self._spaced(new)
-        row = known.fill_null(-1).to_numpy().astype(np.int64)
-        row[row < 0] = len(self.words) + np.arange(len(new))
         self.words, self.ids, self.many = pa.concat_arrays([self.words, new]), np.concatenate([self.ids, ids]), np.concatenate([self.many, many])
         others = self._each([" " + t for t in texts.filter(pa.array(odd)).to_pylist()])
-        ends = np.concatenate([[0], np.cumsum(np.concatenate([self.many, [len(x) for x in others]]))]).astype(np.int64)
-        counts = np.ones(len(texts), np.int64)
-        counts[~odd] = np.diff(begin)
-        first = np.cumsum(counts) - counts
-        rows = np.empty(int(counts.sum()), np.int64)
-        own = np.zeros(len(rows), bool)
-        own[first[odd]] = True
-        rows[own], rows[~own] = len(self.words) + np.arange(odd.sum()), row[part]
-        out, sizes = gather(np.concatenate([self.ids, *others]).astype(np.uint32), ends, rows)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        return out, total[first + counts] - total[first]
+        return _assembled(odd, begin, row[part], self.ids, self.many, others)
+
+
+class Remembering(Codec):
+    """A codec that segments each distinct word of a task once."""
+
+    def __init__(self, model: dict) -> None:
+        super().__init__(model)
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.held_ids, self.held_many = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, texts: pa.Array) -> None:
+        """Segments the words of many texts before they are encoded: the more words advance together, the better."""
+        if self.spaced:
+            if len(self.words) > MOST_WORDS:
+                self.forget()
+            odd = pc.match_substring_regex(texts, ODD)
+            self._add(_known(split_words(texts.filter(pc.invert(odd)))[0], self.words)[1])
+
+    def _add(self, new: pa.Array) -> None:
+        if len(new):
+            ids, many = self._segment([SPACE + w for w in new.to_pylist()])
+            self.words, self.held_ids, self.held_many = pa.concat_arrays([self.words, new]), np.concatenate([self.held_ids, ids]), np.concatenate([self.held_many, many])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.spaced:
+            return super().encode(texts)
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        words, part, begin = split_words(texts.filter(pa.array(~odd)))
+        row, new = _known(words, self.words)
+        self._add(new)
+        others: list[np.ndarray] = []
+        if odd.any():
+            ids, sizes = super().encode(texts.filter(pa.array(odd)))
+            others = np.split(ids, np.cumsum(sizes)[:-1])
+        return _assembled(odd, begin, row[part], self.held_ids, self.held_many, others)
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,7 +133,7 @@ class Sides:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, definition: str, model: dict) -> None:
-        self.a, self.b = After(definition), Codec(model)
+        self.a, self.b = After(definition), Remembering(model)
         letters = byte_letters()
         names: list[bytes] = [b""] * self.a.library.get_vocab_size()
         for name, i in self.a.library.get_vocab().items():
@@ -124,11 +174,12 @@ def encode_both(docs: DataFrame, definition: str, model: dict, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = None
-        for batch in pieces(batches, text, TEXT_BYTES):
+        for large in pieces(batches, text, LEARN_BYTES):
             sides = sides or Sides(*shared.value)
-            texts = batch.column(text).cast(pa.string()).fill_null("")
-            a, n_a, b, n_b = sides.encode(texts)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], packed(a, n_a, sides.a_bytes), packed(b, n_b, sides.b_bytes)], [*others, "a_ids", "b_ids"])
+            sides.b.learn(large.column(text).cast(pa.string()).fill_null(""))
+            for batch in pieces([large], text, TEXT_BYTES):
+                a, n_a, b, n_b = sides.encode(batch.column(text).cast(pa.string()).fill_null(""))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], packed(a, n_a, sides.a_bytes), packed(b, n_b, sides.b_bytes)], [*others, "a_ids", "b_ids"])
 
     return rows.mapInArrow(run, schema)
 
