@@ -238,7 +238,7 @@ def partners(spark: SparkSession, blocks: str, n_blocks: int, buckets: str, n_gr
                 else:
                     of, window = np.arange(n), np.zeros(n, np.int64)
                     least, most = np.full(n, -np.inf), np.full(n, np.inf)
-                order = lambda y: -float(y["v"].astype(np.float64).__pow__(2).sum(axis=1).max(initial=0))
+                order = lambda y: -float((y["v"].astype(np.float64) ** 2).sum(axis=1).max(initial=0))
                 if len(of):
                     unit, other, score, _ = search((Bucket(y) for y in sorted(group.get(pair % n_groups), key=order)), x["v"], x["ids"], x["labels"], of, least, most, k, band is None)
                     yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["ids"][of[unit]], x["keys"][of[unit]], window[unit], other, score)], ["anchor_id", "key", "window", "other_id", "score"])
