@@ -32,7 +32,7 @@ from gleanery.operators import lexical
 from gleanery.sources.folder import opened
 
 #: Postings in a block; folders of a segment at most; bytes of text behind a file, about; segments from which on an update merges.
-BLOCK, MOST_RANGES, PART_BYTES, MOST_SEGMENTS = 128, 2048, 256 << 20, 8
+BLOCK, MOST_RANGES, PART_BYTES, MOST_SEGMENTS = 128, 2048, 16 << 20, 8
 #: Rows and tokens of each from which the borders of ranges are taken; they only balance the folders.
 SAMPLE_ROWS, SAMPLE_TOKENS = 500, 1000
 #: Classes of length: so many for each doubling.
