@@ -22,8 +22,8 @@ NOT_TOKEN = "[^\\p{L}\\p{N}]+"
 SPACE = "\t\n\x0b\f\r \x85\xa0                　"
 #: Queries keep ASCII letters and digits, white space, Han and kana.
 NOT_SAFE = "[^a-zA-Z0-9\\s\\p{IsHan}\\p{IsKatakana}\\p{IsHiragana}]"
-#: Neighbouring Han characters, the last of a run (its pair stands before it), and one alone.
-HAN = "\\p{IsHan}"
+#: Neighbouring Han characters, the last of a run (its pair stands before it), and one alone. The range, all Han, is only tried first.
+HAN = "[\\x{4E00}-\\x{9FEF}\\p{IsHan}]"
 HAN_PAIRS = f"({HAN})(?=({HAN}))|(?<={HAN}){HAN}(?!{HAN})|({HAN})"
 # The pattern of an image in the text.
 IMAGE = "!\\[[^\\]]*\\]\\(data:image/[^;]+;base64,[^)]*\\)"
@@ -33,7 +33,12 @@ TITLE_LINES = 20
 def fold(text: Column) -> Column:
     """Letters without their marks (é: e); ß and the like stay. Plain ASCII texts pass by."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, MARKED, BARE))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_bare(text))
+
+
+def _bare(text: Column) -> Column:
+    """Texts without a letter that would change aren't walked through letter by letter."""
+    return F.when(text.rlike(f"[{MARKED[0]}-{MARKED[-1]}]"), F.translate(text, MARKED, BARE)).otherwise(text)
 
 
 def segmented(text: Column) -> Column:
@@ -43,8 +48,10 @@ def segmented(text: Column) -> Column:
 
 def _analysed(text: Column, cut: bool) -> Column:
     text = F.coalesce(text, F.lit(""))
-    marked = F.translate(segmented(text) if cut else text, MARKED, BARE)
-    return F.array_remove(F.split(F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(marked)), NOT_TOKEN), "")
+    # folded and lower-cased while the text is short; cutting adds spaces
+    marked = F.lower(_bare(text))
+    marked = F.when(text.rlike(HAN), F.regexp_replace(marked, HAN_PAIRS, " $1$2$3 ")).otherwise(marked) if cut else marked
+    return F.array_remove(F.split(F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(marked), NOT_TOKEN), "")
 
 
 def tokens(text: Column) -> Column:

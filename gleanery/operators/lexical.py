@@ -7,15 +7,16 @@ time. A term in half of the rows or more has weight 1e-6.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import words as W
 from gleanery.functions.text import tokens
+from gleanery.sources.shared import stored
 
 if TYPE_CHECKING:
     from gleanery.operators.index import Index
@@ -74,41 +75,76 @@ def squash(raw: Column) -> Column:
     return F.abs(raw) / (1 + F.abs(raw))
 
 
-def bm25(corpus: DataFrame, terms: Terms, text: str = "text", weight: float = 1.0, where: Column | None = None, analyse: Analyser = tokens) -> DataFrame:
+class Counts(NamedTuple):
+    """Rows (kept columns, __length, __tf) that match, and the statistics (rows, average, df) of all."""
+
+    rows: DataFrame
+    stats: Column
+
+
+def _counted(frame: DataFrame, terms: Terms, text: str, analyse: Analyser, keep: Sequence[str | Column]) -> DataFrame:
+    names = frame.select(*keep).columns
+    # a one-row explode keeps the optimizer from pasting the analysis into every later use of its result
+    listed = frame.select(*keep, F.explode(F.array(analyse(F.col(text)))).alias("__tokens"))
+    match = lambda t: (lambda x: F.startswith(x, F.lit(t))) if terms.prefix else (lambda x: x == t)
+    # lambdas keep the generated method small enough to be compiled
+    tf = F.array(*[F.size(F.filter("__tokens", match(t))) for t in terms.distinct])
+    one = listed.select(*names, F.explode(F.array(F.struct(F.size("__tokens").cast("double").alias("length"), tf.alias("tf")))).alias("__c"))
+    return one.select(*names, F.col("__c.length").alias("__length"), F.col("__c.tf").alias("__tf"))
+
+
+def _statistics(terms: Terms) -> list[Column]:
+    """Of counted rows: rows, average, and for each term the rows that have it."""
+    return [F.count("*").cast("double").alias("rows"), F.avg("__length").alias("average"), *[F.sum((F.col("__tf")[i] > 0).cast("double")).alias(f"d{i}") for i in range(len(terms.distinct))]]
+
+
+def _matching(rows: DataFrame, terms: Terms) -> DataFrame:
+    tf = {t: F.col("__tf")[i] for i, t in enumerate(terms.distinct)}
+    for t in dict.fromkeys(terms.all):
+        rows = rows.where(tf[t] > 0)
+    if terms.any:
+        rows = rows.where(F.greatest(*[tf[t] for t in dict.fromkeys(terms.any)], F.lit(0)) > 0)
+    return rows
+
+
+def count_once(corpus: DataFrame, terms: Terms, keep: Sequence[str], text: str = "text", where: Column | None = None, analyse: Analyser = tokens) -> Counts:
+    """The counts of all rows by one pass, which runs at once: where cutting the texts costs more than storing what matches.
+
+    Rows that match are stored with the columns to keep; the statistics of all rows are
+    observed on the way.
+    """
+    seen = Observation()
+    rows = _counted(corpus, terms, text, analyse, [*keep, (F.lit(True) if where is None else where).alias("__asked")])
+    rows = _matching(rows.observe(seen, *_statistics(terms)).where("__asked").drop("__asked"), terms)
+    rows = stored(rows, "counts")
+    got = seen.get
+    value = lambda x: F.lit(x).cast("double")
+    df = F.array(*[value(got[f"d{i}"]) for i in range(len(terms.distinct))])
+    return Counts(rows, F.struct(value(got["rows"]).alias("rows"), value(got["average"]).alias("average"), df.alias("df")))
+
+
+def bm25(corpus: DataFrame, terms: Terms, text: str = "text", weight: float = 1.0, where: Column | None = None, analyse: Analyser = tokens, counts: Counts | None = None) -> DataFrame:
     """Matching rows of corpus with raw_score and score (0 to 1).
 
     One pass counts each row's terms in a token array, without exploding it; the
-    statistics are a scalar subquery over the same counts.
+    statistics are a scalar subquery over the same counts. Those of count_once, over the
+    same corpus, terms and restriction, are taken as they are, with the columns it kept.
     """
     if not terms.distinct:
         return corpus.where("false").select("*", F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("score"))
-    n = len(terms.distinct)
-
-    def counted(frame: DataFrame, *keep: str) -> DataFrame:
-        # a one-row explode keeps the optimizer from pasting the analysis into every later use of its result
-        listed = frame.select(*keep, F.explode(F.array(analyse(F.col(text)))).alias("__tokens"))
-        match = lambda t: (lambda x: F.startswith(x, F.lit(t))) if terms.prefix else (lambda x: x == t)
-        # lambdas keep the generated method small enough to be compiled
-        tf = F.array(*[F.size(F.filter("__tokens", match(t))) for t in terms.distinct])
-        one = listed.select(*keep, F.explode(F.array(F.struct(F.size("__tokens").cast("double").alias("length"), tf.alias("tf")))).alias("__c"))
-        return one.select(*keep, F.col("__c.length").alias("__length"), F.col("__c.tf").alias("__tf"))
-
-    found = counted(corpus).agg(F.count("*").cast("double").alias("rows"), F.avg("__length").alias("average"), F.array(*[F.sum((F.col("__tf")[i] > 0).cast("double")) for i in range(n)]).alias("df"))
-    stats = found.select(F.struct("rows", "average", "df")).scalar()
-    rows = counted(corpus if where is None else corpus.where(where), *corpus.columns)
-    tf = {t: F.col("__tf")[i] for i, t in enumerate(terms.distinct)}
-    if terms.all:
-        for t in dict.fromkeys(terms.all):
-            rows = rows.where(tf[t] > 0)
-    if terms.any:
-        rows = rows.where(F.greatest(*[tf[t] for t in dict.fromkeys(terms.any)], F.lit(0)) > 0)
-    rows = rows.select("*", stats.alias("__stats"))
+    if counts is None:
+        n = len(terms.distinct)
+        found = _counted(corpus, terms, text, analyse, []).agg(*_statistics(terms))
+        stats = found.select(F.struct("rows", "average", F.array(*[f"d{i}" for i in range(n)]).alias("df"))).scalar()
+        counts = Counts(_matching(_counted(corpus if where is None else corpus.where(where), terms, text, analyse, corpus.columns), terms), stats)
+    kept = [c for c in counts.rows.columns if c not in ("__length", "__tf")]
+    rows = counts.rows.select("*", counts.stats.alias("__stats"))
     score = F.lit(0.0)
     for i, t in enumerate(terms.distinct):
         times = (terms.any + terms.all).count(t)
         part = times * idf(F.col("__stats")["rows"], F.col("__stats")["df"][i]) * term_weight(F.col("__tf")[i].cast("double"), F.col("__length"), F.col("__stats")["average"], weight)
         score = score + F.when(F.col("__tf")[i] > 0, part).otherwise(0.0)
-    return rows.select(*corpus.columns, score.alias("raw_score")).withColumn("score", squash(F.col("raw_score")))
+    return rows.select(*kept, score.alias("raw_score")).withColumn("score", squash(F.col("raw_score")))
 
 
 def top(rows: DataFrame, limit: int, key: str = "doc_id", by: str = "raw_score") -> DataFrame:
@@ -125,7 +161,7 @@ def tag_boost(query: str, snippet: Column, tagger: W.Tagger = W.tag) -> Column:
     return added
 
 
-def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0, strategy: str = "pos-or", where: Column | None = None, key: str = "doc_id", text: str = "text", tagger: W.Tagger = W.tag, analyse: Analyser = tokens, cutter: W.Cutter = W.cut, index: Index | None = None) -> DataFrame:
+def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0, strategy: str = "pos-or", where: Column | None = None, key: str = "doc_id", text: str = "text", tagger: W.Tagger = W.tag, analyse: Analyser = tokens, cutter: W.Cutter = W.cut, index: Index | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """The top rows of a query; lower scores than min_score leave after the limit, so fewer may be left.
 
     analyse cuts texts to tokens, cutter the words of the query, tagger the query to
@@ -134,12 +170,17 @@ def search(corpus: DataFrame, query: str, limit: int = 5, min_score: float = 0.0
 
     With an index of the corpus, only the postings of the query's terms are read, and
     of the corpus the rows that are shown (and those that `where` lets through).
+
+    With keep (columns, the key among them, and the text for tag weights), the result
+    has only these and the scores, and texts that are costly to make or cut are gone
+    through once, by count_once.
     """
     terms = terms_of(query, strategy, tagger, cutter)
+    counts = None if keep is None or index is not None or not terms.distinct else count_once(corpus, terms, keep, text, where, analyse)
 
     def scored(weight: float) -> DataFrame:
         if index is None:
-            return bm25(corpus, terms, text, weight, where, analyse)
+            return bm25(corpus, terms, text, weight, where, analyse, counts)
         return index.bm25(corpus.sparkSession, terms, weight, None if where is None else corpus.where(where).select(key))
 
     found = scored(1.5 if strategy == "and" else 1.0)
