@@ -8,6 +8,7 @@ whose first word is longer counts. Distinct runs of equal length advance togethe
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections.abc import Callable, Mapping
@@ -21,11 +22,11 @@ from pyspark.sql.functions import arrow_udf
 from gleanery.functions import text as T
 from gleanery.functions import words as W
 
-#: Words that a lexicon may have to be held by every task.
-MOST_WORDS = 2_000_000
+#: Words that a lexicon may have to be held by every task; tokens that a task cuts at once, about, and whose words it keeps at most.
+MOST_WORDS, TOKENS, KNOWN = 2_000_000, 1 << 19, 200_000
 UNIT = 1_000_000
 BASE = 0x9E3779B97F4A7C15
-PARTS = re.compile(f"[{W.HAN}]+|[^{W.HAN}]+")
+PARTS, BEGINS_HAN = re.compile(f"[{W.HAN}]+|[^{W.HAN}]+"), re.compile(f"[{W.HAN}]").match
 
 
 class Segmenter:
@@ -110,19 +111,31 @@ class Segmenter:
         found = [word[i : i + k] for k in (2, 3) if len(word) > k for i in range(len(word) - k + 1)]
         return [*(w for w in found if w in self.lexicon), word]
 
-    def parts(self, tokens: list[str], finer: bool = False) -> list[list[str]]:
-        """Each token's Han runs as words, the rest as it is."""
+    def parts(self, tokens: list[str], finer: bool = False, known: dict[str, list[str]] | None = None) -> list[list[str]]:
+        """Each token's Han runs as words, the rest as it is. known keeps them from call to call."""
+        if known is not None:
+            fresh = [t for t in tokens if t not in known]
+            new = dict(zip(fresh, self.parts(fresh, finer), strict=True))
+            found = [new[t] if t in new else known[t] for t in tokens]
+            known.update(list(new.items())[: max(0, KNOWN - len(known))])
+            return found
         split = [PARTS.findall(t) for t in tokens]
-        runs = list(dict.fromkeys(p for ps in split for p in ps if re.match(f"[{W.HAN}]", p)))
+        runs = list(dict.fromkeys(p for ps in split for p in ps if BEGINS_HAN(p)))
         words = dict(zip(runs, self.cut(runs), strict=True))
         if finer:
             words = {r: [x for w in ws for x in self.inner(w)] for r, ws in words.items()}
-        return [[w for p in ps for w in words.get(p, [p])] for ps in split]
+        return [words.get(ps[0], ps) if len(ps) == 1 else [w for p in ps for w in words.get(p, [p])] for ps in split]
 
-    def lists(self, column: pa.Array, finer: bool = False) -> pa.Array:
-        """Lists of tokens with the words of each in its place; the distinct tokens are cut once."""
+    def lists(self, column: pa.Array, finer: bool = False, known: dict[str, list[str]] | None = None) -> pa.Array:
+        """Lists of tokens with the words of each in its place, TOKENS tokens or one row at a time."""
+        rows = np.cumsum(column.value_lengths().fill_null(0).to_numpy().astype(np.int64)) // TOKENS
+        cuts = [0, *(np.flatnonzero(np.diff(rows)) + 1).tolist(), len(column)]
+        return pa.concat_arrays([self._lists(column.slice(a, b - a), finer, known) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def _lists(self, column: pa.Array, finer: bool, known: dict[str, list[str]] | None) -> pa.Array:
+        """The distinct tokens are cut once."""
         coded = column.flatten().dictionary_encode()
-        parts = self.parts(coded.dictionary.to_pylist(), finer)
+        parts = self.parts(coded.dictionary.to_pylist(), finer, known)
         many = np.array([len(p) for p in parts], np.int64)
         ends, code = np.concatenate([[0], np.cumsum(many)]), coded.indices.to_numpy()
         each = many[code] if len(code) else np.zeros(0, np.int64)
@@ -131,12 +144,23 @@ class Segmenter:
         rows = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)])[rows].astype(np.int32)), flat)
 
-    def _column(self, finer: bool) -> Callable[[Column], Column]:
+    def of_runs(self, runs: Column, finer: bool = False) -> Column:
+        """The words of lists of tokens whose Han characters aren't cut (text.whole_runs)."""
+        own = self
+        if not finer:
+            # hashes and weights are all that tasks need for the words of runs
+            own = copy.copy(self)
+            own.lexicon = {}
+        known: dict[str, list[str]] = {}
+
         @arrow_udf("array<string>")
         def run(column: pa.Array) -> pa.Array:
-            return self.lists(column, finer)
+            return own.lists(column, finer, known)
 
-        return lambda text: run(T.whole_runs(text))
+        return run(runs)
+
+    def _column(self, finer: bool) -> Callable[[Column], Column]:
+        return lambda text: self.of_runs(T.whole_runs(text), finer)
 
     @property
     def analyse(self) -> Callable[[Column], Column]:

@@ -9,6 +9,7 @@ from gleanery.functions import stem, text
 from gleanery.functions.segment import Segmenter
 from gleanery.operators import lexical
 from gleanery.plans.catalog import ANALYSED, COSINE, EMBEDDED, HAN_DOCUMENTS, NEAREST, PLAIN_CHUNKS_SQL, TOP, asked, bm25_sql, han_documents, query, shown, table
+from gleanery.sources.shared import stored
 from gleanery.sql import register
 
 # ---------------------------------------------------------------- a lexicon's words
@@ -42,16 +43,22 @@ cut AS (SELECT d.doc_id, d.source, coalesce(z.text, '') AS text FROM documents d
 """
 
 
+def han_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, runs: the tokens of each text, whose runs of Han characters are whole; stored, as the lexicon and the words are both made of them."""
+    return stored(han_documents(spark, sf_dir).select("doc_id", "source", text.whole_runs(F.col("text")).alias("runs")), "runs")
+
+
 def corpus_lexicon(docs: DataFrame) -> DataFrame:
-    runs = docs.select(F.explode(text.whole_runs(F.col("text"))).alias("t")).select(F.explode(F.regexp_extract_all("t", F.lit("(\\p{IsHan}+)"), F.lit(1))).alias("word"))
-    return runs.where(F.length("word").between(2, 4)).groupBy("word").agg(F.count("*").alias("count")).where("count >= 3")
+    counted = docs.select(F.explode("runs").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    runs = counted.select("n", F.explode(F.regexp_extract_all("t", F.lit(f"({text.HAN}+)"), F.lit(1))).alias("word"))
+    return runs.where(F.length("word").between(2, 4)).groupBy("word").agg(F.sum("n").alias("count")).where("count >= 3")
 
 
 @query(SEGMENTED_SQL + "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS n_words, sha256(text) AS words_sha256 FROM cut")
 def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut into the words of a lexicon that is made from the corpus."""
-    docs = han_documents(spark, sf_dir)
-    words = Segmenter.of(corpus_lexicon(docs)).analyse(F.col("text"))
+    docs = han_runs(spark, sf_dir)
+    words = Segmenter.of(corpus_lexicon(docs)).of_runs(F.col("runs"))
     return docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), F.sha2(F.array_join("words", " "), 256).alias("words_sha256"))
 
 
@@ -61,9 +68,10 @@ CUT_TERMS = lexical.Terms(any=("们有", "有", "上"))
 @query(bm25_sql(CUT_TERMS, corpus=f"({SEGMENTED_SQL} SELECT * FROM cut)", analysed="string_split(text, ' ')") + TOP)
 def segmented_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the lexicon are searched, and found only where texts are cut to them."""
-    docs = han_documents(spark, sf_dir)
+    docs = han_runs(spark, sf_dir)
     segmenter = Segmenter.of(corpus_lexicon(docs))
-    return shown(lexical.top(lexical.bm25(docs, CUT_TERMS, analyse=segmenter.analyse), 50))
+    counts = lexical.count_once(docs, CUT_TERMS, ["doc_id", "source"], text="runs", analyse=segmenter.of_runs)
+    return shown(lexical.top(lexical.bm25(docs, CUT_TERMS, counts=counts), 50))
 
 
 # ---------------------------------------------------------------- stems
