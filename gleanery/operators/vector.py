@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a block, of queries as of vectors; bytes of query vectors that are broadcast at once.
-BLOCK, GROUP_BYTES = 2048, 64 << 20
+#: Rows in a block, of queries as of vectors; queries of a block that are scored at once; bytes of query vectors that are broadcast at once.
+BLOCK, AT_ONCE, GROUP_BYTES = 2048, 256, 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,24 +50,43 @@ def _blocks(vectors: DataFrame, key: str, embedding: str, name: str) -> DataFram
     return rows.mapInArrow(run, f"{name}_keys binary, {name}_data binary")
 
 
+def _best(scores: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the limit greatest rounded scores of each row, ties by smaller key."""
+    rounded = np.round(scores, 9)
+    n = rounded.shape[1]
+    if n > limit:
+        least = np.partition(rounded, n - limit, axis=1)[:, n - limit]
+        row, column = np.nonzero(rounded >= least[:, None])
+    else:
+        row, column = np.indices(rounded.shape).reshape(2, -1)
+    order = np.lexsort((keys[column], -rounded[row, column], row))
+    row, column = row[order], column[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < limit
+    return row[kept], column[kept]
+
+
 def nearest_batch(queries: DataFrame, vectors: DataFrame, limit: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, key, score, rank: the limit nearest vectors of each query.
 
     Queries and vectors are packed into blocks; each pair of blocks is one matrix
-    product that keeps the best of each query, and the best of these are taken per
-    query. Queries are broadcast in groups of GROUP_BYTES at most, each of which scans
+    product, AT_ONCE queries at a time, that keeps the best of each query, and the best
+    of these are taken per query. Queries are broadcast in groups of GROUP_BYTES at most, each of which scans
     the vectors once. All vectors have one length; rows without one are left out.
     Keys are bigints.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pair in batch.to_pylist():
-                ids, keys = np.frombuffer(pair["q_keys"], np.int64), np.frombuffer(pair["v_keys"], np.int64)
-                q, v = (np.frombuffer(pair[k], np.float64).reshape(len(n), -1) for k, n in (("q_data", ids), ("v_data", keys)))
+            for i in range(batch.num_rows):
+                # the blocks are looked at where they lie in the batch
+                part = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
+                ids, keys = part("q_keys", np.int64), part("v_keys", np.int64)
+                q, v = (part(k, np.float64).reshape(len(n), -1) for k, n in (("q_data", ids), ("v_data", keys)))
                 unit = lambda m: np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) < np.inf, m, 0) / np.where((n > 0) & (n < np.inf), n, 1)
-                scores = unit(q) @ unit(v).T
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 9)), axis=1)[:, :limit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], ["query_id", key, "score"])
+                v = unit(v).T
+                for at in range(0, len(ids), AT_ONCE):
+                    scores = unit(q[at : at + AT_ONCE]) @ v
+                    row, column = _best(scores, keys, limit)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + AT_ONCE][row]), pa.array(keys[column]), pa.array(scores[row, column])], ["query_id", key, "score"])
 
     size = queries.agg(F.sum(F.size(embedding).cast("long") * 8 + 8)).first()[0] or 0
     groups = max(1, math.ceil(size / (GROUP_BYTES // 2)))
@@ -114,8 +133,37 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hash_embedder(dim: int = 64) -> Embedder:
-    known: dict[str, tuple[int, np.ndarray]] = {}
-    return lambda texts: np.stack([hash_embedding(t, dim, known) for t in texts])
+    """hash_embedding of many texts together: sums of whole numbers, so the order of adding doesn't matter."""
+    width, groups = (8 if dim >= 8 else dim), max(1, dim // 8)
+    known: dict[str, int] = {}
+    place, value = np.zeros(0, np.int64), np.zeros((0, width))
+
+    def run(texts: list[str]) -> np.ndarray:
+        nonlocal place, value
+        found = [Counter(TOKEN.findall(t)) for t in texts]
+        if len(known) > KNOWN:
+            known.clear()
+            place, value = place[:0], value[:0]
+        fresh = list(dict.fromkeys(t for c in found for t in c if t not in known))
+        if fresh:
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            digest = np.frombuffer(b"".join(hashlib.sha256(t.lower().encode()).digest() for t in fresh), np.uint8).reshape(-1, 32)
+            grown = len(known) * 2 if len(known) > len(place) else len(place)
+            if grown > len(place):
+                place, value = np.resize(place, grown) if len(place) else np.zeros(grown, np.int64), np.concatenate([value, np.zeros((grown - len(value), width))])
+            place[len(known) - len(fresh) : len(known)] = digest[:, 0].astype(np.int64) % groups * width
+            value[len(known) - len(fresh) : len(known)] = digest[:, :width].astype(np.float64) + 1
+        code = np.fromiter((known[t] for c in found for t in c), np.int64)
+        many = np.fromiter((n for c in found for n in c.values()), np.float64)
+        at = np.repeat(np.arange(len(texts)) * dim, [len(c) for c in found]) + place[code]
+        out = np.zeros(len(texts) * dim)
+        for j in range(width):
+            out += np.bincount(at + j, value[code, j] * many, len(out))
+        out = out.reshape(-1, dim)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+    return run
 
 
 def one_by_one(embedder: Embedder, texts: list[str], attempts: int = 1) -> list[tuple[np.ndarray | None, str | None]]:
@@ -144,12 +192,13 @@ def one_by_one(embedder: Embedder, texts: list[str], attempts: int = 1) -> list[
 
 
 def embed(rows: DataFrame, embedder: Embedder | None = None, dim: int = 64, text: str = "text", column: str = "embedding", batch_size: int = 8, error: str | None = None, attempts: int = 1) -> DataFrame:
-    """rows with the embedding of each text, made batch_size texts at a time by any embedder; null text: empty.
+    """rows with the embedding of each text, made batch_size texts at a time by any embedder (the default one takes more); null text: empty.
 
     A batch for which the embedder raises is tried text by text, each so many times; a
     text that fails has no embedding and, where error names a column, what was raised.
     """
-    embedder = embedder or hash_embedder(dim)
+    if embedder is None:
+        embedder, batch_size = hash_embedder(dim), 256
     new = [column, *([error] if error else [])]
     rows = rows.drop(*new)
     names = rows.columns

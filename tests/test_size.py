@@ -1,9 +1,14 @@
 """What only larger tables show."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.functions import segment
+from gleanery.functions import text as T
+from gleanery.operators import index, lexical, vector
 from gleanery.plans import catalog
 
 
@@ -24,3 +29,74 @@ def test_long_question_numbers(spark, tmp_path, first):
     """Numbers of more than four digits stay whole."""
     ids = spark.range(first, first + 40).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     assert same_as_sql(spark, tmp_path, "session_keys", documents=ids)
+
+
+def test_many_texts_embedded_together(monkeypatch):
+    """What hash_embedding gives for each alone, also when digests are forgotten."""
+    texts = ["", "the The THE cat", "我在 home 我", "é 1 2 3", *[f"w{i} w{i % 7} x" for i in range(200)]]
+    monkeypatch.setattr(vector, "KNOWN", 50)
+    for dim in (4, 20, 64):
+        some = vector.hash_embedder(dim)
+        got = np.concatenate([some(texts[i : i + 30]) for i in range(0, len(texts), 30)])
+        assert (got == np.stack([vector.hash_embedding(t, dim) for t in texts])).all()
+
+
+def test_blocks_of_queries_are_scored_in_parts(spark, monkeypatch):
+    """Ties included, whatever the size of the parts; no score table of a whole block is made."""
+    data = np.random.default_rng(3).integers(-1, 2, (400, 3))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>").coalesce(1)
+    whole = sorted(map(tuple, vector.nearest_batch(rows, rows, 5).select("query_id", "vec_id", "rank").collect()))
+    assert vector.AT_ONCE * vector.BLOCK * 8 <= 4 << 20
+    monkeypatch.setattr(vector, "AT_ONCE", 7)
+    assert sorted(map(tuple, vector.nearest_batch(rows, rows, 5).select("query_id", "vec_id", "rank").collect())) == whole
+    norm = np.linalg.norm(data, axis=1, keepdims=True)
+    unit = data / np.where(norm > 0, norm, 1)
+    score = np.round(unit @ unit.T, 9)
+    assert whole == sorted((i, int(k), r) for i in range(400) for r, k in enumerate(np.lexsort((np.arange(400), -score[i]))[:5]))
+
+
+def test_words_cut_in_parts(monkeypatch):
+    """Tokens are cut a bounded number at a time, and what tasks get has no lexicon of strings."""
+    cutter = segment.Segmenter({"们有": (5, "n"), "有上": (3, "n"), "中地": (2, "n")})
+    column = pa.array([["们有上", "abc"], [], ["中地们有", "x有上y"] * 20, None, ["们"]], pa.list_(pa.string()))
+    whole = cutter.lists(column).to_pylist()
+    seen = []
+    inner = segment.Segmenter._lists
+    monkeypatch.setattr(segment.Segmenter, "_lists", lambda self, part, *rest: (seen.append(len(part.flatten())), inner(self, part, *rest))[1])
+    monkeypatch.setattr(segment, "TOKENS", 10)
+    known = {}
+    assert cutter.lists(column, known=known).to_pylist() == cutter.lists(column, known=known).to_pylist() == whole
+    assert len(seen) > 2 and max(seen) <= 42
+
+
+def test_texts_are_cut_once(spark):
+    """With columns to keep, rows and scores are those of two passes, filters and all strategies too, and each text is cut once."""
+    rows = [(i, f"s{i % 3}", " ".join(["dog"] * (i % 4) + ["cat"] * (i % 3 > 1) + ["x"] * (i % 7))) for i in range(60)] + [(60, "s0", None)]
+    corpus = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        cuts.add(1)
+        return (text or "").split()
+
+    for strategy, where in (("or", None), ("and", F.col("source") != "s1"), ("pos-must", None), ("or", F.col("source") == "none")):
+        want = lexical.search(corpus, "dog cat", 9, strategy=strategy, where=where, analyse=cut).drop("text").collect()
+        cuts.value = 0
+        assert lexical.search(corpus, "dog cat", 9, strategy=strategy, where=where, analyse=cut, keep=["doc_id", "source"]).collect() == want
+        assert cuts.value == 61
+    assert lexical.search(corpus.limit(0), "dog", keep=["doc_id"]).count() == 0
+
+
+def test_han_and_marks_as_before(spark):
+    """Folding and lower case come before runs are cut; the tokens are the same."""
+    texts = ["", None, "Çédille ÀB", "我在Été有上A", "有", "x有1上上 SS", "〇一々ÀÉ", "𠀀𠀁有é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    marked = F.translate(T.segmented(F.coalesce("text", F.lit(""))), T.MARKED, T.BARE)
+    before = F.array_remove(F.split(F.lower(marked), T.NOT_TOKEN), "")
+    assert all(a == b for a, b in rows.select(T.tokens(F.col("text")), before).collect())
+
+
+def test_files_of_an_index_are_small():
+    """A task of a build sorts the postings of so much text, however large the corpus."""
+    assert index.PART_BYTES <= 32 << 20
