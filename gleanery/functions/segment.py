@@ -23,7 +23,7 @@ from gleanery.functions import text as T
 from gleanery.functions import words as W
 
 #: Words that a lexicon may have to be held by every task; tokens that a task cuts at once, about, and whose words it keeps at most.
-MOST_WORDS, TOKENS, KNOWN = 2_000_000, 1 << 19, 200_000
+MOST_WORDS, TOKENS, KNOWN = 2_000_000, 1 << 20, 200_000
 UNIT = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 PARTS, BEGINS_HAN = re.compile(f"[{W.HAN}]+|[^{W.HAN}]+"), re.compile(f"[{W.HAN}]").match
