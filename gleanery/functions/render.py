@@ -9,7 +9,11 @@ NOTHING = "No results found."
 
 
 def percent(score: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f", score * 100)
+    """Rounded by the double's exact value, ties to an even digit, as C, Go and SQL print it; format_string rounds its shortest decimal half up.
+
+    Equal to C's for 0 and 2 digits of all scores of six decimals.
+    """
+    return F.call_function("format_number", score * 100, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def text_rows(hits: DataFrame) -> DataFrame:

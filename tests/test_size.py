@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions import segment
+from gleanery.functions import render, segment
 from gleanery.functions import text as T
 from gleanery.operators import index, lexical, vector
 from gleanery.plans import catalog
@@ -31,6 +31,21 @@ def test_long_question_numbers(spark, tmp_path, first):
     assert same_as_sql(spark, tmp_path, "session_keys", documents=ids)
 
 
+@pytest.mark.parametrize("step", [16, 41])
+def test_scores_halfway_between_two_prints(spark, tmp_path, step):
+    """0.37245 is a double below its decimal: 37.24, not 37.25."""
+    docs = [(i, "a", "theast " * max(0, i % 5 - 2) + "x " * (i * step % 97)) for i in range(60)]
+    assert same_as_sql(spark, tmp_path, "csv_rows", documents=spark.createDataFrame(docs, "doc_id long, source string, text string"))
+
+
+def test_percentages_are_printed_as_elsewhere(spark):
+    """All scores of six digits that end in a five, and those halfway between whole percents."""
+    scores = spark.range(100_000).select(((F.col("id") * 10 + 5) / 1e6).alias("s")).union(spark.range(100).select((F.col("id") + 0.5) / 100))
+    rows = scores.select("s", render.percent(F.col("s")).alias("whole"), render.percent(F.col("s"), 2).alias("two")).collect()
+    assert len(rows) == 100_100
+    assert not [r for r in rows if (r["whole"], r["two"]) != tuple(f"{r['s'] * 100:.{n}f}" for n in (0, 2))]
+
+
 def test_many_texts_embedded_together(monkeypatch):
     """What hash_embedding gives for each alone, also when digests are forgotten."""
     texts = ["", "the The THE cat", "我在 home 我", "é 1 2 3", *[f"w{i} w{i % 7} x" for i in range(200)]]
