@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 RANK_CONSTANT, FIRST_BONUS, NEXT_BONUS = 60, 0.05, 0.02
 OVERFETCH_MOST, DEFAULT_LIMIT, VECTOR_MIN_SCORE = 1000, 5, 0.3
+SCORE_DIGITS = 6
 
 
 def ranked(rows: DataFrame, list_id: int, key: str = "doc_id", by: str = "score") -> DataFrame:

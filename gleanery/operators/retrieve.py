@@ -41,14 +41,19 @@ def embed_query(text: str, embedder: vector.Embedder, prefix: str = QUERY_PREFIX
     return F.array(*[F.lit(float(x)) for x in embedder([prefix + text])[0]])
 
 
-def hybrid_search(corpus: DataFrame, vectors: DataFrame, query: str, query_vector: Column, limit: int = 0, min_score: float = 0.0, strategy: str = "pos-or", key: str = "doc_id", vector_key: str = "vec_id", text: str = "text", index: Index | None = None, tagger: W.Tagger = W.tag) -> DataFrame:
-    """key, score: both searches over-fetch, their ranks are fused, scores filtered, then limited; one job."""
+def hybrid_search(corpus: DataFrame, vectors: DataFrame, query: str, query_vector: Column, limit: int = 0, min_score: float = 0.0, strategy: str = "pos-or", key: str = "doc_id", vector_key: str = "vec_id", text: str = "text", index: Index | None = None, tagger: W.Tagger = W.tag, digits: int | None = None, undefined: float = 0.0) -> DataFrame:
+    """key, score: both searches over-fetch, their ranks are fused, scores filtered, then limited; one job.
+
+    digits and undefined are those of vector.nearest.
+    """
     limit = limit if limit > 0 else fusion.DEFAULT_LIMIT
     fetch = fusion.overfetch(limit)
     words = lexical.search(corpus, query, fetch, 0.0, strategy, key=key, text=text, index=index, tagger=tagger).select(key, "score")
-    near = vector.nearest(vectors, query_vector, fetch, key=vector_key).select(F.col(vector_key).alias(key), "score")
+    near = vector.nearest(vectors, query_vector, fetch, key=vector_key, digits=digits, undefined=undefined).select(F.col(vector_key).alias(key), "score")
     lists = fusion.ranked(words, 0, key).unionByName(fusion.ranked(near, 1, key))
-    return fusion.filter_and_limit(fusion.fuse(lists, key=key), min_score, limit, key)
+    # sums that differ by their rounding alone are one score
+    fused = fusion.fuse(lists, key=key).withColumn("score", F.round("score", fusion.SCORE_DIGITS))
+    return fusion.filter_and_limit(fused, min_score, limit, key)
 
 
 def passage_search(corpus: DataFrame, vectors: DataFrame, query: str, passage: Callable[[str], str], embedder: vector.Embedder, **options) -> tuple[DataFrame, bool]:

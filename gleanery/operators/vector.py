@@ -21,19 +21,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 if either is a zero vector or has a component that is no finite number."""
+def cosine(a: Column, b: Column, undefined: float = 0.0) -> Column:
+    """undefined if either is a zero vector or has a component that is no finite number."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((norm > 0) & (norm < float("inf")), dot(a, b) / norm).otherwise(0.0)
+    return F.when((norm > 0) & (norm < float("inf")), dot(a, b) / norm).otherwise(undefined)
 
 
-def nearest(vectors: DataFrame, query: Column, limit: int, where: Column | None = None, min_score: float = 0.0, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, limit: int, where: Column | None = None, min_score: float = 0.0, key: str = "vec_id", embedding: str = "embedding", digits: int | None = None, undefined: float = 0.0) -> DataFrame:
     """The limit nearest rows to one query vector among those that `where` lets through.
 
-    One scan and a top-k; scores lower than min_score leave after the limit.
+    One scan and a top-k; scores lower than min_score leave after the limit. With
+    digits, scores are rounded to so many: rows that differ by less are tied, and go by key.
+    A vector without a cosine scores `undefined`; NaN puts it first.
     """
     rows = vectors if where is None else vectors.where(where)
-    found = rows.select("*", query.alias("__query")).withColumn("score", cosine(F.col(embedding), F.col("__query"))).drop("__query")
+    score = cosine(F.col(embedding), F.col("__query"), undefined)
+    found = rows.select("*", query.alias("__query")).withColumn("score", score if digits is None else F.round(score, digits)).drop("__query")
     found = found.orderBy(F.col("score").desc(), key).limit(limit)
     return found.where(F.col("score") >= min_score) if min_score > 0 else found
 

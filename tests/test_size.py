@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import render, segment
 from gleanery.functions import text as T
-from gleanery.operators import index, lexical, vector
+from gleanery.operators import index, lexical, retrieve, vector
 from gleanery.plans import catalog
 
 
@@ -54,6 +54,31 @@ def test_percentages_are_printed_as_elsewhere(spark):
     assert not [r for r in rows if (r["whole"], r["two"]) != tuple(f"{r['s'] * 100:.{n}f}" for n in (0, 2))]
 
 
+CLOSE = [("passage about worthless nation and theast w295 w347", "passage about worthless nation and theast w136 w89"), ("passage about worthless nation and theast w188 w178 w255 w385 w252 w76", "passage about worthless nation and theast w35 w170 w15")]
+
+
+@pytest.mark.parametrize("empty", [[], [None, "", "-- !"]])
+def test_passages_of_nearly_equal_likeness(spark, tmp_path, empty):
+    """Cosines less than 1e-9 apart are tied, and the smaller id comes first though the other is nearer; texts without tokens stand where the SQL has them."""
+    docs = [(i * 2 + j, pair[1 - j]) for i, pair in enumerate(CLOSE) for j in (0, 1)]
+    docs += [(100 + i, f"blehe v{i}") for i in range(70)] + [(200 + i, t) for i, t in enumerate(empty)]
+    near = vector.embed(spark.createDataFrame(docs, "doc_id long, text string"))
+    query = retrieve.embed_query(f"A passage about {catalog.SEARCHED}.", vector.hash_embedder(64))
+    cosines = {r["doc_id"]: r["c"] for r in near.select("doc_id", vector.cosine(F.col("embedding"), query).alias("c")).collect()}
+    assert all(0 < cosines[i + 1] - cosines[i] < 1e-9 for i in (0, 2))
+    assert same_as_sql(spark, tmp_path, "passage_search", documents=spark.createDataFrame([(i, "s", t) for i, t in docs], "doc_id long, source string, text string"))
+
+
+def test_sums_that_differ_by_their_rounding_are_one_score(spark):
+    """1/66 + 1/99 = 1/72 + 1/88, but not in doubles: rows at such places go by key."""
+    place = {5: 38, 38: 5, 11: 27, 27: 11}
+    corpus = spark.createDataFrame([(39 - i, "dog" + " x" * i) for i in range(40)] + [(i, "y") for i in range(40, 90)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(39 - i, [1.0, 0.01 * (place.get(i, i) + 1)]) for i in range(40)], "vec_id long, embedding array<double>")
+    found = retrieve.hybrid_search(corpus, vectors, "dog", F.array(F.lit(1.0), F.lit(0.0)), 40, strategy="or").collect()
+    tied = [r["doc_id"] for r in found if r["doc_id"] in (39 - i for i in place)]
+    assert tied == [1, 12, 28, 34]
+
+
 def test_many_texts_embedded_together(monkeypatch):
     """What hash_embedding gives for each alone, also when digests are forgotten."""
     texts = ["", "the The THE cat", "我在 home 我", "é 1 2 3", *[f"w{i} w{i % 7} x" for i in range(200)]]
